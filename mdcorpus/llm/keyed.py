@@ -1,0 +1,43 @@
+"""Asking all of a corpus about hashed keys: each chunk sends its distinct keys once, packed, to the bucket that
+owns them; the bucket answers for all chunks at once. Rows are packed arrays, so the shuffle holds a few bytes a key.
+"""
+
+from __future__ import annotations
+
+import numpy as np
+
+U = np.uint64
+
+
+def bits(n: int) -> int:
+    return int(n).bit_length() - 1
+
+
+def bucket_edges(keys: np.ndarray, buckets: int) -> np.ndarray:
+    """Where each bucket's range of the sorted keys begins; buckets (a power of two) go by the leading bits."""
+    at = (np.arange(buckets, dtype=object) << (64 - bits(buckets))).astype(U)
+    return np.append(np.searchsorted(keys, at), len(keys))
+
+
+def pack(values: np.ndarray, width: int) -> bytes:
+    """The low `width` bytes of unsigned values, plane by plane (so that equal bytes lie together)."""
+    return np.ascontiguousarray(values.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :width].T).tobytes()
+
+
+def unpack(data: bytes, width: int) -> np.ndarray:
+    planes = np.frombuffer(data, np.uint8).reshape(width, -1)
+    out = np.zeros((planes.shape[1], 8), np.uint8)
+    out[:, :width] = planes.T
+    return out.reshape(-1).view("<u8").astype(U)
+
+
+def short(keys: np.ndarray, buckets: int, width: int) -> np.ndarray:
+    """`width` bytes of each key from behind the bits that name the bucket."""
+    return (keys << U(bits(buckets))) >> U(64 - 8 * width)
+
+
+def bucket_slices(keys: np.ndarray, buckets: int):
+    """(bucket, slice) of the buckets that have keys; keys are sorted."""
+    edges = bucket_edges(keys, buckets)
+    for b in np.flatnonzero(np.diff(edges)):
+        yield int(b), slice(int(edges[b]), int(edges[b + 1]))
