@@ -2,14 +2,14 @@
 
 OP7 = r"""
 WITH w AS (
-  SELECT doc_id, list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), x -> x <> '') AS words
+  SELECT doc_id, list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS words
   FROM documents
 ), win AS (
-  SELECT doc_id, words, unnest(range(1, len(words) - 11)) AS at FROM w WHERE len(words) >= 13
+  SELECT doc_id, words, unnest(range(1, len(words) - 11)) AS p FROM w WHERE len(words) >= 13
 ), keyed AS (
-  SELECT doc_id, at, min(doc_id) OVER (PARTITION BY words[at:at + 12]) AS lowest FROM win
+  SELECT doc_id, p, min(doc_id) OVER (PARTITION BY words[p:p + 12]) AS lowest FROM win
 ), gone AS (
-  SELECT DISTINCT doc_id, unnest(range(at, at + 13)) AS pos FROM keyed WHERE lowest < doc_id
+  SELECT DISTINCT doc_id, unnest(range(p, p + 13)) AS pos FROM keyed WHERE lowest < doc_id
 ), flat AS (
   SELECT doc_id, unnest(words) AS word, unnest(range(1, len(words) + 1)) AS pos FROM w
 ), left_over AS (

@@ -190,10 +190,10 @@ def _answer_windows(pdf: pd.DataFrame) -> pd.DataFrame:
     return _answers(pdf, smaller)
 
 
-def _clean(docs: pd.DataFrame, names: pd.DataFrame, windows: pd.DataFrame, window: int, rounds: int, texts: bool) -> pd.DataFrame:
-    out = ["doc_id", "n_words", "n_removed", "kept_sha256", *["kept"] * texts]
+def _clean(docs: pd.DataFrame, names: pd.DataFrame, windows: pd.DataFrame, window: int, rounds: int, carry: list[str] | None) -> pd.DataFrame:
+    out = ["doc_id", "n_words", "n_removed", "kept_sha256", *["kept"] * (carry is not None)]
     if not len(docs):
-        return pd.DataFrame([], columns=out)
+        return pd.DataFrame([], columns=[*out, *(carry or [])])
     c = Chunk(docs, window, rounds)
     at = c.open_windows(_join(names, len(c.names)))
     at, starts, key, _, least = _grouped(at, c)
@@ -210,23 +210,26 @@ def _clean(docs: pd.DataFrame, names: pd.DataFrame, windows: pd.DataFrame, windo
         words = text.split()
         n = int(drop.sum())
         kept = b" ".join(words if not n else [w for w, d in zip(words, drop.tolist()) if not d])
-        rows.append((doc_id, len(words), n, hashlib.sha256(kept).hexdigest(), *[kept.decode("utf-8", "surrogatepass")] * texts))
-    return pd.DataFrame(rows, columns=out).astype({"doc_id": "Int64"})
+        rows.append((doc_id, len(words), n, hashlib.sha256(kept).hexdigest(), *[kept.decode("utf-8", "surrogatepass")] * (carry is not None)))
+    rows = pd.DataFrame(rows, columns=out, index=docs.index).astype({"doc_id": "Int64"})
+    return rows.assign(**{x: docs[x] for x in carry or []})
 
 
-def remove_repeats(docs: DataFrame, window: int = WINDOW, rounds: int = ROUNDS, chunk_bytes: int = CHUNK_BYTES, texts: bool = False) -> DataFrame:
+def remove_repeats(docs: DataFrame, window: int = WINDOW, rounds: int = ROUNDS, chunk_bytes: int = CHUNK_BYTES, carry: list[str] | None = None) -> DataFrame:
     """Remove each word that lies in a window of words which also starts in a document with a smaller doc_id.
 
     Words are `[^\\x20\\x09-\\x0D]+`, unchanged. `docs(doc_id, text)` gives one row a row: (doc_id, n_words, n_removed,
-    kept_sha256 of the kept words joined by one space), with `texts` also `kept`, that text. Windows are judged on the
+    kept_sha256 of the kept words joined by one space); with a list `carry` also `kept`, that text, and the columns named. Windows are judged on the
     input. Null texts have no words; texts shorter than a window keep all; rows with equal ids don't remove from each
     other; rows with a null id keep all words and remove nothing elsewhere. Other columns are ignored.
     """
     spark = docs.sparkSession
-    docs = docs.select(F.col("doc_id").cast("long"), "text")
+    columns = [F.col(x) for x in carry or []]
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text"), *columns)
+    more = [f"`{x}` {docs.schema[x].dataType.simpleString()}" for x in carry or []]
     chunks = chunk_count(docs, chunk_bytes)
     docs = dealt(docs, chunks)
-    by_chunk = docs.groupBy("chunk")
+    by_chunk = docs.select("doc_id", "text", "chunk").groupBy("chunk")
     asked = by_chunk.applyInPandas(lambda pdf: _ask_names(pdf, window, rounds, chunks), ASK)
     names = cut(asked.groupBy("bucket").applyInPandas(_answer_names, ANSWER))
     release(spark)
@@ -234,7 +237,7 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, rounds: int = ROUNDS,
     windows = cut(asked.groupBy("bucket").applyInPandas(_answer_windows, ANSWER))
     release(spark)
     answers = names.withColumn("kind", F.lit(0)).union(windows.withColumn("kind", F.lit(1)))
-    return by_chunk.cogroup(answers.groupBy("chunk")).applyInPandas(
-        lambda d, a: _clean(d, a[a["kind"] == 0], a[a["kind"] == 1], window, rounds, texts),
-        "doc_id long, n_words long, n_removed long, kept_sha256 string" + ", kept string" * texts,
+    schema = ["doc_id long", "n_words long", "n_removed long", "kept_sha256 string", *["kept string"] * (carry is not None), *more]
+    return docs.groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInPandas(
+        lambda d, a: _clean(d, a[a["kind"] == 0], a[a["kind"] == 1], window, rounds, carry), ", ".join(schema)
     )
