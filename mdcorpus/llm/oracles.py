@@ -20,4 +20,28 @@ SELECT w.doc_id, len(w.words) AS n_words, len(w.words) - coalesce(l.n, 0) AS n_r
 FROM w LEFT JOIN left_over l ON w.doc_id = l.doc_id
 """
 
-ORACLES = {"op7_substring_dedup": OP7}
+OP2 = """
+WITH RECURSIVE ok AS (
+  SELECT vec_id, embedding::DOUBLE[] AS e FROM embeddings
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR isnan(x) OR isinf(x))) = 0
+    AND len(list_filter(embedding, lambda x: x <> 0)) > 0
+), links AS (
+  SELECT a.vec_id AS a, b.vec_id AS b FROM ok a JOIN ok b ON a.vec_id <> b.vec_id AND list_cosine_similarity(a.e, b.e) >= 0.9
+), reach(id, to_id) AS (
+  SELECT vec_id, vec_id FROM embeddings UNION SELECT r.id, l.b FROM reach r JOIN links l ON l.a = r.to_id
+), component AS (SELECT id, min(to_id) AS component_id FROM reach GROUP BY id)
+SELECT e.vec_id, (SELECT count(*) FROM links l WHERE l.a = e.vec_id) AS n_links, c.component_id, e.vec_id = c.component_id AS kept
+FROM embeddings e JOIN component c ON c.id = e.vec_id
+"""
+
+OP3 = """
+WITH p AS (
+  SELECT page_id, strlen(coalesce(html, '')) AS payload_bytes, sha1(coalesce(html, '')) AS payload_digest FROM pages
+), m AS (SELECT *, max(page_id) OVER (PARTITION BY payload_digest) AS top FROM p)
+SELECT page_id, payload_bytes, payload_digest,
+       CASE WHEN payload_bytes >= 1000 AND page_id < top THEN 'revisit' ELSE 'response' END AS record_type,
+       CASE WHEN payload_bytes >= 1000 AND page_id < top THEN top END AS refers_to
+FROM m
+"""
+
+ORACLES = {"op2_vector_near_dedup": OP2, "op3_warc": OP3, "op7_substring_dedup": OP7}
