@@ -1,9 +1,156 @@
-"""The registered queries over the driver's tables, and their SQL."""
+"""The registered queries over the driver's tables, and DuckDB SQL for each."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from ..functions.frontmatter import split_frontmatter
+from ..functions.text import basename, tokenise
+from ..operators import catalog, changelog, classify, search, tree, validate
+from . import testcorpus
+from .testcorpus import CORPUS_SQL
+
+ACTION, SINCE, LIMIT = "click", "2024-01-15", 25
+
+
+class Corpus:
+    """What the queries share; nothing is computed before a query asks."""
+
+    def __init__(self, spark: SparkSession, sf_dir: str):
+        self.files = testcorpus.files(spark, sf_dir)
+        self.queries = testcorpus.topics(spark, sf_dir)
+        self.parsed = classify.parse(self.files)
+        self.roots = self.files.select("root").distinct()
+        self.reserved = catalog.reserved_files(self.parsed)
+
+    def docs(self) -> DataFrame:
+        return catalog.resolve_bundles(classify.documents(self.parsed), self.reserved)
+
+    def plain_docs(self) -> DataFrame:
+        return classify.documents(self.parsed)
+
+    def summary(self) -> DataFrame:
+        return validate.summarise(validate.validate_bundle(self.parsed), validate.bundle_files(self.parsed, self.roots))
+
+    def entries(self) -> DataFrame:
+        return changelog.parse_log(changelog.log_bodies(self.parsed))
+
+
+def _tags(df: DataFrame) -> DataFrame:
+    return df.withColumn("tags", F.coalesce(F.array_join("tags", "|"), F.lit("")))
+
+
+def _split(c: Corpus) -> DataFrame:
+    rows = split_frontmatter(classify.classify(c.files).where("kind <> 'skipped'"))
+    return rows.select("root", "path", "has_frontmatter", "yaml_block", "body_offset", F.md5(F.col("body").cast("binary")).alias("body_md5"))
+
+
+def _skipped(c: Corpus) -> DataFrame:
+    return classify.skip_report(c.parsed).select("root", "path", "reason")
+
+
+def _warnings(c: Corpus) -> DataFrame:
+    # a decoder's own words differ from one decoder to the next
+    return classify.ingest_warnings(c.parsed, c.roots).withColumn("message", F.regexp_replace("message", r"(?s)^(skipping [^:]*): .*", "$1"))
+
+
+def _entries(df: DataFrame) -> DataFrame:
+    return df.select("root", "source", "date", "action", "target", "detail")
+
+
+def _paths(c: Corpus) -> DataFrame:
+    paths = c.files.where(basename(F.col("path")).endswith(".md")).select("root", "path").union(c.roots.select("root", F.lit("missing.md").alias("path")))
+    found = validate.validate_paths(c.files, paths, list(validate.DEFAULT_KNOWN_TYPES))
+    return found.select("root", "file", "code", "severity", F.regexp_replace("message", r"(?s)^(invalid YAML frontmatter): .*", "$1").alias("message"))
+
+
+PLANS = {
+    "classify": lambda c: classify.classify(c.files).select("root", "path", "kind", F.coalesce("skip_reason", F.lit("")).alias("skip_reason")),
+    "skip_report": _skipped,
+    "split_frontmatter": _split,
+    "documents": lambda c: _tags(c.plain_docs()),
+    "ingest_warnings": _warnings,
+    "reserved_files": lambda c: c.reserved,
+    "bundles": lambda c: catalog.resolve_bundles(c.plain_docs().select("root", "path").union(c.reserved.select("root", "path")), c.reserved),
+    "list_docs": lambda c: _tags(catalog.list_docs(c.docs())),
+    "list_tags": lambda c: catalog.list_tags(c.plain_docs()),
+    "type_vocabulary": lambda c: catalog.type_vocabulary(c.plain_docs()),
+    "tokenise": lambda c: c.queries.select("query_id", F.array_join(tokenise(F.col("topic")), "|").alias("tokens")),
+    "tag_filter": lambda c: search.tag_filter(c.plain_docs(), c.queries),
+    "score": lambda c: search.score(c.plain_docs(), c.queries),
+    "find_best": lambda c: search.find_best(c.plain_docs(), c.queries),
+    "find_best_vocab": lambda c: search.find_best(c.plain_docs(), c.queries, "vocab"),
+    "get_doc": lambda c: _tags(search.get_doc(c.parsed, c.docs(), c.queries)).withColumn("content", F.md5(F.coalesce("content", F.lit("")).cast("binary"))),
+    "get_doc_status": lambda c: search.outcomes(c.plain_docs(), c.queries, search.find_best(c.plain_docs(), c.queries)),
+    "validate_bundle": lambda c: validate.validate_bundle(c.parsed).drop("line"),
+    "validate_paths": _paths,
+    "summary": lambda c: c.summary(),
+    "gate": lambda c: validate.gate(c.summary()),
+    "report_lines": lambda c: validate.report_lines(validate.validate_bundle(c.parsed), c.summary()),
+    "tree": lambda c: tree.build_tree(c.docs(), catalog.resolve_bundles(c.reserved, c.reserved)),
+    "subtree": lambda c: tree.subtree(tree.build_tree(c.docs(), catalog.resolve_bundles(c.reserved, c.reserved)), "en/d1"),
+    "log_entries": lambda c: _entries(c.entries()),
+    "get_log_since": lambda c: _entries(changelog.get_log(c.entries(), since=SINCE)),
+    "get_log_action": lambda c: _entries(changelog.get_log(c.entries(), action=ACTION)),
+    "get_log_limit": lambda c: _entries(changelog.get_log(c.entries(), limit=LIMIT)),
+    "log_notes": lambda c: changelog.log_notes(changelog.log_bodies(c.parsed), c.entries(), c.roots),
+}
+
+JOINED = "array_to_string({}, '|')"
+STATUS = """CASE status WHEN 'empty_topic' THEN 'topic is required' WHEN 'invalid_match' THEN 'invalid match value "' || match || '": must be "and" or "or"'
+  WHEN 'empty_index' THEN 'index is empty: no markdown documents found in cwd' WHEN 'no_match' THEN 'no document matched topic "' || topic || '" with tags [' || array_to_string(asked, ' ') || ']' ELSE '' END"""
+BEST = "SELECT query_id, root, path, score FROM best"
+ENTRY = "SELECT root, source, date, action, target, detail FROM log_table"
+TREE = "SELECT root, path, parent_path, name, depth, node_type, doc_type, title, bundle, ord FROM tree"
+
+SQL = {
+    "classify": "SELECT root, path, kind, coalesce(skip_reason, '') AS skip_reason FROM kinds",
+    "skip_report": "SELECT root, path, CASE WHEN NOT has_frontmatter THEN 'no_frontmatter' WHEN bad THEN 'invalid_yaml' ELSE 'missing_type' END AS reason FROM parsed WHERE kind = 'doc' AND (NOT has_frontmatter OR bad OR type = '')",
+    "split_frontmatter": "SELECT root, path, has_frontmatter, yaml_block, body_offset, md5(body) AS body_md5 FROM decoded",
+    "documents": f"SELECT root, path, title, description, type, {JOINED.format('tags')} AS tags, body_offset FROM docs",
+    "ingest_warnings": """SELECT root, path, 'missing title' AS message FROM docs WHERE title = '' UNION ALL SELECT root, path, 'missing description' FROM docs WHERE description = ''
+        UNION ALL SELECT root, path, 'skipping ' || path FROM parsed WHERE kind = 'doc' AND bad UNION ALL SELECT root, '', 'no conformant docs' FROM roots WHERE root NOT IN (SELECT root FROM docs)""",
+    "reserved_files": "SELECT root, path, has_frontmatter, type FROM reserved",
+    "bundles": "SELECT root, path, bundle FROM bundled",
+    "list_docs": f"SELECT d.root, title, description, {JOINED.format('tags')} AS tags, d.path AS file_path, bundle FROM docs d JOIN bundled b ON b.root = d.root AND b.path = d.path",
+    "list_tags": "SELECT DISTINCT root, unnest(tags) AS tag FROM docs",
+    "type_vocabulary": "SELECT DISTINCT root, type FROM docs",
+    "tokenise": r"SELECT query_id, array_to_string(CASE WHEN w[1] = w[2] THEN w[1:1] ELSE w END, '|') AS tokens FROM (SELECT query_id, list_filter(regexp_split_to_array(lower(topic), '[^\p{L}\p{Nd}]+'), lambda x: x <> '') AS w FROM queries)",
+    "tag_filter": "SELECT query_id, root, path FROM passing WHERE pass",
+    "score": "SELECT query_id, root, path, score FROM scores",
+    "find_best": BEST,
+    "find_best_vocab": BEST,
+    "get_doc": f"""SELECT s.query_id, s.status, {STATUS} AS message, md5(coalesce(p.body, '')) AS content, p.path AS file_path, coalesce({JOINED.format('p.tags')}, '') AS tags, p.title, p.description, bu.bundle
+        FROM status s LEFT JOIN best b ON b.query_id = s.query_id LEFT JOIN docs p ON p.root = b.root AND p.path = b.path LEFT JOIN bundled bu ON bu.root = b.root AND bu.path = b.path""",
+    "get_doc_status": f"SELECT query_id, status, {STATUS} AS message FROM status",
+    "validate_bundle": "SELECT root, file, code, severity, message FROM findings",
+    "validate_paths": r"""SELECT root, file, code, severity, message FROM findings
+        UNION ALL SELECT root, path, 'W3', 'warning', 'unknown type "' || type || '" (not in known vocabulary)' FROM docs WHERE type <> 'Architecture'
+        UNION ALL SELECT root, path, 'E1', 'error', 'missing YAML frontmatter (file must start with ---)' FROM parsed WHERE kind = 'doc' AND NOT has_frontmatter
+        UNION ALL SELECT root, path, 'E2', 'error', CASE WHEN bad THEN 'invalid YAML frontmatter' ELSE 'empty or missing type field in frontmatter' END FROM parsed WHERE kind = 'doc' AND has_frontmatter AND (bad OR type = '')
+        UNION ALL SELECT root, 'missing.md', 'E0', 'error', 'read error: file can''t be read' FROM roots""",
+    "summary": "SELECT * FROM summary",
+    "gate": "SELECT *, CASE WHEN errors > 0 THEN 1 ELSE 0 END AS status FROM summary",
+    "report_lines": """SELECT root, file || ': [' || code || '] ' || severity || ': ' || message AS report_line FROM findings
+        UNION ALL SELECT root, files || ' files: ' || errors || ' errors, ' || warnings || ' warnings, ' || notifications || ' notifications' FROM summary""",
+    "tree": TREE,
+    "subtree": f"{TREE} WHERE path = 'en/d1' OR starts_with(path, 'en/d1/')",
+    "log_entries": ENTRY,
+    "get_log_since": f"{ENTRY} WHERE date >= '{SINCE}'",
+    "get_log_action": f"{ENTRY} WHERE action = '{ACTION}'",
+    "get_log_limit": f"{ENTRY} ORDER BY date DESC, source, root, sec, ent LIMIT {LIMIT}",
+    "log_notes": r"""SELECT root, 'no log.md found' AS note FROM roots WHERE root NOT IN (SELECT root FROM reserved WHERE base = 'log.md')
+        UNION ALL SELECT DISTINCT root, 'log.md has malformed entries' FROM reserved r WHERE base = 'log.md' AND trim(body) <> '' AND NOT EXISTS (SELECT 1 FROM log_table l WHERE l.root = r.root AND l.source = r.path)""",
+}
+
+# Paths mode looks at every .md file, hidden and version-controlled ones too.
+PATHS_SQL = CORPUS_SQL.replace("FROM kinds WHERE kind <> 'skipped'", "FROM (SELECT * EXCLUDE (kind), CASE WHEN base IN ('index.md', 'log.md') THEN 'reserved' ELSE 'doc' END AS kind FROM kinds) WHERE ends_with(base, '.md')")
 
 
 def queries() -> dict:
-    return {}
+    return {name: (lambda spark, sf_dir, plan=plan: plan(Corpus(spark, sf_dir))) for name, plan in PLANS.items()}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {name: (PATHS_SQL if name == "validate_paths" else CORPUS_SQL) + sql for name, sql in SQL.items()}

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import functools
 import tempfile
 import zipfile
 from collections.abc import Callable
@@ -28,7 +27,6 @@ def ship(spark: SparkSession) -> None:
 
 
 def shipped(query: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
-    @functools.wraps(query)
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         ship(spark)
         return query(spark, sf_dir)
