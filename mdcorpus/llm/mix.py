@@ -47,7 +47,7 @@ def sainte_lague(votes: np.ndarray, seats: int, most: np.ndarray | None = None)
     A divisor found by bisection gives all but the last few seats at once; a heap of quotients gives those.
     """
     votes = votes.astype(float)
-    most = np.full(len(votes), np.iinfo(np.int64).max // 4) if most is None else most.astype(np.int64)
+    most = np.full(len(votes), seats, np.int64) if most is None else most.astype(np.int64)
     most = np.where(votes > 0, most, 0)
     seats = int(min(seats, most.sum()))
     if seats <= 0:
