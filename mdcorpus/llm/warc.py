@@ -1,6 +1,7 @@
 """WARC archives: writing records, and reading them back along verified record boundaries.
 
-Archives are written by Spark's text writer, one record a row, the record end as the line separator. The reader cuts
+Archives are written by Spark's text writer, one record a row, the record end as the line separator; they are gzipped
+and hold a bounded number of records each. Offsets are those of the unpacked archive. The reader cuts
 files at the magic; every piece is a candidate record that names the offset of its successor. The magic may occur
 inside payloads, so pointers are followed from the start of each file, doubling their reach each round, and only
 records reached are kept.
@@ -50,7 +51,7 @@ def record(rows: DataFrame) -> Column:
 
 def write_archives(pages: DataFrame, path: str, least: int = REVISIT_BYTES) -> None:
     rows = with_references(pages, least)
-    rows.select(record(rows).alias("value")).write.option("lineSep", RECORD_END).option("maxRecordsPerFile", RECORDS_PER_FILE).text(path)
+    rows.select(record(rows).alias("value")).write.option("lineSep", RECORD_END).option("maxRecordsPerFile", RECORDS_PER_FILE).option("compression", "gzip").text(path)
 
 
 def _header(name: str) -> Column:
