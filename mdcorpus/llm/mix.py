@@ -98,7 +98,7 @@ def _quotas(pdf: pd.DataFrame) -> pd.DataFrame:
 
 def _select(pdf: pd.DataFrame, quotas: pd.DataFrame) -> pd.DataFrame:
     """One shard's documents in seeded order, cut into blocks; the quota's blocks, drawn by seed, say what is taken."""
-    columns = ["doc_id", "number", "size", "taken"]
+    columns = ["doc_id", "row", "number", "size", "taken"]
     if not len(pdf):
         return pd.DataFrame([], columns=columns)
     pdf = pdf.sort_values(["place", "doc_id", "size"], na_position="last")
@@ -119,8 +119,8 @@ def _select(pdf: pd.DataFrame, quotas: pd.DataFrame) -> pd.DataFrame:
     return pdf.assign(taken=upto(ends) - upto(ends - size))[columns]
 
 
-def mix_sources(docs: DataFrame) -> DataFrame:
-    """(doc_id, size, source_size, target, taken) for every row of `docs(doc_id, text, source)`.
+def mix_sources(docs: DataFrame, row: str | None = None) -> DataFrame:
+    """(doc_id, size, source_size, target, taken) for every row of `docs(doc_id, text, source)`, and its column `row`, if named.
 
     Sizes are numbers of words `[^\\x20\\x09-\\x0D]+` (null texts: 0). Sources, by code point and the null one last, weigh
     3, 1, 2, repeating, and share 150 % of all words; none gets above twice its own size. Blocks are dealt to sources
@@ -130,7 +130,7 @@ def mix_sources(docs: DataFrame) -> DataFrame:
     """
     spark = docs.sparkSession
     sized = docs.select(
-        F.col("doc_id").cast("long"), F.col("source").cast("string").alias("name"),
+        F.col("doc_id").cast("long"), (F.col(row) if row else F.lit(None)).cast("long").alias("row"), F.col("source").cast("string").alias("name"),
         F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long").alias("size"), F.xxhash64(F.lit(SEED), "doc_id", F.xxhash64("text")).alias("place"),
     )
     sized = cut(sized)
@@ -143,12 +143,13 @@ def mix_sources(docs: DataFrame) -> DataFrame:
     rows = [tuple(None if x is None or x != x else x for x in r) for r in plan[["number", "name", "source_size", "target", "block", "seats", "shards"]].astype(object).itertuples(index=False, name=None)]
     plan = F.broadcast(spark.createDataFrame(rows, "number int, name string, source_size long, target double, block long, seats long, shards long"))
     dealt = sized.join(plan.select("number", "name", "shards"), sized["name"].eqNullSafe(plan["name"])).select(
-        "doc_id", "number", "size", "place", F.pmod(F.col("place"), F.col("shards")).cast("int").alias("shard")
+        "doc_id", "row", "number", "size", "place", F.pmod(F.col("place"), F.col("shards")).cast("int").alias("shard")
     )
     counted = dealt.groupBy("number", "shard").agg(F.sum("size").alias("words"))
     quotas = counted.join(plan.select("number", "block", "seats"), "number").groupBy("number").applyInPandas(_quotas, "number int, shard int, block long, quota long")
     taken = (
         dealt.groupBy("number", "shard").cogroup(cut(quotas).groupBy("number", "shard"))
-        .applyInPandas(_select, "doc_id long, number int, size long, taken long")
+        .applyInPandas(_select, "doc_id long, row long, number int, size long, taken long")
     )
-    return taken.join(plan.select("number", "source_size", "target"), "number").select("doc_id", "size", "source_size", "target", "taken")
+    own = [F.col("row").alias(row)] if row else []
+    return taken.join(plan.select("number", "source_size", "target"), "number").select("doc_id", "size", "source_size", "target", "taken", *own)

@@ -30,3 +30,11 @@ def test_stages(spark):
     before, after = kept["mixing"]
     assert {(r.doc_id, r.taken) for r in after.collect()} == {(r.doc_id, r.taken) for r in mix_sources(before).collect() if r.taken}
     assert 0 < len(ids(P.run(spark, DATA)))
+
+
+def test_mixing_keeps_rows_with_null_and_repeated_ids(spark):
+    rows = [(1, "a b c d", "en", "x", 7), (None, "e f g", "en", "y", 5), (1, "h i j k l", "en", "x", 9), (None, "e f g", "en", "y", 5)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    got = P.mixing(spark, docs, DATA).collect()
+    assert sorted((r.doc_id or 0, r.text) for r in got) == sorted((r[0] or 0, r[1]) for r in rows)
+    assert all(0 < r.taken <= 2 * len(r.text.split()) for r in got)
