@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from mdcorpus.llm.common import table
+from mdcorpus.llm.common import cut, table
 from mdcorpus.llm.decontaminate import leaks
 from mdcorpus.llm.mix import mix_sources
 from mdcorpus.llm.quality import fit, scored
@@ -44,9 +44,13 @@ def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The documents that the mix takes words of, and how many of them (repeats counted)."""
-    mix = mix_sources(docs).where("taken > 0").select("doc_id", "target", "taken")
-    return docs.join(mix, "doc_id")
+    """The documents that the mix takes words of, and how many of them (repeats counted).
+
+    Rows are matched by a number of their own, so that null and repeated ids neither go nor multiply.
+    """
+    numbered = cut(docs.withColumn("mix_row", F.monotonically_increasing_id()))
+    mix = mix_sources(numbered, row="mix_row").where("taken > 0").select("mix_row", "target", "taken")
+    return numbered.join(mix, "mix_row").select(*docs.columns, "target", "taken")
 
 
 STAGES = [("quality", quality), ("near_dedup", near_dedup), ("substring_dedup", substring_dedup), ("decontamination", decontamination), ("mixing", mixing)]
