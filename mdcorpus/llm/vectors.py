@@ -3,7 +3,8 @@
 Vectors are normalised, so that a cosine is a distance. In each of several tables a vector's bucket is given by some
 random Gaussian projections, shifted and cut to a width; pairs that share a bucket are checked by their cosine in
 double precision. Equal vectors are one member with a count. A pair counts in the first table that brings it together;
-buckets yield numbers of links and spanning edges, not pairs.
+buckets yield numbers of links and spanning edges, not pairs. Large buckets are cut into slices that are compared two by
+two in different tasks.
 """
 
 from __future__ import annotations
@@ -25,6 +26,14 @@ PROJECTIONS = 12
 #: Enough tables to find a pair at just the threshold with this probability; nearer pairs are found more surely.
 RECALL = 0.95
 SEED = 42
+#: Components and projections are rounded to this fraction for the hashes.
+STEPS = 1 << 20
+#: A larger bucket is cut into slices of about so many vectors.
+SLICE_ROWS = 2048
+#: Near pairs that a task holds at once, about.
+PAIRS_HELD = 1 << 20
+#: So many large buckets may be broadcast (16 bytes each); more are joined.
+BROADCAST_ROWS = 100_000
 
 
 def collision(distance: float, width: float) -> float:
@@ -39,9 +48,13 @@ def table_count(cosine: float = COSINE, width: float = WIDTH, projections: int =
 
 
 def bucket_keys(unit: np.ndarray, tables: int) -> np.ndarray:
-    """The key of each row's bucket in each table; keys of different tables and dimensions differ."""
+    """The key of each row's bucket in each table; keys of different tables and dimensions differ.
+
+    Products are of whole numbers below 2**53, so a vector's keys are the same whichever rows stand beside it.
+    """
     rng = np.random.default_rng([SEED, unit.shape[1]])
-    cells = np.floor((unit @ rng.standard_normal((unit.shape[1], tables * PROJECTIONS)) + rng.uniform(0, WIDTH, tables * PROJECTIONS)) / WIDTH)
+    gauss = np.rint(rng.standard_normal((unit.shape[1], tables * PROJECTIONS)) * STEPS)
+    cells = np.floor(((np.rint(unit * STEPS) @ gauss) / STEPS**2 + rng.uniform(0, WIDTH, tables * PROJECTIONS)) / WIDTH)
     cells = cells.astype(np.int64).view(U).reshape(len(unit), tables, PROJECTIONS)
     key = np.broadcast_to(mix(np.arange(tables, dtype=U) + U(unit.shape[1] << 20)), (len(unit), tables))
     for i in range(PROJECTIONS):
@@ -49,82 +62,101 @@ def bucket_keys(unit: np.ndarray, tables: int) -> np.ndarray:
     return key.view(np.int64)
 
 
-def units(vectors) -> np.ndarray:
-    x = np.stack(vectors).astype(np.float64)
+def units(x: np.ndarray) -> np.ndarray:
+    x = x.astype(np.float64)
     return x / np.linalg.norm(x, axis=1, keepdims=True)
 
 
-def _keyed(batches, tables: int):
+def _keyed(batches, tables: int, keys_only: bool):
     for pdf in batches:
         for _, own in pdf.groupby(pdf["embedding"].map(len)):
-            keys = bucket_keys(units(own["embedding"]), tables)
+            keys = bucket_keys(units(np.stack(own["embedding"])), tables)
+            if keys_only:
+                yield pd.DataFrame({"key": keys.ravel()})
+                continue
             data = [np.asarray(v).tobytes() for v in own["embedding"]]
             for t in range(tables):
-                yield pd.DataFrame({"key": keys[:, t], "id": own["id"].to_numpy(), "n": own["n"].to_numpy(), "vector": data})
-
-
-def _bucket(ids, n, vectors, key, cosine, tables):
-    """(id, links) and spanning edges of one bucket, of pairs that no earlier table brings together."""
-    unit = units(vectors)
-    m = len(ids)
-    keys = bucket_keys(unit, tables)
-    table = int(np.flatnonzero(keys[0] == key)[0])
-    links, label = np.zeros(m, np.int64), np.arange(m)
-    step = max(1, (1 << 21) // m)
-    pairs = []
-    for a in range(0, m, step):
-        i, j = np.nonzero(unit[a : a + step] @ unit.T >= cosine)
-        i += a
-        keep = i != j
-        i, j = i[keep], j[keep]
-        for c in range(0, len(i), 1 << 17):
-            x, y = i[c : c + (1 << 17)], j[c : c + (1 << 17)]
-            new = ~(keys[x, :table] == keys[y, :table]).any(axis=1)
-            np.add.at(links, x[new], n[y[new]])
-            pairs.append((x[new], y[new]))
-    while pairs:
-        before = label.copy()
-        for x, y in pairs:
-            np.minimum.at(label, x, label[y])
-        while (label[label] != label).any():
-            label = label[label]
-        if (label == before).all():
-            break
-    return links, label
+                yield pd.DataFrame({"key": keys[:, t], "table": t, "id": own["id"].to_numpy(), "n": own["n"].to_numpy(), "vector": data})
+
+
+def _cell_starts(pdf: pd.DataFrame) -> np.ndarray:
+    key, part = pdf["key"].to_numpy(np.int64), pdf["part"].to_numpy(np.int64)
+    return np.flatnonzero(np.concatenate([[True], (key[1:] != key[:-1]) | (part[1:] != part[:-1])]))
+
+
+def _near_pairs(unit: np.ndarray, starts: np.ndarray, ends: np.ndarray, cosine: float):
+    """Pairs of rows (i < j) of one cell whose cosine reaches the threshold, some at a time."""
+    two = starts[ends - starts == 2]
+    near = two[np.einsum("ij,ij->i", unit[two], unit[two + 1]) >= cosine]
+    held, size = [(near, near + 1)], len(near)
+    large = ends - starts > 2
+    for s, e in zip(starts[large].tolist(), ends[large].tolist()):
+        step = max(1, (1 << 20) // (e - s))
+        for a in range(s, e, step):
+            i, j = np.nonzero(unit[a : min(a + step, e)] @ unit[s:e].T >= cosine)
+            i, j = i + a, j + s
+            held.append((i[i < j], j[i < j]))
+            size += len(held[-1][0])
+            if size > PAIRS_HELD:
+                yield tuple(map(np.concatenate, zip(*held)))
+                held, size = [], 0
+    if size:
+        yield tuple(map(np.concatenate, zip(*held)))
+
+
+def _answered(pdf: pd.DataFrame, dtype: str, cosine: float, tables: int):
+    """(a, b, links) of whole cells of vectors of one length; pairs that an earlier table brings together are left to it."""
+    starts = _cell_starts(pdf)
+    unit = units(np.frombuffer(b"".join(pdf["vector"]), dtype).reshape(len(pdf), -1))
+    ids, n, table, part, own = (pdf[c].to_numpy(np.int64) for c in ("id", "n", "table", "part", "slice"))
+    within = part >> 32 == part & 0xFFFFFFFF
+    for i, j in _near_pairs(unit, starts, np.append(starts[1:], len(pdf)), cosine):
+        # a cell of two slices answers for the pairs across them
+        ours = within[i] | (own[i] != own[j])
+        i, j = i[ours], j[ours]
+        rows = np.unique(np.concatenate([i, j]))
+        keys = bucket_keys(unit[rows], tables)
+        x, y = np.searchsorted(rows, i), np.searchsorted(rows, j)
+        new = np.zeros(len(i), bool)
+        for c in range(0, len(i), 1 << 16):
+            s = slice(c, c + (1 << 16))
+            new[s] = ~((keys[x[s]] == keys[y[s]]) & (np.arange(tables) < table[i[s], None])).any(axis=1)
+        x, y = x[new], y[new]
+        ids_, n_ = ids[rows], n[rows]
+        links = np.zeros(len(rows), np.int64)
+        np.add.at(links, x, n_[y])
+        np.add.at(links, y, n_[x])
+        label = np.arange(len(rows))
+        while (label[x] != label[y]).any():
+            low = np.minimum(label[x], label[y])
+            np.minimum.at(label, label[x], low)
+            np.minimum.at(label, label[y], low)
+            while (label[label] != label).any():
+                label = label[label]
+        some, moved = np.flatnonzero(links), np.flatnonzero(label != np.arange(len(rows)))
+        yield pd.DataFrame({
+            "a": np.concatenate([ids_[some], ids_[moved]]),
+            "b": pd.array(np.concatenate([np.zeros(len(some), np.int64), ids_[label[moved]]]), dtype="Int64").copy(),
+            "links": np.concatenate([links[some], np.zeros(len(moved), np.int64)]),
+        }).assign(b=lambda d: d["b"].mask(d["links"] > 0))
 
 
 def _links(batches, dtype: str, cosine: float, tables: int):
-    """Rows sorted by key -> (a, b, links): b null: `links` more of a; else an edge between a and b."""
-    held = None
+    """Rows sorted by cell -> (a, b, links): b null: `links` more of a; else an edge between a and b."""
 
     def closed(pdf):
-        keys = pdf["key"].to_numpy()
-        starts = np.flatnonzero(np.diff(keys, prepend=keys[0] - 1))
-        ends = np.append(starts[1:], len(keys))
-        ids, n = pdf["id"].to_numpy(np.int64), pdf["n"].to_numpy(np.int64)
-        data = pdf["vector"].to_numpy()
-        a, b, k = [], [], []
-        for s, e in zip(starts.tolist(), ends.tolist()):
-            if e - s < 2:
-                continue
-            links, label = _bucket(ids[s:e], n[s:e], [np.frombuffer(v, dtype) for v in data[s:e]], keys[s], cosine, tables)
-            some = np.flatnonzero(links)
-            moved = np.flatnonzero(label != np.arange(e - s))
-            own = ids[s:e]
-            a += [own[some], own[moved]]
-            b += [np.full(len(some), -1), own[label[moved]]]
-            k += [links[some], np.zeros(len(moved), np.int64)]
-        if a:
-            b = pd.array(np.concatenate(b), dtype="Int64")
-            k = np.concatenate(k)
-            b[k > 0] = pd.NA
-            yield pd.DataFrame({"a": np.concatenate(a), "b": b, "links": k})
+        starts = _cell_starts(pdf)
+        size = np.diff(np.append(starts, len(pdf)))
+        pdf = pdf[np.repeat(size > 1, size)]
+        for _, own in pdf.groupby(pdf["vector"].map(len)):
+            yield from _answered(own, dtype, cosine, tables)
 
+    held = None
     for pdf in batches:
         pdf = pdf if held is None else pd.concat([held, pdf], ignore_index=True)
         if not len(pdf):
             continue
-        last = int(np.searchsorted(pdf["key"].to_numpy(), pdf["key"].iloc[-1]))
+        last = int(_cell_starts(pdf)[-1])
         held = pdf.iloc[last:]
         if last:
             yield from closed(pdf.iloc[:last])
@@ -132,7 +164,23 @@ def _links(batches, dtype: str, cosine: float, tables: int):
         yield from closed(held)
 
 
-def near_vectors(vectors: DataFrame, cosine: float = COSINE, recall: float = RECALL) -> DataFrame:
+def _cells(members: DataFrame, tables: int, slice_rows: int) -> DataFrame:
+    """(key, part, slice, table, id, n, vector): the members by bucket; a bucket of more than `slice_rows` is cut into
+    slices, and each pair of slices is a cell of its own, so that no task holds more than two slices of one bucket."""
+    keys = members.select("id", "n", "embedding").mapInPandas(lambda b: _keyed(b, tables, True), "key long")
+    large = cut(keys.groupBy("key").agg(F.count("*").alias("m")).where(F.col("m") > slice_rows))
+    keyed = members.select("id", "n", "embedding").mapInPandas(lambda b: _keyed(b, tables, False), "key long, table int, id long, n long, vector binary")
+    found = large.count()
+    if not found:
+        return keyed.withColumns({"part": F.lit(0).cast("long"), "slice": F.lit(0)})
+    keyed = keyed.join(F.broadcast(large) if found <= BROADCAST_ROWS else large, "key", "left")
+    slices = F.coalesce(F.ceil(F.col("m") / slice_rows), F.lit(1)).cast("int")
+    keyed = keyed.withColumn("slice", F.pmod(F.xxhash64("id"), slices).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), slices - 1)))
+    part = F.shiftleft(F.least("slice", "other").cast("long"), 32) + F.greatest("slice", "other")
+    return keyed.select("key", part.alias("part"), "slice", "table", "id", "n", "vector")
+
+
+def near_vectors(vectors: DataFrame, cosine: float = COSINE, recall: float = RECALL, slice_rows: int = SLICE_ROWS) -> DataFrame:
     """(vec_id, n_links, component_id, kept) for every row of `vectors(vec_id, embedding)`.
 
     Vectors that are null, empty or zero, or hold null or non-finite components, link with nothing, nor do vectors of
@@ -148,9 +196,8 @@ def near_vectors(vectors: DataFrame, cosine: float = COSINE, recall: float = REC
     rows = rows.withColumn("embedding", F.when(fit, F.col("embedding")))
     members = rows.where("embedding IS NOT NULL").groupBy("embedding").agg(F.min("vec_id").alias("least"), F.count("*").alias("n"))
     members = cut(members.withColumn("id", F.monotonically_increasing_id()))
-    keyed = members.select("id", "n", "embedding").mapInPandas(lambda b: _keyed(b, tables), "key long, id long, n long, vector binary")
-    keyed = keyed.repartition("key").sortWithinPartitions("key", "id")
-    found = cut(keyed.mapInPandas(lambda b: _links(b, dtype, cosine, tables), "a long, b long, links long"))
+    cells = _cells(members, tables, slice_rows).repartition("key", "part").sortWithinPartitions("key", "part", "id")
+    found = cut(cells.mapInPandas(lambda b: _links(b, dtype, cosine, tables), "a long, b long, links long"))
     counts = found.where("b IS NULL").groupBy(F.col("a").alias("id")).agg(F.sum("links").alias("links"))
     labels = connected_components(found.where("b IS NOT NULL").select("a", "b"))
     named = members.select("id", "least", "n", "embedding").join(counts, "id", "left").join(labels, "id", "left")

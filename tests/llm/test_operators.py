@@ -143,6 +143,11 @@ def test_vectors(spark):
     assert all(got[40 + i][1] == i and not got[40 + i][2] for i in range(40))
     assert all(got[i] == (0, i, True) for i in (900, 901, 902, 903, 904, 905))
     assert near_vectors(spark.createDataFrame([], "vec_id long, embedding array<float>")).count() == 0
+    # large buckets in slices give the same
+    tight = [(i, [float(x) for x in base[0] + 0.1 * rng.standard_normal(16)]) for i in range(1000, 1060)]
+    more = spark.createDataFrame(rows + tight, "vec_id long, embedding array<double>")
+    whole, cut_up = (sorted(map(tuple, near_vectors(more, slice_rows=n).collect()), key=repr) for n in (10_000, 7))
+    assert whole == cut_up and max(r[1] for r in whole) > 50
 
 
 def test_decontamination(spark, docs, empty):
