@@ -2,7 +2,8 @@
 
 Vectors are normalised, so that a cosine is a distance. In each of several tables a vector's bucket is given by some
 random Gaussian projections, shifted and cut to a width; pairs that share a bucket are checked by their cosine in
-double precision. Equal vectors are one member with a count. A pair counts in the first table that brings it together;
+double precision. The more vectors there are, the more projections a key takes, so that buckets stay small; the number
+of tables follows from the recall. Equal vectors are one member with a count. A pair counts in the first table that brings it together;
 buckets yield numbers of links and spanning edges, not pairs. Large buckets are cut into slices that are compared two by
 two in different tasks.
 """
@@ -22,9 +23,11 @@ from .textvec import BASE, U, mix
 
 COSINE = 0.9
 WIDTH = 2.0
-PROJECTIONS = 12
 #: Enough tables to find a pair at just the threshold with this probability; nearer pairs are found more surely.
 RECALL = 0.95
+#: So many cosines of a bucket cost about as much as sending a vector to it.
+COSINES_A_SEND = 500
+MOST_PROJECTIONS = 64
 SEED = 42
 #: Components and projections are rounded to this fraction for the hashes.
 STEPS = 1 << 20
@@ -42,22 +45,30 @@ def collision(distance: float, width: float) -> float:
     return 1 - math.erfc(t / math.sqrt(2)) - 2 / (math.sqrt(2 * math.pi) * t) * (1 - math.exp(-t * t / 2))
 
 
-def table_count(cosine: float = COSINE, width: float = WIDTH, projections: int = PROJECTIONS, recall: float = RECALL) -> int:
-    p = collision(math.sqrt(2 - 2 * cosine), width) ** projections
-    return math.ceil(math.log(1 - recall) / math.log(1 - p))
+def table_count(projections: int, cosine: float = COSINE, recall: float = RECALL) -> int:
+    p = collision(max(1e-9, math.sqrt(2 - 2 * cosine)), WIDTH) ** projections
+    return max(1, math.ceil(math.log1p(-recall) / math.log1p(-p))) if p < 1 else 1
 
 
-def bucket_keys(unit: np.ndarray, tables: int) -> np.ndarray:
+def hashing(vectors: int, cosine: float = COSINE, recall: float = RECALL) -> tuple[int, int]:
+    """(tables, projections) of least cost for so many vectors, of which all but a few are at right angles."""
+    far = collision(math.sqrt(2), WIDTH)
+    cost = lambda k: table_count(k, cosine, recall) * (1 + vectors * far**k / COSINES_A_SEND)
+    projections = min(range(1, MOST_PROJECTIONS + 1), key=cost)
+    return table_count(projections, cosine, recall), projections
+
+
+def bucket_keys(unit: np.ndarray, tables: int, projections: int) -> np.ndarray:
     """The key of each row's bucket in each table; keys of different tables and dimensions differ.
 
     Products are of whole numbers below 2**53, so a vector's keys are the same whichever rows stand beside it.
     """
     rng = np.random.default_rng([SEED, unit.shape[1]])
-    gauss = np.rint(rng.standard_normal((unit.shape[1], tables * PROJECTIONS)) * STEPS)
-    cells = np.floor(((np.rint(unit * STEPS) @ gauss) / STEPS**2 + rng.uniform(0, WIDTH, tables * PROJECTIONS)) / WIDTH)
-    cells = cells.astype(np.int64).view(U).reshape(len(unit), tables, PROJECTIONS)
+    gauss = np.rint(rng.standard_normal((unit.shape[1], tables * projections)) * STEPS)
+    cells = np.floor(((np.rint(unit * STEPS) @ gauss) / STEPS**2 + rng.uniform(0, WIDTH, tables * projections)) / WIDTH)
+    cells = cells.astype(np.int64).view(U).reshape(len(unit), tables, projections)
     key = np.broadcast_to(mix(np.arange(tables, dtype=U) + U(unit.shape[1] << 20)), (len(unit), tables))
-    for i in range(PROJECTIONS):
+    for i in range(projections):
         key = mix(key * U(BASE) + cells[:, :, i])
     return key.view(np.int64)
 
@@ -67,10 +78,10 @@ def units(x: np.ndarray) -> np.ndarray:
     return x / np.linalg.norm(x, axis=1, keepdims=True)
 
 
-def _keyed(batches, tables: int, keys_only: bool):
+def _keyed(batches, tables: int, projections: int, keys_only: bool):
     for pdf in batches:
         for _, own in pdf.groupby(pdf["embedding"].map(len)):
-            keys = bucket_keys(units(np.stack(own["embedding"])), tables)
+            keys = bucket_keys(units(np.stack(own["embedding"])), tables, projections)
             if keys_only:
                 yield pd.DataFrame({"key": keys.ravel()})
                 continue
@@ -104,7 +115,7 @@ def _near_pairs(unit: np.ndarray, starts: np.ndarray, ends: np.ndarray, cosine:
         yield tuple(map(np.concatenate, zip(*held)))
 
 
-def _answered(pdf: pd.DataFrame, dtype: str, cosine: float, tables: int):
+def _answered(pdf: pd.DataFrame, dtype: str, cosine: float, tables: int, projections: int):
     """(a, b, links) of whole cells of vectors of one length; pairs that an earlier table brings together are left to it."""
     starts = _cell_starts(pdf)
     unit = units(np.frombuffer(b"".join(pdf["vector"]), dtype).reshape(len(pdf), -1))
@@ -115,7 +126,7 @@ def _answered(pdf: pd.DataFrame, dtype: str, cosine: float, tables: int):
         ours = within[i] | (own[i] != own[j])
         i, j = i[ours], j[ours]
         rows = np.unique(np.concatenate([i, j]))
-        keys = bucket_keys(unit[rows], tables)
+        keys = bucket_keys(unit[rows], tables, projections)
         x, y = np.searchsorted(rows, i), np.searchsorted(rows, j)
         new = np.zeros(len(i), bool)
         for c in range(0, len(i), 1 << 16):
@@ -141,7 +152,7 @@ def _answered(pdf: pd.DataFrame, dtype: str, cosine: float, tables: int):
         }).assign(b=lambda d: d["b"].mask(d["links"] > 0))
 
 
-def _links(batches, dtype: str, cosine: float, tables: int):
+def _links(batches, dtype: str, cosine: float, tables: int, projections: int):
     """Rows sorted by cell -> (a, b, links): b null: `links` more of a; else an edge between a and b."""
 
     def closed(pdf):
@@ -149,7 +160,7 @@ def _links(batches, dtype: str, cosine: float, tables: int):
         size = np.diff(np.append(starts, len(pdf)))
         pdf = pdf[np.repeat(size > 1, size)]
         for _, own in pdf.groupby(pdf["vector"].map(len)):
-            yield from _answered(own, dtype, cosine, tables)
+            yield from _answered(own, dtype, cosine, tables, projections)
 
     held = None
     for pdf in batches:
@@ -164,12 +175,12 @@ def _links(batches, dtype: str, cosine: float, tables: int):
         yield from closed(held)
 
 
-def _cells(members: DataFrame, tables: int, slice_rows: int) -> DataFrame:
+def _cells(members: DataFrame, tables: int, projections: int, slice_rows: int) -> DataFrame:
     """(key, part, slice, table, id, n, vector): the members by bucket; a bucket of more than `slice_rows` is cut into
     slices, and each pair of slices is a cell of its own, so that no task holds more than two slices of one bucket."""
-    keys = members.select("id", "n", "embedding").mapInPandas(lambda b: _keyed(b, tables, True), "key long")
+    keys = members.select("id", "n", "embedding").mapInPandas(lambda b: _keyed(b, tables, projections, True), "key long")
     large = cut(keys.groupBy("key").agg(F.count("*").alias("m")).where(F.col("m") > slice_rows))
-    keyed = members.select("id", "n", "embedding").mapInPandas(lambda b: _keyed(b, tables, False), "key long, table int, id long, n long, vector binary")
+    keyed = members.select("id", "n", "embedding").mapInPandas(lambda b: _keyed(b, tables, projections, False), "key long, table int, id long, n long, vector binary")
     found = large.count()
     if not found:
         return keyed.withColumns({"part": F.lit(0).cast("long"), "slice": F.lit(0)})
@@ -187,7 +198,6 @@ def near_vectors(vectors: DataFrame, cosine: float = COSINE, recall: float = REC
     different lengths. Repeated rows are vectors of their own. A row with a null vec_id is counted as a link of others;
     its own component is the least id reachable, if any. Other columns are ignored.
     """
-    tables = table_count(cosine, recall=recall)
     kind = vectors.schema["embedding"].dataType.elementType.simpleString()
     dtype, kind = ("<f4", "float") if kind == "float" else ("<f8", "double")
     rows = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast(f"array<{kind}>").alias("embedding"))
@@ -196,8 +206,9 @@ def near_vectors(vectors: DataFrame, cosine: float = COSINE, recall: float = REC
     rows = rows.withColumn("embedding", F.when(fit, F.col("embedding")))
     members = rows.where("embedding IS NOT NULL").groupBy("embedding").agg(F.min("vec_id").alias("least"), F.count("*").alias("n"))
     members = cut(members.withColumn("id", F.monotonically_increasing_id()))
-    cells = _cells(members, tables, slice_rows).repartition("key", "part").sortWithinPartitions("key", "part", "id")
-    found = cut(cells.mapInPandas(lambda b: _links(b, dtype, cosine, tables), "a long, b long, links long"))
+    tables, projections = hashing(members.count(), cosine, recall)
+    cells = _cells(members, tables, projections, slice_rows).repartition("key", "part").sortWithinPartitions("key", "part", "id")
+    found = cut(cells.mapInPandas(lambda b: _links(b, dtype, cosine, tables, projections), "a long, b long, links long"))
     counts = found.where("b IS NULL").groupBy(F.col("a").alias("id")).agg(F.sum("links").alias("links"))
     labels = connected_components(found.where("b IS NOT NULL").select("a", "b"))
     named = members.select("id", "least", "n", "embedding").join(counts, "id", "left").join(labels, "id", "left")
