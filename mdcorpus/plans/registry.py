@@ -126,7 +126,7 @@ SQL = {
     "get_doc_status": f"SELECT query_id, status, {STATUS} AS message FROM status",
     "validate_bundle": "SELECT root, file, code, severity, message FROM findings",
     "validate_paths": r"""SELECT root, file, code, severity, message FROM findings
-        UNION ALL SELECT root, path, 'W3', 'warning', 'unknown type "' || type || '" (not in known vocabulary)' FROM docs WHERE type <> 'Architecture'
+        UNION ALL SELECT root, path, 'W3', 'warning', 'unknown type "' || type || '" (not in known vocabulary)' FROM docs WHERE type NOT IN ('Architecture', 'Log')
         UNION ALL SELECT root, path, 'E1', 'error', 'missing YAML frontmatter (file must start with ---)' FROM parsed WHERE kind = 'doc' AND NOT has_frontmatter
         UNION ALL SELECT root, path, 'E2', 'error', CASE WHEN bad THEN 'invalid YAML frontmatter' ELSE 'empty or missing type field in frontmatter' END FROM parsed WHERE kind = 'doc' AND has_frontmatter AND (bad OR type = '')
         UNION ALL SELECT root, 'missing.md', 'E0', 'error', 'read error: file can''t be read' FROM roots""",

@@ -10,15 +10,19 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+#: A text's first 15 words, which titles, descriptions and topics are made of.
+FIRST = "regexp_extract(coalesce(text, ''), '^[^A-Za-z0-9]*(([A-Za-z0-9]+[^A-Za-z0-9]+){0,14}[A-Za-z0-9]*)', 1)"
+
+
 def _views(spark: SparkSession, sf_dir: str, *names: str) -> dict[str, DataFrame]:
     return {n: spark.read.parquet(f"{sf_dir}/{n}.parquet") for n in names}
 
 
 def files(spark: SparkSession, sf_dir: str) -> DataFrame:
     t = _views(spark, sf_dir, "documents", "events")
-    d = t["documents"].where("doc_id IS NOT NULL AND source IS NOT NULL").selectExpr(
-        "source AS root", "doc_id", "coalesce(lang, 'xx') AS lang", "coalesce(text, '') AS text", "doc_id div 20 AS q",
-        "split(trim(regexp_replace(substr(coalesce(text, ''), 1, 400), '[^A-Za-z0-9]+', ' ')), ' ') AS w",
+    d = t["documents"].selectExpr(
+        "coalesce(source, 'none') AS root", "coalesce(doc_id, 0) AS doc_id", "coalesce(lang, 'xx') AS lang", "coalesce(text, '') AS text", "coalesce(doc_id, 0) div 20 AS q",
+        f"split(trim(regexp_replace({FIRST}, '[^A-Za-z0-9]+', ' ')), ' ') AS w",
     ).selectExpr(
         "*", "q % 17 AS k", "concat('title: \"', array_join(slice(w, 1, 5), ' '), '\"\\n') AS title", "concat('description: \"', array_join(slice(w, 6, 10), ' '), '\"\\n') AS description",
         "CASE q % 3 WHEN 0 THEN 'guide' WHEN 1 THEN 'Architecture' ELSE 'note' END AS kind", "lower(coalesce(get(w, 0), '')) AS w1", "coalesce(get(w, 1), '') AS w2",
@@ -40,16 +44,16 @@ def files(spark: SparkSession, sf_dir: str) -> DataFrame:
     days = e.groupBy("s", "day").agg(F.concat(F.lit("## "), F.col("day"), F.lit("\n"), F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("event_id", "line"))), lambda x: x["line"]), "\n")).alias("section"))
     body = F.array_sort(F.collect_list(F.struct("day", "section")))
     logs = days.groupBy("s").agg(F.array_join(F.transform(F.when(F.col("s") % 4 == 0, body).otherwise(F.reverse(body)), lambda x: x["section"]), "\n\n").alias("body"))
-    logs = logs.where("s <> 9").selectExpr(
-        "concat('src', s) AS root", "'log.md' AS path",
-        "concat(CASE WHEN s % 5 = 0 THEN '' ELSE '---\\ntype: Log\\n---\\n' END, CASE WHEN s = 7 THEN 'nothing here' ELSE concat(CASE WHEN s % 5 = 1 THEN 'see [x](/x.md)\\n' ELSE '' END, body, '\\n') END) AS content",
+    logs = logs.selectExpr(
+        "concat('src', s) AS root", "CASE s WHEN 9 THEN 'history.md' ELSE 'log.md' END AS path",
+        "concat(CASE WHEN s % 5 = 0 THEN '' ELSE '---\\ntype: Log\\n---\\n' END, CASE WHEN s % 5 = 1 THEN 'see [x](/x.md)\\n' ELSE '' END, CASE s WHEN 7 THEN replace(body, '**', '__') ELSE body END, '\\n') AS content",
     )
     return docs.union(index).union(logs)
 
 
 def topics(spark: SparkSession, sf_dir: str) -> DataFrame:
     b = _views(spark, sf_dir, "benchmark")["benchmark"].where("item_id IS NOT NULL")
-    b = b.selectExpr("item_id", "split(trim(regexp_replace(substr(coalesce(text, ''), 1, 400), '[^A-Za-z0-9]+', ' ')), ' ') AS w")
+    b = b.selectExpr("item_id", f"split(trim(regexp_replace({FIRST}, '[^A-Za-z0-9]+', ' ')), ' ') AS w")
     return b.selectExpr(
         "item_id AS query_id", "concat('src', item_id % 20) AS root", "CASE WHEN item_id % 11 = 5 THEN '' WHEN item_id % 11 = 6 THEN 'qqqxyz' ELSE array_join(slice(w, 1, 2), ' ') END AS topic",
         "CASE item_id % 5 WHEN 1 THEN array('en') WHEN 2 THEN array('EN', 'zz') ELSE NULL END AS tags", "CASE WHEN item_id % 7 = 3 THEN 'xor' WHEN item_id % 2 = 0 THEN 'or' ELSE 'and' END AS match",
@@ -58,9 +62,9 @@ def topics(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 CORPUS_SQL = r"""
 WITH d0 AS (
-  SELECT source AS root, doc_id, coalesce(lang, 'xx') AS lang, coalesce(text, '') AS text, doc_id // 20 AS q,
-    string_split(trim(regexp_replace(substr(coalesce(text, ''), 1, 400), '[^A-Za-z0-9]+', ' ', 'g')), ' ') AS w
-  FROM documents WHERE doc_id IS NOT NULL AND source IS NOT NULL
+  SELECT coalesce(source, 'none') AS root, coalesce(doc_id, 0) AS doc_id, coalesce(lang, 'xx') AS lang, coalesce(text, '') AS text, coalesce(doc_id, 0) // 20 AS q,
+    string_split(trim(regexp_replace(regexp_extract(coalesce(text, ''), '^[^A-Za-z0-9]*(([A-Za-z0-9]+[^A-Za-z0-9]+){0,14}[A-Za-z0-9]*)', 1), '[^A-Za-z0-9]+', ' ', 'g')), ' ') AS w
+  FROM documents
 ), d AS (
   SELECT *, q % 17 AS k, 'title: "' || array_to_string(w[1:5], ' ') || '"' || chr(10) AS title, 'description: "' || array_to_string(w[6:15], ' ') || '"' || chr(10) AS description,
     CASE q % 3 WHEN 0 THEN 'guide' WHEN 1 THEN 'Architecture' ELSE 'note' END AS kind, lower(coalesce(w[1], '')) AS w1, coalesce(w[2], '') AS w2
@@ -88,9 +92,9 @@ logs AS (
   SELECT root, lang || '/index.md', CASE WHEN m % 3 = 1 THEN '' ELSE '---' || chr(10) || 'type: "Index"' || chr(10) || '---' || chr(10) END
   FROM (SELECT root, lang, min(doc_id) AS m FROM d GROUP BY root, lang) WHERE m % 3 <> 0
   UNION ALL
-  SELECT 'src' || s, 'log.md', CASE WHEN s % 5 = 0 THEN '' ELSE '---' || chr(10) || 'type: Log' || chr(10) || '---' || chr(10) END
-    || CASE WHEN s = 7 THEN 'nothing here' ELSE CASE WHEN s % 5 = 1 THEN 'see [x](/x.md)' || chr(10) ELSE '' END || body || chr(10) END
-  FROM logs WHERE s <> 9
+  SELECT 'src' || s, CASE s WHEN 9 THEN 'history.md' ELSE 'log.md' END, CASE WHEN s % 5 = 0 THEN '' ELSE '---' || chr(10) || 'type: Log' || chr(10) || '---' || chr(10) END
+    || CASE WHEN s % 5 = 1 THEN 'see [x](/x.md)' || chr(10) ELSE '' END || CASE s WHEN 7 THEN replace(body, '**', '__') ELSE body END || chr(10)
+  FROM logs
 ), parts AS (
   SELECT *, string_split(path, '/') AS seg, string_split(path, '/')[-1] AS base, string_split(path, '/')[:-2] AS dirs FROM files
 ), classified AS (
@@ -119,7 +123,7 @@ bundled AS (
       SELECT arg_max(r.dir, CASE WHEN r.dir = '.' THEN 0 ELSE length(r.dir) END) FROM reserved r
       WHERE r.root = p.root AND r.base = 'index.md' AND (r.dir = '.' OR r.dir = p.dir OR starts_with(p.dir, r.dir || '/'))), p.dir) AS bundle
   FROM (SELECT * FROM docs UNION ALL SELECT * FROM reserved) p
-), b0 AS (SELECT item_id, string_split(trim(regexp_replace(substr(coalesce(text, ''), 1, 400), '[^A-Za-z0-9]+', ' ', 'g')), ' ') AS w FROM benchmark WHERE item_id IS NOT NULL),
+), b0 AS (SELECT item_id, string_split(trim(regexp_replace(regexp_extract(coalesce(text, ''), '^[^A-Za-z0-9]*(([A-Za-z0-9]+[^A-Za-z0-9]+){0,14}[A-Za-z0-9]*)', 1), '[^A-Za-z0-9]+', ' ', 'g')), ' ') AS w FROM benchmark WHERE item_id IS NOT NULL),
 queries AS (
   SELECT item_id AS query_id, 'src' || (item_id % 20) AS root, CASE WHEN item_id % 11 = 5 THEN '' WHEN item_id % 11 = 6 THEN 'qqqxyz' ELSE array_to_string(w[1:2], ' ') END AS topic,
     CASE item_id % 5 WHEN 1 THEN ['en'] WHEN 2 THEN ['EN', 'zz'] ELSE [] END AS asked, CASE WHEN item_id % 7 = 3 THEN 'xor' WHEN item_id % 2 = 0 THEN 'or' ELSE 'and' END AS match
