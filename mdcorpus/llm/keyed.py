@@ -13,12 +13,6 @@ def bits(n: int) -> int:
     return int(n).bit_length() - 1
 
 
-def bucket_edges(keys: np.ndarray, buckets: int) -> np.ndarray:
-    """Where each bucket's range of the sorted keys begins; buckets (a power of two) go by the leading bits."""
-    at = (np.arange(buckets, dtype=object) << (64 - bits(buckets))).astype(U)
-    return np.append(np.searchsorted(keys, at), len(keys))
-
-
 def pack(values: np.ndarray, width: int) -> bytes:
     """The low `width` bytes of unsigned values, plane by plane (so that equal bytes lie together)."""
     return np.ascontiguousarray(values.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :width].T).tobytes()
@@ -37,7 +31,13 @@ def short(keys: np.ndarray, buckets: int, width: int) -> np.ndarray:
 
 
 def bucket_slices(keys: np.ndarray, buckets: int):
-    """(bucket, slice) of the buckets that have keys; keys are sorted."""
-    edges = bucket_edges(keys, buckets)
-    for b in np.flatnonzero(np.diff(edges)):
-        yield int(b), slice(int(edges[b]), int(edges[b + 1]))
+    """(bucket, slice) of the buckets that have keys; keys are sorted, buckets (a power of two) go by the leading bits.
+
+    The work goes by the keys, not by the buckets, of which a large corpus has more than a chunk has keys.
+    """
+    if not len(keys):
+        return
+    bucket = keys >> U(64 - bits(buckets)) if buckets > 1 else np.zeros(len(keys), U)
+    starts = np.flatnonzero(np.concatenate([[True], bucket[1:] != bucket[:-1]]))
+    for b, s, e in zip(bucket[starts].tolist(), starts.tolist(), [*starts[1:].tolist(), len(keys)]):
+        yield b, slice(s, e)

@@ -57,6 +57,17 @@ def test_substring(docs, empty):
     assert remove_repeats(empty).count() == 0
 
 
+def test_bucket_slices():
+    from mdcorpus.llm.keyed import bucket_slices
+
+    keys = np.sort(np.random.default_rng(0).integers(0, 1 << 64, 500, dtype=np.uint64))
+    for buckets in (1, 64, 1 << 22):
+        got = list(bucket_slices(keys, buckets))
+        assert [i for _, s in got for i in range(s.start, s.stop)] == list(range(500)) and all(s.stop > s.start for _, s in got)
+        assert all(int(k) * buckets >> 64 == b for b, s in got for k in keys[s])
+    assert list(bucket_slices(keys[:0], 64)) == []
+
+
 def test_recompressed_symbols_depend_on_their_span_alone():
     from mdcorpus.llm.substring import recompress
 
@@ -143,6 +154,13 @@ def test_vectors(spark):
     assert all(got[40 + i][1] == i and not got[40 + i][2] for i in range(40))
     assert all(got[i] == (0, i, True) for i in (900, 901, 902, 903, 904, 905))
     assert near_vectors(spark.createDataFrame([], "vec_id long, embedding array<float>")).count() == 0
+    # more vectors take more projections, at the same recall
+    from mdcorpus.llm import vectors
+
+    assert [vectors.hashing(n)[1] for n in (0, 10**4, 10**8)] == sorted({vectors.hashing(n)[1] for n in (0, 10**4, 10**8)})
+    for n in (10, 10**6):
+        tables, projections = vectors.hashing(n)
+        assert 1 - (1 - vectors.collision(np.sqrt(0.2), vectors.WIDTH) ** projections) ** tables >= vectors.RECALL
     # large buckets in slices give the same
     tight = [(i, [float(x) for x in base[0] + 0.1 * rng.standard_normal(16)]) for i in range(1000, 1060)]
     more = spark.createDataFrame(rows + tight, "vec_id long, embedding array<double>")
