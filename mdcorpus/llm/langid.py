@@ -1,25 +1,33 @@
 """Language identification, words first: a known word scores by its log frequency in each language; an unseen word
 falls back to its character n-grams, from five characters down to one, at the first length that is known.
 
-The model holds what makes up at least a given share of a language's words (or of its n-grams of one length), which
-bounds it: no more than 1 / share entries for each language and length, however large the corpus.
+Every count of the training documents is used. No task holds the model: each chunk of documents sends the counts of its
+words and n-grams to the buckets that own them, and gets back the corpus counts of its own distinct words and of the
+n-grams of words that none of its training documents has. Texts are read once and don't move: what a chunk needs for its
+scores is kept as numbers of words and keys.
 """
 
 from __future__ import annotations
 
 import functools
+import pickle
+import zlib
 
 import numpy as np
 import pandas as pd
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import crc_mod, cut
+from .common import chunk_count, crc_mod, cut, release
+from .keyed import bucket_slices, pack, short, unpack
 from .textvec import U, Spans, mix, word_bounds
 
 LONGEST = 5
-LEAST_SHARE = 5e-6
+KINDS = LONGEST + 1
 MOST_LANGUAGES = 500
+CHUNK_BYTES = 16 << 20
+KEY_BYTES, COUNT_BYTES = 6, 6
 SMOOTH = 0.5
 BLOCK_CHARS = 1 << 20
 
@@ -63,107 +71,236 @@ def text_blocks(texts):
         yield held
 
 
-def _counts(batches):
-    """Training rows (text, lang) -> (kind, key, lang, n): words are kind 0, n-grams kind n."""
-    for pdf in batches:
-        for lang, own in pdf.groupby("lang"):
-            got: dict[int, list] = {k: [] for k in range(LONGEST + 1)}
-            for texts in text_blocks(own["text"]):
-                w = Words(texts)
-                keys, first, n = np.unique(w.hash, return_index=True, return_counts=True)
-                got[0].append((keys, n))
-                for k in range(1, LONGEST + 1):
+def _keys(hashes: np.ndarray, kind: int) -> np.ndarray:
+    """Keys in which a word (kind 0) and an n-gram (kind n) of the same characters differ."""
+    return mix(hashes + U(kind) * U(0x9E3779B97F4A7C15))
+
+
+def _summed(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct keys, sorted, and the sum of each one's counts."""
+    keys, inverse = np.unique(np.concatenate([p[0] for p in parts]), return_inverse=True)
+    return keys, np.bincount(inverse, np.concatenate([p[1] for p in parts]), len(keys)).astype(np.int64)
+
+
+def _ramp(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """start, start + 1, ... of each run, one after the other."""
+    return np.repeat(starts - (np.cumsum(sizes) - sizes), sizes) + np.arange(int(sizes.sum()))
+
+
+class Chunk:
+    """The words of one chunk's documents, and the keys whose corpus counts their scores need."""
+
+    def __init__(self, pdf: pd.DataFrame):
+        """pdf (text, number): the number of a training document's language, else -1."""
+        texts, number = pdf["text"].to_numpy(object), pdf["number"].to_numpy(np.int64)
+        words, owners = [np.zeros(0, U)], [np.zeros(0, np.int64)]
+        #: (kind, language) -> keys and counts in training documents
+        self.told: dict[tuple[int, int], tuple] = {}
+
+        def read(rows):
+            at = 0
+            for held in text_blocks(texts[rows]):
+                w = Words(held)
+                words.append(w.hash)
+                owners.append(rows[at + w.text])
+                at += len(held)
+                yield w
+
+        for language in np.unique(number[number >= 0]).tolist():
+            got: list[list] = [[] for _ in range(KINDS)]
+            for w in read(np.flatnonzero(number == language)):
+                _, first, n = np.unique(w.hash, return_index=True, return_counts=True)
+                got[0].append((_keys(w.hash[first], 0), n))
+                for k in range(1, KINDS):
                     owner, grams = w.ngrams(first, k)
                     keys, inverse = np.unique(grams, return_inverse=True)
-                    got[k].append((keys, np.bincount(inverse, n[owner], len(keys)).astype(np.int64)))
-            for k, parts in got.items():
-                keys, inverse = np.unique(np.concatenate([p[0] for p in parts]), return_inverse=True)
-                n = np.bincount(inverse, np.concatenate([p[1] for p in parts]), len(keys)).astype(np.int64)
-                yield pd.DataFrame({"kind": k, "key": keys.view(np.int64), "lang": lang, "n": n})
-
-
-class Model:
-    def __init__(self, rows: pd.DataFrame, totals: pd.DataFrame, languages: list[str]):
-        """rows (kind, key, lang, n); totals (kind, lang, total)."""
-        self.languages = languages
-        number = {x: i for i, x in enumerate(languages)}
-        self.tables = []
-        for k in range(LONGEST + 1):
-            own, total = rows[rows["kind"] == k], totals[totals["kind"] == k]
-            keys, inverse = np.unique(own["key"].to_numpy(np.int64).view(U), return_inverse=True)
-            counts = np.zeros((len(keys), len(languages)))
-            counts[inverse, own["lang"].map(number).to_numpy(np.int64)] = own["n"]
-            all_ = np.zeros(len(languages))
-            all_[total["lang"].map(number).to_numpy(np.int64)] = total["total"]
-            self.tables.append((keys, np.log((counts + SMOOTH) / (all_ + SMOOTH * (len(keys) + 1))).astype(np.float32)))
-
-    def _lookup(self, kind: int, keys: np.ndarray):
-        known, _ = self.tables[kind]
-        if not len(known):
-            return np.zeros(len(keys), np.int64), np.zeros(len(keys), bool)
-        at = np.minimum(np.searchsorted(known, keys), len(known) - 1)
-        return at, known[at] == keys
-
-    def predict(self, texts: list[str]) -> tuple[list[str], np.ndarray]:
-        w = Words(texts)
-        at, known = self._lookup(0, w.hash)
-        values = np.zeros((len(w.hash), len(self.languages)), np.float32)
-        values[known] = self.tables[0][1][at[known]]
-        open_ = np.flatnonzero(~known)
-        # unseen words that occur again and again are scored once
-        _, first, inverse = np.unique(w.hash[open_], return_index=True, return_inverse=True)
-        words = open_[first]
-        scores = np.zeros((len(words), len(self.languages)), np.float32)
-        left = np.arange(len(words))
-        for n in range(LONGEST, 0, -1):
-            owner, keys = w.ngrams(words[left], n)
-            at, known = self._lookup(n, keys)
-            hits = np.bincount(owner[known], minlength=len(left))
-            for i in range(len(self.languages)):
-                total = np.bincount(owner[known], self.tables[n][1][at[known], i], len(left))
-                scores[left, i] = total / np.maximum(hits, 1)
-            left = left[hits == 0]
-        values[open_] = scores[inverse]
-        names, score = ["und"] * len(texts), np.zeros(len(texts))
-        if self.languages:
-            totals = np.column_stack([np.bincount(w.text, values[:, i], len(texts)) for i in range(len(self.languages))])
-            best = totals.argmax(axis=1)
-            some = np.bincount(w.text, minlength=len(texts)) > 0
-            certain = 1 / np.exp(totals - totals.max(axis=1, keepdims=True)).sum(axis=1)
-            score = np.where(some, certain, 0.0)
-            names = [self.languages[b] if s else "und" for b, s in zip(best.tolist(), some.tolist())]
-        return names, score
-
-
-def fit(docs: DataFrame, least_share: float = LEAST_SHARE) -> Model:
-    train = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & (crc_mod("doc_id", 4) != 2)).select("text", "lang")
-    counted = cut(train.mapInPandas(_counts, "kind int, key long, lang string, n long").groupBy("kind", "key", "lang").agg(F.sum("n").alias("n")))
-    totals = counted.groupBy("kind", "lang").agg(F.sum("n").alias("total"))
-    found = totals.limit((LONGEST + 1) * MOST_LANGUAGES + 1).toPandas()
-    languages = sorted(found["lang"].unique(), key=lambda x: x.encode("utf-8", "surrogatepass"))
-    if len(languages) > MOST_LANGUAGES:
-        raise ValueError(f"more than {MOST_LANGUAGES} languages")
-    kept = counted.join(F.broadcast(totals), ["kind", "lang"]).where(F.col("n") >= least_share * F.col("total"))
-    return Model(kept.select("kind", "key", "lang", "n").toPandas(), found, languages)
+                    got[k].append((_keys(keys, k), np.bincount(inverse, n[owner], len(keys)).astype(np.int64)))
+            self.told |= {(k, language): _summed(parts) for k, parts in enumerate(got) if parts}
+        known = np.unique(np.concatenate(words))
+        #: words of no training document of this chunk, and (number of such a word, key) of their n-grams
+        opened, grams, many = [np.zeros(0, U)], [[(np.zeros(0, np.int64), np.zeros(0, U))] for _ in range(KINDS)], 0
+        for w in read(np.flatnonzero(number < 0)):
+            hashes, first = np.unique(w.hash, return_index=True)
+            new = ~np.isin(hashes, known)
+            hashes, first = hashes[new], first[new]
+            known = np.union1d(known, hashes)
+            opened.append(hashes)
+            for k in range(1, KINDS):
+                owner, keys = w.ngrams(first, k)
+                grams[k].append((owner + many, _keys(keys, k)))
+            many += len(hashes)
+        distinct, inverse = np.unique(np.concatenate(words), return_inverse=True)
+        asked = [_keys(distinct, 0), *(np.concatenate([keys for _, keys in parts]) for parts in grams[1:])]
+        self.wanted, first = np.unique(np.concatenate(asked), return_index=True)
+        #: for each wanted key its kind; for each word, open word and n-gram of an open word the wanted key or word it is
+        self.kind = np.repeat(np.arange(KINDS), [len(a) for a in asked])[first]
+        order = np.argsort(-np.bincount(inverse, minlength=len(distinct)), kind="stable")
+        self.word_at = np.searchsorted(self.wanted, asked[0][order])
+        number = np.empty(len(order), np.int64)
+        number[order] = np.arange(len(order))
+        self.open = number[np.searchsorted(distinct, np.concatenate(opened))]
+        self.grams = [(np.concatenate([owner for owner, _ in parts]), np.searchsorted(self.wanted, keys)) for parts, keys in zip(grams[1:], asked[1:])]
+        #: document * words + word, and how often it is there
+        self.pairs, self.times = np.unique(np.concatenate(owners) * max(1, len(order)) + number[inverse], return_counts=True)
+
+    def packed(self) -> bytes:
+        """What `_score` needs besides the answers."""
+        grams = [(pack(np.diff(owner, prepend=0), 4), pack(at, 4)) for owner, at in self.grams]
+        parts = len(self.wanted), pack(self.kind, 1), pack(self.word_at, 4), pack(self.open, 4), grams, pack(np.diff(self.pairs, prepend=0), 8), pack(self.times, 4)
+        return zlib.compress(pickle.dumps(parts), 1)
+
+
+ASK = "bucket int, chunk long, n int, keys binary, wanted binary, tells binary, codes binary, counts binary, rows binary, ids binary"
+ANSWER = "bucket int, chunk long, n int, tells binary, languages binary, counts binary, stats binary"
+
+
+def _chunks(batches, size: int):
+    """Consecutive rows of about `size` characters of text together (a longer text is a chunk of its own)."""
+    held, have = [], 0
+    for pdf in batches:
+        ends = np.cumsum([len(t) if isinstance(t, str) else 0 for t in pdf["text"]])
+        at = 0
+        while at < len(pdf):
+            before = ends[at - 1] if at else 0
+            to = max(int(np.searchsorted(ends, before + size - have, side="right")), at + (not held))
+            if to > at:
+                held.append(pdf.iloc[at:to])
+                have += int(ends[to - 1] - before)
+            if to < len(pdf):
+                yield pd.concat(held, ignore_index=True)
+                held, have = [], 0
+            at = to
+    if held:
+        yield pd.concat(held, ignore_index=True)
+
+
+def _ask(pdf: pd.DataFrame, number: int, buckets: int, languages: int) -> pd.DataFrame:
+    """For each bucket the keys that the chunk tells of or asks for, and the (code, count) of those it tells of; a code
+    is kind * languages + language. The row of bucket -1 is the chunk's own, for its scores."""
+    c = Chunk(pdf)
+    told = sorted(c.told)
+    key = np.concatenate([np.zeros(0, U), *(c.told[t][0] for t in told)])
+    count = np.concatenate([np.zeros(0, np.int64), *(c.told[t][1] for t in told)])
+    code = np.repeat(np.array([k * languages + i for k, i in told], np.int64), [len(c.told[t][0]) for t in told])
+    order = np.argsort(key, kind="stable")
+    key, count, code = key[order], count[order], code[order]
+    keys = np.union1d(c.wanted, key)
+    edges = np.searchsorted(key, keys), np.searchsorted(key, keys, side="right")
+    wanted, tells = np.isin(keys, c.wanted), edges[1] - edges[0]
+    ids = pickle.dumps([None if pd.isna(i) else int(i) for i in pdf["doc_id"]])
+    rows: list[tuple] = [(-1, number, len(pdf), *[None] * 5, c.packed(), zlib.compress(ids, 1))]
+    for b, s in bucket_slices(keys, buckets):
+        own = slice(edges[0][s.start], edges[1][s.stop - 1])
+        told_of = pack(tells[s], 2), pack(code[own], 2), pack(count[own], 4)
+        rows.append((b, number, s.stop - s.start, pack(short(keys[s], buckets, KEY_BYTES), KEY_BYTES), *(zlib.compress(x, 1) for x in (pack(wanted[s], 1), *told_of)), None, None))
+    return pd.DataFrame(rows, columns=[x.split()[0] for x in ASK.split(", ")])
+
+
+def _answer(pdf: pd.DataFrame, languages: int) -> pd.DataFrame:
+    """For each chunk the corpus counts of what it asks for; on the first row also what the bucket holds of each code
+    in all, and then how many distinct keys of each kind."""
+    joined = lambda name, width: np.concatenate([unpack(zlib.decompress(x), width) for x in pdf[name]]).astype(np.int64)
+    distinct, inverse = np.unique(np.concatenate([unpack(x, KEY_BYTES) for x in pdf["keys"]]), return_inverse=True)
+    wanted, codes = joined("wanted", 1) > 0, KINDS * languages
+    pair, total = _summed([(np.repeat(inverse, joined("tells", 2)) * codes + joined("codes", 2), joined("counts", 4))])
+    owner, code = pair // codes, pair % codes
+    tells = np.bincount(owner, minlength=len(distinct))
+    starts = np.cumsum(tells) - tells
+    edges = np.concatenate([[0], np.cumsum(pdf["n"])])
+    rows = []
+    for chunk, a, b in zip(pdf["chunk"], edges[:-1], edges[1:]):
+        own = inverse[a:b][wanted[a:b]]
+        at = _ramp(starts[own], tells[own])
+        rows.append((pdf["bucket"].iloc[0], chunk, len(own), *(zlib.compress(x, 1) for x in (pack(tells[own], 2), pack(code[at] % languages, 2), pack(total[at], COUNT_BYTES))), None))
+    found = np.unique(owner * KINDS + code // languages) % KINDS
+    stats = np.concatenate([np.bincount(code, total, codes).astype(np.int64), np.bincount(found, minlength=KINDS)])
+    rows[0] = (*rows[0][:-1], pack(stats, 8))
+    return pd.DataFrame(rows, columns=[x.split()[0] for x in ANSWER.split(", ")])
+
+
+def _stats(batches):
+    for pdf in batches:
+        for stats in pdf["stats"]:
+            yield pd.DataFrame({"at": np.arange(len(stats) // 8), "n": unpack(stats, 8).astype(np.int64)})
+
+
+def _score(own: pd.DataFrame, answers: pd.DataFrame, languages: list[str], totals: np.ndarray, found: np.ndarray) -> pd.DataFrame:
+    """totals (kind, language), found (kind): occurrences and distinct keys in all training documents."""
+    many, kind, word_at, opened, grams, pairs, times = pickle.loads(zlib.decompress(own["rows"].iloc[0]))
+    ids = pickle.loads(zlib.decompress(own["ids"].iloc[0]))
+    whole = lambda data, width: unpack(data, width).astype(np.int64)
+    kind, word_at, opened, times = whole(kind, 1), whole(word_at, 4), whole(opened, 4), whole(times, 4)
+    doc, word = np.divmod(np.cumsum(whole(pairs, 8)), max(1, len(word_at)))
+    answers = answers.sort_values("bucket")
+    joined = lambda name, width: np.concatenate([np.zeros(0, np.int64), *(whole(zlib.decompress(x), width) for x in answers[name])])
+    tells, language, count = joined("tells", 2), joined("languages", 2), joined("counts", COUNT_BYTES)
+    if len(tells) != many:
+        raise RuntimeError("a chunk's answers don't fit its keys")
+    key, known = np.repeat(np.arange(many), tells), tells > 0
+    order = np.argsort(language, kind="stable")
+    edges = np.searchsorted(language[order], np.arange(len(languages) + 1))
+    # the n-grams that stand in for each unseen word: those known of the first length that has any
+    left = ~known[word_at[opened]]
+    unseen = np.flatnonzero(left)
+    stand, stand_at = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+    for owner, at in reversed(grams):
+        owner, at = np.cumsum(whole(owner, 4)), whole(at, 4)
+        use = left[owner] & known[at]
+        stand.append(owner[use])
+        stand_at.append(at[use])
+        left[owner[use]] = False
+    stand, stand_at = np.concatenate(stand), np.concatenate(stand_at)
+    hits = np.maximum(np.bincount(stand, minlength=len(opened)), 1)
+    live = np.flatnonzero(totals[0] > 0)
+    sums = np.zeros((len(ids), len(live)))
+    for column, i in enumerate(live):
+        n = np.zeros(many)
+        part = order[edges[i] : edges[i + 1]]
+        n[key[part]] = count[part]
+        logs = np.log((n + SMOOTH) / (totals[:, i] + SMOOTH * (found + 1))[kind])
+        value = logs[word_at]
+        value[opened[unseen]] = (np.bincount(stand, logs[stand_at], len(opened)) / hits)[unseen]
+        sums[:, column] = np.bincount(doc, value[word] * times, len(ids))
+    names, score = ["und"] * len(ids), np.zeros(len(ids))
+    if len(live):
+        some = np.bincount(doc, minlength=len(ids)) > 0
+        score = np.where(some, 1 / np.exp(sums - sums.max(axis=1, keepdims=True)).sum(axis=1), 0.0)
+        names = [languages[live[b]] if s else "und" for b, s in zip(sums.argmax(axis=1).tolist(), some.tolist())]
+    return pd.DataFrame({"doc_id": pd.array(ids, "Int64"), "lang_pred": names, "score": score})
 
 
-def identify(docs: DataFrame, least_share: float = LEAST_SHARE) -> DataFrame:
+def identify(docs: DataFrame, chunk_bytes: int = CHUNK_BYTES) -> DataFrame:
     """(doc_id, held_out, lang_pred, score) for every row of `docs(doc_id, text, lang)`, from whole texts.
 
     Learned from rows with a language whose crc32(doc_id) mod 4 is not 2. Texts that are null or without a letter, and
     all texts where nothing could be learned, are `und` with score 0. Ties go to the language first by code point.
     Rows with null or repeated ids are rows of their own; other columns are ignored.
     """
-    model = docs.sparkSession.sparkContext.broadcast(fit(docs, least_share))
-
-    def run(batches):
-        for pdf in batches:
-            names, scores = [], []
-            for texts in text_blocks(pdf["text"]):
-                a, b = model.value.predict(texts)
-                names += a
-                scores.append(b)
-            yield pd.DataFrame({"doc_id": pdf["doc_id"], "lang_pred": names, "score": np.concatenate(scores) if scores else np.zeros(0)})
-
-    out = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInPandas(run, "doc_id long, lang_pred string, score double")
-    return out.select("doc_id", (crc_mod("doc_id", 4) == 2).alias("held_out"), "lang_pred", "score")
+    train = F.col("lang").isNotNull() & F.col("text").isNotNull() & (crc_mod("doc_id", 4) != 2)
+    # texts without a letter don't make a language
+    lettered = docs.where(train & F.col("text").rlike(r"[A-Za-z\x{80}-\x{10FFFF}]"))
+    languages = sorted((r["lang"] for r in lettered.select("lang").distinct().limit(MOST_LANGUAGES + 1).collect()), key=lambda x: x.encode("utf-8", "surrogatepass"))
+    if len(languages) > MOST_LANGUAGES:
+        raise ValueError(f"more than {MOST_LANGUAGES} languages")
+    held_out = (crc_mod("doc_id", 4) == 2).alias("held_out")
+    number = F.coalesce(F.when(train, F.array_position(F.array(*map(F.lit, languages)), F.col("lang")) - 1), F.lit(-1)) if languages else F.lit(-1)
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", number.cast("int").alias("number"))
+    if not languages:
+        return docs.select("doc_id", held_out, F.lit("und").alias("lang_pred"), F.lit(0.0).alias("score"))
+    buckets, many = chunk_count(docs, chunk_bytes), len(languages)
+
+    def ask(batches):
+        task = TaskContext.get().partitionId()
+        for i, pdf in enumerate(_chunks(batches, chunk_bytes)):
+            yield _ask(pdf, (task << 32) + i, buckets, many)
+
+    asked = cut(docs.mapInPandas(ask, ASK))  # once, as chunks are numbered by task
+    answers = cut(asked.where("bucket >= 0").groupBy("bucket").applyInPandas(lambda pdf: _answer(pdf, many), ANSWER))
+    release(docs.sparkSession)
+    stats = np.zeros(KINDS * many + KINDS)
+    for r in answers.where("stats IS NOT NULL").select("stats").mapInPandas(_stats, "at int, n long").groupBy("at").agg(F.sum("n").alias("n")).collect():
+        stats[r["at"]] = r["n"]
+    totals, found = stats[:-KINDS].reshape(KINDS, many), stats[-KINDS:]
+    own = asked.where("bucket < 0").select("chunk", "rows", "ids").groupBy("chunk")
+    scored = own.cogroup(answers.drop("stats").groupBy("chunk")).applyInPandas(lambda d, a: _score(d, a, languages, totals, found), "doc_id long, lang_pred string, score double")
+    return scored.select("doc_id", held_out, "lang_pred", "score")

@@ -276,6 +276,49 @@ def test_language(spark, docs, empty):
     assert identify(empty).count() == 0 and {r.lang_pred for r in identify(docs.withColumn("lang", F.lit(None).cast("string"))).collect()} == {"und"}
 
 
+def test_language_counts_are_whole(spark):
+    from collections import Counter
+    from math import exp, log
+
+    from mdcorpus.llm.langid import identify
+
+    held = [i for i in range(100) if zlib.crc32(str(i).encode()) % 4 == 2]
+    seen = [i for i in range(100) if i not in held]
+    # a word seen once among a quarter of a million
+    rows = [(seen[0], "lorem " * 250_000, "aa"), (seen[1], "ipsum " * 250_000 + "qwxyz", "bb"), (held[0], "qwxyz", None), (held[1], "qwxyzj", None)]
+    got = {r.doc_id: r.lang_pred for r in identify(spark.createDataFrame(rows, "doc_id long, text string, lang string")).collect()}
+    assert got[held[0]] == got[held[1]] == "bb"
+    # every score against counts in plain Python
+    rows = [(r.doc_id, r.text[:2000], r.lang) for r in spark.read.parquet(f"{DATA}/documents.parquet").where("lang IS NOT NULL AND text IS NOT NULL").orderBy("doc_id").limit(150).collect()]
+    rows += [(held[2], "xqv zzyzx 1 \u4e00", None), (held[3], "...", "en")]
+    words = lambda t: "".join(c if c.isalpha() else " " for c in t.lower()).split()
+    grams = lambda w, k: [w] if k == 0 else [w[i : i + k] for i in range(len(w) - k + 1)]
+    langs = sorted({x for i, _, x in rows if x and zlib.crc32(str(i).encode()) % 4 != 2})
+    n = [{x: Counter() for x in langs} for _ in range(6)]
+    for i, t, x in rows:
+        if x and zlib.crc32(str(i).encode()) % 4 != 2:
+            for k in range(6):
+                n[k][x].update(g for w in words(t) for g in grams(w, k))
+    found = [set().union(*k.values()) for k in n]
+    total = [{x: sum(c.values()) for x, c in k.items()} for k in n]
+
+    def value(w, x):
+        for k in (0, 5, 4, 3, 2, 1):
+            hits = [g for g in grams(w, k) if g in found[k]]
+            if hits:
+                return sum(log((n[k][x][g] + 0.5) / (total[k][x] + 0.5 * (len(found[k]) + 1))) for g in hits) / len(hits)
+        return 0.0
+
+    want = []
+    for i, t, _ in rows:
+        sums = [sum(value(w, x) for w in words(t)) for x in langs]
+        want.append((i, langs[sums.index(max(sums))] if words(t) else "und", 1 / sum(exp(s - max(sums)) for s in sums) if words(t) else 0.0))
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    for size in (16 << 20, 400):
+        got = sorted((r.doc_id, r.lang_pred, r.score) for r in identify(df.repartition(3), size).collect())
+        assert [g[:2] for g in got] == [w[:2] for w in sorted(want)] and np.allclose([g[2] for g in got], [w[2] for w in sorted(want)], atol=1e-6)
+
+
 def test_quality(spark, docs, empty):
     from mdcorpus.llm.quality import quality_scores
 
