@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import html
 import re
+from collections import Counter
 
 import numpy as np
 
@@ -136,6 +137,10 @@ def features(root: Node) -> tuple[list[Node], np.ndarray]:
     rows = np.zeros((len(nodes), len(FEATURES)))
     signs: dict[int, tuple] = {id(root): (0, 0)}
     page = max(1, root.chars)
+    places, tags = {}, {}  # of each child among its siblings; of each parent how many children have each tag
+    for parent in (root, *nodes):
+        places |= {id(c): i for i, c in enumerate(parent.children)}
+        tags[id(parent)] = Counter(c.tag for c in parent.children)
     for row, node in zip(rows, nodes):
         up = node.parent
         bad_tag, good_tag = node.tag in BAD_TAGS, node.tag in GOOD_TAGS
@@ -146,11 +151,11 @@ def features(root: Node) -> tuple[list[Node], np.ndarray]:
         stops = sum(text.count(c) for c in ".!?")
         words = text.count(" ") + 1
         around = up.children
-        place = next(i for i, c in enumerate(around) if c is node) if len(around) < 64 else 32
+        place = places[id(node)]
         row[:] = (
             node.tag == "#text", node.tag == "p" or (node.tag == "#text" and up.tag == "p"), node.tag[0] == "h" and node.tag[1:].isdigit() or up.tag[0] == "h" and up.tag[1:].isdigit(), node.tag in ("ul", "ol", "li", "dl"),
             bad_tag, good_tag, bad_mark, good_mark, bad_up, good_up, node.depth, np.log1p(node.chars), node.link_chars / max(1, node.chars), np.log1p(node.chars / node.tags), node.ps,
-            node.chars / page, node.chars / max(1, up.chars), place / max(1, len(around) - 1), len(around), stops, words / max(1, stops), sum(c.tag == node.tag for c in around) / len(around) if len(around) < 64 else 1.0,
+            node.chars / page, node.chars / max(1, up.chars), place / max(1, len(around) - 1), len(around), stops, words / max(1, stops), tags[id(up)][node.tag] / len(around),
             place > 0 and around[place - 1].tag in ("h1", "h2", "h3"), len(text) / words,
         )
     return nodes, rows

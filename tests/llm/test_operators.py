@@ -352,6 +352,18 @@ def test_warc(spark, tmp_path):
     assert [bytes(r.payload) for r in read_archives(spark, str(folder)).orderBy("offset").collect()][:1] == [b"hello"]
 
 
+def test_sibling_statistics_of_many_children():
+    from mdcorpus.llm.dom import FEATURES, features, parse
+
+    page = "<main><h2>a</h2>" + "<p>text</p>" * 99 + '<div class="ad">x</div></main>'
+    nodes, x = features(parse(page))
+    column = {f: x[:, i] for i, f in enumerate(FEATURES)}
+    at = {n.tag: i for i, n in enumerate(nodes)}  # the last of each tag
+    assert column["place"][at["div"]] == 1.0 and column["like_siblings"][at["div"]] == 1 / 101
+    first = next(i for i, n in enumerate(nodes) if n.tag == "p")
+    assert column["after_heading"][first] == 1 and column["after_heading"][at["p"]] == 0 and column["like_siblings"][at["p"]] == 99 / 101
+
+
 def test_extraction(spark):
     from mdcorpus.llm import extract
 
