@@ -13,8 +13,23 @@ ATTRIBUTE = re.compile(r"(class|id|role|itemprop|aria-label)\s*=\s*(?:\"([^\"]*)
 SPACE = re.compile(r"\s+")
 INLINE = frozenset("a abbr acronym b bdi bdo big br cite code data del dfn em font i img ins kbd label mark meter q rp rt ruby s samp small span strike strong sub sup time tt u var wbr".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-#: What these hold is never text of the page.
-RAW = frozenset("script style noscript template title textarea iframe object svg math select button head".split())
+INLINE |= frozenset(
+    "object param math mi mo mn ms mtext mrow mfrac msqrt mroot msup msub msubsup munder mover munderover mmultiscripts mprescripts mtable mtr mtd mstyle mspace mpadded "
+    "mphantom menclose merror maction semantics annotation annotation-xml".split()
+)
+#: What these hold is never text of the page; RAW has no tags inside and goes on to the end of the page if not closed.
+RAW = frozenset("script style title textarea iframe".split())
+DROPPED = frozenset("noscript template svg select button".split())
+HEAD = frozenset("base basefont bgsound link meta noframes noscript script style template title".split())
+CLOSING = {name: re.compile(rf"</{name}(?=[\s/>])", re.I | re.A) for name in RAW}
+#: The end of a dropped element, or (group 1) a tag that it can't hold, so that its own end was left out.
+CLOSING |= {
+    name: re.compile(rf"</{name}(?=[\s/>])|<({within})(?=[\s/>])", re.I | re.A)
+    for name, within in {
+        "noscript": "noscript", "template": "body", "svg": "article|main|section|body|nav|header|footer|aside|form",
+        "select": "select|article|main|section|body|nav|header|footer|aside|form|p|h[1-6]", "button": "button|article|main|section|body|nav|header|footer|aside|form|h[1-6]",
+    }.items()
+}
 CLOSES = {"p": {"p"}, "li": {"li"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "option": {"option"}}
 SCOPES = frozenset("ul ol dl table body article section div main td th".split())
 GOOD_WORDS = frozenset("article content post entry story main body text page news blog column".split())
@@ -48,7 +63,7 @@ def marks_of(attributes: str) -> frozenset:
 def parse(page: str) -> Node:
     root = Node("#root", frozenset(), None)
     here, pieces, linked, in_link = root, [], 0, 0
-    low = None
+    in_head, unclosed = False, set()
 
     def close_text():
         nonlocal pieces, linked
@@ -62,7 +77,8 @@ def parse(page: str) -> Node:
     while at < len(page):
         m = TOKEN.search(page, at)
         text = page[at : m.start() if m else len(page)]
-        if text:
+        in_head = in_head and not text.strip()
+        if text and not in_head:
             pieces.append(text)
             linked += len(text) if in_link else 0
         if not m:
@@ -71,22 +87,27 @@ def parse(page: str) -> Node:
         name = (m[2] or "").lower()
         if not name:
             continue
+        if name == "head":
+            in_head = not m[1]
+            continue
+        if in_head and m[1] and name not in ("body", "html"):
+            continue
+        in_head = in_head and name in HEAD and not m[1]
         if name in INLINE:
             if name == "a":
                 in_link = 0 if m[1] else 1
             elif name == "br":
                 pieces.append(" ")
             continue
-        if name in RAW:
-            if not m[1] and not m[3].endswith("/"):
-                low = page.lower() if low is None else low
-                low = low if len(low) == len(page) else page
-                stop = low.find(f"</{name}", at)
-                if name == "head" and stop < 0:
-                    stop = low.find("<body", at)
-                at = len(page) if stop < 0 else stop
-                if stop >= 0 and name != "head":
-                    at = (page.find(">", stop) + 1) or len(page)
+        if name in RAW or name in DROPPED:
+            if not m[1] and not m[3].endswith("/") and name not in unclosed:
+                stop = CLOSING[name].search(page, at)
+                if name in RAW:
+                    at = ((page.find(">", stop.end()) + 1) or len(page)) if stop else len(page)
+                elif stop is None:
+                    unclosed.add(name)
+                elif not stop[1]:
+                    at = (page.find(">", stop.end()) + 1) or len(page)
             continue
         close_text()
         in_link = 0

@@ -364,6 +364,26 @@ def test_sibling_statistics_of_many_children():
     assert column["after_heading"][first] == 1 and column["after_heading"][at["p"]] == 0 and column["like_siblings"][at["p"]] == 99 / 101
 
 
+@pytest.mark.parametrize(
+    "page, texts",
+    [
+        ("<html><head><title>x</title><article><p>text</p></article>", ["text"]),
+        ("<html><head><meta charset=u><title>x</title><body><article><p>a</p><header>b</header><p>c</p></article>", ["a", "b", "c"]),
+        ("<head><title>x</title><style>s</style>\n</head><body><p>text</p>", ["text"]),
+        ("<head><script>s</script>words<p>text</p>", ["words", "text"]),
+        ("<article><p>a</p><button>b<section><p>c</p></section></article>", ["a", "b", "c"]),
+        *((f"<article><p>a</p><{name}><p>c</p></article>", ["a", "c"]) for name in ("svg", "select", "noscript", "button", "template")),
+        ("<p>a<svg><text>s</text></svg><button>b</button> c</p>", ["a c"]),
+        ("<article><p>Let <math><mi>x</mi></math> be</p><object><p>d</p></object><math><p>e</p>", ["Let x be", "d", "e"]),
+        ("<p>a</p><script>x </scripts> y</script><p>b</p><style>c", ["a", "b"]),
+    ],
+)
+def test_unclosed_elements(page, texts):
+    from mdcorpus.llm.dom import features, parse
+
+    assert [n.text for n in features(parse(page))[0] if n.text] == texts
+
+
 def test_extraction(spark):
     from mdcorpus.llm import extract
 
