@@ -74,7 +74,7 @@ def records(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
         "value", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("row"), F.octet_length("value").alias("length")
     )
     head = F.substring_index("value", RECORD_END, 1)
-    heads = pieces.withColumn("head", F.when(F.contains("value", F.lit(RECORD_END)) & (F.octet_length(head) < 8192), head))
+    heads = pieces.withColumn("head", F.when(F.contains("value", F.lit(RECORD_END)), head))
     # as if the piece lay at offset 0: body and n need no more than the piece
     heads = heads.withColumns({"at": F.lit(0), "body": F.octet_length("head") + len(RECORD_END) + size, "n": _header("Content-Length").try_cast("long")})
     heads = heads.withColumn("payload", F.when((F.col("n") >= 0) & (size + F.col("length") - F.col("body") >= F.col("n")), _payload("value", size)))

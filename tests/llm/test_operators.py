@@ -352,6 +352,16 @@ def test_warc(spark, tmp_path):
     assert [bytes(r.payload) for r in read_archives(spark, str(folder)).orderBy("offset").collect()][:1] == [b"hello"]
 
 
+def test_warc_long_header(spark, tmp_path):
+    from mdcorpus.llm.warc import MAGIC, RECORD_END, read_archives
+
+    record = lambda uri, text: f"{MAGIC}WARC-Target-URI: {uri}\r\nContent-Length: {len(text)}{RECORD_END}{text}{RECORD_END}"
+    folder = tmp_path / "w"
+    folder.mkdir()
+    (folder / "a.txt").write_text(record("a", "one") + record("u" * 9000, "two") + record("c", "three"), newline="")
+    assert [bytes(r.payload) for r in read_archives(spark, str(folder)).orderBy("offset").collect()] == [b"one", b"two", b"three"]
+
+
 def test_sibling_statistics_of_many_children():
     from mdcorpus.llm.dom import FEATURES, features, parse
 
