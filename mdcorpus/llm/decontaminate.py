@@ -68,10 +68,11 @@ class Index:
     """Postings of one shard: for each term the item parts that hold it, their shares, and the maxima of blocks of parts."""
 
     def __init__(self, postings: pd.DataFrame, texts: pd.DataFrame):
-        part_keys = postings[["item_id", "part"]].drop_duplicates().sort_values(["item_id", "part"])
+        names = ["item_id", "text_id", "part"]
+        part_keys = postings[names].drop_duplicates().sort_values(names)
         self.items = part_keys["item_id"].to_numpy()
         number = {k: i for i, k in enumerate(part_keys.itertuples(index=False, name=None))}
-        part = np.array([number[k] for k in postings[["item_id", "part"]].itertuples(index=False, name=None)], np.int64)
+        part = np.array([number[k] for k in postings[names].itertuples(index=False, name=None)], np.int64)
         term, weight = postings["term"].to_numpy(np.int64).view(U), postings["weight"].to_numpy(np.float64)
         weight = weight / np.bincount(part, weight, len(self.items))[part]
         self.terms, inverse = np.unique(term, return_inverse=True)
@@ -166,16 +167,16 @@ class Index:
 
 
 def _terms(batches):
-    """Items -> their parts' terms: (item_id, part, term, tf, words in the part)."""
+    """Items -> their texts' parts' terms: (item_id, text_id, part, term, tf, words in the part)."""
     for pdf in batches:
         rows = []
-        for item, text in zip(pdf["item_id"], pdf["text"]):
+        for item, text_id, text in zip(pdf["item_id"], pdf["text_id"], pdf["text"]):
             words = hash_words(lowered([text]), ALNUM)[0]
             n = max(1, -(-len(words) // HALF))
             for p, own in enumerate(np.array_split(words, n)):
                 terms, tf = np.unique(own, return_counts=True)
-                rows += [(item, p, t, int(k), len(own)) for t, k in zip(terms.view(np.int64).tolist(), tf.tolist())]
-        yield pd.DataFrame(rows, columns=["item_id", "part", "term", "tf", "n"])
+                rows += [(item, text_id, p, t, int(k), len(own)) for t, k in zip(terms.view(np.int64).tolist(), tf.tolist())]
+        yield pd.DataFrame(rows, columns=["item_id", "text_id", "part", "term", "tf", "n"])
 
 
 def leaks(docs: DataFrame, benchmark: DataFrame, shard_bytes: int = SHARD_BYTES) -> DataFrame:
@@ -184,19 +185,19 @@ def leaks(docs: DataFrame, benchmark: DataFrame, shard_bytes: int = SHARD_BYTES)
     `docs(doc_id, text)` are queried whole, `benchmark(item_id, text)` is indexed whole. Words are runs of letters and
     digits, lower-cased. `passage` is the first word of the best passage. Null and empty texts, and test items without
     words or with a null id, take part in nothing; repeated rows give rows of their own; an item id that is repeated
-    counts once for each document; other columns are ignored. Without items or documents the result is empty.
+    counts once for each document, and each of its texts is searched for on its own; other columns are ignored. Without items or documents the result is empty.
     """
     spark = docs.sparkSession
     schema = "doc_id long, item_id long, passage int, score double, question double, answer double"
     docs = docs.select(F.col("doc_id").cast("long"), "text")
     items = benchmark.select(F.col("item_id").cast("long"), "text").where("item_id IS NOT NULL AND text IS NOT NULL")
-    terms = items.dropDuplicates().mapInPandas(_terms, "item_id long, part int, term long, tf int, n int")
-    terms = terms.groupBy("item_id", "part", "term").agg(F.sum("tf").alias("tf"), F.sum("n").alias("n"))
-    all_parts = terms.groupBy("item_id", "part").agg(F.max("n").alias("n")).agg(F.count("*").alias("parts"), F.avg("n").alias("mean")).first()
+    terms = items.dropDuplicates().withColumn("text_id", F.xxhash64("text")).mapInPandas(_terms, "item_id long, text_id long, part int, term long, tf int, n int")
+    terms = terms.groupBy("item_id", "text_id", "part", "term").agg(F.sum("tf").alias("tf"), F.sum("n").alias("n"))
+    all_parts = terms.groupBy("item_id", "text_id", "part").agg(F.max("n").alias("n")).agg(F.count("*").alias("parts"), F.avg("n").alias("mean")).first()
     df = terms.groupBy("term").agg(F.count("*").alias("df"))
     idf = F.log(1 + (F.lit(all_parts["parts"]) - F.col("df") + 0.5) / (F.col("df") + 0.5))
     norm = F.lit(K1) * (1 - B + B * F.col("n") / F.lit(all_parts["mean"] or 1.0))
-    postings = terms.join(df, "term").select("item_id", "part", "term", (idf * F.col("tf") * (K1 + 1) / (F.col("tf") + norm)).alias("weight"))
+    postings = terms.join(df, "term").select("item_id", "text_id", "part", "term", (idf * F.col("tf") * (K1 + 1) / (F.col("tf") + norm)).alias("weight"))
     size = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     shards = max(1, -(-size // shard_bytes))
     out = spark.createDataFrame([], schema)

@@ -352,6 +352,17 @@ def test_warc(spark, tmp_path):
     assert [bytes(r.payload) for r in read_archives(spark, str(folder)).orderBy("offset").collect()][:1] == [b"hello"]
 
 
+def test_decontamination_of_items_with_two_texts(spark):
+    from mdcorpus.llm.decontaminate import leaks
+
+    one = "Which river runs through the old town of Basel. It is the upper Rhine."
+    two = "Seven copper kettles hung above some quiet kitchen stove yesterday. Nobody ever polished them afterwards."
+    other = [(i, f"Filler{i} item{i} about thing{i} number{i}. Answer{i} given{i}.") for i in range(2, 12)]
+    items = spark.createDataFrame([(1, one), (1, two), *other], "item_id long, text string")
+    docs = spark.createDataFrame([(1, f"aa bb {one} cc"), (2, f"aa bb {two} cc"), (3, "aa bb cc")], "doc_id long, text string")
+    assert sorted((r.doc_id, r.item_id) for r in leaks(docs, items).collect()) == [(1, 1), (2, 1)]
+
+
 def test_warc_long_header(spark, tmp_path):
     from mdcorpus.llm.warc import MAGIC, RECORD_END, read_archives
 
