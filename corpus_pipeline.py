@@ -38,9 +38,10 @@ def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold a test item go."""
-    found = leaks(docs, table(spark, sf_dir, "benchmark")).select("doc_id").distinct()
-    return docs.join(found, "doc_id", "left_anti").select(docs.columns)
+    """Documents that hold a test item go; rows are matched by a number of their own."""
+    numbered = cut(docs.withColumn("leak_row", F.monotonically_increasing_id()))
+    found = leaks(numbered.select(F.col("leak_row").alias("doc_id"), "text"), table(spark, sf_dir, "benchmark"))
+    return numbered.join(found.select(F.col("doc_id").alias("leak_row")).distinct(), "leak_row", "left_anti").select(docs.columns)
 
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

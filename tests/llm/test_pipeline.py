@@ -38,3 +38,13 @@ def test_mixing_keeps_rows_with_null_and_repeated_ids(spark):
     got = P.mixing(spark, docs, DATA).collect()
     assert sorted((r.doc_id or 0, r.text) for r in got) == sorted((r[0] or 0, r[1]) for r in rows)
     assert all(0 < r.taken <= 2 * len(r.text.split()) for r in got)
+
+
+def test_decontamination_goes_by_row(spark):
+    from corpus_pipeline import decontamination
+
+    sf = "/root/testdata/sf0.001"
+    item = spark.read.parquet(f"{sf}/benchmark.parquet").where("item_id IS NOT NULL AND length(text) > 80").orderBy("item_id").first().text
+    rows = [(None, f"aa {item} bb"), (1, f"aa {item} bb"), (1, "a clean text with the same id"), (None, "a clean text without an id")]
+    kept = decontamination(spark, spark.createDataFrame(rows, "doc_id long, text string"), sf).collect()
+    assert sorted(r.text for r in kept) == ["a clean text with the same id", "a clean text without an id"]
