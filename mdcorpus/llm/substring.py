@@ -1,11 +1,11 @@
 """Substring dedup by recompression.
 
-Words are level-0 symbols. The first round names the runs of one word, and every round names the pairs of a left-class
-and a right-class symbol (equal neighbours are of one class and stay apart); a name is a hash of what it stands for, so
-every task gives equal runs and pairs the same name and no naming table has to be gathered. A symbol also carries the span of words that its forming depends on: wherever those words
-occur, the same symbol forms. So a window of words that holds the span of a symbol found in one document only can't
-repeat in another. Round by round the corpus is shortened; the highest symbols are counted over all documents, and
-just the windows that no such symbol rules out are compared, by 96 bits of their own words.
+Spark rounds give every distinct word a number, then every distinct run or pair of neighbouring symbols that the last round
+left, so that equal stretches of words come to hold equal symbols whichever documents they stand in. Symbols are of a left
+or a right class by their name, and a left one followed by a right one is a pair. A symbol carries the span of words that its
+forming depends on: wherever those words occur, the symbol forms. A symbol found in one document only rules out all windows
+that hold its span. Of those left, each window names the highest symbol with its span inside; stretches around a
+shared symbol meet in one bucket, where their windows are compared word by word.
 """
 
 from __future__ import annotations
@@ -13,231 +13,353 @@ from __future__ import annotations
 import hashlib
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import chunk_count, cut, dealt, release
-from .keyed import bits, bucket_slices, pack, short, unpack
-from .textvec import BASE, U, encoded, hash_words, mix
+from .common import release
+from .exchange import CHUNK_BYTES, MESSAGE, Scratch, answered, by_chunk, bytes_of, dealt, dealt_words, freeze, in_documents, messages, numbered_words, ramp, received, rejoined, sizes, slices, words_of
+from .textvec import BASE, U, mix
 
 WINDOW = 13
 ROUNDS = 2
-CHUNK_BYTES = 16 << 20
-#: Bytes kept of a symbol's name behind the bits of its bucket; a clash only keeps a window in the comparison.
-NAME_BYTES = 5
-NO_DOC = np.iinfo(np.int64).max
-
-
-def recompress(symbols: np.ndarray, doc: np.ndarray, offsets: np.ndarray, rounds: int):
-    """(name, first word needed, word past the last needed, words covered, document) of each symbol after the rounds.
-
-    `doc` numbers each word's document, whose words are [offsets[doc], offsets[doc + 1]). Where forming depends on a
-    document's edge, the needed span reaches past it.
-    """
-    name = symbols
-    need_a = np.arange(len(name), dtype=np.int64)
-    need_b = need_a + 1
-    covers = np.ones(len(name), np.int64)
-    for level in range(rounds):
-        if not len(name):
-            break
-        if level == 0:
-            # runs of one word; a run's ends depend on the neighbours
-            starts = np.flatnonzero(np.concatenate([[True], (doc[1:] != doc[:-1]) | (name[1:] != name[:-1])]))
-            ends = np.append(starts[1:], len(name))
-            length = ends - starts
-            before = np.where((starts > 0) & (doc[starts] == doc[starts - 1]), need_a[starts - 1], offsets[doc[starts]] - 1)
-            after_at = np.minimum(ends, len(name) - 1)
-            after = np.where((ends < len(name)) & (doc[after_at] == doc[starts]), need_b[after_at], offsets[doc[starts] + 1] + 1)
-            need_a, need_b = np.minimum(before, need_a[starts]), np.maximum(after, need_b[ends - 1])
-            covers = np.add.reduceat(covers, starts)
-            name = np.where(length > 1, mix(name[starts] + U(0x51ED2701) * length.astype(U)), name[starts])
-            doc = doc[starts]
-        # pairs of a left and a right symbol
-        right = (mix(name + U(level * 2 + 1)) >> U(63)).astype(bool)
-        pair = np.concatenate([~right[:-1] & right[1:] & (doc[:-1] == doc[1:]), [False]])
-        second = np.concatenate([[False], pair[:-1]])
-        keep = np.flatnonzero(~second)
-        nxt = np.minimum(keep + 1, len(name) - 1)
-        prv = np.maximum(keep - 1, 0)
-        paired, is_right = pair[keep], right[keep]
-        follows = (nxt > keep) & (doc[nxt] == doc[keep])
-        leads = (prv < keep) & (doc[prv] == doc[keep])
-        # one left alone stands so because of the next (left class) or the previous symbol (right class)
-        b = np.where(paired, need_b[nxt], np.where(is_right, need_b[keep], np.where(follows, np.maximum(need_b[keep], need_b[nxt]), offsets[doc[keep] + 1] + 1)))
-        a = np.where(is_right, np.where(leads, np.minimum(need_a[keep], need_a[prv]), offsets[doc[keep]] - 1), need_a[keep])
-        a = np.where(paired, np.minimum(a, need_a[nxt]), a)
-        b = np.maximum(b, need_b[keep])
-        covers = np.where(paired, covers[keep] + covers[nxt], covers[keep])
-        name = np.where(paired, mix(name[keep] * U(BASE) + mix(name[nxt])), name[keep])
-        need_a, need_b, doc = a, b, doc[keep]
-    return name, need_a, need_b, covers, doc
-
-
-class Chunk:
-    """The words of one chunk's documents, the names that may rule out windows, and the windows themselves."""
-
-    def __init__(self, pdf: pd.DataFrame, window: int, rounds: int):
-        self.ids = pdf["doc_id"].astype("Int64").fillna(NO_DOC).to_numpy(np.int64)
-        self.texts = encoded(pdf["text"])
-        self.window = window
-        self.words, self.offsets = hash_words(self.texts)
-        self.doc = np.repeat(np.arange(len(self.texts)), np.diff(self.offsets))
-        name, a, b, covers, doc = recompress(self.words, self.doc, self.offsets, rounds)
-        # a single word is seldom in one document only: it would be asked about in vain
-        kept = (b - a <= window) & (covers > 1) & (a >= self.offsets[doc]) & (b <= self.offsets[doc + 1])
-        self.a, self.b = a[kept], b[kept]
-        self.names, self.inverse = np.unique(name[kept], return_inverse=True)
-        owner = self.ids[self.doc[self.a]] if len(self.a) else np.zeros(0, np.int64)
-        low = np.full(len(self.names), NO_DOC)
-        high = np.full(len(self.names), -NO_DOC)
-        np.minimum.at(low, self.inverse, owner)
-        np.maximum.at(high, self.inverse, owner)
-        self.several = low != high
-
-    def open_windows(self, alone: np.ndarray) -> np.ndarray:
-        """First words of the windows that hold no span of a name found in one document only."""
-        n, w = len(self.words), self.window
-        shut = np.zeros(n + 1, np.int64)
-        lone = np.flatnonzero(alone[self.inverse])
-        np.add.at(shut, np.maximum(self.b[lone] - w, self.offsets[self.doc[self.a[lone]]]), 1)
-        np.add.at(shut, self.a[lone] + 1, -1)
-        at = np.flatnonzero(np.cumsum(shut)[:n] == 0)
-        at = at[at + w <= self.offsets[self.doc[at] + 1]]
-        return at[self.ids[self.doc[at]] != NO_DOC]
-
-    def window_keys(self, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """64 and 32 bits of the window at each place."""
-        key, more = np.zeros(len(at), U), np.zeros(len(at), U)
-        for i in range(self.window):
-            word = self.words[at + i]
-            key = mix(key + word)
-            more = more * U(0x2545F4914F6CDD1D) + mix(word ^ U(0x1234567)) + (more >> U(29))
-        return key, mix(more) >> U(32)
-
-
-def _grouped(at: np.ndarray, chunk: Chunk):
-    """Open windows by key: places in key order, starts of equal keys, their keys, checks and least documents."""
-    key, more = chunk.window_keys(at)
-    order = np.lexsort((more, key))
-    key, more, at = key[order], more[order], at[order]
-    starts = np.flatnonzero(np.concatenate([[True], (key[1:] != key[:-1]) | (more[1:] != more[:-1])])) if len(key) else np.zeros(0, np.int64)
-    ids = chunk.ids[chunk.doc[at]]
-    least = np.minimum.reduceat(ids, starts) if len(starts) else np.zeros(0, np.int64)
-    return at, starts, key[starts], more[starts], least
-
-
-def _join(answers: pd.DataFrame, size: int) -> np.ndarray:
-    """The bits that the buckets gave back for a chunk's sorted keys."""
-    out = [np.unpackbits(np.frombuffer(x, np.uint8), count=n) for x, n in answers.sort_values("bucket")[["bits", "n"]].itertuples(index=False)]
-    out = np.concatenate(out).astype(bool) if out else np.zeros(0, bool)
-    if len(out) != size:
-        raise RuntimeError("a chunk's answers don't fit its keys")
+#: Names of different rounds differ: a name is a number within its bucket, the bucket and the round.
+LEVELS = 8
+ALONE = -1
+
+
+def _name(number: np.ndarray, bucket: int, buckets: int, level: int) -> np.ndarray:
+    return (number * buckets + bucket) * LEVELS + level + 1
+
+
+def _right(name: np.ndarray) -> np.ndarray:
+    """Which names are of the right class."""
+    return (mix(name.astype(U) * U(BASE)) >> U(63)).astype(bool)
+
+
+class Open:
+    """The stretches of a chunk that windows cover which may repeat, as far as the rounds have named them."""
+
+    def __init__(self, table: pa.Table, window: int, upto: int):
+        """`table`: the chunk's open stretches and the answers of the rounds before `upto`."""
+        ((_, _, _, state),) = received(table, "state", 1)
+        self._start(window, *state)
+        for level in range(1, upto):
+            self._form()
+            self._take([parts[0] for *_, parts in received(table, "answer", level)])
+
+    @classmethod
+    def started(cls, window: int, *state) -> Open:
+        self = cls.__new__(cls)
+        self._start(window, *state)
+        return self
+
+    def _start(self, window: int, token, name, offsets, rows, ids, buckets: int) -> None:
+        """token: number of each word; name: of each number; rows, ids: of each stretch's document."""
+        self.window, self.token, self.name, self.offsets, self.rows, self.ids, self.buckets = window, token, name, offsets, rows, ids, buckets
+        n = len(token)
+        self.stretch = np.repeat(np.arange(len(self.offsets) - 1), np.diff(self.offsets))
+        self.fits = np.arange(n) + window <= self.offsets[self.stretch + 1]
+        self.shut = np.zeros(n + 1, np.int64)
+        self.word = self.name[self.token]
+        #: the symbols now: number, word they start at, first word needed, word past the last needed, whether they stay apart
+        self.symbol, self.at, self.a = self.token, np.arange(n), np.arange(n)
+        self.b, self.barrier = self.a + 1, np.zeros(n, bool)
+        #: first word needed, word past the last needed and name of the shared symbols of each round
+        self.shared = [(self.a, self.b, self.word)]
+
+    def _rule_out(self, which: np.ndarray) -> None:
+        """No window that holds the span of one of these symbols repeats."""
+        a, n = self.a[which], len(self.shut)
+        first = np.maximum(self.b[which] - self.window, self.offsets[self.stretch[a]])
+        self.shut += np.bincount(first, minlength=n) - np.bincount(a + 1, minlength=n)
+
+    def open_windows(self) -> np.ndarray:
+        """Whether a window that may repeat starts at each word."""
+        return (np.cumsum(self.shut)[:-1] == 0) & self.fits
+
+    def _form(self) -> None:
+        """The next round's pairs and runs: their places and spans, and the distinct ones that are asked about."""
+        n = len(self.symbol)
+        stretch = self.stretch[self.at]
+        low, high = self.offsets[stretch], self.offsets[stretch + 1]
+        follows = np.concatenate([stretch[1:] == stretch[:-1], [False]])[:n]
+        leads = np.concatenate([[False], follows[:-1]])[:n]
+        nxt, prv = np.minimum(np.arange(n) + 1, n - 1), np.maximum(np.arange(n) - 1, 0)
+        right, free = _right(self.name[self.symbol]), ~self.barrier
+        pair = free & ~right & follows & (free & right)[nxt]
+        second = pair[prv] & leads
+        # one left alone is so because of its neighbours (and theirs, where an equal neighbour is paired)
+        alone, equal = free & ~pair & ~second, self.symbol[nxt] == self.symbol
+        near = np.where(follows, self.b[np.where(equal & pair[nxt], nxt[nxt], nxt)], high + 1)
+        b = np.where(alone, np.maximum(self.b, near), np.where(pair, self.b[nxt], self.b))
+        near = np.where(leads, self.a[np.where(equal[prv] & second[prv], prv[prv], prv)], low - 1)
+        a = np.where(alone, np.minimum(self.a, near), self.a)
+        partner, keep = np.where(pair, self.symbol[nxt], ALONE), ~second
+        # runs of equal symbols that are left over; where they end depends on what stands beside them
+        again = alone & follows & alone[nxt] & equal
+        starts = np.flatnonzero(again & ~(again[prv] & leads))
+        ends = np.flatnonzero(~again)
+        ends = ends[np.searchsorted(ends, starts)]
+        run = np.zeros(n, np.int64)
+        run[starts] = ends - starts + 1
+        before = np.maximum(starts - 1 - second[prv[starts]], 0)
+        run_a = np.where(leads[starts], a[before], low[starts] - 1)
+        b[starts] = np.where(follows[ends], b[nxt[ends]], high[starts] + 1)
+        a[starts] = run_a
+        keep &= ~(again[prv] & leads)
+        made = (pair | (run > 0))[keep]
+        self.symbol, self.at, self.a, self.b, self.barrier = self.symbol[keep], self.at[keep], a[keep], b[keep], self.barrier[keep]
+        partner, run, low, high = partner[keep], run[keep], low[keep], high[keep]
+        # only symbols whose span lies in a window that may repeat are asked about; others stay apart from now on
+        inside = np.concatenate([[0], np.cumsum(self.open_windows())])
+        asks = made & (self.b - self.a <= self.window) & (self.a >= low) & (self.b <= high)
+        asks[asks] = inside[self.a[asks] + 1] > inside[np.maximum(self.b[asks] - self.window, low[asks])]
+        self.barrier |= made & ~asks
+        self.asking = np.flatnonzero(asks)
+        code = (self.symbol[asks] * (len(self.name) + 1) + partner[asks] + 1) * (int(run.max(initial=0)) + 1) + run[asks]
+        _, one, self.which = np.unique(code, return_index=True, return_inverse=True)
+        self.several = in_documents(self.which, self.rows[self.stretch[self.at[self.asking]]], len(one))
+        one = self.asking[one]
+        self.asked = self.name[self.symbol[one]], np.where(run[one] > 0, 0, self.name[partner[one]]), run[one]
+
+    def deal(self, buckets: int) -> tuple[np.ndarray, np.ndarray]:
+        x, y, run = (v.astype(U) for v in self.asked)
+        return dealt((mix(mix(mix(x) + y * U(BASE)) + run) % U(buckets)).astype(np.int64), buckets)
+
+    def asks(self, level: int, number: int) -> list[tuple]:
+        """The next round's messages."""
+        self._form()
+        order, edges = self.deal(self.buckets)
+        return [("ask", level, number, b, s.stop - s.start, freeze(*(v[order[s]] for v in self.asked), self.several[order[s]])) for b, s in slices(edges)]
+
+    def _take(self, answers: list[np.ndarray]) -> None:
+        """Take the names (0: in one document only) of what the last round asked about."""
+        told = np.concatenate(answers) if answers else np.zeros(0, np.int64)
+        if len(told) != len(self.asked[0]):
+            raise RuntimeError("a chunk's answers don't fit its keys")
+        name = np.zeros(len(told), np.int64)
+        name[self.deal(self.buckets)[0]] = told  # answers come by bucket
+        of = name[self.which]
+        lone, named = self.asking[of == 0], self.asking[of > 0]
+        self._rule_out(lone)
+        self.barrier[lone] = True
+        self.symbol[named] = len(self.name) + self.which[of > 0]
+        self.name = np.concatenate([self.name, name])
+        self.shared.append((self.a[named], self.b[named], of[of > 0]))
+
+    def stretches(self):
+        """(name, first word, first word of the last window) of stretches around symbols, which hold all windows that may repeat."""
+        starts = np.flatnonzero(self.open_windows())
+        out = []
+        for a, b, name in reversed(self.shared):
+            low, high = np.searchsorted(a, starts), np.searchsorted(b, starts + self.window, side="right")
+            has = high > low
+            own, low, high = starts[has], low[has], high[has]
+            starts = starts[~has]
+            if not len(own):
+                continue
+            distinct, inverse = np.unique(name, return_inverse=True)
+            rank = np.empty(len(distinct), np.int64)
+            rank[np.lexsort((distinct, mix(distinct.astype(U))))] = np.arange(len(distinct))
+            # the least of a window's symbols by a hash of the name, the first of equal ones
+            least = [rank[inverse] * len(a) + np.arange(len(a))]
+            while 2 ** len(least) <= (high - low).max():
+                step = 2 ** (len(least) - 1)
+                least.append(np.minimum(least[-1], np.append(least[-1][step:], least[-1][-step:])))
+            k = np.frexp((high - low).astype(float))[1] - 1
+            least = np.array(least)
+            chosen = np.minimum(least[k, low], least[k, high - 2**k]) % len(a)
+            order = np.argsort(chosen, kind="stable")
+            edge = np.flatnonzero(np.diff(chosen[order], prepend=-1))
+            out.append((name[chosen[order][edge]], own[order][edge], own[order][np.append(edge[1:], len(order)) - 1]))
+        if not out:
+            return (np.zeros(0, np.int64),) * 3
+        return tuple(map(np.concatenate, zip(*out)))
+
+
+def _begin(number: int, rows: pa.Table, buckets: int, carry: list[str]) -> list[tuple]:
+    """The chunk's state, and its distinct words to the buckets that number them."""
+    words, token, offsets = numbered_words(rows.column("text"))
+    order, edges = dealt_words(words, buckets)
+    place = np.empty(len(order), np.int64)
+    place[order] = np.arange(len(order))
+    token, words = place[token], words.take(pa.array(order))
+    several = in_documents(token, np.repeat(np.arange(rows.num_rows), np.diff(offsets)), len(words))
+    ids = rows.column("doc_id")
+    sink = pa.BufferOutputStream()
+    with pa.ipc.new_stream(sink, rows.select(["doc_id", *carry]).schema) as w:
+        w.write_table(rows.select(["doc_id", *carry]))
+    state = freeze(token, offsets, ids.fill_null(0).to_numpy(), ids.is_valid().to_numpy(), *bytes_of(words), sink.getvalue().to_pybytes())
+    asks = [("ask", 0, number, b, s.stop - s.start, freeze(*bytes_of(words[s.start : s.stop]), several[s])) for b, s in slices(edges)]
+    return [("state", 0, number, -1, 0, state), *asks]
+
+
+def _answer_words(bucket: int, asked: list, buckets: int) -> list[tuple]:
+    """The number of each word, and whether it is in one document only."""
+    coded = pa.concat_arrays([words_of(*parts[:2]) for *_, parts in asked]).dictionary_encode()
+    own, several = coded.indices.to_numpy().astype(np.int64), np.concatenate([parts[2] for *_, parts in asked])
+    name, lone = _name(own, bucket, buckets, 0), np.bincount(own, 1 + several)[own] < 2
+    edges = np.cumsum([0] + [n for _, _, n, _ in asked])
+    return [("answer", 0, c, bucket, n, freeze(name[s:e], lone[s:e])) for (c, _, n, _), s, e in zip(asked, edges[:-1], edges[1:])]
+
+
+def _open(number: int, table: pa.Table, window: int, buckets: int) -> pa.Table:
+    """The stretches covered by windows without a word of one document only, and their first runs and pairs."""
+    ((_, _, _, (token, offsets, ids, known, *_)),) = received(table, "state")
+    told = [parts for *_, parts in received(table, "answer", 0)]
+    name, lone = (np.concatenate(x) for x in zip(*told)) if told else (np.zeros(0, np.int64),) * 2
+    n, doc = len(token), np.repeat(np.arange(len(ids)), np.diff(offsets))
+    starts = np.flatnonzero(known[doc].astype(bool) & (np.arange(n) + window <= offsets[doc + 1]))
+    lones = np.concatenate([[0], np.cumsum(lone[token])])
+    starts = starts[lones[starts + window] == lones[starts]]
+    cover = np.bincount(starts, minlength=n + 1) - np.bincount(starts + window, minlength=n + 1)
+    at = np.flatnonzero(np.cumsum(cover)[:-1] > 0)
+    new = np.flatnonzero((np.diff(at, prepend=-2) > 1) | (np.diff(doc[at], prepend=-1) != 0))
+    distinct, inverse = np.unique(token[at], return_inverse=True)
+    rows = doc[at[new]]
+    state = inverse, name[distinct], np.append(new, len(at)), rows, ids[rows], buckets
+    return messages([("state", 1, number, -1, 0, freeze(*state)), ("place", 1, number, -1, 0, freeze(at[new])), *Open.started(window, *state).asks(1, number)])
+
+
+def _answer_pairs(bucket: int, asked: list, buckets: int, level: int) -> list[tuple]:
+    """The name of each run or pair, 0 for those in one document only."""
+    x, y, run, several = (np.concatenate(v) for v in zip(*(parts for *_, parts in asked)))
+    order = np.lexsort((run, y, x))
+    new = np.concatenate([[True], (np.diff(x[order]) != 0) | (np.diff(y[order]) != 0) | (np.diff(run[order]) != 0)])
+    which = np.empty(len(x), np.int64)
+    which[order] = np.cumsum(new) - 1
+    name = np.where(np.bincount(which, 1 + several) < 2, 0, _name(np.arange(int(new.sum())), bucket, buckets, level))[which]
+    edges = np.cumsum([0] + [n for _, _, n, _ in asked])
+    return [("answer", level, c, bucket, n, freeze(name[s:e])) for (c, _, n, _), s, e in zip(asked, edges[:-1], edges[1:])]
+
+
+def _ask_stretches(number: int, table: pa.Table, window: int, rounds: int, buckets: int) -> pa.Table:
+    """The distinct stretches around shared symbols, with the least document that has each, and where they are."""
+    c = Open(table, window, rounds + 1)
+    name, first, last = c.stretches()
+    size, owner, word = last - first + window, c.ids[c.stretch[first]], c.word
+    # equal stretches are sent once; a hash proposes them, their words decide
+    h = mix(name.astype(U) * U(BASE) + size.astype(U))
+    for i in range(int(size.max(initial=0))):
+        h = np.where(i < size, mix(h * U(BASE) + word[np.minimum(first + i, len(word) - 1)].astype(U)), h)
+    order = np.lexsort((owner, h))
+    equal = np.zeros(len(order), bool)
+    p, q = order[1:], order[:-1]
+    equal[1:] = (name[p] == name[q]) & (h[p] == h[q]) & (size[p] == size[q])
+    check = np.flatnonzero(equal)
+    p, q = order[check], order[check - 1]
+    owners = np.repeat(np.arange(len(check)), size[p])
+    differs = word[ramp(first[p], size[p])] != word[ramp(first[q], size[q])]
+    equal[check[np.unique(owners[differs])]] = False
+    kind = np.empty(len(order), np.int64)
+    kind[order] = np.cumsum(~equal) - 1
+    one = order[~equal]
+    bucket = (mix(name[one].astype(U)) % U(buckets)).astype(np.int64)
+    to, edges = dealt(bucket, buckets)
+    place = np.empty(len(one), np.int64)
+    place[to] = np.arange(len(one))
+    one = one[to]
+    ((_, _, _, (start,)),) = received(table, "place", 1)
+    # places in the chunk's words
+    here, first = first, first + (start - c.offsets[:-1])[c.stretch[first]]
+    rows = [("state", 2, number, -1, 0, freeze(first, place[kind], size[one] - window + 1, owner[one]))]
+    for b, s in slices(edges):
+        own = one[s]
+        rows.append(("ask", rounds + 1, number, b, len(own), freeze(size[own], word[ramp(here[own], size[own])], owner[own])))
+    return messages(rows)
+
+
+def same_windows(word: np.ndarray, starts: np.ndarray, window: int) -> np.ndarray:
+    """A number for each window start, equal for windows of equal words. Hashes sort them, words decide."""
+    h = np.zeros(len(starts), U)
+    for i in range(window):
+        h = mix(h * U(BASE) + word[starts + i].astype(U))
+    order = np.argsort(h, kind="stable")
+    p, q = starts[order[1:]], starts[order[:-1]]
+    new = np.ones(len(order), bool)
+    differs = np.zeros(max(0, len(order) - 1), bool)
+    for i in range(window):
+        differs |= word[p + i] != word[q + i]
+    new[1:] = differs
+    if (new[1:] & (h[order[1:]] == h[order[:-1]])).any():  # hashes that clash: sort by the words themselves
+        order = np.lexsort([word[starts + i] for i in reversed(range(window))])
+        p, q = starts[order[1:]], starts[order[:-1]]
+        new[1:] = np.any([word[p + i] != word[q + i] for i in range(window)], axis=0)
+    out = np.empty(len(starts), np.int64)
+    out[order] = np.cumsum(new) - 1
     return out
 
 
-ASK = "bucket int, chunk int, n int, keys binary, more binary, docs binary"
-ANSWER = "chunk int, bucket int, n int, bits binary"
-
-
-def _ask_names(pdf: pd.DataFrame, window: int, rounds: int, buckets: int) -> pd.DataFrame:
-    c = Chunk(pdf, window, rounds)
-    number = int(pdf["chunk"].iloc[0])
-    rows = [(b, number, s.stop - s.start, pack(short(c.names[s], buckets, NAME_BYTES), NAME_BYTES), None, np.packbits(c.several[s]).tobytes()) for b, s in bucket_slices(c.names, buckets)]
-    return pd.DataFrame(rows, columns=["bucket", "chunk", "n", "keys", "more", "docs"])
-
-
-def _answer_names(pdf: pd.DataFrame) -> pd.DataFrame:
-    """Names found in one document of the corpus only."""
-    keys = np.concatenate([unpack(x, NAME_BYTES) for x in pdf["keys"]])
-    several = np.concatenate([np.unpackbits(np.frombuffer(x, np.uint8), count=n) for x, n in zip(pdf["docs"], pdf["n"])]).astype(np.int64)
-    _, inverse = np.unique(keys, return_inverse=True)
-    alone = (np.bincount(inverse, 1 + several) < 2)[inverse]
-    return _answers(pdf, alone)
-
-
-def _answers(pdf: pd.DataFrame, marks: np.ndarray) -> pd.DataFrame:
-    edges = np.concatenate([[0], np.cumsum(pdf["n"])])
-    out = pdf[["chunk", "bucket", "n"]].copy()
-    out["bits"] = [np.packbits(marks[a:b]).tobytes() for a, b in zip(edges[:-1], edges[1:])]
-    return out
-
-
-def _ask_windows(docs: pd.DataFrame, answers: pd.DataFrame, window: int, rounds: int, buckets: int) -> pd.DataFrame:
-    columns = ["bucket", "chunk", "n", "keys", "more", "docs"]
-    if not len(docs):
-        return pd.DataFrame([], columns=columns)
-    c = Chunk(docs, window, rounds)
-    at = c.open_windows(_join(answers, len(c.names)))
-    _, _, key, more, least = _grouped(at, c)
-    number = int(docs["chunk"].iloc[0])
-    rows = [(b, number, s.stop - s.start, pack(key[s], 8), pack(more[s], 4), pack(least[s].view(U), 8)) for b, s in bucket_slices(key, buckets)]
-    return pd.DataFrame(rows, columns=columns)
-
-
-def _answer_windows(pdf: pd.DataFrame) -> pd.DataFrame:
-    """Windows that start in a document with a smaller id than the chunk's own least."""
-    key = np.concatenate([unpack(x, 8) for x in pdf["keys"]])
-    more = np.concatenate([unpack(x, 4) for x in pdf["more"]])
-    least = np.concatenate([unpack(x, 8) for x in pdf["docs"]]).view(np.int64)
-    order = np.lexsort((more, key))
-    k, m = key[order], more[order]
-    starts = np.flatnonzero(np.concatenate([[True], (k[1:] != k[:-1]) | (m[1:] != m[:-1])]))
-    lowest = np.minimum.reduceat(least[order], starts)
-    smaller = np.zeros(len(key), bool)
-    smaller[order] = np.repeat(lowest, np.diff(np.append(starts, len(k)))) < least[order]
-    return _answers(pdf, smaller)
-
-
-def _clean(docs: pd.DataFrame, names: pd.DataFrame, windows: pd.DataFrame, window: int, rounds: int, carry: list[str] | None) -> pd.DataFrame:
-    out = ["doc_id", "n_words", "n_removed", "kept_sha256", *["kept"] * (carry is not None)]
-    if not len(docs):
-        return pd.DataFrame([], columns=[*out, *(carry or [])])
-    c = Chunk(docs, window, rounds)
-    at = c.open_windows(_join(names, len(c.names)))
-    at, starts, key, _, least = _grouped(at, c)
-    smaller = _join(windows, len(key))
-    sizes = np.diff(np.append(starts, len(at)))
-    gone = at[np.repeat(smaller, sizes) | (c.ids[c.doc[at]] > np.repeat(least, sizes))]
-    cover = np.zeros(len(c.words) + 1, np.int64)
-    np.add.at(cover, gone, 1)
-    np.add.at(cover, gone + window, -1)
-    removed = np.cumsum(cover)[:-1] > 0
-    rows = []
-    for i, (doc_id, text) in enumerate(zip(docs["doc_id"], c.texts)):
-        drop = removed[c.offsets[i] : c.offsets[i + 1]]
-        words = text.split()
-        n = int(drop.sum())
-        kept = b" ".join(words if not n else [w for w, d in zip(words, drop.tolist()) if not d])
-        rows.append((doc_id, len(words), n, hashlib.sha256(kept).hexdigest(), *[kept.decode("utf-8", "surrogatepass")] * (carry is not None)))
-    rows = pd.DataFrame(rows, columns=out, index=docs.index).astype({"doc_id": "Int64"})
-    return rows.assign(**{x: docs[x] for x in carry or []})
+def _answer_stretches(bucket: int, asked: list, window: int, level: int) -> list[tuple]:
+    """For each window of each stretch whether a document smaller than the stretch's own least has it."""
+    size, word, owner = (np.concatenate(v) for v in zip(*(parts for *_, parts in asked)))
+    windows = size - window + 1
+    starts = ramp(np.cumsum(size) - size, windows)
+    kind = same_windows(word, starts, window)
+    owners = np.repeat(owner, windows)
+    least = np.full(int(kind.max(initial=-1)) + 1, np.iinfo(np.int64).max)
+    np.minimum.at(least, kind, owners)
+    smaller = least[kind] < owners
+    edges = np.concatenate([[0], np.cumsum(windows)])[np.cumsum([0] + [n for _, _, n, _ in asked])]
+    return [("answer", level, c, bucket, n, freeze(np.packbits(smaller[s:e]).tobytes(), int(e - s))) for (c, _, n, _), s, e in zip(asked, edges[:-1], edges[1:])]
+
+
+def _clean(table: pa.Table, window: int, rounds: int, carry: list[str] | None) -> pa.Table:
+    ((_, _, _, (token, offsets, ids, _, lengths, data, own)),) = received(table, "state")
+    ((_, _, _, (first, kind, windows, least)),) = received(table, "state", 2)
+    told = [np.unpackbits(np.frombuffer(x, np.uint8), count=n) for *_, (x, n) in received(table, "answer", rounds + 1)]
+    smaller = np.concatenate(told).astype(bool) if told else np.zeros(0, bool)
+    if len(smaller) != windows.sum():
+        raise RuntimeError("a chunk's answers don't fit its keys")
+    doc = np.repeat(np.arange(len(ids)), np.diff(offsets))
+    count = windows[kind]
+    gone = ramp(first, count)
+    gone = gone[smaller[ramp((np.cumsum(windows) - windows)[kind], count)] | np.repeat(ids[doc[first]] > least[kind], count)]
+    cover = np.bincount(gone, minlength=len(token) + 1) - np.bincount(gone + window, minlength=len(token) + 1)
+    kept = np.cumsum(cover)[:-1] == 0
+    edges = np.concatenate([[0], np.cumsum(kept)])[offsets]
+    texts = pc.binary_join(pa.ListArray.from_arrays(pa.array(edges, pa.int32()), words_of(lengths, data).take(pa.array(token[kept]))), b" ")
+    n_words = np.diff(offsets)
+    own = pa.ipc.open_stream(own).read_all().combine_chunks()
+    columns = {"doc_id": own.column("doc_id"), "n_words": pa.array(n_words), "n_removed": pa.array(n_words - np.diff(edges)), "kept_sha256": pa.array([hashlib.sha256(t.as_py()).hexdigest() for t in texts])}
+    columns |= {"kept": texts.cast(pa.string())} if carry is not None else {}
+    columns |= {f"carried_{i}": own.column(f"carried_{i}") for i in range(len(carry or []))}
+    return pa.table(columns)
 
 
 def remove_repeats(docs: DataFrame, window: int = WINDOW, rounds: int = ROUNDS, chunk_bytes: int = CHUNK_BYTES, carry: list[str] | None = None) -> DataFrame:
     """Remove each word that lies in a window of words which also starts in a document with a smaller doc_id.
 
-    Words are `[^\\x20\\x09-\\x0D]+`, unchanged. `docs(doc_id, text)` gives one row a row: (doc_id, n_words, n_removed,
-    kept_sha256 of the kept words joined by one space); with a list `carry` also `kept`, that text, and the columns named. Windows are judged on the
-    input. Null texts have no words; texts shorter than a window keep all; rows with equal ids don't remove from each
-    other; rows with a null id keep all words and remove nothing elsewhere. Other columns are ignored.
+    Words are `[^\\x20\\x09-\\x0D]+`, unchanged and of any length. `docs(doc_id, text)` gives one row a row: (doc_id, n_words,
+    n_removed, kept_sha256 of the kept words joined by one space). With a list `carry` there is also `kept`, that text, and
+    behind it the columns named, as carried_0, carried_1 and so on. Windows are judged on the input. Null and empty texts
+    have no words; texts shorter than a window keep all; rows with equal ids don't remove from each other; rows with a null
+    id keep all words and remove nothing elsewhere; an empty table gives an empty result. Other columns are ignored. A
+    task holds a chunk of about `chunk_bytes` of text, or one longer text.
     """
-    spark = docs.sparkSession
-    columns = [F.col(x) for x in carry or []]
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text"), *columns)
-    more = [f"`{x}` {docs.schema[x].dataType.simpleString()}" for x in carry or []]
-    chunks = chunk_count(docs, chunk_bytes)
-    docs = dealt(docs, chunks)
-    by_chunk = docs.select("doc_id", "text", "chunk").groupBy("chunk")
-    asked = by_chunk.applyInPandas(lambda pdf: _ask_names(pdf, window, rounds, chunks), ASK)
-    names = cut(asked.groupBy("bucket").applyInPandas(_answer_names, ANSWER))
-    release(spark)
-    asked = by_chunk.cogroup(names.groupBy("chunk")).applyInPandas(lambda d, a: _ask_windows(d, a, window, rounds, chunks), ASK)
-    windows = cut(asked.groupBy("bucket").applyInPandas(_answer_windows, ANSWER))
-    release(spark)
-    answers = names.withColumn("kind", F.lit(0)).union(windows.withColumn("kind", F.lit(1)))
-    schema = ["doc_id long", "n_words long", "n_removed long", "kept_sha256 string", *["kept string"] * (carry is not None), *more]
-    return docs.groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInPandas(
-        lambda d, a: _clean(d, a[a["kind"] == 0], a[a["kind"] == 1], window, rounds, carry), ", ".join(schema)
-    )
+    scratch, names = Scratch(docs.sparkSession, "substring"), [f"carried_{i}" for i in range(len(carry or []))]
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", *[F.col(f"`{c}`").alias(n) for c, n in zip(carry or [], names)])
+    buckets = sizes(docs)
+    state = scratch.save(by_chunk(docs, lambda number, rows: _begin(number, rows, buckets, names), chunk_bytes), "words")
+    told = scratch.save(answered(state, lambda b, asked: _answer_words(b, asked, buckets)), "answers0")
+    tables = [scratch.save(rejoined([state, told], lambda number, table: _open(number, table, window, buckets), MESSAGE), "open")]
+    scratch.drop("answers0", "words/role=ask")
+    for level in range(1, rounds + 1):
+
+        def ask(number, table, level=level):
+            return messages(Open(table, window, level).asks(level, number))
+
+        asked = rejoined(tables, ask, MESSAGE) if level > 1 else tables[0]
+        release(docs.sparkSession)
+        tables.append(scratch.save(answered(asked, lambda b, got, level=level: _answer_pairs(b, got, buckets, level), level=level), f"answers{level}"))
+    release(docs.sparkSession)
+    stretches = scratch.save(rejoined(tables, lambda number, table: _ask_stretches(number, table, window, rounds, buckets), MESSAGE), "stretches")
+    scratch.drop("open", *[f"answers{i}" for i in range(1, rounds + 1)])
+    release(docs.sparkSession)
+    last = scratch.save(answered(stretches, lambda b, got: _answer_stretches(b, got, window, rounds + 1), level=rounds + 1), "last")
+    release(docs.sparkSession)
+    types = [f"`{n}` {docs.schema[n].dataType.simpleString()}" for n in names]
+    schema = ", ".join(["doc_id long", "n_words long", "n_removed long", "kept_sha256 string", *["kept string"] * (carry is not None), *types])
+    return rejoined([state, stretches, last], lambda number, table: _clean(table, window, rounds, carry), schema)
