@@ -1,35 +1,30 @@
 """Language identification, words first: a known word scores by its log frequency in each language; an unseen word
 falls back to its character n-grams, from five characters down to one, at the first length that is known.
 
-Every count of the training documents is used. No task holds the model: each chunk of documents sends the counts of its
-words and n-grams to the buckets that own them, and gets back the corpus counts of its own distinct words and of the
-n-grams of words that none of its training documents has. Texts are read once and don't move: what a chunk needs for its
-scores is kept as numbers of words and keys.
+Every count of the training documents is used and no task holds the model. Chunks of documents send their distinct words,
+with their counts by language, to the buckets that own them; the buckets send the n-grams of their distinct words, counted
+as often as the words are, to the buckets that own those, and ask for the n-grams of unseen words. So a word's
+score in each language is worked out once for the whole corpus, and goes back to the chunks that have the word.
 """
 
 from __future__ import annotations
 
 import functools
-import pickle
-import zlib
 
 import numpy as np
-import pandas as pd
-from pyspark import TaskContext
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import chunk_count, crc_mod, cut, release
-from .keyed import bucket_slices, pack, short, unpack
-from .textvec import U, Spans, mix, word_bounds
+from .common import crc_mod, release
+from .exchange import CHUNK_BYTES, MESSAGE, Scratch, answered, by_chunk, bytes_of, dealt, dealt_words, freeze, messages, numbered_words, ramp, received, rejoined, sizes, slices, words_of
+from .textvec import BASE, U, mix
 
 LONGEST = 5
 KINDS = LONGEST + 1
-MOST_LANGUAGES = 500
-CHUNK_BYTES = 16 << 20
-KEY_BYTES, COUNT_BYTES = 6, 6
 SMOOTH = 0.5
-BLOCK_CHARS = 1 << 20
+PARTS, HELD_OUT = 4, 2
 
 
 @functools.cache
@@ -38,235 +33,157 @@ def letters() -> np.ndarray:
     return np.fromiter((chr(i).isalpha() for i in range(0x110000)), bool, 0x110000)
 
 
-class Words:
-    """The words (runs of letters, lower-cased) of some texts: their hashes, texts and characters."""
-
-    def __init__(self, texts: list[str]):
-        chars = np.frombuffer("\n".join(texts).encode("utf-32-le", "surrogatepass"), "<u4")
-        self.starts, self.ends = word_bounds(letters()[chars])
-        self.spans = Spans(mix(chars.astype(U) + U(1)))
-        limits = np.cumsum([len(t) + 1 for t in texts])
-        self.text = np.searchsorted(limits, self.starts, side="right")
-        self.hash = self.spans(self.starts, self.ends)
-
-    def ngrams(self, words: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
-        """(index into `words`, hash) of each n-gram of the words of those numbers."""
-        size = np.maximum(self.ends[words] - self.starts[words] - n + 1, 0)
-        owner = np.repeat(np.arange(len(words)), size)
-        at = self.starts[words][owner] + np.arange(len(owner)) - np.repeat(np.cumsum(size) - size, size)
-        return owner, self.spans(at, at + n)
-
-
-def text_blocks(texts):
-    """Lists of lower-cased texts (null: empty) of about BLOCK_CHARS characters together."""
-    held, size = [], 0
-    for t in texts:
-        t = t.lower() if isinstance(t, str) else ""
-        if held and size + len(t) > BLOCK_CHARS:
-            yield held
-            held, size = [], 0
-        held.append(t)
-        size += len(t) + 1
-    if held:
-        yield held
-
-
-def _keys(hashes: np.ndarray, kind: int) -> np.ndarray:
-    """Keys in which a word (kind 0) and an n-gram (kind n) of the same characters differ."""
-    return mix(hashes + U(kind) * U(0x9E3779B97F4A7C15))
-
-
-def _summed(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
-    """Distinct keys, sorted, and the sum of each one's counts."""
-    keys, inverse = np.unique(np.concatenate([p[0] for p in parts]), return_inverse=True)
-    return keys, np.bincount(inverse, np.concatenate([p[1] for p in parts]), len(keys)).astype(np.int64)
-
-
-def _ramp(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
-    """start, start + 1, ... of each run, one after the other."""
-    return np.repeat(starts - (np.cumsum(sizes) - sizes), sizes) + np.arange(int(sizes.sum()))
-
-
-class Chunk:
-    """The words of one chunk's documents, and the keys whose corpus counts their scores need."""
-
-    def __init__(self, pdf: pd.DataFrame):
-        """pdf (text, number): the number of a training document's language, else -1."""
-        texts, number = pdf["text"].to_numpy(object), pdf["number"].to_numpy(np.int64)
-        words, owners = [np.zeros(0, U)], [np.zeros(0, np.int64)]
-        #: (kind, language) -> keys and counts in training documents
-        self.told: dict[tuple[int, int], tuple] = {}
-
-        def read(rows):
-            at = 0
-            for held in text_blocks(texts[rows]):
-                w = Words(held)
-                words.append(w.hash)
-                owners.append(rows[at + w.text])
-                at += len(held)
-                yield w
-
-        for language in np.unique(number[number >= 0]).tolist():
-            got: list[list] = [[] for _ in range(KINDS)]
-            for w in read(np.flatnonzero(number == language)):
-                _, first, n = np.unique(w.hash, return_index=True, return_counts=True)
-                got[0].append((_keys(w.hash[first], 0), n))
-                for k in range(1, KINDS):
-                    owner, grams = w.ngrams(first, k)
-                    keys, inverse = np.unique(grams, return_inverse=True)
-                    got[k].append((_keys(keys, k), np.bincount(inverse, n[owner], len(keys)).astype(np.int64)))
-            self.told |= {(k, language): _summed(parts) for k, parts in enumerate(got) if parts}
-        known = np.unique(np.concatenate(words))
-        #: words of no training document of this chunk, and (number of such a word, key) of their n-grams
-        opened, grams, many = [np.zeros(0, U)], [[(np.zeros(0, np.int64), np.zeros(0, U))] for _ in range(KINDS)], 0
-        for w in read(np.flatnonzero(number < 0)):
-            hashes, first = np.unique(w.hash, return_index=True)
-            new = ~np.isin(hashes, known)
-            hashes, first = hashes[new], first[new]
-            known = np.union1d(known, hashes)
-            opened.append(hashes)
-            for k in range(1, KINDS):
-                owner, keys = w.ngrams(first, k)
-                grams[k].append((owner + many, _keys(keys, k)))
-            many += len(hashes)
-        distinct, inverse = np.unique(np.concatenate(words), return_inverse=True)
-        asked = [_keys(distinct, 0), *(np.concatenate([keys for _, keys in parts]) for parts in grams[1:])]
-        self.wanted, first = np.unique(np.concatenate(asked), return_index=True)
-        #: for each wanted key its kind; for each word, open word and n-gram of an open word the wanted key or word it is
-        self.kind = np.repeat(np.arange(KINDS), [len(a) for a in asked])[first]
-        order = np.argsort(-np.bincount(inverse, minlength=len(distinct)), kind="stable")
-        self.word_at = np.searchsorted(self.wanted, asked[0][order])
-        number = np.empty(len(order), np.int64)
-        number[order] = np.arange(len(order))
-        self.open = number[np.searchsorted(distinct, np.concatenate(opened))]
-        self.grams = [(np.concatenate([owner for owner, _ in parts]), np.searchsorted(self.wanted, keys)) for parts, keys in zip(grams[1:], asked[1:])]
-        #: document * words + word, and how often it is there
-        self.pairs, self.times = np.unique(np.concatenate(owners) * max(1, len(order)) + number[inverse], return_counts=True)
-
-    def packed(self) -> bytes:
-        """What `_score` needs besides the answers."""
-        grams = [(pack(np.diff(owner, prepend=0), 4), pack(at, 4)) for owner, at in self.grams]
-        parts = len(self.wanted), pack(self.kind, 1), pack(self.word_at, 4), pack(self.open, 4), grams, pack(np.diff(self.pairs, prepend=0), 8), pack(self.times, 4)
-        return zlib.compress(pickle.dumps(parts), 1)
-
-
-ASK = "bucket int, chunk long, n int, keys binary, wanted binary, tells binary, codes binary, counts binary, rows binary, ids binary"
-ANSWER = "bucket int, chunk long, n int, tells binary, languages binary, counts binary, stats binary"
-
-
-def _chunks(batches, size: int):
-    """Consecutive rows of about `size` characters of text together (a longer text is a chunk of its own)."""
-    held, have = [], 0
-    for pdf in batches:
-        ends = np.cumsum([len(t) if isinstance(t, str) else 0 for t in pdf["text"]])
-        at = 0
-        while at < len(pdf):
-            before = ends[at - 1] if at else 0
-            to = max(int(np.searchsorted(ends, before + size - have, side="right")), at + (not held))
-            if to > at:
-                held.append(pdf.iloc[at:to])
-                have += int(ends[to - 1] - before)
-            if to < len(pdf):
-                yield pd.concat(held, ignore_index=True)
-                held, have = [], 0
-            at = to
-    if held:
-        yield pd.concat(held, ignore_index=True)
-
-
-def _ask(pdf: pd.DataFrame, number: int, buckets: int, languages: int) -> pd.DataFrame:
-    """For each bucket the keys that the chunk tells of or asks for, and the (code, count) of those it tells of; a code
-    is kind * languages + language. The row of bucket -1 is the chunk's own, for its scores."""
-    c = Chunk(pdf)
-    told = sorted(c.told)
-    key = np.concatenate([np.zeros(0, U), *(c.told[t][0] for t in told)])
-    count = np.concatenate([np.zeros(0, np.int64), *(c.told[t][1] for t in told)])
-    code = np.repeat(np.array([k * languages + i for k, i in told], np.int64), [len(c.told[t][0]) for t in told])
-    order = np.argsort(key, kind="stable")
-    key, count, code = key[order], count[order], code[order]
-    keys = np.union1d(c.wanted, key)
-    edges = np.searchsorted(key, keys), np.searchsorted(key, keys, side="right")
-    wanted, tells = np.isin(keys, c.wanted), edges[1] - edges[0]
-    ids = pickle.dumps([None if pd.isna(i) else int(i) for i in pdf["doc_id"]])
-    rows: list[tuple] = [(-1, number, len(pdf), *[None] * 5, c.packed(), zlib.compress(ids, 1))]
-    for b, s in bucket_slices(keys, buckets):
-        own = slice(edges[0][s.start], edges[1][s.stop - 1])
-        told_of = pack(tells[s], 2), pack(code[own], 2), pack(count[own], 4)
-        rows.append((b, number, s.stop - s.start, pack(short(keys[s], buckets, KEY_BYTES), KEY_BYTES), *(zlib.compress(x, 1) for x in (pack(wanted[s], 1), *told_of)), None, None))
-    return pd.DataFrame(rows, columns=[x.split()[0] for x in ASK.split(", ")])
-
-
-def _answer(pdf: pd.DataFrame, languages: int) -> pd.DataFrame:
-    """For each chunk the corpus counts of what it asks for; on the first row also what the bucket holds of each code
-    in all, and then how many distinct keys of each kind."""
-    joined = lambda name, width: np.concatenate([unpack(zlib.decompress(x), width) for x in pdf[name]]).astype(np.int64)
-    distinct, inverse = np.unique(np.concatenate([unpack(x, KEY_BYTES) for x in pdf["keys"]]), return_inverse=True)
-    wanted, codes = joined("wanted", 1) > 0, KINDS * languages
-    pair, total = _summed([(np.repeat(inverse, joined("tells", 2)) * codes + joined("codes", 2), joined("counts", 4))])
-    owner, code = pair // codes, pair % codes
-    tells = np.bincount(owner, minlength=len(distinct))
-    starts = np.cumsum(tells) - tells
-    edges = np.concatenate([[0], np.cumsum(pdf["n"])])
+def letter_words(texts: list[str | None]) -> tuple[pa.Array, np.ndarray, np.ndarray]:
+    """As `numbered_words`, for runs of letters, lower-cased."""
+    lowered = [(t or "").lower() for t in texts]
+    chars = np.frombuffer("\n".join([*lowered, ""]).encode("utf-32-le", "surrogatepass"), "<u4").copy()
+    chars[~letters()[chars]] = 0x20
+    chars[np.cumsum([len(t) + 1 for t in lowered], dtype=np.int64) - 1] = 0x0A
+    return numbered_words(pa.array(chars.tobytes().decode("utf-32-le", "surrogatepass").encode("utf-8", "replace").split(b"\n")[:-1], pa.binary()).cast(pa.string()))
+
+
+def _begin(number: int, rows: pa.Table, buckets: int, languages: int) -> list[tuple]:
+    """The words of the chunk's documents; and its distinct words with how often each language's training documents have them."""
+    words, token, offsets = letter_words(rows.column("text").to_pylist())
+    order, edges = dealt_words(words, buckets)
+    place = np.empty(len(order), np.int64)
+    place[order] = np.arange(len(order))
+    token, words = place[token], words.take(pa.array(order))
+    language = np.repeat(rows.column("number").to_numpy(), np.diff(offsets)).astype(np.int64)
+    train = language >= 0
+    pair, count = np.unique(token[train] * languages + language[train], return_counts=True)
+    tells, starts = np.bincount(pair // languages, minlength=len(words)), np.searchsorted(pair, edges * languages)
+    ids = rows.column("doc_id")
+    asks = []
+    for b, s in slices(edges):
+        own = slice(starts[b], starts[b + 1])
+        asks.append(("ask", 0, number, b, s.stop - s.start, freeze(*bytes_of(words[s.start : s.stop]), tells[s], pair[own] % languages, count[own])))
+    return [("state", 0, number, -1, 0, freeze(token, offsets, ids.fill_null(0).to_numpy(), ids.is_valid().to_numpy())), *asks]
+
+
+def ngrams(words: pa.Array):
+    """(n, word, key) of the n-grams of each length, longest last: the number of the word that each is in, and a hash of its characters."""
+    lengths = pc.utf8_length(words.cast(pa.string())).to_numpy().astype(np.int64)
+    chars = np.frombuffer(bytes_of(words)[1].decode("utf-8").encode("utf-32-le"), "<u4").astype(U)
+    word = np.repeat(np.arange(len(lengths)), lengths)
+    left = np.repeat(np.cumsum(lengths), lengths) - np.arange(len(chars))  # characters from here to the word's end
+    key, at = np.zeros(len(chars), U), np.arange(len(chars))
+    for n in range(1, LONGEST + 1):
+        fits = left[at] >= n
+        at, key = at[fits], key[fits]
+        key = mix(key * U(BASE) + chars[at + n - 1] + U(n << 32))
+        yield n, word[at], key
+
+
+def _summed(key: np.ndarray, code: np.ndarray, count: np.ndarray, codes: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct (key, code), by both, and the sum of each one's counts."""
+    distinct, inverse = np.unique(key, return_inverse=True)
+    pair, which = np.unique(inverse * codes + code, return_inverse=True)
+    return distinct[pair // codes], pair % codes, np.bincount(which, count, len(pair)).astype(np.int64)
+
+
+def _wanted(words: pa.Array, unseen: np.ndarray, buckets: int):
+    """(distinct keys of the unseen words' n-grams by bucket, edges of the buckets, [(n, unseen word, place of the key)])."""
+    own = [(n, word, key) for n, word, key in ngrams(words.take(pa.array(unseen)))]
+    keys, which = np.unique(np.concatenate([key for *_, key in own]), return_inverse=True)
+    order, edges = dealt((keys % U(buckets)).astype(np.int64), buckets)
+    place = np.empty(len(keys), np.int64)
+    place[order] = np.arange(len(keys))
+    ends = np.cumsum([len(word) for _, word, _ in own])
+    return keys[order], edges, [(n, word, place[which[e - len(word) : e]]) for (n, word, _), e in zip(own, ends)]
+
+
+def _count_words(bucket: int, asked: list, buckets: int, languages: int) -> list[tuple]:
+    """The bucket's words with their counts by language, who asks for them, and its messages about n-grams."""
+    coded = pa.concat_arrays([words_of(*parts[:2]) for *_, parts in asked]).dictionary_encode()
+    own, words = coded.indices.to_numpy().astype(np.int64), coded.dictionary
+    tells, language, count = (np.concatenate([parts[k] for *_, parts in asked]) for k in (2, 3, 4))
+    word, language, count = _summed(np.repeat(own, tells), language, count, languages)
+    edges = np.cumsum([0] + [n for _, _, n, _ in asked])
+    rows = [("words", 0, bucket, -1, len(words), freeze(*bytes_of(words), word, language, count))]
+    rows += [("map", 0, bucket, -1, c, freeze(own[s:e])) for (c, *_), s, e in zip(asked, edges[:-1], edges[1:])]
+    rows += [("stats", i, -1, bucket, int(n), None) for i, n in enumerate(np.bincount(language, count, languages))]
+    rows += [("stats", KINDS * languages, -1, bucket, len(np.unique(word)), None)]
+    told = [(np.zeros(0, U), np.zeros(0, np.int64), np.zeros(0, np.int64))]
+    first, size = np.searchsorted(word, np.arange(len(words))), np.bincount(word, minlength=len(words))
+    for n, of, key in ngrams(words):
+        # an n-gram counts as often as its word does
+        at = ramp(first[of], size[of])
+        key, code, many = _summed(np.repeat(key, size[of]), language[at], count[at], languages)
+        told.append((key, code + n * languages, many))
+    key, code, many = (np.concatenate(x) for x in zip(*told))
+    order, edges = dealt((key % U(buckets)).astype(np.int64), buckets)
+    wanted, borders, _ = _wanted(words, np.flatnonzero(size == 0), buckets)
+    for b in range(buckets):
+        s, w = order[edges[b] : edges[b + 1]], wanted[borders[b] : borders[b + 1]]
+        if len(s) or len(w):
+            rows.append(("ask", 1, bucket, b, len(w), freeze(key[s], code[s], many[s], w)))
+    return rows
+
+
+def _count_ngrams(bucket: int, asked: list, languages: int) -> list[tuple]:
+    """For each wanted n-gram its counts by language; and how often each language has n-grams of each length, and how many are distinct."""
+    key, code, many = (np.concatenate([parts[k] for *_, parts in asked]) for k in (0, 1, 2))
+    key, code, many = _summed(key.view(U), code, many, KINDS * languages)
+    rows = [("stats", i, -1, bucket, int(n), None) for i, n in enumerate(np.bincount(code, many, KINDS * languages)) if n]
+    new = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]])[: len(key)])
+    distinct, first = key[new], np.append(new, len(key))
+    rows += [("stats", KINDS * languages + k, -1, bucket, int(n), None) for k, n in enumerate(np.bincount(code[new] // languages, minlength=KINDS)) if n]
+    for c, _, n, parts in asked:
+        want = parts[3].view(U)
+        at = np.minimum(np.searchsorted(distinct, want), max(0, len(distinct) - 1))
+        known = distinct[at] == want if len(distinct) else np.zeros(len(want), bool)
+        tells = np.where(known, np.diff(first)[at], 0) if len(distinct) else np.zeros(len(want), np.int64)
+        own = ramp(first[at[known]], tells[known])
+        rows.append(("answer", 1, c, bucket, n, freeze(tells, code[own] % languages, many[own])))
+    return rows
+
+
+def _logs(n: np.ndarray, totals: np.ndarray, found: float) -> np.ndarray:
+    return np.log((n + SMOOTH) / (totals + SMOOTH * (found + 1)))
+
+
+def _value(number: int, table: pa.Table, buckets: int, languages: int, totals: np.ndarray, found: np.ndarray) -> pa.Table:
+    """The log score in each language of each of a bucket's words, to the chunks that have it. totals (kind, language), found (kind)."""
+    ((_, _, many, (lengths, data, word, language, count)),) = received(table, "words")
+    words, n = words_of(lengths, data), np.zeros((many, languages))
+    n[word, language] = count
+    value = _logs(n, totals[0], found[0])
+    unseen = np.flatnonzero(np.bincount(word, minlength=many) == 0)
+    _, _, own = _wanted(words, unseen, buckets)
+    told = [parts for *_, parts in received(table, "answer", 1)]
+    if told:
+        tells, language, count = (np.concatenate(x) for x in zip(*told))
+        n = np.zeros((len(tells), languages))
+        n[np.repeat(np.arange(len(tells)), tells), language] = count
+        left, stand = np.ones(len(unseen), bool), np.zeros((len(unseen), languages))
+        for k, of, at in reversed(own):
+            use = left[of] & (tells[at] > 0)
+            of, at = of[use], at[use]
+            hits = np.bincount(of, minlength=len(unseen))
+            logs = _logs(n[at], totals[k], found[k])
+            for i in range(languages):
+                stand[:, i] += np.bincount(of, logs[:, i], len(unseen)) / np.maximum(hits, 1)
+            left[of] = False
+        value[unseen] = stand
+    value = value.astype(np.float32)
     rows = []
-    for chunk, a, b in zip(pdf["chunk"], edges[:-1], edges[1:]):
-        own = inverse[a:b][wanted[a:b]]
-        at = _ramp(starts[own], tells[own])
-        rows.append((pdf["bucket"].iloc[0], chunk, len(own), *(zlib.compress(x, 1) for x in (pack(tells[own], 2), pack(code[at] % languages, 2), pack(total[at], COUNT_BYTES))), None))
-    found = np.unique(owner * KINDS + code // languages) % KINDS
-    stats = np.concatenate([np.bincount(code, total, codes).astype(np.int64), np.bincount(found, minlength=KINDS)])
-    rows[0] = (*rows[0][:-1], pack(stats, 8))
-    return pd.DataFrame(rows, columns=[x.split()[0] for x in ANSWER.split(", ")])
+    for _, _, chunk, (asks,) in received(table, "map"):
+        rows.append(("answer", 0, chunk, number, len(asks), freeze(np.ascontiguousarray(value[asks].T).view(np.uint32).ravel())))
+    return messages(rows)
 
 
-def _stats(batches):
-    for pdf in batches:
-        for stats in pdf["stats"]:
-            yield pd.DataFrame({"at": np.arange(len(stats) // 8), "n": unpack(stats, 8).astype(np.int64)})
-
-
-def _score(own: pd.DataFrame, answers: pd.DataFrame, languages: list[str], totals: np.ndarray, found: np.ndarray) -> pd.DataFrame:
-    """totals (kind, language), found (kind): occurrences and distinct keys in all training documents."""
-    many, kind, word_at, opened, grams, pairs, times = pickle.loads(zlib.decompress(own["rows"].iloc[0]))
-    ids = pickle.loads(zlib.decompress(own["ids"].iloc[0]))
-    whole = lambda data, width: unpack(data, width).astype(np.int64)
-    kind, word_at, opened, times = whole(kind, 1), whole(word_at, 4), whole(opened, 4), whole(times, 4)
-    doc, word = np.divmod(np.cumsum(whole(pairs, 8)), max(1, len(word_at)))
-    answers = answers.sort_values("bucket")
-    joined = lambda name, width: np.concatenate([np.zeros(0, np.int64), *(whole(zlib.decompress(x), width) for x in answers[name])])
-    tells, language, count = joined("tells", 2), joined("languages", 2), joined("counts", COUNT_BYTES)
-    if len(tells) != many:
-        raise RuntimeError("a chunk's answers don't fit its keys")
-    key, known = np.repeat(np.arange(many), tells), tells > 0
-    order = np.argsort(language, kind="stable")
-    edges = np.searchsorted(language[order], np.arange(len(languages) + 1))
-    # the n-grams that stand in for each unseen word: those known of the first length that has any
-    left = ~known[word_at[opened]]
-    unseen = np.flatnonzero(left)
-    stand, stand_at = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
-    for owner, at in reversed(grams):
-        owner, at = np.cumsum(whole(owner, 4)), whole(at, 4)
-        use = left[owner] & known[at]
-        stand.append(owner[use])
-        stand_at.append(at[use])
-        left[owner[use]] = False
-    stand, stand_at = np.concatenate(stand), np.concatenate(stand_at)
-    hits = np.maximum(np.bincount(stand, minlength=len(opened)), 1)
-    live = np.flatnonzero(totals[0] > 0)
-    sums = np.zeros((len(ids), len(live)))
-    for column, i in enumerate(live):
-        n = np.zeros(many)
-        part = order[edges[i] : edges[i + 1]]
-        n[key[part]] = count[part]
-        logs = np.log((n + SMOOTH) / (totals[:, i] + SMOOTH * (found + 1))[kind])
-        value = logs[word_at]
-        value[opened[unseen]] = (np.bincount(stand, logs[stand_at], len(opened)) / hits)[unseen]
-        sums[:, column] = np.bincount(doc, value[word] * times, len(ids))
-    names, score = ["und"] * len(ids), np.zeros(len(ids))
+def _score(table: pa.Table, languages: list[str], live: np.ndarray) -> pa.Table:
+    ((_, _, _, (token, offsets, ids, known)),) = received(table, "state")
+    told = [parts[0].astype(np.uint32).view(np.float32).reshape(len(languages), n) for _, _, n, parts in received(table, "answer")]
+    value = np.concatenate(told, axis=1).astype(np.float64) if told else np.zeros((len(languages), 0))
+    doc, some = np.repeat(np.arange(len(ids)), np.diff(offsets)), np.diff(offsets) > 0
+    names, score = np.full(len(ids), "und", object), np.zeros(len(ids))
     if len(live):
-        some = np.bincount(doc, minlength=len(ids)) > 0
+        sums = np.column_stack([np.bincount(doc, value[i][token], len(ids)) for i in live])
+        names = np.where(some, np.array(languages, object)[live[sums.argmax(axis=1)]], "und")
         score = np.where(some, 1 / np.exp(sums - sums.max(axis=1, keepdims=True)).sum(axis=1), 0.0)
-        names = [languages[live[b]] if s else "und" for b, s in zip(sums.argmax(axis=1).tolist(), some.tolist())]
-    return pd.DataFrame({"doc_id": pd.array(ids, "Int64"), "lang_pred": names, "score": score})
+    return pa.table({"doc_id": pa.array(ids, pa.int64(), mask=known == 0), "lang_pred": pa.array(names.tolist(), pa.string()), "score": score})
 
 
 def identify(docs: DataFrame, chunk_bytes: int = CHUNK_BYTES) -> DataFrame:
@@ -274,33 +191,34 @@ def identify(docs: DataFrame, chunk_bytes: int = CHUNK_BYTES) -> DataFrame:
 
     Learned from rows with a language whose crc32(doc_id) mod 4 is not 2. Texts that are null or without a letter, and
     all texts where nothing could be learned, are `und` with score 0. Ties go to the language first by code point.
-    Rows with null or repeated ids are rows of their own; other columns are ignored.
+    Rows with null or repeated ids are rows of their own; other columns are ignored; an empty table gives an empty result.
+    A task holds a chunk of about `chunk_bytes` of text, or one longer text, and a number for each of its distinct words
+    and each language.
     """
-    train = F.col("lang").isNotNull() & F.col("text").isNotNull() & (crc_mod("doc_id", 4) != 2)
-    # texts without a letter don't make a language
-    lettered = docs.where(train & F.col("text").rlike(r"[A-Za-z\x{80}-\x{10FFFF}]"))
-    languages = sorted((r["lang"] for r in lettered.select("lang").distinct().limit(MOST_LANGUAGES + 1).collect()), key=lambda x: x.encode("utf-8", "surrogatepass"))
-    if len(languages) > MOST_LANGUAGES:
-        raise ValueError(f"more than {MOST_LANGUAGES} languages")
-    held_out = (crc_mod("doc_id", 4) == 2).alias("held_out")
+    scratch = Scratch(docs.sparkSession, "langid")
+    train = F.col("lang").isNotNull() & F.col("text").isNotNull() & (crc_mod("doc_id", PARTS) != HELD_OUT)
+    languages = sorted((r["lang"] for r in docs.where(train).select("lang").distinct().collect()), key=lambda x: x.encode("utf-8", "surrogatepass"))
+    held_out = (crc_mod("doc_id", PARTS) == HELD_OUT).alias("held_out")
     number = F.coalesce(F.when(train, F.array_position(F.array(*map(F.lit, languages)), F.col("lang")) - 1), F.lit(-1)) if languages else F.lit(-1)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", number.cast("int").alias("number"))
     if not languages:
         return docs.select("doc_id", held_out, F.lit("und").alias("lang_pred"), F.lit(0.0).alias("score"))
-    buckets, many = chunk_count(docs, chunk_bytes), len(languages)
-
-    def ask(batches):
-        task = TaskContext.get().partitionId()
-        for i, pdf in enumerate(_chunks(batches, chunk_bytes)):
-            yield _ask(pdf, (task << 32) + i, buckets, many)
-
-    asked = cut(docs.mapInPandas(ask, ASK))  # once, as chunks are numbered by task
-    answers = cut(asked.where("bucket >= 0").groupBy("bucket").applyInPandas(lambda pdf: _answer(pdf, many), ANSWER))
+    buckets, many = sizes(docs), len(languages)
+    words = scratch.save(by_chunk(docs, lambda number, rows: _begin(number, rows, buckets, many), chunk_bytes), "words")
+    counted = scratch.save(answered(words, lambda b, asked: _count_words(b, asked, buckets, many)), "counted")
+    scratch.drop("words/role=ask")
+    release(docs.sparkSession)
+    grams = scratch.save(answered(counted, lambda b, asked: _count_ngrams(b, asked, many), level=1), "grams")
+    scratch.drop("counted/role=ask")
     release(docs.sparkSession)
     stats = np.zeros(KINDS * many + KINDS)
-    for r in answers.where("stats IS NOT NULL").select("stats").mapInPandas(_stats, "at int, n long").groupBy("at").agg(F.sum("n").alias("n")).collect():
-        stats[r["at"]] = r["n"]
-    totals, found = stats[:-KINDS].reshape(KINDS, many), stats[-KINDS:]
-    own = asked.where("bucket < 0").select("chunk", "rows", "ids").groupBy("chunk")
-    scored = own.cogroup(answers.drop("stats").groupBy("chunk")).applyInPandas(lambda d, a: _score(d, a, languages, totals, found), "doc_id long, lang_pred string, score double")
+    for r in counted.unionByName(grams).where("role = 'stats'").groupBy("level").agg(F.sum("n").alias("n")).collect():
+        stats[r["level"]] = r["n"]
+    totals, found = stats[: KINDS * many].reshape(KINDS, many), stats[KINDS * many :]
+    own = [counted.where("role IN ('words', 'map')"), grams.where("role = 'answer'")]
+    values = scratch.save(rejoined(own, lambda number, table: _value(number, table, buckets, many, totals, found), MESSAGE), "values")
+    scratch.drop("counted", "grams")
+    release(docs.sparkSession)
+    live = np.flatnonzero(totals[0] > 0)
+    scored = rejoined([words, values], lambda number, table: _score(table, languages, live), "doc_id long, lang_pred string, score double")
     return scored.select("doc_id", held_out, "lang_pred", "score")

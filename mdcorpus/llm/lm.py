@@ -1,117 +1,159 @@
 """Language-model scoring by deleted interpolation of bigram, unigram and uniform estimates.
 
-Every chunk of documents sends its distinct unigrams and bigrams with their counts in training documents to the
-buckets that own them and gets the corpus counts back. Mixture weights depend on how often the context was seen; they
-are learned by expectation-maximisation on counts from which the token at hand has been deleted.
+Every chunk of documents sends its distinct words, then its distinct bigrams, with their counts in training documents to the
+buckets that own them and gets the corpus counts back; words and pairs of words are told apart exactly. A bigram with a word
+that no other chunk's training documents have is counted where it is. Mixture weights depend on how often the context was
+seen; they are learned by expectation-maximisation on the tokens of a tenth of the documents, whose counts are taken away
+from those of the corpus for that; the estimates that are mixed in the end are of all training documents.
 """
 
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import chunk_count, crc_mod, cut, dealt, release
-from .keyed import bucket_slices, pack, short, unpack
-from .textvec import BASE, U, encoded, hash_words, mix
+from .common import crc_mod, release
+from .exchange import CHUNK_BYTES, MESSAGE, Scratch, answered, by_chunk, bytes_of, dealt, dealt_words, freeze, messages, numbered_words, received, rejoined, sizes, slices, words_of
+from .textvec import BASE, U, mix
 
-CHUNK_BYTES = 16 << 20
-KEY_BYTES = 6
-END, START = U(0x0123456789ABCDEF), U(0xFEDCBA9876543210)
-#: Contexts are told apart by the power of two of their count; estimates by their power of two, for the weights only.
-CONTEXTS, LEVELS = 24, 48
+#: Of the documents by crc32 of their ids modulo PARTS: HELD_OUT is never learned from, TUNING serves to learn the weights.
+PARTS, HELD_OUT, TUNING = 10, 0, 5
+#: Contexts are told apart by the power of two of their count.
+CONTEXTS = 40
+#: For the weights, tokens whose estimates agree to a quarter of a power of two are taken together, with their mean estimates.
+STEPS, LEVELS = 4, 161
 EM_STEPS = 60
 FLOOR = 1e-6
+#: The name of what stands before a document; words' names are larger.
+START = 0
+
+
+def _begin(number: int, rows: pa.Table, buckets: int) -> list[tuple]:
+    """The chunk's tokens; its distinct words, and the end of a text (the word of no bytes), with their counts."""
+    words, inner, offsets = numbered_words(pc.ascii_lower(rows.column("text")))
+    words = pa.concat_arrays([words, pa.array([b""], pa.binary())])
+    n = np.diff(offsets) + 1
+    offsets = np.concatenate([[0], np.cumsum(n)])
+    token = np.full(int(offsets[-1]), len(words) - 1)
+    inside = np.ones(len(token), bool)
+    inside[offsets[1:] - 1] = False
+    token[inside] = inner
+    order, edges = dealt_words(words, buckets)
+    place = np.empty(len(order), np.int64)
+    place[order] = np.arange(len(order))
+    token, words = place[token], words.take(pa.array(order))
+    ids, part = rows.column("doc_id"), rows.column("part").to_numpy()
+    count, tuning = (np.bincount(token, np.repeat(own, n), len(words)).astype(np.int64) for own in (part != HELD_OUT, part == TUNING))
+    state = freeze(token, offsets, ids.fill_null(0).to_numpy(), ids.is_valid().to_numpy(), part, count)
+    asks = [("ask", 0, number, b, s.stop - s.start, freeze(*bytes_of(words[s.start : s.stop]), count[s], tuning[s])) for b, s in slices(edges)]
+    return [("state", 0, number, -1, 0, state), *asks]
+
+
+def _totals(which: np.ndarray, *counts: np.ndarray) -> list[np.ndarray]:
+    return [np.bincount(which, c).astype(np.int64) for c in counts]
+
+
+def _answer_words(bucket: int, asked: list, buckets: int) -> list[tuple]:
+    """The name and counts of each word; and how many tokens, tuning tokens and distinct words of training documents there are."""
+    coded = pa.concat_arrays([words_of(*parts[:2]) for *_, parts in asked]).dictionary_encode()
+    own = coded.indices.to_numpy().astype(np.int64)
+    count, tuning = _totals(own, *(np.concatenate([parts[k] for *_, parts in asked]) for k in (2, 3)))
+    edges = np.cumsum([0] + [n for _, _, n, _ in asked])
+    rows = [("answer", 0, c, bucket, n, freeze(own[s:e] * buckets + bucket + START + 1, count[own[s:e]], tuning[own[s:e]])) for (c, _, n, _), s, e in zip(asked, edges[:-1], edges[1:])]
+    return rows + [("stats", i, -1, bucket, int(x), None) for i, x in enumerate((count.sum(), tuning.sum(), (count > 0).sum()))]
 
 
 class Chunk:
-    """Tokens of one chunk's documents, with their distinct unigram and bigram keys."""
-
-    def __init__(self, pdf: pd.DataFrame):
-        words, offsets = hash_words([t.lower() for t in encoded(pdf["text"])])
-        n = np.diff(offsets) + 1
-        self.offsets = np.concatenate([[0], np.cumsum(n)])
-        self.token = np.full(int(self.offsets[-1]), END)
-        inner = np.ones(len(self.token), bool)
-        inner[self.offsets[1:] - 1] = False
-        self.token[inner] = words
-        self.first = self.offsets[:-1]
-        context = np.concatenate([[START], self.token[:-1]])
-        context[self.first] = START
-        self.doc = np.repeat(np.arange(len(n)), n)
-        self.train = pdf["train"].to_numpy(bool)[self.doc]
-        self.keys, self.at = zip(*(np.unique(k, return_inverse=True) for k in (self.token, mix(context * U(BASE) + mix(self.token)))))
-        self.is_first = np.zeros(len(self.token), bool)
-        self.is_first[self.first] = True
-
-    def counts(self, answers: pd.DataFrame, starts: int):
-        """Corpus counts of each token, of its bigram and of its context."""
+    """The tokens of one chunk's documents and their distinct bigrams."""
+
+    def __init__(self, table: pa.Table):
+        ((_, _, _, (self.token, self.offsets, self.ids, self.known, self.part, own)),) = received(table, "state")
+        self.name, self.count, self.tuning = (np.concatenate(x) for x in zip(*(parts for *_, parts in received(table, "answer", 0))))
+        n = len(self.name)
+        context = np.concatenate([[n], self.token[:-1]])[: len(self.token)]
+        context[self.offsets[:-1]] = n
+        self.doc = np.repeat(np.arange(len(self.ids)), np.diff(self.offsets))
+        code, self.bigram = np.unique(context * (n + 1) + self.token, return_inverse=True)
+        self.context, self.last = np.divmod(code, n + 1)
+        #: a word that no other chunk has in training documents settles the counts of its bigrams
+        only = np.append(own == self.count, False)
+        self.asks = np.flatnonzero(~only[self.context] & ~only[self.last])
+        self.name = np.append(self.name, START)
+
+    def local(self) -> tuple[np.ndarray, np.ndarray]:
+        """How often each bigram is in the chunk's training and tuning documents."""
+        part = self.part[self.doc]
+        return tuple(np.bincount(self.bigram, own, len(self.last)).astype(np.int64) for own in (part != HELD_OUT, part == TUNING))
+
+    def deal(self, buckets: int) -> tuple[np.ndarray, np.ndarray]:
+        x, y = self.name[self.context[self.asks]].astype(U), self.name[self.last[self.asks]].astype(U)
+        return dealt((mix(mix(x) + y * U(BASE)) % U(buckets)).astype(np.int64), buckets)
+
+    def ask(self, number: int, buckets: int) -> pa.Table:
+        order, edges = self.deal(buckets)
+        asks = self.asks[order]
+        x, y, (count, tuning) = self.name[self.context[asks]], self.name[self.last[asks]], (c[asks] for c in self.local())
+        return messages([("ask", 1, number, b, s.stop - s.start, freeze(x[s], y[s], count[s], tuning[s])) for b, s in slices(edges)])
+
+    def counts(self, table: pa.Table, buckets: int, starts: tuple[int, int]):
+        """Corpus counts, in all training and in tuning documents, of each bigram's last word, of the bigram and of its context."""
+        told = [parts for *_, parts in received(table, "answer", 1)]
         out = []
-        for kind in (0, 1):
-            own = answers[answers["kind"] == kind].sort_values("bucket")
-            total = np.concatenate([unpack(x, 5) for x in own["counts"]]) if len(own) else np.zeros(0, U)
-            if len(total) != len(self.keys[kind]):
+        for k, (local, own) in enumerate(zip(self.local(), (self.count, self.tuning))):
+            got = np.concatenate([parts[k] for parts in told]) if told else np.zeros(0, np.int64)
+            if len(got) != len(self.asks):
                 raise RuntimeError("a chunk's answers don't fit its keys")
-            out.append(total.astype(np.int64)[self.at[kind]])
-        one, two = out
-        context = np.concatenate([[starts], one[:-1]])
-        context[self.first] = starts
-        return one, two, context
+            local[self.asks[self.deal(buckets)[0]]] = got
+            out.append((own[self.last], local, np.append(own, starts[k])[self.context]))
+        return out
 
 
-ASK = "bucket int, kind int, chunk int, n int, keys binary, counts binary"
-ANSWER = "chunk int, bucket int, kind int, counts binary, found long, total long"
+def _answer_bigrams(bucket: int, asked: list) -> list[tuple]:
+    x, y, count, tuning = (np.concatenate(v) for v in zip(*(parts for *_, parts in asked)))
+    order = np.lexsort((y, x))
+    which = np.empty(len(x), np.int64)
+    which[order] = np.cumsum(np.concatenate([[True], (np.diff(x[order]) != 0) | (np.diff(y[order]) != 0)])) - 1
+    count, tuning = (t[which] for t in _totals(which, count, tuning))
+    edges = np.cumsum([0] + [n for _, _, n, _ in asked])
+    return [("answer", 1, c, bucket, n, freeze(count[s:e], tuning[s:e])) for (c, _, n, _), s, e in zip(asked, edges[:-1], edges[1:])]
 
 
-def _ask(pdf: pd.DataFrame, buckets: int) -> pd.DataFrame:
-    c = Chunk(pdf)
-    number, rows = int(pdf["chunk"].iloc[0]), []
-    for kind in (0, 1):
-        counts = np.bincount(c.at[kind], c.train, len(c.keys[kind])).astype(np.int64)
-        rows += [(b, kind, number, s.stop - s.start, pack(short(c.keys[kind][s], buckets, KEY_BYTES), KEY_BYTES), pack(counts[s], 4)) for b, s in bucket_slices(c.keys[kind], buckets)]
-    return pd.DataFrame(rows, columns=[c.split()[0] for c in ASK.split(", ")])
+def context_bucket(count: np.ndarray) -> np.ndarray:
+    return np.minimum(np.frexp(count.astype(float))[1], CONTEXTS - 1)
 
 
-def _answer(pdf: pd.DataFrame) -> pd.DataFrame:
-    keys = np.concatenate([unpack(x, KEY_BYTES) for x in pdf["keys"]])
-    counts = np.concatenate([unpack(x, 4) for x in pdf["counts"]]).astype(np.int64)
-    distinct, inverse = np.unique(keys, return_inverse=True)
-    totals = np.bincount(inverse, counts, len(distinct)).astype(np.int64)
-    edges = np.concatenate([[0], np.cumsum(pdf["n"])])
-    out = pdf[["chunk", "bucket", "kind"]].copy()
-    out["counts"] = [pack(totals[inverse[a:b]], 5) for a, b in zip(edges[:-1], edges[1:])]
-    out["found"], out["total"] = 0, 0
-    out.iloc[0, 4], out.iloc[0, 5] = int((totals > 0).sum()), int(totals.sum())
-    return out
+def estimates(one, two, context, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Maximum-likelihood estimates of bigrams and unigrams; 0 where the context, or anything, was not seen."""
+    return two / np.maximum(context, 1), one / max(n, 1)
 
 
-def _context_bucket(count: np.ndarray) -> np.ndarray:
-    return np.minimum(np.frexp(count.astype(float))[1], CONTEXTS - 1)
+def _level(f: np.ndarray) -> np.ndarray:
+    with np.errstate(divide="ignore"):
+        return np.where(f > 0, np.clip(np.floor(-np.log2(f) * STEPS), 0, LEVELS - 2), LEVELS - 1).astype(np.int64)
 
 
-def _estimates(one, two, context, n, v):
-    with np.errstate(divide="ignore", invalid="ignore"):
-        return np.where(context > 0, two / np.maximum(context, 1), 0.0), one / max(n, 1), 1.0 / (v + 1)
+CELLS = "cell long, tokens double, f2 double, f1 double"
 
 
-def _histogram(docs: pd.DataFrame, answers: pd.DataFrame, n: int, v: int, starts: int) -> pd.DataFrame:
-    """How many training tokens have each (context bucket, level of f2, level of f1), with themselves deleted."""
-    if not len(docs):
-        return pd.DataFrame({"cell": [], "tokens": []}, dtype="int64")
-    c = Chunk(docs)
-    one, two, context = (x[c.train] - 1 for x in c.counts(answers, starts))
-    f2, f1, _ = _estimates(one, two, context, n - 1, v)
-    level = lambda f: np.where(f > 0, np.clip(1 - np.frexp(f)[1], 0, LEVELS - 2), LEVELS - 1)
-    cell, tokens = np.unique((_context_bucket(context) * LEVELS + level(f2)) * LEVELS + level(f1), return_counts=True)
-    return pd.DataFrame({"cell": cell, "tokens": tokens})
+def _cells(table: pa.Table, buckets: int, n: int, starts: tuple[int, int]) -> pa.Table:
+    """The chunk's tuning tokens by context and level of their estimates without tuning documents: their number and sums of estimates."""
+    c = Chunk(table)
+    times = c.local()[1].astype(float)
+    whole, tuning = c.counts(table, buckets, starts)
+    one, two, context = (w - t for w, t in zip(whole, tuning))
+    f2, f1 = estimates(one, two, context, n)
+    cell, which = np.unique((context_bucket(context) * LEVELS + _level(f2)) * LEVELS + _level(f1), return_inverse=True)
+    sums = [np.bincount(which, times * f, len(cell)) for f in (np.ones(len(f2)), f2, f1)]
+    some = sums[0] > 0
+    return pa.table({"cell": cell[some], "tokens": sums[0][some], "f2": sums[1][some], "f1": sums[2][some]})
 
 
-def learn_weights(cells: np.ndarray, tokens: np.ndarray, v: int) -> np.ndarray:
-    """Weights (bigram, unigram, uniform) of each context bucket, by expectation-maximisation."""
-    value = np.where(np.arange(LEVELS) < LEVELS - 1, 0.75 * 2.0 ** -np.arange(LEVELS), 0.0)
-    bucket, l2, l1 = cells // LEVELS**2, cells // LEVELS % LEVELS, cells % LEVELS
-    f = np.column_stack([value[l2], value[l1], np.full(len(cells), 1.0 / (v + 1))])
+def learn_weights(bucket: np.ndarray, tokens: np.ndarray, f2: np.ndarray, f1: np.ndarray, v: int) -> np.ndarray:
+    """Weights (bigram, unigram, uniform) of each context bucket, by expectation-maximisation; of all where a bucket has no token."""
+    f = np.column_stack([f2, f1, np.full(len(bucket), 1.0 / (v + 1))])
 
     def em(rows) -> np.ndarray:
         w = np.full(3, 1 / 3)
@@ -122,45 +164,51 @@ def learn_weights(cells: np.ndarray, tokens: np.ndarray, v: int) -> np.ndarray:
             w /= w.sum()
         return w
 
-    overall = em(np.ones(len(cells), bool))
+    overall = em(np.ones(len(bucket), bool))
     return np.array([em(bucket == b) if tokens[bucket == b].sum() else overall for b in range(CONTEXTS)])
 
 
-def _score(docs: pd.DataFrame, answers: pd.DataFrame, weights: np.ndarray, n: int, v: int, starts: int) -> pd.DataFrame:
-    columns = ["doc_id", "n_tokens", "n_known", "base_score", "score"]
-    if not len(docs):
-        return pd.DataFrame([], columns=columns)
-    c = Chunk(docs)
-    one, two, context = c.counts(answers, starts)
-    f2, f1, f0 = _estimates(one, two, context, n, v)
-    w = weights[_context_bucket(context)]
-    p = w[:, 0] * f2 + w[:, 1] * f1 + w[:, 2] * f0
-    per = lambda x: np.bincount(c.doc, x, len(docs))
+def _score(table: pa.Table, buckets: int, weights: np.ndarray, n: int, v: int, starts: tuple[int, int]) -> pa.Table:
+    c = Chunk(table)
+    (one, two, context), _ = c.counts(table, buckets, starts)
+    f2, f1 = estimates(one, two, context, n)
+    w = weights[context_bucket(context)]
+    p = w[:, 0] * f2 + w[:, 1] * f1 + w[:, 2] / (v + 1)
+    per = lambda x: np.bincount(c.doc, x[c.bigram], len(c.ids))
     base = np.log10((one + 0.1) / (n + 0.1 * (v + 1)))
-    return pd.DataFrame({"doc_id": docs["doc_id"].astype("Int64").array, "n_tokens": np.diff(c.offsets), "n_known": per(one > 0).astype(np.int64), "base_score": per(base), "score": per(np.log10(p))})
+    ids = pa.array(c.ids, pa.int64(), mask=c.known == 0)
+    return pa.table({"doc_id": ids, "n_tokens": np.diff(c.offsets), "n_known": per(one > 0).astype(np.int64), "base_score": per(base), "score": per(np.log10(p))})
 
 
 def lm_scores(docs: DataFrame, chunk_bytes: int = CHUNK_BYTES) -> DataFrame:
     """(doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score) for every row of `docs(doc_id, text)`.
 
     Documents whose crc32(doc_id) mod 10 is not 0 are learned from. Null and empty texts are a single end token; rows
-    with null or repeated ids are rows of their own (a null id is hashed as empty text); other columns are ignored.
-    With no training documents every token gets the uniform share.
+    with null or repeated ids are rows of their own (a null id is hashed as empty text); words may be of any length; other
+    columns are ignored; an empty table gives an empty result. With no training documents every token gets the uniform
+    share of an equal mixture. A task holds a chunk of about `chunk_bytes` of text, or one longer text.
     """
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", (crc_mod("doc_id", 10) != 0).alias("train"))
-    starts = docs.where("train").count()
-    chunks = chunk_count(docs, chunk_bytes)
-    by_chunk = dealt(docs, chunks).groupBy("chunk")
-    asked = by_chunk.applyInPandas(lambda pdf: _ask(pdf, chunks), ASK)
-    answers = cut(asked.groupBy("bucket", "kind").applyInPandas(_answer, ANSWER))
+    scratch = Scratch(docs.sparkSession, "lm")
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", crc_mod("doc_id", PARTS).cast("int").alias("part"))
+    starts = docs.agg(F.count_if(F.col("part") != HELD_OUT), F.count_if(F.col("part") == TUNING)).first()
+    starts = int(starts[0]), int(starts[1])
+    buckets = sizes(docs)
+    words = scratch.save(by_chunk(docs, lambda number, rows: _begin(number, rows, buckets), chunk_bytes), "words")
+    told = scratch.save(answered(words, lambda b, asked: _answer_words(b, asked, buckets)), "answers0")
+    scratch.drop("words/role=ask")
+    release(docs.sparkSession)
+    stats = {r["level"]: r["n"] for r in told.where("role = 'stats'").groupBy("level").agg(F.sum("n").alias("n")).collect()}
+    n, tuning, v = (int(stats.get(i, 0)) for i in range(3))
+    told = told.where("role = 'answer'")
+    asked = rejoined([words, told], lambda number, table: Chunk(table).ask(number, buckets), MESSAGE)
+    more = scratch.save(answered(asked, lambda b, got: _answer_bigrams(b, got), level=1), "answers1")
     release(docs.sparkSession)
-    n, v = answers.where("kind = 0").agg(F.sum("total"), F.sum("found")).first()
-    n, v = n or 0, v or 0
-    both = by_chunk.cogroup(answers.groupBy("chunk"))
-    cells = both.applyInPandas(lambda d, a: _histogram(d, a, n, v, starts), "cell long, tokens long")
-    cells = cells.groupBy("cell").agg(F.sum("tokens").alias("tokens")).toPandas().sort_values("cell")  # CONTEXTS * LEVELS**2 rows at most
+    tables = [words, told, more]
+    cells = rejoined(tables, lambda number, table: _cells(table, buckets, n - tuning, starts), CELLS)
+    cells = cells.groupBy("cell").agg(*[F.sum(x).alias(x) for x in ("tokens", "f2", "f1")]).toPandas().sort_values("cell")  # CONTEXTS * LEVELS**2 rows at most
     release(docs.sparkSession)
-    weights = learn_weights(cells["cell"].to_numpy(np.int64), cells["tokens"].to_numpy(np.float64), v)
-    scored = both.applyInPandas(lambda d, a: _score(d, a, weights, n, v, starts), "doc_id long, n_tokens long, n_known long, base_score double, score double")
-    held_out = (crc_mod("doc_id", 10) == 0).alias("held_out")
+    cells = cells.astype({"cell": "int64"})
+    weights = learn_weights((cells["cell"] // LEVELS**2).to_numpy(), *(x.to_numpy(float) for x in (cells["tokens"], cells["f2"] / cells["tokens"], cells["f1"] / cells["tokens"])), v)
+    scored = rejoined(tables, lambda number, table: _score(table, buckets, weights, n, v, starts), "doc_id long, n_tokens long, n_known long, base_score double, score double")
+    held_out = (crc_mod("doc_id", PARTS) == HELD_OUT).alias("held_out")
     return scored.select("doc_id", held_out, "n_tokens", "n_known", F.lit(n).cast("long").alias("train_tokens"), "base_score", "score")
