@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+from uuid import uuid4
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -12,15 +13,50 @@ WORD = r"[^\x20\x09-\x0D]+"
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: `spark.checkpoint.dir`, or one of our own where that is unset."""
+    """The folder that driver and executors share: `spark.checkpoint.dir`; in local mode, one of our own where that is unset."""
     path = spark.conf.get("spark.checkpoint.dir", None)
     current = spark.sparkContext._jsc.sc().getCheckpointDir()
     if not current.isDefined():
+        if not path and not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir names no folder that driver and executors share")
         spark.sparkContext.setCheckpointDir(path or tempfile.mkdtemp(prefix="spark-checkpoint-"))
         current = spark.sparkContext._jsc.sc().getCheckpointDir()
     return current.get()
 
 
+class Scratch:
+    """Intermediate tables in the shared folder: written whole, so that later steps survive lost executors, and deleted once
+    nothing reads them."""
+
+    def __init__(self, spark: SparkSession, name: str):
+        self.spark, self.top = spark, f"{shared_dir(spark)}/{name}-{uuid4().hex}"
+
+    def save(self, df: DataFrame, name: str, by: str | None = None) -> DataFrame:
+        writer = df.write.partitionBy(by) if by else df.write
+        writer.parquet(f"{self.top}/{name}")
+        return self.spark.read.schema(df.schema).parquet(f"{self.top}/{name}")
+
+    def drop(self, *names: str) -> None:
+        jvm, conf = self.spark._jvm, self.spark.sparkContext._jsc.hadoopConfiguration()
+        for name in names:
+            path = jvm.org.apache.hadoop.fs.Path(f"{self.top}/{name}")
+            path.getFileSystem(conf).delete(path, True)
+
+
+def fresh(columns: list[str], name: str) -> str:
+    """`name`, or a longer one, such that no column has it."""
+    taken = {c.lower() for c in columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
+def numbered(docs: DataFrame) -> tuple[DataFrame, str]:
+    """`docs`, written to the shared folder with a number for each row, and the name of that column."""
+    row = fresh(docs.columns, "row")
+    return Scratch(docs.sparkSession, "numbered").save(docs.withColumn(row, F.monotonically_increasing_id()), "rows"), row
+
+
 def cut(df: DataFrame) -> DataFrame:
     """`df`, computed once and written to the shared folder, so that later steps survive lost executors."""
     shared_dir(df.sparkSession)
@@ -32,9 +68,25 @@ def release(spark: SparkSession) -> None:
     import gc
 
     gc.collect()
+    spark.range(1).count()  # a session holds on to its last query
     spark.sparkContext._jvm.System.gc()
 
 
+def first_by_hash(rows: DataFrame, most: int) -> DataFrame:
+    """Of `rows` with a hash `h` the distinct ones with the least hashes, `most` at most; all, if there are no more.
+
+    Of many rows only those below a hash are sorted that lets pass a few more than `most`, so no task gets all.
+    """
+    rows = cut(rows)
+    many = rows.agg(F.approx_count_distinct("h", 0.02)).first()[0]
+    share = 1.1 * (most + 10 * most**0.5 + 100) / max(1, many)
+    if share < 0.5:
+        below = rows.where(F.col("h") < int(share * 2.0**64) - 2**63).distinct()
+        if below.count() >= most:
+            return below.orderBy("h", *rows.columns).limit(most)
+    return rows.distinct().orderBy("h", *rows.columns).limit(most)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

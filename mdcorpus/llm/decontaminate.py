@@ -1,23 +1,26 @@
 """Benchmark decontamination: a BM25 index of test items, queried with every passage of every document.
 
 An item's weights are divided by their sum, so a score says which share of the item a passage holds, and one threshold
-serves all items. Items are indexed in shards of bounded size; a shard is broadcast and the documents pass it once.
-In a task, block-max WAND runs over a batch of passages at a time: sums of block maxima say for every passage which
-blocks of items can reach the threshold, the others are skipped unread, and those left are scored in full, so that
-every item above the threshold is returned. A retrieved item counts as leaked if the document also holds enough of the word n-grams of
-its question and of its answer.
+serves all items. Items are indexed in shards of bounded size; a few shards are broadcast at a time and the documents pass them once.
+In a task, block-max WAND runs over a batch of passages in step: each passage has a cursor for each of its terms on the term's
+list of blocks of items; cursors are kept in the order of their blocks, the terms' maxima say at which cursor the threshold can
+first be reached, the cursors before it skip to its block, and if the maxima of that block reach the threshold, its items are
+scored in full. So every item above the threshold is returned. A retrieved item counts as leaked if the words around the passage
+also hold enough of the word n-grams of its question and of its answer.
 """
 
 from __future__ import annotations
 
+import pickle
 import re
-from itertools import groupby
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import Scratch
+from .exchange import ramp
 from .textvec import ALNUM, BASE, U, blocks, hash_words, mix
 
 K1, B = 1.2, 0.75
@@ -26,12 +29,12 @@ OVERLAP = 0.5
 NGRAM = 5
 #: A passage is two half passages; an item part of up to HALF words lies in one passage wherever it starts.
 HALF = 64
-BLOCK = 4
-SHARD_BYTES = 4 << 20
-#: Bounds held at once.
-DENSE = 1 << 22
-#: The commonest terms are left out of the first bound, as far as they can add no more than this to any block.
-COMMON = 0.1
+BLOCK = 8
+SHARD_BYTES, SHARDS_HELD = 4 << 20, 4
+#: Texts searched together, in bytes.
+BATCH = 1 << 19
+#: Sums in another order may differ by so much.
+SLACK = 1e-9
 
 
 def lowered(texts) -> list[bytes]:
@@ -69,77 +72,84 @@ class Index:
 
     def __init__(self, postings: pd.DataFrame, texts: pd.DataFrame):
         names = ["item_id", "text_id", "part"]
-        part_keys = postings[names].drop_duplicates().sort_values(names)
-        self.items = part_keys["item_id"].to_numpy()
-        number = {k: i for i, k in enumerate(part_keys.itertuples(index=False, name=None))}
-        part = np.array([number[k] for k in postings[names].itertuples(index=False, name=None)], np.int64)
+        part = postings.groupby(names, sort=True).ngroup().to_numpy()
+        self.items = postings[names].drop_duplicates().sort_values(names)["item_id"].to_numpy()
         term, weight = postings["term"].to_numpy(np.int64).view(U), postings["weight"].to_numpy(np.float64)
         weight = weight / np.bincount(part, weight, len(self.items))[part]
         self.terms, inverse = np.unique(term, return_inverse=True)
         order = np.lexsort((part, inverse))
         inverse, self.part, self.share = inverse[order], part[order], weight[order]
-        self.first = np.searchsorted(inverse, np.arange(len(self.terms) + 1))
-        # block maxima, term by term
+        # an entry is a term's postings in one block: entries by term and block, their maxima and first postings
         self.n_blocks = (len(self.items) + BLOCK - 1) // BLOCK
-        code = inverse * max(1, self.n_blocks) + self.part // BLOCK
-        starts = np.flatnonzero(np.diff(code, prepend=-1)) if len(code) else np.zeros(0, np.int64)
-        self.block = self.part[starts] // BLOCK
-        self.block_max = np.maximum.reduceat(self.share, starts) if len(starts) else np.zeros(0)
-        self.block_first = np.searchsorted(inverse[starts], np.arange(len(self.terms) + 1))
-        # the commonest terms
-        spread = np.diff(self.block_first)
-        self.common = np.zeros(len(self.terms), bool)
-        self.common_bound = np.zeros(self.n_blocks)
-        for t in np.argsort(-np.diff(self.first), kind="stable")[:4096]:
-            s = slice(self.block_first[t], self.block_first[t + 1])
-            bound = self.common_bound.copy()
-            bound[self.block[s]] += self.block_max[s]
-            if spread[t] < 2 or bound.max() > COMMON:
-                break
-            self.common_bound, self.common[t] = bound, True
-        self.parts_of = {}
+        code = inverse * (self.n_blocks + 1) + self.part // BLOCK
+        starts = np.flatnonzero(np.diff(code, prepend=-1))
+        self.entry, self.posting = code[starts], np.append(starts, len(code))
+        self.block, self.most = self.part[starts] // BLOCK, np.maximum.reduceat(self.share, starts) if len(starts) else np.zeros(0)
+        self.first = np.searchsorted(inverse[starts], np.arange(len(self.terms) + 1))
+        self.bound = np.maximum.reduceat(self.most, self.first[:-1]) if len(starts) else np.zeros(0)
+        self.texts: dict[int, list] = {}
         for item, text in texts[["item_id", "text"]].itertuples(index=False, name=None):
             words = hash_words(lowered([text]), ALNUM)[0]
-            self.parts_of.setdefault(item, []).append(question_and_answer(words, text))
+            self.texts.setdefault(item, []).append((len(words), *question_and_answer(words, text)))
 
     def term_numbers(self, words: np.ndarray) -> np.ndarray:
         """The number of each word's term, or -1."""
         at = np.minimum(np.searchsorted(self.terms, words), len(self.terms) - 1)
         return np.where(self.terms[at] == words, at, -1)
 
-    def pivots(self, half: np.ndarray, term: np.ndarray, n_halves: int):
-        """(half, block) pairs whose block maxima let the passage of a half and the next reach the threshold.
+    def candidates(self, passage: np.ndarray, term: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(passage, block) pairs whose block maxima reach the threshold, by WAND over lists of blocks.
 
-        half and term: of each indexed word. All other blocks are skipped without a look at their postings.
+        passage, term: the distinct terms of each passage, by passage.
         """
-        rare = ~self.common[term]
-        code = np.unique(half[rare] * len(self.terms) + term[rare])
-        half, term = code // len(self.terms), code % len(self.terms)
-        n = np.diff(self.block_first)[term]
-        at = np.repeat(self.block_first[term] - np.cumsum(n) + n, n) + np.arange(n.sum())
-        half, block, bound = np.repeat(half, n), self.block[at], self.block_max[at]
-        step = max(2, DENSE // max(1, self.n_blocks))
-        for lo in range(0, n_halves, step):
-            size = min(step, n_halves - lo) + 1
-            s = slice(*np.searchsorted(half, [lo, lo + size]))
-            sums = np.bincount((half[s] - lo) * self.n_blocks + block[s], bound[s], size * self.n_blocks).reshape(size, self.n_blocks)
-            h, k = np.nonzero(sums[:-1] + sums[1:] + self.common_bound >= THRESHOLD - 1e-9)
-            yield from zip((h + lo).tolist(), k.tolist())
-
-    def retrieve(self, terms: np.ndarray, blocks: list[int]) -> list[tuple[int, float]]:
-        """Every part in the blocks whose share held by the distinct terms reaches the threshold."""
-        n = np.diff(self.first)[terms]
-        at = np.repeat(self.first[terms] - np.cumsum(n) + n, n) + np.arange(n.sum())
-        part, share = self.part[at], self.share[at]
-        inside = np.isin(part // BLOCK, blocks)
-        scores = np.bincount(part[inside], share[inside], len(self.items)) if inside.any() else np.zeros(0)
-        found = np.flatnonzero(scores >= THRESHOLD - 1e-9)
-        return list(zip(found.tolist(), scores[found].tolist()))
+        found = [(np.zeros(0, np.int64), np.zeros(0, np.int64))]
+        reach = np.bincount(passage, self.bound[term])[passage] >= THRESHOLD - SLACK
+        passage, term = passage[reach], term[reach]
+        at = self.first[term]
+        while len(passage):
+            block = self.block[at]
+            order = np.argsort(passage * (self.n_blocks + 1) + block, kind="stable")
+            passage, term, at, block = passage[order], term[order], at[order], block[order]
+            new = np.concatenate([[True], passage[1:] != passage[:-1]])
+            starts, own = np.flatnonzero(new), np.cumsum(new) - 1
+            # the pivot: the first cursor at which the terms' bounds reach the threshold
+            sums = np.cumsum(self.bound[term])
+            pivot = np.searchsorted(sums, np.where(starts > 0, sums[starts - 1], 0.0) + THRESHOLD - SLACK)
+            alive = pivot < np.append(starts[1:], len(passage))
+            target = np.where(alive, block[np.minimum(pivot, len(block) - 1)], -1)
+            # all cursors before the pivot are at its block: look at the block's maxima, and go on behind it
+            here = np.flatnonzero((alive & (block[starts] == target))[own] & (block == target[own]))
+            most = np.bincount(own[here], self.most[at[here]], len(starts))
+            reach = np.flatnonzero(most >= THRESHOLD - SLACK)
+            found.append((passage[starts[reach]], target[reach]))
+            at[here] += 1
+            # others skip to the pivot's block
+            behind = np.flatnonzero(block < target[own])
+            at[behind] = np.searchsorted(self.entry, term[behind] * (self.n_blocks + 1) + target[own[behind]])
+            left = np.flatnonzero(alive[own] & (at < self.first[term + 1]))
+            passage, term, at = passage[left], term[left], at[left]
+        return tuple(map(np.concatenate, zip(*found)))
+
+    def retrieve(self, passage: np.ndarray, term: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(passage, item part, score) of every part whose share held by a passage's distinct terms reaches the threshold."""
+        which, block = self.candidates(passage, term)
+        lo, hi = np.searchsorted(passage, which), np.searchsorted(passage, which, side="right")
+        pair = np.repeat(np.arange(len(which)), hi - lo)
+        code = term[ramp(lo, hi - lo)] * (self.n_blocks + 1) + block[pair]
+        at = np.minimum(np.searchsorted(self.entry, code), len(self.entry) - 1)
+        hit = self.entry[at] == code
+        at, pair = at[hit], pair[hit]
+        size = self.posting[at + 1] - self.posting[at]
+        posting, pair = ramp(self.posting[at], size), np.repeat(pair, size)
+        place, slot = np.unique(pair * len(self.items) + self.part[posting], return_inverse=True)
+        score = np.bincount(slot, self.share[posting], len(place))
+        found = np.flatnonzero(score >= THRESHOLD - SLACK)
+        return which[place[found] // len(self.items)], place[found] % len(self.items), score[found]
 
     def leaks(self, doc_ids: list, texts: list[bytes]) -> list[tuple]:
         """(doc_id, item_id, first word of the passage, score, question overlap, answer overlap) of each leak."""
         rows = []
-        for a, b in blocks(texts):
+        for a, b in blocks(texts, BATCH) if len(self.terms) else ():
             words, offsets = hash_words(texts[a:b], ALNUM)
             term = self.term_numbers(words)
             halves = (np.diff(offsets) + HALF - 1) // HALF + 1  # and an empty one behind each document
@@ -147,21 +157,21 @@ class Index:
             doc = np.repeat(np.arange(b - a), np.diff(offsets))
             half = first_half[doc] + (np.arange(len(words)) - offsets[doc]) // HALF
             hit = np.flatnonzero(term >= 0)
+            half, term = half[hit], term[hit]
+            # passage i: halves i and i + 1; the half before a document's first is the empty one of the document before
+            inner = half > first_half[doc[hit]]
+            code = np.unique(np.concatenate([half, half[inner] - 1]) * len(self.terms) + np.concatenate([term, term[inner]]))
             best: dict[tuple, tuple] = {}
-            for h, pairs in groupby(self.pivots(half[hit], term[hit], int(first_half[-1])), key=lambda x: x[0]):
+            for h, part, score in zip(*(x.tolist() for x in self.retrieve(code // len(self.terms), code % len(self.terms)))):
                 d = int(np.searchsorted(first_half, h, side="right")) - 1
-                at = int(offsets[d]) + (h - int(first_half[d])) * HALF
-                own = term[at : min(at + 2 * HALF, int(offsets[d + 1]))]
-                for part, score in self.retrieve(np.unique(own[own >= 0]), [k for _, k in pairs]):
-                    key = (d, self.items[part])
-                    if key not in best or score > best[key][0]:
-                        best[key] = (score, at - int(offsets[d]))
+                key, place = (d, self.items[part]), (-score, (h - int(first_half[d])) * HALF)
+                best[key] = min(best.get(key, place), place)
             for (d, item), (score, at) in sorted(best.items()):
-                own = words[offsets[d] : offsets[d + 1]]
-                for question, answer in self.parts_of[item]:
+                for size, question, answer in self.texts[item]:
+                    own = words[offsets[d] + max(0, at - size) : min(offsets[d] + at + 2 * HALF + size, offsets[d + 1])]
                     q, r = overlap(question, own), overlap(answer, own)
                     if q >= OVERLAP and r >= OVERLAP:
-                        rows.append((doc_ids[a + d], int(item), at, score, q, r))
+                        rows.append((doc_ids[a + d], int(item), at, -score, q, r))
                         break
         return rows
 
@@ -179,38 +189,56 @@ def _terms(batches):
         yield pd.DataFrame(rows, columns=["item_id", "text_id", "part", "term", "tf", "n"])
 
 
+def _index(texts: pd.DataFrame, postings: pd.DataFrame) -> pd.DataFrame:
+    """One shard's index, in parts that a row can hold."""
+    rows = pickle.dumps(Index(postings, texts.sort_values(["item_id", "text"])))
+    parts = [rows[i : i + PART_BYTES] for i in range(0, len(rows), PART_BYTES)]
+    return pd.DataFrame({"shard": int(texts["shard"].iloc[0]) if len(texts) else -1, "part": range(len(parts)), "body": parts})
+
+
+PART_BYTES = 16 << 20
+
+
 def leaks(docs: DataFrame, benchmark: DataFrame, shard_bytes: int = SHARD_BYTES) -> DataFrame:
     """One row for each document and test item that it leaks: (doc_id, item_id, passage, score, question, answer).
 
     `docs(doc_id, text)` are queried whole, `benchmark(item_id, text)` is indexed whole. Words are runs of letters and
-    digits, lower-cased. `passage` is the first word of the best passage. Null and empty texts, and test items without
-    words or with a null id, take part in nothing; repeated rows give rows of their own; an item id that is repeated
-    counts once for each document, and each of its texts is searched for on its own; other columns are ignored. Without items or documents the result is empty.
+    digits (and all beyond ASCII), lower-cased. `passage` is the first word of the passage of the highest score, of equal ones
+    the first. Question and answer are looked for in that passage and as many words on both sides as the item has. Null and
+    empty texts, and test items without words or with a null id, take part in nothing; repeated rows give rows of their own; an
+    item id that is repeated counts once for each document, and each of its texts is searched for on its own; other columns are
+    ignored. Without items or documents the result is empty.
     """
-    spark = docs.sparkSession
+    spark, scratch = docs.sparkSession, Scratch(docs.sparkSession, "decontamination")
     schema = "doc_id long, item_id long, passage int, score double, question double, answer double"
     docs = docs.select(F.col("doc_id").cast("long"), "text")
-    items = benchmark.select(F.col("item_id").cast("long"), "text").where("item_id IS NOT NULL AND text IS NOT NULL")
-    terms = items.dropDuplicates().withColumn("text_id", F.xxhash64("text")).mapInPandas(_terms, "item_id long, text_id long, part int, term long, tf int, n int")
-    terms = terms.groupBy("item_id", "text_id", "part", "term").agg(F.sum("tf").alias("tf"), F.sum("n").alias("n"))
+    items = benchmark.select(F.col("item_id").cast("long"), "text").where("item_id IS NOT NULL AND text IS NOT NULL").dropDuplicates()
+    size = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    shards = max(1, -(-size // shard_bytes))
+    items = items.withColumns({"text_id": F.xxhash64("text"), "shard": F.pmod(F.xxhash64("item_id"), F.lit(shards)).cast("int")})
+    terms = items.select("item_id", "text_id", "text").mapInPandas(_terms, "item_id long, text_id long, part int, term long, tf int, n int")
+    terms = scratch.save(terms.groupBy("item_id", "text_id", "part", "term").agg(F.sum("tf").alias("tf"), F.sum("n").alias("n")), "terms")
     all_parts = terms.groupBy("item_id", "text_id", "part").agg(F.max("n").alias("n")).agg(F.count("*").alias("parts"), F.avg("n").alias("mean")).first()
+    out = spark.createDataFrame([], schema)
+    if not all_parts["parts"]:
+        return out
     df = terms.groupBy("term").agg(F.count("*").alias("df"))
     idf = F.log(1 + (F.lit(all_parts["parts"]) - F.col("df") + 0.5) / (F.col("df") + 0.5))
     norm = F.lit(K1) * (1 - B + B * F.col("n") / F.lit(all_parts["mean"] or 1.0))
-    postings = terms.join(df, "term").select("item_id", "text_id", "part", "term", (idf * F.col("tf") * (K1 + 1) / (F.col("tf") + norm)).alias("weight"))
-    size = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    shards = max(1, -(-size // shard_bytes))
-    out = spark.createDataFrame([], schema)
-    for s in range(shards):
-        mine = F.pmod(F.xxhash64("item_id"), F.lit(shards)) == s
-        own = postings.where(mine).toPandas()
-        if not len(own):
-            continue
-        index = spark.sparkContext.broadcast(Index(own, items.where(mine).dropDuplicates().orderBy("item_id", "text").toPandas()))
-
-        def run(batches, index=index):
+    weight = idf * F.col("tf") * (K1 + 1) / (F.col("tf") + norm)
+    postings = terms.join(df, "term").select("item_id", "text_id", "part", "term", weight.alias("weight"), F.pmod(F.xxhash64("item_id"), F.lit(shards)).cast("int").alias("shard"))
+    indexes = items.groupBy("shard").cogroup(postings.groupBy("shard")).applyInPandas(lambda t, p: _index(t, p), "shard int, part int, body binary")
+    indexes = scratch.save(indexes, "indexes")
+    for first in range(0, shards, SHARDS_HELD):
+        bodies: dict[int, list] = {}
+        for r in indexes.where(F.col("shard").between(first, first + SHARDS_HELD - 1)).orderBy("shard", "part").collect():  # SHARDS_HELD shards of bounded text
+            bodies.setdefault(r["shard"], []).append(bytes(r["body"]))
+        held = spark.sparkContext.broadcast([pickle.loads(b"".join(b)) for b in bodies.values()])
+
+        def run(batches, held=held):
             for pdf in batches:
-                rows = index.value.leaks(pdf["doc_id"].astype(object).where(pdf["doc_id"].notna(), None).tolist(), lowered(pdf["text"]))
+                ids, texts = pdf["doc_id"].astype(object).where(pdf["doc_id"].notna(), None).tolist(), lowered(pdf["text"])
+                rows = [r for index in held.value for r in index.leaks(ids, texts)]
                 yield pd.DataFrame(rows, columns=[c.split()[0] for c in schema.split(", ")]).astype({"doc_id": "Int64"})
 
         out = out.union(docs.mapInPandas(run, schema))

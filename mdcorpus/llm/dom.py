@@ -4,11 +4,14 @@ from __future__ import annotations
 
 import html
 import re
+from bisect import bisect_right
 from collections import Counter
 
 import numpy as np
 
-TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<![^>]*>|<\?[^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:\"[^\"]*\"|'[^']*'|[^'\">])*)>", re.S)
+NAME = re.compile(r"<(/?)([a-zA-Z][^\s/>]*)")
+#: What is left of a tag up to its end, which a quoted value may hold.
+REST = re.compile(r"(?:\"[^\"]*\"|'[^']*'|[^'\">])*+>")
 ATTRIBUTE = re.compile(r"(class|id|role|itemprop|aria-label)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
 SPACE = re.compile(r"\s+")
 INLINE = frozenset("a abbr acronym b bdi bdo big br cite code data del dfn em font i img ins kbd label mark meter q rp rt ruby s samp small span strike strong sub sup time tt u var wbr".split())
@@ -17,28 +20,16 @@ INLINE |= frozenset(
     "object param math mi mo mn ms mtext mrow mfrac msqrt mroot msup msub msubsup munder mover munderover mmultiscripts mprescripts mtable mtr mtd mstyle mspace mpadded "
     "mphantom menclose merror maction semantics annotation annotation-xml".split()
 )
-#: What these hold is never text of the page; RAW has no tags inside and goes on to the end of the page if not closed.
+INLINE |= frozenset("button svg g path text tspan defs circle rect line polygon polyline ellipse use symbol lineargradient radialgradient stop clippath mask pattern filter desc".split())
+#: What these hold is never text of the page; it has no tags inside and goes on to the end of the page if not closed.
 RAW = frozenset("script style title textarea iframe".split())
-DROPPED = frozenset("noscript template svg select button".split())
 HEAD = frozenset("base basefont bgsound link meta noframes noscript script style template title".split())
 CLOSING = {name: re.compile(rf"</{name}(?=[\s/>])", re.I | re.A) for name in RAW}
-#: The end of a dropped element, or (group 1) a tag that it can't hold, so that its own end was left out.
-CLOSING |= {
-    name: re.compile(rf"</{name}(?=[\s/>])|<({within})(?=[\s/>])", re.I | re.A)
-    for name, within in {
-        "noscript": "noscript", "template": "body", "svg": "article|main|section|body|nav|header|footer|aside|form",
-        "select": "select|article|main|section|body|nav|header|footer|aside|form|p|h[1-6]", "button": "button|article|main|section|body|nav|header|footer|aside|form|h[1-6]",
-    }.items()
-}
+#: What a page doesn't show: up to its end tag, unless the body begins first.
+HIDDEN = re.compile(r"</template(?=[\s/>])|<(body)(?=[\s/>])", re.I | re.A)
 CLOSES = {"p": {"p"}, "li": {"li"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "option": {"option"}}
 SCOPES = frozenset("ul ol dl table body article section div main td th".split())
-GOOD_WORDS = frozenset("article content post entry story main body text page news blog column".split())
-BAD_WORDS = frozenset(
-    "ad ads advert advertisement banner sponsor sponsored promo nav navigation navbar menu breadcrumb breadcrumbs footer foot header head masthead "
-    "sidebar side aside widget related recommended share social comment comments reply respond discussion notice cookie consent gdpr popup modal "
-    "overlay form login subscribe newsletter search tags meta pagination pager toolbar copyright legal disclaimer alert".split()
-)
-BAD_TAGS = frozenset("nav header footer aside form fieldset menu dialog".split())
+BAD_TAGS = frozenset("nav header footer aside form fieldset select menu dialog".split())
 GOOD_TAGS = frozenset("article main".split())
 
 
@@ -60,76 +51,147 @@ def marks_of(attributes: str) -> frozenset:
     return frozenset(found)
 
 
+class Tags:
+    """The tags of a page, one after the other, in time in proportion to the page however broken it is."""
+
+    def __init__(self, page: str):
+        self.page, self.at = page, 0
+        self.last = page.rfind(">")
+        self.quotes = True
+
+    def next(self) -> tuple[str, str, str, str] | None:
+        """(text before, "/" or "", lower-case name, rest) of the next tag; a name of "" for comments and the like; None at the end."""
+        page, start, at = self.page, self.at, self.at
+        while True:
+            at = page.find("<", at)
+            if at < 0:
+                return None
+            if page.startswith("<!--", at):
+                end = page.find("-->", at + 4)
+                self.at = len(page) if end < 0 else end + 3
+                return page[start:at], "", "", ""
+            if at > self.last:
+                return None
+            if page[at + 1] in "!?":
+                self.at = page.find(">", at) + 1
+                return page[start:at], "", "", ""
+            m = NAME.match(page, at)
+            if m:
+                break
+            at += 1
+        stop = page.find(">", m.end())
+        rest = page[m.end() : stop]
+        if self.quotes and ('"' in rest or "'" in rest):
+            whole = REST.match(page, m.end())
+            if whole:
+                stop = whole.end() - 1
+                rest = page[m.end() : stop]
+            else:
+                self.quotes = False  # from here on they don't come in pairs
+        self.at = stop + 1
+        return page[start:at], m[1], m[2].lower(), rest
+
+
+class Opened:
+    """The open elements, and where in the stack those of each name are."""
+
+    def __init__(self, root: Node):
+        self.stack, self.named, self.scopes = [root], {}, []
+
+    def push(self, node: Node) -> None:
+        self.named.setdefault(node.tag, []).append(len(self.stack))
+        if node.tag in SCOPES and node.tag not in ("td", "th"):
+            self.scopes.append(len(self.stack))
+        self.stack.append(node)
+
+    def cut(self, at: int) -> None:
+        """Close the element at this place of the stack and all within."""
+        while len(self.stack) > at:
+            node = self.stack.pop()
+            self.named[node.tag].pop()
+            if self.scopes and self.scopes[-1] == len(self.stack):
+                self.scopes.pop()
+
+    def close(self, name: str) -> None:
+        if self.named.get(name):
+            self.cut(self.named[name][-1])
+
+    def close_within(self, names) -> None:
+        """Close the outermost element of one of these names within the innermost scope."""
+        inside = self.scopes[-1] if self.scopes else 0
+        places = []
+        for name in names:
+            own = self.named.get(name, ())
+            i = bisect_right(own, inside)
+            if i < len(own):
+                places.append(own[i])
+        if places:
+            self.cut(min(places))
+
+
 def parse(page: str) -> Node:
     root = Node("#root", frozenset(), None)
-    here, pieces, linked, in_link = root, [], 0, 0
-    in_head, unclosed = False, set()
+    opened, tags = Opened(root), Tags(page)
+    pieces, linked, in_link = [], 0, 0
+    in_head, shown_from = False, 0
 
     def close_text():
         nonlocal pieces, linked
         text = SPACE.sub(" ", html.unescape("".join(pieces))).strip()
         if text:
-            leaf = Node("#text", frozenset(), here)
+            leaf = Node("#text", frozenset(), opened.stack[-1])
             leaf.text, leaf.linked = text, min(linked, len(text))
         pieces, linked = [], 0
 
-    at = 0
-    while at < len(page):
-        m = TOKEN.search(page, at)
-        text = page[at : m.start() if m else len(page)]
+    while True:
+        tag = tags.next()
+        text, end, name, rest = tag or (page[tags.at :], "", "", "")
         in_head = in_head and not text.strip()
         if text and not in_head:
             pieces.append(text)
             linked += len(text) if in_link else 0
-        if not m:
+        if tag is None:
             break
-        at = m.end()
-        name = (m[2] or "").lower()
         if not name:
             continue
         if name == "head":
-            in_head = not m[1]
+            in_head = not end
             continue
-        if in_head and m[1] and name not in ("body", "html"):
+        if in_head and end and name not in ("body", "html"):
             continue
-        in_head = in_head and name in HEAD and not m[1]
+        in_head = in_head and name in HEAD and not end
         if name in INLINE:
             if name == "a":
-                in_link = 0 if m[1] else 1
+                in_link = 0 if end else 1
             elif name == "br":
                 pieces.append(" ")
             continue
-        if name in RAW or name in DROPPED:
-            if not m[1] and not m[3].endswith("/") and name not in unclosed:
-                stop = CLOSING[name].search(page, at)
-                if name in RAW:
-                    at = ((page.find(">", stop.end()) + 1) or len(page)) if stop else len(page)
-                elif stop is None:
-                    unclosed.add(name)
-                elif not stop[1]:
-                    at = (page.find(">", stop.end()) + 1) or len(page)
+        if name in RAW:
+            if not end and not rest.endswith("/"):
+                stop = CLOSING[name].search(page, tags.at)
+                tags.at = ((page.find(">", stop.end()) + 1) or len(page)) if stop else len(page)
+            continue
+        if name == "template":
+            if not end and not rest.endswith("/") and tags.at >= shown_from:
+                stop = HIDDEN.search(page, tags.at)
+                if stop and not stop[1]:
+                    tags.at = (page.find(">", stop.end()) + 1) or len(page)
+                else:  # left open: what follows is read up to there, and the search isn't made again
+                    shown_from = stop.start() if stop else len(page)
             continue
         close_text()
         in_link = 0
-        if m[1]:
-            node = here
-            while node is not root and node.tag != name:
-                node = node.parent
-            here = node.parent if node is not root else here
+        if end:
+            opened.close(name)
             continue
         if name in VOID:
             continue
-        if here.tag == "p":
-            here = here.parent
-        closing = CLOSES.get(name, ())
-        node = here
-        while closing and node is not root and node.tag not in SCOPES - {"td", "th"}:
-            if node.tag in closing:
-                here = node.parent
-            node = node.parent
-        node = Node(name, marks_of(m[3]), here)
-        if not m[3].endswith("/"):
-            here = node
+        if opened.stack[-1].tag == "p":
+            opened.cut(len(opened.stack) - 1)
+        opened.close_within(CLOSES.get(name, ()))
+        node = Node(name, marks_of(rest), opened.stack[-1])
+        if not rest.endswith("/"):
+            opened.push(node)
     close_text()
     return root
 
@@ -140,8 +202,12 @@ FEATURES = (
 )
 
 
-def features(root: Node) -> tuple[list[Node], np.ndarray]:
-    """The nodes below the root in page order, and a row of FEATURES for each."""
+#: What a telling tag counts beside the log odds of attribute words, and the most that those count.
+TELLING = 4.0
+
+
+def features(root: Node, odds: dict[str, float]) -> tuple[list[Node], np.ndarray]:
+    """The nodes below the root in page order, and a row of FEATURES for each. odds: learned log odds of attribute words."""
     nodes: list[Node] = []
     stack = [(c, 1) for c in reversed(root.children)]
     while stack:
@@ -156,7 +222,7 @@ def features(root: Node) -> tuple[list[Node], np.ndarray]:
         node.ps = (node.tag == "p" and node.chars > 0) + sum(c.ps for c in node.children)
         node.below = node.text if len(node.text) else (node.children[0].below if node.children else "")
     rows = np.zeros((len(nodes), len(FEATURES)))
-    signs: dict[int, tuple] = {id(root): (0, 0)}
+    signs: dict[int, tuple] = {id(root): (0.0, 0.0)}
     page = max(1, root.chars)
     places, tags = {}, {}  # of each child among its siblings; of each parent how many children have each tag
     for parent in (root, *nodes):
@@ -165,9 +231,10 @@ def features(root: Node) -> tuple[list[Node], np.ndarray]:
     for row, node in zip(rows, nodes):
         up = node.parent
         bad_tag, good_tag = node.tag in BAD_TAGS, node.tag in GOOD_TAGS
-        bad_mark, good_mark = bool(node.marks & BAD_WORDS), bool(node.marks & GOOD_WORDS)
+        mark = min(TELLING, max(-TELLING, sum(odds.get(m, 0.0) for m in node.marks))) if node.marks else 0.0
+        bad_mark, good_mark = max(0.0, -mark), max(0.0, mark)
         bad_up, good_up = signs[id(up)]
-        signs[id(node)] = (max(bad_up, bad_tag or (bad_mark and not good_tag)), max(good_up, good_tag or (good_mark and not bad_mark)))
+        signs[id(node)] = (max(bad_up, TELLING * bad_tag, 0.0 if good_tag else bad_mark), max(good_up, TELLING * good_tag, good_mark))
         text = node.text or node.below
         stops = sum(text.count(c) for c in ".!?")
         words = text.count(" ") + 1

@@ -9,16 +9,15 @@ from __future__ import annotations
 
 import pickle
 from collections.abc import Callable, Iterator
-from uuid import uuid4
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import zstandard
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import shared_dir
+from .common import Scratch
 from .textvec import _SYMBOLS, Spans
 
 #: role: what the row is for; level: which round it belongs to; n: how many keys; body: packed arrays.
@@ -72,22 +71,8 @@ def sizes(docs: DataFrame, bucket_bytes: int = BUCKET_BYTES) -> int:
     return max(LEAST_BUCKETS, -(-total // bucket_bytes))
 
 
-class Scratch:
-    """Intermediate tables in the shared folder: written whole, so that later steps survive lost executors, and deleted once
-    nothing reads them."""
-
-    def __init__(self, spark: SparkSession, name: str):
-        self.spark, self.top = spark, f"{shared_dir(spark)}/{name}-{uuid4().hex}"
-
-    def save(self, df: DataFrame, name: str) -> DataFrame:
-        df.write.partitionBy("role").parquet(f"{self.top}/{name}")
-        return self.spark.read.schema(df.schema).parquet(f"{self.top}/{name}")
-
-    def drop(self, *names: str) -> None:
-        jvm, conf = self.spark._jvm, self.spark.sparkContext._jsc.hadoopConfiguration()
-        for name in names:
-            path = jvm.org.apache.hadoop.fs.Path(f"{self.top}/{name}")
-            path.getFileSystem(conf).delete(path, True)
+def save(scratch: Scratch, messages: DataFrame, name: str) -> DataFrame:
+    return scratch.save(messages, name, "role")
 
 
 def chunked(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[pa.Table]:
@@ -157,7 +142,7 @@ def bytes_of(words: pa.Array) -> tuple[np.ndarray, bytes]:
     words = pa.concat_arrays([words])
     _, offsets, data = words.buffers()
     offsets = np.frombuffer(offsets, np.int32)[words.offset : words.offset + len(words) + 1] if len(words) else np.zeros(1, np.int32)
-    return np.diff(offsets), (data.to_pybytes() if data else b"")[offsets[0] : offsets[-1]]
+    return np.diff(offsets), bytes(memoryview(data)[offsets[0] : offsets[-1]]) if data else b""
 
 
 def words_of(lengths: np.ndarray, data: bytes) -> pa.Array:

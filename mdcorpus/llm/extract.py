@@ -18,6 +18,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import first_by_hash
 from .dom import BAD_TAGS, Node, features, parse
 
 #: Learning pages, the first by a hash of page and id.
@@ -33,8 +34,11 @@ SEED = 42
 class Trees:
     """Gradient boosting for two classes, on histograms of binned features."""
 
-    def __init__(self, x: np.ndarray, y: np.ndarray):
-        self.edges = [np.unique(np.quantile(c, np.linspace(0, 1, BINS + 1)[1:-1], method="lower")) for c in x.T]
+    def __init__(self, x: np.ndarray, y: np.ndarray, odds: dict[str, float]):
+        self.odds = odds
+        cuts = np.linspace(0, 1, BINS + 1)[1:-1]
+        # those of the values other than 0 too, so that rare ones have bins
+        self.edges = [np.unique(np.concatenate([np.quantile(v, cuts, method="lower") for v in (c, c[c != 0]) if len(v)])) for c in x.T]
         bins = np.column_stack([np.searchsorted(e, c, side="right") for e, c in zip(self.edges, x.T)])
         mean = np.clip(y.mean(), 0.01, 0.99)
         self.start = float(np.log(mean / (1 - mean)))
@@ -91,29 +95,38 @@ class Trees:
 def _teach(root: Node) -> dict[int, int]:
     """id(node) -> 1 within an article or main element (but not within its asides, forms and the like), else 0; -1 for
     nodes that hold both."""
-    out: dict[int, int] = {}
-
-    def walk(node, inside):
+    order, todo = [], [(root, 0)]
+    while todo:
+        node, inside = todo.pop()
         if node.tag in ("article", "main"):
             inside = 1
         elif node.tag in BAD_TAGS or "not-text" in node.marks or {"not", "text"} <= node.marks:
             inside = 0
-        if not node.children:
-            out[id(node)] = inside
-            return {inside}
-        found = set().union(*(walk(c, inside) for c in node.children))
-        out[id(node)] = found.pop() if len(found) == 1 else -1
-        return {0, 1} if out[id(node)] < 0 else {out[id(node)]}
-
-    walk(root, 0)
+        order.append((node, inside))
+        todo += [(c, inside) for c in node.children]
+    out: dict[int, int] = {}
+    for node, inside in reversed(order):
+        found = {out[id(c)] for c in node.children}
+        out[id(node)] = inside if not found else found.pop() if len(found) == 1 else -1
     return out
 
 
+def attribute_odds(examples: list[tuple[Node, dict[int, int]]]) -> dict[str, float]:
+    """Log odds, by pages, that a node with a word in its class, id or role is text; of words in two pages at least."""
+    counts: dict[str, list[int]] = {}
+    for root, label in examples:
+        seen = {(m, label[id(n)]) for n in _all(root) for m in n.marks if label[id(n)] >= 0}
+        for mark, y in seen:
+            counts.setdefault(mark, [0, 0])[y] += 1
+    return {m: float(np.log((n[1] + 0.5) / (n[0] + 0.5))) for m, n in counts.items() if sum(n) > 1}
+
+
 def versions(page: str, other: str, rng: random.Random):
     """(page, its labels' form) variants: the page as it is and with sections added; and the same with neutral tags."""
     words = re.sub(r"<[^>]*>", " ", re.sub(r"(?s)<(script|style).*?</\1>", " ", other)).split() or ["word"]
     some = lambda a, b: html.escape(html.unescape(" ".join(rng.choices(words, k=rng.randint(a, b)))))
     added = [
+        f'<div class="{rng.choice(ASIDES)} not-text"><p>{some(3, 40)}</p></div>',
         f'<div class="{rng.choice(["comments", "comment-list", "discussion", "responses"])} not-text">' + "".join(f'<div class="{rng.choice(["comment", "reply"])}"><p>{some(5, 60)}</p></div>' for _ in range(rng.randint(1, 4))) + "</div>",
         f'<aside class="{rng.choice(["sidebar", "widget", "related", ""])}"><h3>{some(1, 4)}</h3><ul>' + "".join(f'<li><a href="#">{some(1, 6)}</a></li>' for _ in range(rng.randint(2, 6))) + f"</ul><p>{some(5, 30)}</p></aside>",
         f'<div class="{rng.choice(["notice", "cookie-consent", "alert", "banner"])} not-text"><p>{some(5, 30)}</p></div>',
@@ -145,16 +158,25 @@ def versions(page: str, other: str, rng: random.Random):
     return page
 
 
+#: Names of sections that are no text, for sections added to the learning pages; the trees see the words only as far as the pages teach them.
+ASIDES = [
+    "ads", "advertisement", "sponsor", "promo", "nav", "breadcrumb", "breadcrumbs", "foot", "head", "widget", "recommended", "share", "social", "respond", "gdpr", "popup", "modal", "overlay",
+    "login", "subscribe", "newsletter", "search", "tags", "meta", "pagination", "pager", "toolbar", "copyright", "legal", "disclaimer",
+]
 #: For the versions without telling tags: attributes that stand for a tag.
 STAND_INS = {
-    "article": ["content", "post", "entry-content", "story", "article-body", ""], "nav": ["menu", "navbar", "navigation", ""], "footer": ["footer", "site-footer", ""],
-    "header": ["masthead", "site-header", ""], "aside": ["sidebar", "side", "related", ""],
+    "article": ["content", "post", "entry-content", "story", "article-body", "main", "body text", "page-text", "news", "blog", "column", ""], "nav": ["menu", "navbar", "navigation", ""],
+    "footer": ["footer", "site-footer", ""], "header": ["masthead", "site-header", "header", ""], "aside": ["sidebar", "side", "related", ""],
 }
 
 
-def _examples(pages: list[str]) -> tuple[np.ndarray, np.ndarray]:
+def _examples(pages: list[str]) -> tuple[np.ndarray, np.ndarray, dict[str, float]]:
+    """Features and labels of the nodes of all versions, and the attributes' odds.
+
+    A page's features are made with the odds of the pages of the other half, so that the trees see words as they are on new pages.
+    """
     rng = random.Random(SEED)
-    xs, ys = [], []
+    halves: tuple[list, list] = ([], [])
     for i, page in enumerate(pages):
         for v in range(VERSIONS):
             own = page if v == 0 else versions(page, pages[rng.randrange(len(pages))], rng)
@@ -172,17 +194,22 @@ def _examples(pages: list[str]) -> tuple[np.ndarray, np.ndarray]:
                         around[at : at + 1] = node.children
                         for c in node.children:
                             c.parent = node.parent
-                        label[id(node.parent)] = -1 if len({label[id(c)] for c in around}) > 1 else label[id(around[0])]
+                        label[id(node.parent)] = -1 if len({label[id(c)] for c in around}) > 1 else label[id(around[0])] if around else 0
                     elif node.tag in STAND_INS:
-                        node.marks = node.marks | {w for w in rng.choice(STAND_INS[node.tag]).split("-") if w}
+                        node.marks = node.marks | {w for w in re.split("[- ]", rng.choice(STAND_INS[node.tag])) if w}
                         node.tag = "div"
             for node in _all(root):
-                node.marks = node.marks - {"not", "text"}
-            nodes, x = features(root)
+                node.marks = node.marks - {"not", "text"} if "not" in node.marks else node.marks
+            halves[i % 2].append((root, label))
+    xs, ys = [], []
+    odds = [attribute_odds(half) for half in halves]
+    for half, other in zip(halves, reversed(odds)):
+        for root, label in half:
+            nodes, x = features(root, other)
             y = np.array([label[id(n)] for n in nodes], float)
             xs.append(x[y >= 0])
             ys.append(y[y >= 0])
-    return np.concatenate(xs), np.concatenate(ys)
+    return np.concatenate(xs), np.concatenate(ys), attribute_odds(halves[0] + halves[1])
 
 
 def _all(root):
@@ -194,13 +221,18 @@ def _all(root):
 
 
 def fit(pages: DataFrame, rows: int = FIT_PAGES) -> Trees | None:
-    """Trees learned from at most `rows` pages of up to MOST_CHARS characters that have an article or main element."""
+    """Trees learned from at most `rows` pages of up to MOST_CHARS characters that have an article or main element.
+
+    Hashes are looked at first, so that the driver is sent `rows` distinct pages and no more.
+    """
     sample = pages.where(F.col("html").rlike("(?i)<(article|main)[\\s>]") & (F.length("html") <= MOST_CHARS)).select("html", F.xxhash64("page_id", "html").alias("h"))
-    chosen = [r["html"] for r in sample.orderBy("h", "html").limit(rows).collect()]
-    if not chosen:
+    hashes = first_by_hash(sample.select("h"), rows)
+    last = hashes.agg(F.max("h")).first()[0]
+    if last is None:
         return None
-    x, y = _examples(chosen)
-    return Trees(x, y) if 0 < y.mean() < 1 else None
+    chosen = sample.where(F.col("h") <= last).groupBy("h").agg(F.min("html").alias("html"))
+    x, y, odds = _examples([r["html"] for r in chosen.orderBy("h").collect()])
+    return Trees(x, y, odds) if 0 < y.mean() < 1 else None
 
 
 def decode(nodes: list[Node], logit: np.ndarray, root: Node) -> list[str]:
@@ -229,7 +261,7 @@ def decode(nodes: list[Node], logit: np.ndarray, root: Node) -> list[str]:
 
 def main_text(page: str | None, trees: Trees | None) -> str:
     root = parse(page or "")
-    nodes, x = features(root)
+    nodes, x = features(root, trees.odds if trees else {})
     if not nodes:
         return ""
     if trees is None:  # nothing to learn from: all text outside menus, headers and the like
@@ -267,7 +299,7 @@ def extracted(pages: DataFrame, rows: int = FIT_PAGES) -> DataFrame:
 
             for page in pdf["html"]:
                 root = parse(page if isinstance(page, str) else "")
-                held.append((root, *features(root)))
+                held.append((root, *features(root, trees.value.odds if trees.value else {})))
                 size += len(held[-1][1])
                 if size > limits:
                     flush()

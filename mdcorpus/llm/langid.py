@@ -17,8 +17,8 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import crc_mod, release
-from .exchange import CHUNK_BYTES, MESSAGE, Scratch, answered, by_chunk, bytes_of, dealt, dealt_words, freeze, messages, numbered_words, ramp, received, rejoined, sizes, slices, words_of
+from .common import Scratch, crc_mod, release
+from .exchange import CHUNK_BYTES, MESSAGE, answered, by_chunk, bytes_of, dealt, dealt_words, freeze, messages, numbered_words, ramp, received, rejoined, save, sizes, slices, words_of
 from .textvec import BASE, U, mix
 
 LONGEST = 5
@@ -39,7 +39,7 @@ def letter_words(texts: list[str | None]) -> tuple[pa.Array, np.ndarray, np.ndar
     chars = np.frombuffer("\n".join([*lowered, ""]).encode("utf-32-le", "surrogatepass"), "<u4").copy()
     chars[~letters()[chars]] = 0x20
     chars[np.cumsum([len(t) + 1 for t in lowered], dtype=np.int64) - 1] = 0x0A
-    return numbered_words(pa.array(chars.tobytes().decode("utf-32-le", "surrogatepass").encode("utf-8", "replace").split(b"\n")[:-1], pa.binary()).cast(pa.string()))
+    return numbered_words(pa.array(chars.tobytes().decode("utf-32-le", "surrogatepass").encode("utf-8", "replace").split(b"\n")[:-1], pa.binary()).view(pa.string()))
 
 
 def _begin(number: int, rows: pa.Table, buckets: int, languages: int) -> list[tuple]:
@@ -63,7 +63,7 @@ def _begin(number: int, rows: pa.Table, buckets: int, languages: int) -> list[tu
 
 def ngrams(words: pa.Array):
     """(n, word, key) of the n-grams of each length, longest last: the number of the word that each is in, and a hash of its characters."""
-    lengths = pc.utf8_length(words.cast(pa.string())).to_numpy().astype(np.int64)
+    lengths = pc.utf8_length(words.view(pa.string())).to_numpy().astype(np.int64)
     chars = np.frombuffer(bytes_of(words)[1].decode("utf-8").encode("utf-32-le"), "<u4").astype(U)
     word = np.repeat(np.arange(len(lengths)), lengths)
     left = np.repeat(np.cumsum(lengths), lengths) - np.arange(len(chars))  # characters from here to the word's end
@@ -204,11 +204,11 @@ def identify(docs: DataFrame, chunk_bytes: int = CHUNK_BYTES) -> DataFrame:
     if not languages:
         return docs.select("doc_id", held_out, F.lit("und").alias("lang_pred"), F.lit(0.0).alias("score"))
     buckets, many = sizes(docs), len(languages)
-    words = scratch.save(by_chunk(docs, lambda number, rows: _begin(number, rows, buckets, many), chunk_bytes), "words")
-    counted = scratch.save(answered(words, lambda b, asked: _count_words(b, asked, buckets, many)), "counted")
+    words = save(scratch, by_chunk(docs, lambda number, rows: _begin(number, rows, buckets, many), chunk_bytes), "words")
+    counted = save(scratch, answered(words, lambda b, asked: _count_words(b, asked, buckets, many)), "counted")
     scratch.drop("words/role=ask")
     release(docs.sparkSession)
-    grams = scratch.save(answered(counted, lambda b, asked: _count_ngrams(b, asked, many), level=1), "grams")
+    grams = save(scratch, answered(counted, lambda b, asked: _count_ngrams(b, asked, many), level=1), "grams")
     scratch.drop("counted/role=ask")
     release(docs.sparkSession)
     stats = np.zeros(KINDS * many + KINDS)
@@ -216,7 +216,7 @@ def identify(docs: DataFrame, chunk_bytes: int = CHUNK_BYTES) -> DataFrame:
         stats[r["level"]] = r["n"]
     totals, found = stats[: KINDS * many].reshape(KINDS, many), stats[KINDS * many :]
     own = [counted.where("role IN ('words', 'map')"), grams.where("role = 'answer'")]
-    values = scratch.save(rejoined(own, lambda number, table: _value(number, table, buckets, many, totals, found), MESSAGE), "values")
+    values = save(scratch, rejoined(own, lambda number, table: _value(number, table, buckets, many, totals, found), MESSAGE), "values")
     scratch.drop("counted", "grams")
     release(docs.sparkSession)
     live = np.flatnonzero(totals[0] > 0)

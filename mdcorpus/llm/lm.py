@@ -2,7 +2,7 @@
 
 Every chunk of documents sends its distinct words, then its distinct bigrams, with their counts in training documents to the
 buckets that own them and gets the corpus counts back; words and pairs of words are told apart exactly. A bigram with a word
-that no other chunk's training documents have is counted where it is. Mixture weights depend on how often the context was
+that no other chunk has is counted where it is. Mixture weights depend on how often the context was
 seen; they are learned by expectation-maximisation on the tokens of a tenth of the documents, whose counts are taken away
 from those of the corpus for that; the estimates that are mixed in the end are of all training documents.
 """
@@ -15,8 +15,8 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import crc_mod, release
-from .exchange import CHUNK_BYTES, MESSAGE, Scratch, answered, by_chunk, bytes_of, dealt, dealt_words, freeze, messages, numbered_words, received, rejoined, sizes, slices, words_of
+from .common import Scratch, crc_mod, release
+from .exchange import CHUNK_BYTES, MESSAGE, answered, by_chunk, bytes_of, dealt, dealt_words, freeze, messages, numbered_words, received, rejoined, save, sizes, slices, words_of
 from .textvec import BASE, U, mix
 
 #: Of the documents by crc32 of their ids modulo PARTS: HELD_OUT is never learned from, TUNING serves to learn the weights.
@@ -47,7 +47,7 @@ def _begin(number: int, rows: pa.Table, buckets: int) -> list[tuple]:
     token, words = place[token], words.take(pa.array(order))
     ids, part = rows.column("doc_id"), rows.column("part").to_numpy()
     count, tuning = (np.bincount(token, np.repeat(own, n), len(words)).astype(np.int64) for own in (part != HELD_OUT, part == TUNING))
-    state = freeze(token, offsets, ids.fill_null(0).to_numpy(), ids.is_valid().to_numpy(), part, count)
+    state = freeze(token, offsets, ids.fill_null(0).to_numpy(), ids.is_valid().to_numpy(), part)
     asks = [("ask", 0, number, b, s.stop - s.start, freeze(*bytes_of(words[s.start : s.stop]), count[s], tuning[s])) for b, s in slices(edges)]
     return [("state", 0, number, -1, 0, state), *asks]
 
@@ -57,12 +57,14 @@ def _totals(which: np.ndarray, *counts: np.ndarray) -> list[np.ndarray]:
 
 
 def _answer_words(bucket: int, asked: list, buckets: int) -> list[tuple]:
-    """The name and counts of each word; and how many tokens, tuning tokens and distinct words of training documents there are."""
+    """The name and counts of each word, and whether no other chunk has it; and how many tokens, tuning tokens and distinct words of training documents there are."""
     coded = pa.concat_arrays([words_of(*parts[:2]) for *_, parts in asked]).dictionary_encode()
     own = coded.indices.to_numpy().astype(np.int64)
     count, tuning = _totals(own, *(np.concatenate([parts[k] for *_, parts in asked]) for k in (2, 3)))
     edges = np.cumsum([0] + [n for _, _, n, _ in asked])
-    rows = [("answer", 0, c, bucket, n, freeze(own[s:e] * buckets + bucket + START + 1, count[own[s:e]], tuning[own[s:e]])) for (c, _, n, _), s, e in zip(asked, edges[:-1], edges[1:])]
+    alone = np.bincount(own) == 1
+    told = own * buckets + bucket + START + 1, count[own], tuning[own], alone[own]
+    rows = [("answer", 0, c, bucket, n, freeze(*(x[s:e] for x in told))) for (c, _, n, _), s, e in zip(asked, edges[:-1], edges[1:])]
     return rows + [("stats", i, -1, bucket, int(x), None) for i, x in enumerate((count.sum(), tuning.sum(), (count > 0).sum()))]
 
 
@@ -70,17 +72,17 @@ class Chunk:
     """The tokens of one chunk's documents and their distinct bigrams."""
 
     def __init__(self, table: pa.Table):
-        ((_, _, _, (self.token, self.offsets, self.ids, self.known, self.part, own)),) = received(table, "state")
-        self.name, self.count, self.tuning = (np.concatenate(x) for x in zip(*(parts for *_, parts in received(table, "answer", 0))))
+        ((_, _, _, (self.token, self.offsets, self.ids, self.known, self.part)),) = received(table, "state")
+        self.name, self.count, self.tuning, alone = (np.concatenate(x) for x in zip(*(parts for *_, parts in received(table, "answer", 0))))
         n = len(self.name)
         context = np.concatenate([[n], self.token[:-1]])[: len(self.token)]
         context[self.offsets[:-1]] = n
         self.doc = np.repeat(np.arange(len(self.ids)), np.diff(self.offsets))
         code, self.bigram = np.unique(context * (n + 1) + self.token, return_inverse=True)
         self.context, self.last = np.divmod(code, n + 1)
-        #: a word that no other chunk has in training documents settles the counts of its bigrams
-        only = np.append(own == self.count, False)
-        self.asks = np.flatnonzero(~only[self.context] & ~only[self.last])
+        #: the counts of bigrams with a word that no other chunk has, or no training document, are known here
+        settled = np.append((alone > 0) | (self.count == 0), False)
+        self.asks = np.flatnonzero(~settled[self.context] & ~settled[self.last])
         self.name = np.append(self.name, START)
 
     def local(self) -> tuple[np.ndarray, np.ndarray]:
@@ -193,15 +195,15 @@ def lm_scores(docs: DataFrame, chunk_bytes: int = CHUNK_BYTES) -> DataFrame:
     starts = docs.agg(F.count_if(F.col("part") != HELD_OUT), F.count_if(F.col("part") == TUNING)).first()
     starts = int(starts[0]), int(starts[1])
     buckets = sizes(docs)
-    words = scratch.save(by_chunk(docs, lambda number, rows: _begin(number, rows, buckets), chunk_bytes), "words")
-    told = scratch.save(answered(words, lambda b, asked: _answer_words(b, asked, buckets)), "answers0")
+    words = save(scratch, by_chunk(docs, lambda number, rows: _begin(number, rows, buckets), chunk_bytes), "words")
+    told = save(scratch, answered(words, lambda b, asked: _answer_words(b, asked, buckets)), "answers0")
     scratch.drop("words/role=ask")
     release(docs.sparkSession)
     stats = {r["level"]: r["n"] for r in told.where("role = 'stats'").groupBy("level").agg(F.sum("n").alias("n")).collect()}
     n, tuning, v = (int(stats.get(i, 0)) for i in range(3))
     told = told.where("role = 'answer'")
     asked = rejoined([words, told], lambda number, table: Chunk(table).ask(number, buckets), MESSAGE)
-    more = scratch.save(answered(asked, lambda b, got: _answer_bigrams(b, got), level=1), "answers1")
+    more = save(scratch, answered(asked, lambda b, got: _answer_bigrams(b, got), level=1), "answers1")
     release(docs.sparkSession)
     tables = [words, told, more]
     cells = rejoined(tables, lambda number, table: _cells(table, buckets, n - tuning, starts), CELLS)

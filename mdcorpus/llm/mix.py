@@ -101,7 +101,7 @@ def _select(pdf: pd.DataFrame, quotas: pd.DataFrame) -> pd.DataFrame:
     columns = ["doc_id", "row", "number", "size", "taken"]
     if not len(pdf):
         return pd.DataFrame([], columns=columns)
-    pdf = pdf.sort_values(["place", "doc_id", "size"], na_position="last")
+    pdf = pdf.sort_values(["place", "doc_id", "size", "row"], na_position="last")
     size = pdf["size"].to_numpy(np.int64)
     ends = np.cumsum(size)
     total = int(ends[-1])

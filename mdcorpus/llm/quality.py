@@ -9,10 +9,12 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, IntegerType, StructField, StructType
 
-from .common import crc_mod
+from .common import crc_mod, first_by_hash
 from .textvec import _SYMBOLS, SPACES, U, Spans, blocks, encoded, mix, word_bounds
 
 #: The model is fitted on this many labelled rows at most, the first by a hash of their ids.
@@ -185,32 +187,31 @@ def fit(docs: DataFrame, labels: DataFrame, rows: int = FIT_ROWS) -> Model:
     """
     chosen = labels.where(F.col("quality").isNotNull() & F.col("doc_id").isNotNull() & (crc_mod("doc_id", 3) != 1))
     chosen = chosen.groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.avg("quality").alias("y"))
-    chosen = chosen.orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows)  # bounded, so it may be broadcast
+    chosen = first_by_hash(chosen.withColumn("h", F.xxhash64("doc_id")), rows).drop("h")
 
     def run(batches):
         for pdf in batches:
             out = pd.DataFrame(features(encoded(pdf["text"])), columns=list(FEATURES))
             yield out.assign(doc_id=pdf["doc_id"], y=pdf["y"])
 
+    # of a repeated document the first text by hash counts
     found = docs.select(F.col("doc_id").cast("long"), "text").join(F.broadcast(chosen), "doc_id")
+    found = found.groupBy("doc_id", "y").agg(F.min_by("text", F.struct(F.xxhash64("text"), "text")).alias("text"))
     schema = ", ".join(f"{f} double" for f in FEATURES) + ", doc_id long, y double"
-    # repeated documents add at most as many rows again as the bound allows
-    sample = found.mapInPandas(run, schema).limit(2 * rows).toPandas().sort_values(["doc_id", *FEATURES])
+    sample = found.mapInPandas(run, schema).toPandas().sort_values("doc_id")  # `rows` rows at most
     return Model(sample[list(FEATURES)].to_numpy(), sample["y"].to_numpy())
 
 
-def scored(docs: DataFrame, model: Model) -> DataFrame:
-    """`docs` with `score` (0 to 1) and `predicted` (1 from 0.5 on); the text alone is looked at, whole."""
+def scored(docs: DataFrame, model: Model, score: str = "score", predicted: str = "predicted") -> DataFrame:
+    """`docs` with a column `score` (0 to 1) and one `predicted` (1 from 0.5 on); the text alone is looked at, whole."""
     held = docs.sparkSession.sparkContext.broadcast(model)
-    columns = docs.columns
 
     def run(batches):
-        for pdf in batches:
-            score = held.value.scores(features(encoded(pdf["text"])))
-            yield pdf[columns].assign(score=score, predicted=(score >= 0.5).astype("int32"))
+        for batch in batches:
+            p = held.value.scores(features([t or b"" for t in batch.column("text").cast(pa.binary()).to_pylist()]))
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(p), pa.array((p >= 0.5).astype(np.int32))], names=[*batch.schema.names, score, predicted])
 
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields)
-    return docs.mapInPandas(run, schema + ", score double, predicted int")
+    return docs.mapInArrow(run, StructType([*docs.schema.fields, StructField(score, DoubleType()), StructField(predicted, IntegerType())]))
 
 
 def quality_scores(docs: DataFrame, labels: DataFrame, rows: int = FIT_ROWS) -> DataFrame:

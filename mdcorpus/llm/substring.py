@@ -18,8 +18,8 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import release
-from .exchange import CHUNK_BYTES, MESSAGE, Scratch, answered, by_chunk, bytes_of, dealt, dealt_words, freeze, in_documents, messages, numbered_words, ramp, received, rejoined, sizes, slices, words_of
+from .common import Scratch, release
+from .exchange import CHUNK_BYTES, MESSAGE, answered, by_chunk, bytes_of, dealt, dealt_words, freeze, in_documents, messages, numbered_words, ramp, received, rejoined, save, sizes, slices, words_of
 from .textvec import BASE, U, mix
 
 WINDOW = 13
@@ -191,9 +191,11 @@ def _begin(number: int, rows: pa.Table, buckets: int, carry: list[str]) -> list[
     sink = pa.BufferOutputStream()
     with pa.ipc.new_stream(sink, rows.select(["doc_id", *carry]).schema) as w:
         w.write_table(rows.select(["doc_id", *carry]))
-    state = freeze(token, offsets, ids.fill_null(0).to_numpy(), ids.is_valid().to_numpy(), *bytes_of(words), sink.getvalue().to_pybytes())
+    state = freeze(token, offsets, ids.fill_null(0).to_numpy(), ids.is_valid().to_numpy())
+    # what only the last step needs does not go along before
+    own = freeze(*bytes_of(words), sink.getvalue().to_pybytes())
     asks = [("ask", 0, number, b, s.stop - s.start, freeze(*bytes_of(words[s.start : s.stop]), several[s])) for b, s in slices(edges)]
-    return [("state", 0, number, -1, 0, state), *asks]
+    return [("state", 0, number, -1, 0, state), ("own", 0, number, -1, 0, own), *asks]
 
 
 def _answer_words(bucket: int, asked: list, buckets: int) -> list[tuple]:
@@ -207,7 +209,7 @@ def _answer_words(bucket: int, asked: list, buckets: int) -> list[tuple]:
 
 def _open(number: int, table: pa.Table, window: int, buckets: int) -> pa.Table:
     """The stretches covered by windows without a word of one document only, and their first runs and pairs."""
-    ((_, _, _, (token, offsets, ids, known, *_)),) = received(table, "state")
+    ((_, _, _, (token, offsets, ids, known)),) = received(table, "state")
     told = [parts for *_, parts in received(table, "answer", 0)]
     name, lone = (np.concatenate(x) for x in zip(*told)) if told else (np.zeros(0, np.int64),) * 2
     n, doc = len(token), np.repeat(np.arange(len(ids)), np.diff(offsets))
@@ -307,7 +309,7 @@ def _answer_stretches(bucket: int, asked: list, window: int, level: int) -> list
 
 
 def _clean(table: pa.Table, window: int, rounds: int, carry: list[str] | None) -> pa.Table:
-    ((_, _, _, (token, offsets, ids, _, lengths, data, own)),) = received(table, "state")
+    ((_, _, _, (token, offsets, ids, _)),), ((_, _, _, (lengths, data, own)),) = received(table, "state"), received(table, "own")
     ((_, _, _, (first, kind, windows, least)),) = received(table, "state", 2)
     told = [np.unpackbits(np.frombuffer(x, np.uint8), count=n) for *_, (x, n) in received(table, "answer", rounds + 1)]
     smaller = np.concatenate(told).astype(bool) if told else np.zeros(0, bool)
@@ -324,7 +326,7 @@ def _clean(table: pa.Table, window: int, rounds: int, carry: list[str] | None) -
     n_words = np.diff(offsets)
     own = pa.ipc.open_stream(own).read_all().combine_chunks()
     columns = {"doc_id": own.column("doc_id"), "n_words": pa.array(n_words), "n_removed": pa.array(n_words - np.diff(edges)), "kept_sha256": pa.array([hashlib.sha256(t.as_py()).hexdigest() for t in texts])}
-    columns |= {"kept": texts.cast(pa.string())} if carry is not None else {}
+    columns |= {"kept": texts.view(pa.string())} if carry is not None else {}
     columns |= {f"carried_{i}": own.column(f"carried_{i}") for i in range(len(carry or []))}
     return pa.table(columns)
 
@@ -342,23 +344,30 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, rounds: int = ROUNDS,
     scratch, names = Scratch(docs.sparkSession, "substring"), [f"carried_{i}" for i in range(len(carry or []))]
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", *[F.col(f"`{c}`").alias(n) for c, n in zip(carry or [], names)])
     buckets = sizes(docs)
-    state = scratch.save(by_chunk(docs, lambda number, rows: _begin(number, rows, buckets, names), chunk_bytes), "words")
-    told = scratch.save(answered(state, lambda b, asked: _answer_words(b, asked, buckets)), "answers0")
-    tables = [scratch.save(rejoined([state, told], lambda number, table: _open(number, table, window, buckets), MESSAGE), "open")]
-    scratch.drop("answers0", "words/role=ask")
+    state = save(scratch, by_chunk(docs, lambda number, rows: _begin(number, rows, buckets, names), chunk_bytes), "words")
+    told = save(scratch, answered(state, lambda b, asked: _answer_words(b, asked, buckets)), "answers0")
+    scratch.drop("words/role=ask")
+    release(docs.sparkSession)
+    opened = save(scratch, rejoined([state.where("role = 'state'"), told], lambda number, table: _open(number, table, window, buckets), MESSAGE), "open")
+    scratch.drop("answers0")
+    release(docs.sparkSession)
+    tables = [opened]
     for level in range(1, rounds + 1):
 
         def ask(number, table, level=level):
             return messages(Open(table, window, level).asks(level, number))
 
-        asked = rejoined(tables, ask, MESSAGE) if level > 1 else tables[0]
+        def answer(bucket, asked, level=level):
+            return _answer_pairs(bucket, asked, buckets, level)
+
+        tables.append(save(scratch, answered(rejoined(tables, ask, MESSAGE) if level > 1 else opened, answer, level=level), f"answers{level}"))
+        scratch.drop("open/role=ask")
         release(docs.sparkSession)
-        tables.append(scratch.save(answered(asked, lambda b, got, level=level: _answer_pairs(b, got, buckets, level), level=level), f"answers{level}"))
-    release(docs.sparkSession)
-    stretches = scratch.save(rejoined(tables, lambda number, table: _ask_stretches(number, table, window, rounds, buckets), MESSAGE), "stretches")
+    stretches = save(scratch, rejoined(tables, lambda number, table: _ask_stretches(number, table, window, rounds, buckets), MESSAGE), "stretches")
     scratch.drop("open", *[f"answers{i}" for i in range(1, rounds + 1)])
     release(docs.sparkSession)
-    last = scratch.save(answered(stretches, lambda b, got: _answer_stretches(b, got, window, rounds + 1), level=rounds + 1), "last")
+    last = save(scratch, answered(stretches, lambda b, got: _answer_stretches(b, got, window, rounds + 1), level=rounds + 1), "last")
+    scratch.drop("stretches/role=ask")
     release(docs.sparkSession)
     types = [f"`{n}` {docs.schema[n].dataType.simpleString()}" for n in names]
     schema = ", ".join(["doc_id long", "n_words long", "n_removed long", "kept_sha256 string", *["kept string"] * (carry is not None), *types])

@@ -23,6 +23,11 @@ def empty(spark):
     return spark.createDataFrame([], SCHEMA)
 
 
+def thue_morse(n):
+    """Two different words of n letters that polynomial hashes modulo 2**64 don't tell apart."""
+    return ["".join("ab"[(bin(i).count("1") + flip) % 2] for i in range(n)) for flip in (0, 1)]
+
+
 def rows_of(docs):
     return [(r.doc_id, r.text) for r in docs.collect()]
 
@@ -35,51 +40,66 @@ def test_components(spark):
     assert got == {**{i: 1 for i in range(1, 41)}, 50: 50, 51: 50, 52: 50}
 
 
-def test_substring(docs, empty):
-    from mdcorpus.llm.substring import remove_repeats
-
+def without_repeats(rows, window=13):
+    """(doc_id, words, words removed, digest of the words kept), by looking at every window."""
     first, want = {}, []
-    for d, t in rows_of(docs):
+    for d, t in rows:
         w = (t or "").encode().split()
-        for k in range(len(w) - 12) if d is not None else ():
-            g = tuple(w[k : k + 13])
+        for k in range(len(w) - window + 1) if d is not None else ():
+            g = tuple(w[k : k + window])
             first[g] = min(first.get(g, d), d)
-    for d, t in rows_of(docs):
+    for d, t in rows:
         w = (t or "").encode().split()
         gone = [False] * len(w)
-        for k in range(len(w) - 12) if d is not None else ():
-            if first[tuple(w[k : k + 13])] < d:
-                gone[k : k + 13] = [True] * 13
+        for k in range(len(w) - window + 1) if d is not None else ():
+            if first[tuple(w[k : k + window])] < d:
+                gone[k : k + window] = [True] * window
         want.append((d, len(w), sum(gone), hashlib.sha256(b" ".join(x for x, g in zip(w, gone) if not g)).hexdigest()))
-    got = [tuple(r) for r in remove_repeats(docs).collect()]
-    assert sorted(got, key=repr) == sorted(want, key=repr)
-    assert sum(r[2] for r in got) > 0
+    return sorted(want, key=repr)
+
+
+def test_substring(docs, empty):
+    from mdcorpus.llm.substring import remove_repeats
+
+    want = without_repeats(rows_of(docs))
+    assert sorted(map(tuple, remove_repeats(docs).collect()), key=repr) == want and sum(r[2] for r in want) > 0
     assert remove_repeats(empty).count() == 0
 
 
-def test_bucket_slices():
-    from mdcorpus.llm.keyed import bucket_slices
+def test_substring_long_words_and_few_words(spark):
+    """Words that weak hashes take for one another, a word of 1 MB, and texts of so few different words that runs and pairs abound."""
+    from mdcorpus.llm.substring import remove_repeats
+
+    rng = np.random.default_rng(5)
+    twelve = " ".join(f"w{i}" for i in range(12))
+    rows = [(i, f"{twelve} {w}") for i, w in enumerate(x for n in (1024, 2048) for x in thue_morse(n))]
+    rows += [(10 + i, f"{twelve} {'q' * 1_000_000}{c}") for i, c in enumerate("aab")]
+    rows += [(100 + i, " ".join(rng.choice(list("abc"), int(rng.integers(1, 120)), p=[0.7, 0.2, 0.1]))) for i in range(150)]
+    rows += [(300 + i, "x " * int(rng.integers(1, 60)) + "y " * int(rng.integers(0, 40))) for i in range(30)] + [(-5, "x " * 40), (None, "x " * 50), (301, "x " * 50)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    want = without_repeats(rows)
+    assert [r[2] for r in want if r[0] in (0, 1, 2, 3, 10, 11, 12)].count(0) == 6
+    for size in (4 << 20, 2000):
+        assert sorted(map(tuple, remove_repeats(df, chunk_bytes=size).collect()), key=repr) == want
 
-    keys = np.sort(np.random.default_rng(0).integers(0, 1 << 64, 500, dtype=np.uint64))
-    for buckets in (1, 64, 1 << 22):
-        got = list(bucket_slices(keys, buckets))
-        assert [i for _, s in got for i in range(s.start, s.stop)] == list(range(500)) and all(s.stop > s.start for _, s in got)
-        assert all(int(k) * buckets >> 64 == b for b, s in got for k in keys[s])
-    assert list(bucket_slices(keys[:0], 64)) == []
 
+def test_windows_are_told_apart_by_their_words(monkeypatch):
+    """Where all hashes clash, windows are still equal only if their words are."""
+    from mdcorpus.llm import substring as S
 
-def test_recompressed_symbols_depend_on_their_span_alone():
-    from mdcorpus.llm.substring import recompress
+    monkeypatch.setattr(S, "mix", lambda x: x * np.uint64(0))
+    word = np.array([1, 2, 3, 1, 2, 4, 1, 2, 3, 9, 1, 2])
+    got = S.same_windows(word, np.arange(11), 2)
+    pairs = [tuple(word[i : i + 2]) for i in range(11)]
+    assert all((got[i] == got[j]) == (pairs[i] == pairs[j]) for i in range(11) for j in range(11))
 
-    rng = np.random.default_rng(1)
-    middle = rng.integers(0, 4, 40).astype(np.uint64)
-    seen = []
-    for _ in range(2):
-        words = np.concatenate([rng.integers(0, 4, 30).astype(np.uint64), middle, rng.integers(0, 4, 30).astype(np.uint64)])
-        name, a, b, covers, _ = recompress(words, np.zeros(100, np.int64), np.array([0, 100]), 2)
-        inside = (a >= 30) & (b <= 70)
-        seen.append({(int(x), int(i), int(j)) for x, i, j in zip(name[inside], a[inside], b[inside])})
-    assert seen[0] == seen[1] and seen[0]
+
+def test_freeze():
+    from mdcorpus.llm.exchange import freeze, thaw
+
+    parts = np.array([0, 5, 300, 2**40]), np.array([-1, 2]), b"x y", np.zeros(0, np.int64), 7, np.array([True, False]), None
+    for a, b in zip(thaw(freeze(*parts)), parts):
+        assert a == b if not isinstance(b, np.ndarray) else (a == b).all() and len(a) == len(b)
 
 
 def test_simhash(docs, empty):
@@ -168,46 +188,96 @@ def test_vectors(spark):
     assert whole == cut_up and max(r[1] for r in whole) > 50
 
 
-def test_decontamination(spark, docs, empty):
-    from mdcorpus.llm import decontaminate as D
+def found_leaks(rows, items):
+    """(doc_id, item_id, passage, score, question, answer), by BM25 of every passage against every item, in plain Python."""
+    import re
+    from collections import Counter
+    from math import log
+
+    split = lambda t: re.findall(rb"[0-9A-Za-z\x80-\xff]+", (t or "").lower().encode())
+    grams = lambda w, n: {tuple(w[i : i + n]) for i in range(len(w) - n + 1)}
+
+    def question_and_answer(text):
+        w, head = split(text), re.match(r"(?s)(.*[.!?])\s+\S", text.rstrip())
+        n = len(split(head[1])) if head else 0
+        n = n if 0 < n < len(w) else len(w) - max(1, len(w) // 4) if len(w) > 1 else 0
+        return w[:n], w[n:]
+
+    def overlap(part, words):
+        own = grams(part, min(5, len(part))) if part else set()
+        return sum(g in grams(words, min(5, len(part))) for g in own) / len(own) if own else 1.0
+
+    parts = []
+    for item, text in sorted({(i, t) for i, t in items if i is not None and t is not None}):
+        w = split(text)
+        k = max(1, -(-len(w) // 64))
+        sizes = [len(w) // k + (i < len(w) % k) for i in range(k)]
+        at = 0
+        for n in sizes:
+            if n:
+                parts.append((item, text, Counter(w[at : at + n]), n))
+            at += n
+    df, mean = Counter(t for *_, c, _ in parts for t in c), sum(n for *_, n in parts) / max(1, len(parts))
+    weigh = lambda c, n: {t: log(1 + (len(parts) - df[t] + 0.5) / (df[t] + 0.5)) * k * 2.2 / (k + 1.2 * (0.25 + 0.75 * n / mean)) for t, k in c.items()}
+    weighed = [(item, weigh(c, n)) for item, _, c, n in parts]
+    out = []
+    for d, t in rows:
+        w, best = split(t), {}
+        for at in range(0, len(w), 64):
+            own = set(w[at : at + 128])
+            for item, c in weighed:
+                score = sum(x for term, x in c.items() if term in own) / sum(c.values())
+                if score >= 0.6 - 1e-9:
+                    best[item] = min(best.get(item, (0, 0)), (-round(score, 9), at))
+        for item, (score, at) in best.items():
+            for text in sorted(x for i, x in items if i == item and x is not None):
+                n = len(split(text))
+                near = w[max(0, at - n) : at + 128 + n]
+                q, r = (overlap(p, near) for p in question_and_answer(text))
+                if q >= 0.5 and r >= 0.5:
+                    out.append((d, item, at, round(-score, 6), round(q, 6), round(r, 6)))
+                    break
+    return sorted(out, key=repr)
 
-    bench = spark.read.parquet(f"{DATA}/benchmark.parquet").collect()
-    leaked = spark.createDataFrame([(7000 + i, "Some words before it. " * 20 + b.text.upper() + " and some after.") for i, b in enumerate(bench[:6])], "doc_id long, text string")
-    items = spark.createDataFrame([(b.item_id, b.text) for b in bench] + [(None, "x"), (5000, None), (5001, "")], "item_id long, text string")
-    got = {(r.doc_id, r.item_id) for r in D.leaks(docs.select("doc_id", "text").union(leaked), items).collect()}
-    want = set()
-    for d, t in rows_of(docs) + [(r.doc_id, r.text) for r in leaked.collect()]:
-        words = D.hash_words(D.lowered([t]), D.ALNUM)[0]
-        for b in bench:
-            own = D.hash_words(D.lowered([b.text]), D.ALNUM)[0]
-            if np.isin(D.ngrams(own), D.ngrams(words)).mean() > 0.95:
-                want.add((d, b.item_id))
-    assert want <= got and {(7000 + i, b.item_id) for i, b in enumerate(bench[:6])} <= got
-    assert {x for x in got if x not in want} == set()
-    # smaller shards give the same
-    assert got == {(r.doc_id, r.item_id) for r in D.leaks(docs.select("doc_id", "text").union(leaked), items, shard_bytes=2000).collect()}
-    assert D.leaks(empty, items).count() == 0 and D.leaks(docs, items.limit(0)).count() == 0
-
-
-def test_retrieval_equals_brute_force(spark):
+
+def test_decontamination(spark, docs, empty):
     from mdcorpus.llm import decontaminate as D
 
     bench = [(b.item_id, b.text) for b in spark.read.parquet(f"{DATA}/benchmark.parquet").collect()]
+    rng = np.random.default_rng(2)
+    leaked = [(7000 + i, "Some words before it. " * 20 + t.upper() + " and some after.") for i, (_, t) in enumerate(bench[:6])]
+    for i, (_, t) in enumerate(bench[6:30]):  # some of the words gone, others moved
+        w = t.split()
+        leaked.append((7100 + i, " ".join(["begin"] * int(rng.integers(0, 90)) + [x for x in w if rng.random() > i / 40] + ["end"] * 30)))
+    leaked += [(None, leaked[0][1]), (7000, leaked[0][1]), (7200, " ".join(t for _, t in bench[:40]))]
+    items = [*bench, (None, "x"), (5000, None), (5001, ""), (5002, "?!"), (bench[0][0], bench[1][1]), bench[2], (5003, " ".join(t for _, t in bench[50:60]))]
+    rows = [r for r in rows_of(docs) if len(r[1] or "") < 3000][:60] + leaked
+    want = found_leaks(rows, items)
+    assert len(want) > 50 and any(r[0] is None for r in want)
+    whole = spark.createDataFrame(items, "item_id long, text string")
+    df = spark.createDataFrame([(*r, 1.0, 2) for r in rows], "doc_id long, text string, score double, item_id int").repartition(3)
+    for size in (4 << 20, 3000):
+        got = [(r.doc_id, r.item_id, r.passage, round(r.score, 6), round(r.question, 6), round(r.answer, 6)) for r in D.leaks(df, whole, shard_bytes=size).collect()]
+        assert sorted(got, key=repr) == want
+    assert D.leaks(empty, whole).count() == 0 and D.leaks(docs, whole.limit(0)).count() == 0 and D.leaks(docs, whole.where("item_id > 5000 AND item_id < 5003")).count() == 0
+
+
+def test_wand_finds_what_scoring_everything_finds():
     import pandas as pd
 
-    terms = next(D._terms([pd.DataFrame(bench, columns=["item_id", "text"])]))
-    terms["weight"] = 1.0 + terms["term"] % 7
-    index = D.Index(terms, pd.DataFrame(bench, columns=["item_id", "text"]))
+    from mdcorpus.llm import decontaminate as D
+
     rng = np.random.default_rng(0)
-    for _ in range(20):
-        own = np.unique(np.concatenate([rng.choice(len(index.terms), 30), index.term_numbers(D.hash_words(D.lowered([bench[rng.integers(len(bench))][1]]), D.ALNUM)[0])]))
-        scores = np.zeros(len(index.items))
-        for t in own:
-            s = slice(index.first[t], index.first[t + 1])
-            scores[index.part[s]] += index.share[s]
-        pivots = list(index.pivots(np.zeros(len(own), np.int64), own, 1))
-        got = dict(index.retrieve(own, [k for _, k in pivots]))
-        assert set(got) == set(np.flatnonzero(scores >= D.THRESHOLD).tolist()) and got
+    rows = [(i, 0, 0, int(t), float(rng.random() ** 3 + 0.01)) for i in range(300) for t in np.unique(rng.integers(0, 60, int(rng.integers(1, 25))) ** 2)]
+    index = D.Index(pd.DataFrame(rows, columns=["item_id", "text_id", "part", "term", "weight"]), pd.DataFrame({"item_id": [], "text": []}))
+    passage, term = np.divmod(np.unique(rng.integers(0, 200, 1600) * len(index.terms) + rng.integers(0, len(index.terms), 1600)), len(index.terms))
+    dense = np.zeros((len(index.terms), 300))
+    owner = np.repeat(np.arange(len(index.terms)), np.diff(index.posting[index.first]))
+    dense[owner, index.part] = index.share
+    want = {(p, i) for p in range(200) for i in np.flatnonzero(dense[term[passage == p]].sum(axis=0) >= D.THRESHOLD)}
+    which, part, _ = index.retrieve(passage, term)
+    looked_at = len(index.candidates(passage, term)[0])
+    assert want and set(zip(which.tolist(), part.tolist())) == want and looked_at < 0.7 * 200 * index.n_blocks
 
 
 def test_mixing(spark, docs, empty):
@@ -255,14 +325,59 @@ def test_lm(docs, empty):
 
 
 def test_mixture_weights():
-    from mdcorpus.llm.lm import CONTEXTS, LEVELS, learn_weights
+    from mdcorpus.llm.lm import CONTEXTS, learn_weights
 
     # bigrams that tell everything in bucket 3, nothing in bucket 0
-    cells = np.array([(3 * LEVELS + 1) * LEVELS + 10, (0 * LEVELS + LEVELS - 1) * LEVELS + 5])
-    w = learn_weights(cells, np.array([1000.0, 1000.0]), 1000)
+    w = learn_weights(np.array([3, 0]), np.array([1000.0, 1000.0]), np.array([0.5, 0.0]), np.array([0.001, 0.02]), 1000)
     assert w.shape == (CONTEXTS, 3) and w[3, 0] > 0.95 and w[0, 1] > 0.95 and np.allclose(w.sum(axis=1), 1)
 
 
+def test_lm_scores_equal_counts_in_plain_python(spark, docs):
+    """Every score against bigram counts, estimates and weights of the held-out counts, worked out token by token."""
+    from math import frexp, log10
+
+    from mdcorpus.llm import lm
+
+    rows = [(d, t) for d, t in rows_of(docs)] + [(20_000 + i, w) for i, w in enumerate(thue_morse(2048))] + [(30_000, "x" * 1_000_000 + " y")]
+    part = [zlib.crc32(str(d).encode() if d is not None else b"") % 10 for d, _ in rows]
+    tokens = [[*(t or "").encode().lower().split(), b""] for _, t in rows]
+
+    def count(use):
+        one, two, context = {}, {}, {}
+        for ts, p in zip(tokens, part):
+            for x, y in zip([None, *ts], ts) if use(p) else ():
+                one[y], two[x, y], context[x] = one.get(y, 0) + 1, two.get((x, y), 0) + 1, context.get(x, 0) + 1
+        return one, two, context
+
+    whole, kept = count(lambda p: p != 0), count(lambda p: p not in (0, 5))
+    v = len(whole[0])
+
+    def parts(model, x, y):
+        one, two, context = model
+        n = context.get(x, 0)
+        return frexp(n)[1], two.get((x, y), 0) / max(n, 1), one.get(y, 0) / sum(one.values())
+
+    held = [parts(kept, x, y) for ts, p in zip(tokens, part) if p == 5 for x, y in zip([None, *ts], ts)]
+    bucket, f2, f1 = (np.array(x) for x in zip(*held))
+    weights = lm.learn_weights(bucket, np.ones(len(held)), f2, f1, v)
+    want = {}
+    for (d, _), ts in zip(rows, tokens):
+        total = 0.0
+        for x, y in zip([None, *ts], ts):
+            b, g2, g1 = parts(whole, x, y)
+            total += log10(weights[b] @ [g2, g1, 1 / (v + 1)])
+        want.setdefault(d, []).append(total)
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    for size in (4 << 20, 30_000):
+        got = {}
+        for r in lm.lm_scores(df, size).collect():
+            got.setdefault(r.doc_id, []).append(r.score)
+        assert set(got) == set(want)
+        # cells share a mean estimate, which moves the weights a little
+        bad = [(d, a, b) for d in want for a, b in zip(sorted(got[d]), sorted(want[d])) if abs(a - b) > 0.001 * abs(b)]
+        assert not bad, bad[:5]
+
+
 def test_language(spark, docs, empty):
     from mdcorpus.llm.langid import identify
 
@@ -377,7 +492,7 @@ def test_sibling_statistics_of_many_children():
     from mdcorpus.llm.dom import FEATURES, features, parse
 
     page = "<main><h2>a</h2>" + "<p>text</p>" * 99 + '<div class="ad">x</div></main>'
-    nodes, x = features(parse(page))
+    nodes, x = features(parse(page), {})
     column = {f: x[:, i] for i, f in enumerate(FEATURES)}
     at = {n.tag: i for i, n in enumerate(nodes)}  # the last of each tag
     assert column["place"][at["div"]] == 1.0 and column["like_siblings"][at["div"]] == 1 / 101
@@ -394,7 +509,7 @@ def test_sibling_statistics_of_many_children():
         ("<head><script>s</script>words<p>text</p>", ["words", "text"]),
         ("<article><p>a</p><button>b<section><p>c</p></section></article>", ["a", "b", "c"]),
         *((f"<article><p>a</p><{name}><p>c</p></article>", ["a", "c"]) for name in ("svg", "select", "noscript", "button", "template")),
-        ("<p>a<svg><text>s</text></svg><button>b</button> c</p>", ["a c"]),
+        ("<p>a <svg><text>s</text></svg> <button>b</button> c</p><noscript>d</noscript><template>e</template>", ["a s b c", "d"]),
         ("<article><p>Let <math><mi>x</mi></math> be</p><object><p>d</p></object><math><p>e</p>", ["Let x be", "d", "e"]),
         ("<p>a</p><script>x </scripts> y</script><p>b</p><style>c", ["a", "b"]),
     ],
@@ -402,7 +517,32 @@ def test_sibling_statistics_of_many_children():
 def test_unclosed_elements(page, texts):
     from mdcorpus.llm.dom import features, parse
 
-    assert [n.text for n in features(parse(page))[0] if n.text] == texts
+    assert [n.text for n in features(parse(page), {})[0] if n.text] == texts
+
+
+@pytest.mark.parametrize(
+    "page, words",
+    [
+        ("<div>" * 5000 + "<p>deep</p>" + "</div>" * 5000 + "<p>end</p>", ["deep", "end"]),
+        ("<div>" * 20_000 + "</x>" * 20_000 + "end", ["end"]),
+        ("<ul><li>" * 20_000 + "<li>" * 20_000 + "end", ["end"]),
+        ("<div><li>" * 20_000 + "</li>" * 20_000 + "end", ["end"]),
+        ("<a " * 350_000, None), ("<a '" * 250_000 + ">", None), ('<a b="' * 200_000 + "<p>end", None), ("<!" * 500_000, None), ("<template>" * 100_000 + "<body>end", ["end"]), ("<p>a" + "<" * 1_000_000, None),
+        ("<p>" + "word " * 400_000, None),
+    ],
+)
+def test_broken_pages_take_time_in_proportion(page, words):
+    import time
+
+    from mdcorpus.llm.dom import features, parse
+    from mdcorpus.llm.extract import _teach
+
+    start = time.time()
+    root = parse(page)
+    nodes, x = features(root, {})
+    assert len(_teach(root)) == len(nodes) + 1 and len(x) == len(nodes)
+    assert words is None or [n.text for n in nodes if n.text] == words
+    assert time.time() - start < 15
 
 
 def test_extraction(spark):
