@@ -95,25 +95,3 @@ def crc_mod(column: Column | str, n: int) -> Column:
     """crc32 of the id as text, modulo n (null ids: of the empty text)."""
     column = F.col(column) if isinstance(column, str) else column
     return F.pmod(F.crc32(F.coalesce(column.cast("string"), F.lit("")).cast("binary")), F.lit(n))
-
-
-def lower_ascii(column: Column) -> Column:
-    return F.translate(column, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
-
-
-def power_of_two(n: float, least: int = 64) -> int:
-    out = least
-    while out < n:
-        out *= 2
-    return out
-
-
-def chunk_count(docs: DataFrame, chunk_bytes: int) -> int:
-    """How many chunks of about `chunk_bytes` of text the documents make; a power of two, 64 at least."""
-    total = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    return power_of_two(total / chunk_bytes)
-
-
-def dealt(docs: DataFrame, chunks: int) -> DataFrame:
-    """`docs` with the chunk that each row belongs to, which depends on the row's id and text alone."""
-    return docs.withColumn("chunk", F.pmod(F.xxhash64("doc_id", "text"), F.lit(chunks)).cast("int"))

@@ -58,7 +58,10 @@ def _begin(number: int, rows: pa.Table, buckets: int, languages: int) -> list[tu
     for b, s in slices(edges):
         own = slice(starts[b], starts[b + 1])
         asks.append(("ask", 0, number, b, s.stop - s.start, freeze(*bytes_of(words[s.start : s.stop]), tells[s], pair[own] % languages, count[own])))
-    return [("state", 0, number, -1, 0, freeze(token, offsets, ids.fill_null(0).to_numpy(), ids.is_valid().to_numpy())), *asks]
+    # each document's distinct words, and how often it has them
+    doc = np.repeat(np.arange(len(ids)), np.diff(offsets))
+    code, times = np.unique(doc * max(1, len(words)) + token, return_counts=True)
+    return [("state", 0, number, -1, 0, freeze(np.diff(code, prepend=0), times, max(1, len(words)), ids.fill_null(0).to_numpy(), ids.is_valid().to_numpy())), *asks]
 
 
 def ngrams(words: pa.Array):
@@ -174,13 +177,14 @@ def _value(number: int, table: pa.Table, buckets: int, languages: int, totals: n
 
 
 def _score(table: pa.Table, languages: list[str], live: np.ndarray) -> pa.Table:
-    ((_, _, _, (token, offsets, ids, known)),) = received(table, "state")
+    ((_, _, _, (steps, times, many, ids, known)),) = received(table, "state")
     told = [parts[0].astype(np.uint32).view(np.float32).reshape(len(languages), n) for _, _, n, parts in received(table, "answer")]
     value = np.concatenate(told, axis=1).astype(np.float64) if told else np.zeros((len(languages), 0))
-    doc, some = np.repeat(np.arange(len(ids)), np.diff(offsets)), np.diff(offsets) > 0
+    doc, word = np.divmod(np.cumsum(steps), many)
+    some = np.bincount(doc, minlength=len(ids)) > 0
     names, score = np.full(len(ids), "und", object), np.zeros(len(ids))
     if len(live):
-        sums = np.column_stack([np.bincount(doc, value[i][token], len(ids)) for i in live])
+        sums = np.column_stack([np.bincount(doc, value[i][word] * times, len(ids)) for i in live])
         names = np.where(some, np.array(languages, object)[live[sums.argmax(axis=1)]], "und")
         score = np.where(some, 1 / np.exp(sums - sums.max(axis=1, keepdims=True)).sum(axis=1), 0.0)
     return pa.table({"doc_id": pa.array(ids, pa.int64(), mask=known == 0), "lang_pred": pa.array(names.tolist(), pa.string()), "score": score})
