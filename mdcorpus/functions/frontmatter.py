@@ -12,13 +12,13 @@ FIELDS = "title string, description string, type string, tags array<string>, err
 
 def split_frontmatter(files: DataFrame) -> DataFrame:
     """`files` with has_frontmatter, yaml_block, body_offset (bytes) and body (the whole content without a block)."""
-    found = files.withColumn("has_frontmatter", F.coalesce(F.col("content").rlike(BLOCK), F.lit(False)))
-    head = F.regexp_extract("content", BLOCK, 0)
-    own = F.col("has_frontmatter")
-    return found.withColumns({
-        "yaml_block": F.when(own, F.regexp_extract("content", BLOCK, 1)).otherwise(""),
-        "body_offset": F.when(own, F.octet_length(head)).otherwise(0),
-        "body": F.when(own, F.expr("substring(content, char_length(regexp_extract(content, '%s', 0)) + 1)" % BLOCK.replace("\\", "\\\\"))).otherwise(F.col("content")),
+    # the pattern goes over the content once (equal expressions are worked out once); the rest follows from the short head
+    head = F.coalesce(F.regexp_extract("content", BLOCK, 0), F.lit(""))
+    return files.withColumns({
+        "has_frontmatter": head != "",
+        "yaml_block": F.when(head != "", F.regexp_extract(head, BLOCK, 1)).otherwise(""),
+        "body_offset": F.octet_length(head),
+        "body": F.when(head != "", F.substring("content", F.char_length(head) + 1, F.char_length("content"))).otherwise(F.col("content")),
     })
 
 

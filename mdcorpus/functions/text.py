@@ -40,5 +40,20 @@ def tokenise(text: Column) -> Column:
     return F.array_distinct(F.filter(F.split(F.lower(text), r"[^\p{L}\p{Nd}]+"), lambda x: x != ""))
 
 
+#: Characters with an escape of one letter.
+ESCAPES = {"\\": "\\\\", '"': '\\"', "\a": "\\a", "\b": "\\b", "\f": "\\f", "\n": "\\n", "\r": "\\r", "\t": "\\t", "\v": "\\v"}
+
+
 def quoted(text: Column) -> Column:
-    return F.concat(F.lit('"'), text, F.lit('"'))
+    """In double quotes, with backslashes before what can't stand in them as it is; characters that don't print are given by number."""
+
+    def escaped(c: Column) -> Column:
+        number = lambda n: F.lpad(F.lower(F.hex(F.ascii(c))), n, "0")
+        out = F.when(c.rlike(r"[\x00-\x1F\x7F]"), F.concat(F.lit("\\x"), number(2))).when(c.rlike(r"[\p{L}\p{M}\p{N}\p{P}\p{S} ]"), c)
+        out = out.when(F.ascii(c) < 0x10000, F.concat(F.lit("\\u"), number(4))).otherwise(F.concat(F.lit("\\U"), number(8)))
+        for raw, short in ESCAPES.items():
+            out = F.when(c == raw, F.lit(short)).otherwise(out)
+        return out
+
+    special = text.rlike(r'[^\p{L}\p{M}\p{N}\p{P}\p{S} ]|["\\]')
+    return F.concat(F.lit('"'), F.when(special, F.array_join(F.transform(F.split(text, ""), escaped), "")).otherwise(text), F.lit('"'))

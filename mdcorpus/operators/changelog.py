@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import basename, trim_all
@@ -35,20 +35,25 @@ def parse_log(bodies: DataFrame) -> DataFrame:
     return entries.select("root", "source", "sec_pos", "ent_pos", "date", F.regexp_extract("entry", ENTRY_FIELDS, 1).alias("action"), F.regexp_extract("entry", ENTRY_FIELDS, 2).alias("target"), detail.alias("detail"))
 
 
-def get_log(entries: DataFrame, since: str | None = None, action: str | None = None, limit: float | None = None) -> DataFrame:
+def get_log(entries: DataFrame, since: str | None = None, action: str | None = None, limit: float | None = None, per_root: bool = False) -> DataFrame:
     """Entries newest first, then by source and place; dates are compared as text, filters come before the sort.
 
-    A limit is cut to a whole number; none, zero and less mean all.
+    A limit, of all entries or of each root's, is cut to a whole number; none, zero and less mean all.
     """
     rows = entries if not since else entries.where(F.col("date") >= since)
     rows = rows if not action else rows.where(F.col("action") == action)
-    rows = rows.orderBy(F.col("date").desc(), "source", "root", "sec_pos", "ent_pos")
-    return rows.limit(int(limit)) if limit is not None and int(limit) > 0 else rows
+    order = [F.col("date").desc(), "source", "root", "sec_pos", "ent_pos"]
+    most = int(limit) if limit is not None else 0
+    if most > 0 and per_root:
+        rows = rows.withColumn("place", F.row_number().over(Window.partitionBy("root").orderBy(*order))).where(F.col("place") <= most).drop("place")
+    rows = rows.orderBy(*order)
+    return rows.limit(most) if most > 0 and not per_root else rows
 
 
 def log_notes(bodies: DataFrame, entries: DataFrame, roots: DataFrame) -> DataFrame:
-    """(root, note) for roots without a log and for those with a log that holds text but no entry."""
+    """(root, note) for roots without a log, for those with a log that holds text but no entry, and for each log that can't be read."""
     missing = roots.select("root").distinct().join(bodies.select("root"), "root", "left_anti").select("root", F.lit("no log.md found").alias("note"))
     filled = bodies.where(trim_all(F.col("body")) != "").select("root", "source")
     malformed = filled.join(entries.select("root", "source"), ["root", "source"], "left_anti").select("root").distinct()
-    return missing.union(malformed.select("root", F.lit("log.md has malformed entries").alias("note")))
+    unread = bodies.where("body IS NULL").select("root", F.concat(F.lit("failed to read "), "source").alias("note"))
+    return missing.union(malformed.select("root", F.lit("log.md has malformed entries").alias("note"))).union(unread)

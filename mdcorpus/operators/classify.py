@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.frontmatter import decode_frontmatter, split_frontmatter
 from ..functions.text import basename, segments
+from ..sources.shared import cut
 
 RESERVED = ("index.md", "log.md")
 VERSION_CONTROL = (".git", ".hg", ".svn")
@@ -29,6 +30,12 @@ def parse(files: DataFrame, include_hidden: bool = False) -> DataFrame:
     return decode_frontmatter(split_frontmatter(kept)).withColumn("readable", F.col("content").isNotNull()).drop("content")
 
 
+def parse_once(files: DataFrame, include_hidden: bool = False) -> DataFrame:
+    """`parse`, worked out once and written to the shared folder for all that reads it, without the bodies of documents."""
+    body = F.when(F.col("kind") == "reserved", F.col("body"))
+    return cut(parse(files, include_hidden).withColumn("body", body).drop("yaml_block"))
+
+
 def is_conformant(parsed: DataFrame):
     return (F.col("kind") == "doc") & F.col("readable") & F.col("has_frontmatter") & F.col("yaml_error").isNull() & (F.col("type") != "")
 

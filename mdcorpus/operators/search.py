@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.frontmatter import split_frontmatter
 from ..functions.text import quoted, tokenise
+from ..sources.shared import cut
 
 TITLE, TAG, DESCRIPTION = 3.0, 2.0, 1.0
 
@@ -17,7 +19,12 @@ def _fields(docs: DataFrame) -> DataFrame:
 
 def _asked(queries: DataFrame) -> DataFrame:
     tags = F.coalesce("tags", F.array().cast("array<string>"))
-    return queries.select("query_id", "root", tokenise(F.col("topic")).alias("tokens"), F.transform(tags, F.lower).alias("asked"), F.coalesce("match", F.lit("and")).alias("match"))
+    return queries.select("query_id", "root", tokenise(F.col("topic")).alias("tokens"), F.transform(tags, F.lower).alias("asked"), mode().alias("match"))
+
+
+def mode():
+    """A query's match mode; none, and an empty one, mean `and`."""
+    return F.coalesce(F.nullif(F.col("match"), F.lit("")), F.lit("and"))
 
 
 def passes():
@@ -77,7 +84,7 @@ def find_best(docs: DataFrame, queries: DataFrame, strategy: str = "direct") ->
 
 def outcomes(docs: DataFrame, queries: DataFrame, best: DataFrame) -> DataFrame:
     """(query_id, status, message) for every query, the first of: empty_topic, invalid_match, ok, empty_index, no_match."""
-    asked = queries.select("query_id", "root", "topic", F.coalesce("match", F.lit("and")).alias("match"), F.coalesce("tags", F.array().cast("array<string>")).alias("tags"))
+    asked = queries.select("query_id", "root", "topic", mode().alias("match"), F.coalesce("tags", F.array().cast("array<string>")).alias("tags"))
     roots = docs.select("root").distinct().withColumn("has_docs", F.lit(True))
     rows = asked.join(best.select("query_id", "path"), "query_id", "left").join(roots, "root", "left")
     status = (
@@ -94,14 +101,14 @@ def outcomes(docs: DataFrame, queries: DataFrame, best: DataFrame) -> DataFrame:
     return rows.select("query_id", status.alias("status"), message.alias("message"))
 
 
-def get_doc(parsed: DataFrame, docs: DataFrame, queries: DataFrame, strategy: str = "direct") -> DataFrame:
+def get_doc(files: DataFrame, docs: DataFrame, queries: DataFrame, strategy: str = "direct") -> DataFrame:
     """For every query its outcome and, if there is one, the best document with its body; `docs` have bundles.
 
-    Bodies are joined last, to the winners alone.
+    Bodies are cut from `files(root, path, content)` last, of the winners alone.
     """
     usable = queries.where("coalesce(topic, '') <> ''")
-    best = find_best(docs, usable, strategy)
-    bodies = parsed.where("kind = 'doc'").select("root", "path", F.col("body").alias("content"))
-    won = best.join(docs, ["root", "path"]).join(bodies, ["root", "path"])
+    best = cut(find_best(docs, usable, strategy))
+    won = split_frontmatter(files.select("root", "path", "content").join(best.select("root", "path").distinct(), ["root", "path"])).select("root", "path", F.col("body").alias("content"))
+    won = best.join(docs, ["root", "path"]).join(won, ["root", "path"])
     won = won.select("query_id", "content", F.col("path").alias("file_path"), "tags", "title", "description", "bundle")
     return outcomes(docs, queries, best).join(won, "query_id", "left")

@@ -2,12 +2,20 @@
 
 from __future__ import annotations
 
+from functools import cached_property, reduce
+from pathlib import Path
+from uuid import uuid4
+
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.frontmatter import split_frontmatter
 from ..functions.text import basename, tokenise
 from ..operators import catalog, changelog, classify, search, tree, validate
+from ..sources.corpus import read_corpus, read_tree
+from ..sources.shared import cut, shared_dir
+from ..sources.sinks import json_rows, write_catalog
 from . import testcorpus
 from .testcorpus import CORPUS_SQL
 
@@ -18,23 +26,39 @@ class Corpus:
     """What the queries share; nothing is computed before a query asks."""
 
     def __init__(self, spark: SparkSession, sf_dir: str):
+        self.spark = spark
         self.files = testcorpus.files(spark, sf_dir)
         self.queries = testcorpus.topics(spark, sf_dir)
-        self.parsed = classify.parse(self.files)
         self.roots = self.files.select("root").distinct()
-        self.reserved = catalog.reserved_files(self.parsed)
+
+    @cached_property
+    def parsed(self) -> DataFrame:
+        """For what reads the parsed files once."""
+        return classify.parse(self.files)
+
+    @cached_property
+    def once(self) -> DataFrame:
+        """For what reads them several times: worked out once, without the bodies of documents."""
+        return classify.parse_once(self.files)
+
+    def reserved(self, parsed: DataFrame) -> DataFrame:
+        return catalog.reserved_files(parsed)
 
     def docs(self) -> DataFrame:
-        return catalog.resolve_bundles(classify.documents(self.parsed), self.reserved)
+        return catalog.resolve_bundles(classify.documents(self.once), self.reserved(self.once))
 
     def plain_docs(self) -> DataFrame:
         return classify.documents(self.parsed)
 
+    def tree(self) -> DataFrame:
+        reserved = self.reserved(self.once)
+        return tree.build_tree(self.docs(), catalog.resolve_bundles(reserved, reserved))
+
     def summary(self) -> DataFrame:
-        return validate.summarise(validate.validate_bundle(self.parsed), validate.bundle_files(self.parsed, self.roots))
+        return validate.summarise(validate.validate_bundle(self.once), validate.bundle_files(self.once, self.once.select("root").union(self.roots)))
 
-    def entries(self) -> DataFrame:
-        return changelog.parse_log(changelog.log_bodies(self.parsed))
+    def entries(self, parsed: DataFrame | None = None) -> DataFrame:
+        return changelog.parse_log(changelog.log_bodies(self.parsed if parsed is None else parsed))
 
 
 def _tags(df: DataFrame) -> DataFrame:
@@ -52,7 +76,7 @@ def _skipped(c: Corpus) -> DataFrame:
 
 def _warnings(c: Corpus) -> DataFrame:
     # a decoder's own words differ from one decoder to the next
-    return classify.ingest_warnings(c.parsed, c.roots).withColumn("message", F.regexp_replace("message", r"(?s)^(skipping [^:]*): .*", "$1"))
+    return classify.ingest_warnings(c.once, c.roots).withColumn("message", F.regexp_replace("message", r"(?s)^(skipping [^:]*): .*", "$1"))
 
 
 def _entries(df: DataFrame) -> DataFrame:
@@ -65,14 +89,66 @@ def _paths(c: Corpus) -> DataFrame:
     return found.select("root", "file", "code", "severity", F.regexp_replace("message", r"(?s)^(invalid YAML frontmatter): .*", "$1").alias("message"))
 
 
+def _bundles(c: Corpus) -> DataFrame:
+    reserved = c.reserved(c.once)
+    return catalog.resolve_bundles(classify.documents(c.once).select("root", "path").union(reserved.select("root", "path")), reserved)
+
+
+def _folder(c: Corpus, name: str) -> str:
+    return f"{shared_dir(c.spark)}/{name}-{uuid4().hex}"
+
+
+def _digests(files: DataFrame) -> DataFrame:
+    return files.select("root", "path", F.coalesce(F.md5(F.col("content").cast("binary")), F.lit("")).alias("content_md5"))
+
+
+def _landed(c: Corpus) -> DataFrame:
+    path = _folder(c, "files")
+    c.files.write.parquet(path)
+    return _digests(read_corpus(c.spark, path))
+
+
+def _walked(c: Corpus) -> DataFrame:
+    """The files written out as directories, and read back. They must lie where all executors can write."""
+    top = _folder(c, "tree").removeprefix("file:")
+
+    def write(batches):
+        for pdf in batches:
+            for root, path, content in pdf.itertuples(index=False, name=None):
+                full = Path(top, root, path)
+                full.parent.mkdir(parents=True, exist_ok=True)
+                full.write_bytes((content or "").encode())
+            yield pd.DataFrame({"root": pdf["root"]})
+
+    roots = cut(c.files.select("root", "path", "content").mapInPandas(write, "root string").distinct())
+    return _digests(read_tree(c.spark, {r["root"]: f"{top}/{r['root']}" for r in roots.collect()}))  # one name a tree
+
+
+def _json_docs(c: Corpus) -> DataFrame:
+    return json_rows(catalog.list_docs(c.docs()))
+
+
+def _json_log(c: Corpus) -> DataFrame:
+    return json_rows(c.entries().select("date", "action", "target", "detail", "source"), ("detail",))
+
+
+def _stored(c: Corpus) -> DataFrame:
+    """Catalog tables written out, and the rows of each read back."""
+    path = _folder(c, "catalog")
+    tables = {"docs": c.docs(), "reserved": c.reserved(c.once), "tree": c.tree(), "findings": validate.validate_bundle(c.once).withColumnRenamed("file", "path"), "log_entries": c.entries(c.once).withColumnRenamed("source", "path")}
+    write_catalog(tables, path)
+    read = [c.spark.read.parquet(f"{path}/{name}").select(F.lit(name).alias("table_name"), "root", "path") for name in tables]
+    return reduce(DataFrame.union, read).groupBy("table_name", "root", "path").agg(F.count("*").alias("rows_stored"))
+
+
 PLANS = {
     "classify": lambda c: classify.classify(c.files).select("root", "path", "kind", F.coalesce("skip_reason", F.lit("")).alias("skip_reason")),
     "skip_report": _skipped,
     "split_frontmatter": _split,
     "documents": lambda c: _tags(c.plain_docs()),
     "ingest_warnings": _warnings,
-    "reserved_files": lambda c: c.reserved,
-    "bundles": lambda c: catalog.resolve_bundles(c.plain_docs().select("root", "path").union(c.reserved.select("root", "path")), c.reserved),
+    "reserved_files": lambda c: c.reserved(c.parsed),
+    "bundles": _bundles,
     "list_docs": lambda c: _tags(catalog.list_docs(c.docs())),
     "list_tags": lambda c: catalog.list_tags(c.plain_docs()),
     "type_vocabulary": lambda c: catalog.type_vocabulary(c.plain_docs()),
@@ -80,26 +156,33 @@ PLANS = {
     "tag_filter": lambda c: search.tag_filter(c.plain_docs(), c.queries),
     "score": lambda c: search.score(c.plain_docs(), c.queries),
     "find_best": lambda c: search.find_best(c.plain_docs(), c.queries),
-    "find_best_vocab": lambda c: search.find_best(c.plain_docs(), c.queries, "vocab"),
-    "get_doc": lambda c: _tags(search.get_doc(c.parsed, c.docs(), c.queries)).withColumn("content", F.md5(F.coalesce("content", F.lit("")).cast("binary"))),
-    "get_doc_status": lambda c: search.outcomes(c.plain_docs(), c.queries, search.find_best(c.plain_docs(), c.queries)),
+    "find_best_vocab": lambda c: search.find_best(classify.documents(c.once), c.queries, "vocab"),
+    "get_doc": lambda c: _tags(search.get_doc(c.files, c.docs(), c.queries)).withColumn("content", F.md5(F.coalesce("content", F.lit("")).cast("binary"))),
+    "get_doc_status": lambda c: search.outcomes(classify.documents(c.once), c.queries, search.find_best(classify.documents(c.once), c.queries)),
     "validate_bundle": lambda c: validate.validate_bundle(c.parsed).drop("line"),
     "validate_paths": _paths,
     "summary": lambda c: c.summary(),
     "gate": lambda c: validate.gate(c.summary()),
-    "report_lines": lambda c: validate.report_lines(validate.validate_bundle(c.parsed), c.summary()),
-    "tree": lambda c: tree.build_tree(c.docs(), catalog.resolve_bundles(c.reserved, c.reserved)),
-    "subtree": lambda c: tree.subtree(tree.build_tree(c.docs(), catalog.resolve_bundles(c.reserved, c.reserved)), "en/d1"),
+    "report_lines": lambda c: validate.report_lines(validate.validate_bundle(c.once), c.summary()),
+    "tree": lambda c: c.tree(),
+    "subtree": lambda c: tree.subtree(c.tree(), "en/d1"),
     "log_entries": lambda c: _entries(c.entries()),
     "get_log_since": lambda c: _entries(changelog.get_log(c.entries(), since=SINCE)),
     "get_log_action": lambda c: _entries(changelog.get_log(c.entries(), action=ACTION)),
     "get_log_limit": lambda c: _entries(changelog.get_log(c.entries(), limit=LIMIT)),
-    "log_notes": lambda c: changelog.log_notes(changelog.log_bodies(c.parsed), c.entries(), c.roots),
+    "get_log_root_limit": lambda c: _entries(changelog.get_log(c.entries(), limit=LIMIT, per_root=True)),
+    "log_notes": lambda c: changelog.log_notes(changelog.log_bodies(c.once), c.entries(c.once), c.roots),
+    "read_corpus": _landed,
+    "read_tree": _walked,
+    "json_docs": _json_docs,
+    "json_log": _json_log,
+    "catalog_tables": _stored,
 }
 
 JOINED = "array_to_string({}, '|')"
-STATUS = """CASE status WHEN 'empty_topic' THEN 'topic is required' WHEN 'invalid_match' THEN 'invalid match value "' || match || '": must be "and" or "or"'
-  WHEN 'empty_index' THEN 'index is empty: no markdown documents found in cwd' WHEN 'no_match' THEN 'no document matched topic "' || topic || '" with tags [' || array_to_string(asked, ' ') || ']' ELSE '' END"""
+QUOTED = r"""'"' || replace(replace({}, '\', '\\'), '"', '\"') || '"'"""
+STATUS = f"""CASE status WHEN 'empty_topic' THEN 'topic is required' WHEN 'invalid_match' THEN 'invalid match value ' || {QUOTED.format('match')} || ': must be "and" or "or"'
+  WHEN 'empty_index' THEN 'index is empty: no markdown documents found in cwd' WHEN 'no_match' THEN 'no document matched topic ' || {QUOTED.format('topic')} || ' with tags [' || array_to_string(asked, ' ') || ']' ELSE '' END"""
 BEST = "SELECT query_id, root, path, score FROM best"
 ENTRY = "SELECT root, source, date, action, target, detail FROM log_table"
 TREE = "SELECT root, path, parent_path, name, depth, node_type, doc_type, title, bundle, ord FROM tree"
@@ -116,7 +199,7 @@ SQL = {
     "list_docs": f"SELECT d.root, title, description, {JOINED.format('tags')} AS tags, d.path AS file_path, bundle FROM docs d JOIN bundled b ON b.root = d.root AND b.path = d.path",
     "list_tags": "SELECT DISTINCT root, unnest(tags) AS tag FROM docs",
     "type_vocabulary": "SELECT DISTINCT root, type FROM docs",
-    "tokenise": r"SELECT query_id, array_to_string(CASE WHEN w[1] = w[2] THEN w[1:1] ELSE w END, '|') AS tokens FROM (SELECT query_id, list_filter(regexp_split_to_array(lower(topic), '[^\p{L}\p{Nd}]+'), lambda x: x <> '') AS w FROM queries)",
+    "tokenise": r"SELECT query_id, array_to_string(list_filter(w, lambda x, i: list_position(w, x) = i), '|') AS tokens FROM (SELECT query_id, list_filter(regexp_split_to_array(lower(topic), '[^\p{L}\p{Nd}]+'), lambda x: x <> '') AS w FROM queries)",
     "tag_filter": "SELECT query_id, root, path FROM passing WHERE pass",
     "score": "SELECT query_id, root, path, score FROM scores",
     "find_best": BEST,
@@ -140,6 +223,16 @@ SQL = {
     "get_log_since": f"{ENTRY} WHERE date >= '{SINCE}'",
     "get_log_action": f"{ENTRY} WHERE action = '{ACTION}'",
     "get_log_limit": f"{ENTRY} ORDER BY date DESC, source, root, sec, ent LIMIT {LIMIT}",
+    "get_log_root_limit": f"{ENTRY} QUALIFY row_number() OVER (PARTITION BY root ORDER BY date DESC, source, sec, ent) <= {LIMIT}",
+    "read_corpus": "SELECT root, path, md5(content) AS content_md5 FROM files",
+    "read_tree": "SELECT root, path, CASE WHEN ends_with(path, '.md') THEN md5(content) ELSE '' END AS content_md5 FROM classified WHERE coalesce(skip_reason, '') NOT IN ('vcs', 'hidden')",
+    "json_docs": """SELECT '{"root":' || to_json(d.root) || ',"title":' || to_json(title) || ',"description":' || to_json(description) || ',"tags":' || CASE WHEN len(tags) = 0 THEN 'null' ELSE to_json(tags)::VARCHAR END
+        || ',"file_path":' || to_json(d.path) || ',"bundle":' || to_json(bundle) || '}' AS value FROM docs d JOIN bundled b ON b.root = d.root AND b.path = d.path""",
+    "json_log": """SELECT '{"date":' || to_json(date) || ',"action":' || to_json(action) || ',"target":' || to_json(target) || CASE WHEN coalesce(detail, '') = '' THEN '' ELSE ',"detail":' || to_json(detail) END
+        || ',"source":' || to_json(source) || '}' AS value FROM log_table""",
+    "catalog_tables": """SELECT table_name, root, path, count(*) AS rows_stored FROM (
+        SELECT 'docs' AS table_name, root, path FROM docs UNION ALL SELECT 'reserved', root, path FROM reserved UNION ALL SELECT 'tree', root, path FROM tree
+        UNION ALL SELECT 'findings', root, file FROM findings UNION ALL SELECT 'log_entries', root, source FROM log_table) GROUP BY ALL""",
     "log_notes": r"""SELECT root, 'no log.md found' AS note FROM roots WHERE root NOT IN (SELECT root FROM reserved WHERE base = 'log.md')
         UNION ALL SELECT DISTINCT root, 'log.md has malformed entries' FROM reserved r WHERE base = 'log.md' AND trim(body) <> '' AND NOT EXISTS (SELECT 1 FROM log_table l WHERE l.root = r.root AND l.source = r.path)""",
 }

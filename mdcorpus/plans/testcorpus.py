@@ -11,7 +11,12 @@ from pyspark.sql import functions as F
 
 
 #: A text's first 15 words, which titles, descriptions and topics are made of.
-FIRST = "regexp_extract(coalesce(text, ''), '^[^A-Za-z0-9]*(([A-Za-z0-9]+[^A-Za-z0-9]+){0,14}[A-Za-z0-9]*)', 1)"
+WORD = r"\\p{L}\\p{Nd}"
+FIRST = f"regexp_extract(coalesce(text, ''), '^[^{WORD}]*(([{WORD}]+[^{WORD}]+){{0,14}}[{WORD}]*)', 1)"
+
+
+#: A change log holds at most so many events, so that there are more logs, not longer ones, for more events.
+LOG_EVENTS = 100
 
 
 def _views(spark: SparkSession, sf_dir: str, *names: str) -> dict[str, DataFrame]:
@@ -22,7 +27,7 @@ def files(spark: SparkSession, sf_dir: str) -> DataFrame:
     t = _views(spark, sf_dir, "documents", "events")
     d = t["documents"].selectExpr(
         "coalesce(source, 'none') AS root", "coalesce(doc_id, 0) AS doc_id", "coalesce(lang, 'xx') AS lang", "coalesce(text, '') AS text", "coalesce(doc_id, 0) div 20 AS q",
-        f"split(trim(regexp_replace({FIRST}, '[^A-Za-z0-9]+', ' ')), ' ') AS w",
+        f"split(trim(regexp_replace({FIRST}, '[^{WORD}]+', ' ')), ' ') AS w",
     ).selectExpr(
         "*", "q % 17 AS k", "concat('title: \"', array_join(slice(w, 1, 5), ' '), '\"\\n') AS title", "concat('description: \"', array_join(slice(w, 6, 10), ' '), '\"\\n') AS description",
         "CASE q % 3 WHEN 0 THEN 'guide' WHEN 1 THEN 'Architecture' ELSE 'note' END AS kind", "lower(coalesce(get(w, 0), '')) AS w1", "coalesce(get(w, 1), '') AS w2",
@@ -39,13 +44,13 @@ def files(spark: SparkSession, sf_dir: str) -> DataFrame:
     dirs = d.groupBy("root", "lang").agg(F.min("doc_id").alias("m")).where("m % 3 <> 0")
     index = dirs.selectExpr("root", "concat(lang, '/index.md') AS path", "CASE WHEN m % 3 = 1 THEN '' ELSE '---\\ntype: \"Index\"\\n---\\n' END AS content")
     e = t["events"].where("event_id IS NOT NULL AND ts IS NOT NULL").selectExpr(
-        "event_id % 20 AS s", "date_format(ts, 'yyyy-MM-dd') AS day", "event_id", "concat('**', coalesce(event_type, 'none'), '**: `user-', coalesce(user_id, 0), '` — event ', event_id, CASE WHEN event_id % 3 = 0 THEN '\\n  more on it' ELSE '' END) AS line"
+        "event_id % 20 AS s", f"event_id div {LOG_EVENTS * 20} AS k", "date_format(ts, 'yyyy-MM-dd') AS day", "event_id", "concat('**', coalesce(event_type, 'none'), '**: `user-', coalesce(user_id, 0), '` — event ', event_id, CASE WHEN event_id % 3 = 0 THEN '\\n  more on it' ELSE '' END) AS line"
     )
-    days = e.groupBy("s", "day").agg(F.concat(F.lit("## "), F.col("day"), F.lit("\n"), F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("event_id", "line"))), lambda x: x["line"]), "\n")).alias("section"))
+    days = e.groupBy("s", "k", "day").agg(F.concat(F.lit("## "), F.col("day"), F.lit("\n"), F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("event_id", "line"))), lambda x: x["line"]), "\n")).alias("section"))
     body = F.array_sort(F.collect_list(F.struct("day", "section")))
-    logs = days.groupBy("s").agg(F.array_join(F.transform(F.when(F.col("s") % 4 == 0, body).otherwise(F.reverse(body)), lambda x: x["section"]), "\n\n").alias("body"))
+    logs = days.groupBy("s", "k").agg(F.array_join(F.transform(F.when(F.col("s") % 4 == 0, body).otherwise(F.reverse(body)), lambda x: x["section"]), "\n\n").alias("body"))
     logs = logs.selectExpr(
-        "concat('src', s) AS root", "CASE s WHEN 9 THEN 'history.md' ELSE 'log.md' END AS path",
+        "concat('src', s) AS root", "concat('log/b', k, CASE s WHEN 9 THEN '/history.md' ELSE '/log.md' END) AS path",
         "concat(CASE WHEN s % 5 = 0 THEN '' ELSE '---\\ntype: Log\\n---\\n' END, CASE WHEN s % 5 = 1 THEN 'see [x](/x.md)\\n' ELSE '' END, CASE s WHEN 7 THEN replace(body, '**', '__') ELSE body END, '\\n') AS content",
     )
     return docs.union(index).union(logs)
@@ -53,29 +58,29 @@ def files(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def topics(spark: SparkSession, sf_dir: str) -> DataFrame:
     b = _views(spark, sf_dir, "benchmark")["benchmark"].where("item_id IS NOT NULL")
-    b = b.selectExpr("item_id", f"split(trim(regexp_replace({FIRST}, '[^A-Za-z0-9]+', ' ')), ' ') AS w")
+    b = b.selectExpr("item_id", f"split(trim(regexp_replace({FIRST}, '[^{WORD}]+', ' ')), ' ') AS w")
     return b.selectExpr(
-        "item_id AS query_id", "concat('src', item_id % 20) AS root", "CASE WHEN item_id % 11 = 5 THEN '' WHEN item_id % 11 = 6 THEN 'qqqxyz' ELSE array_join(slice(w, 1, 2), ' ') END AS topic",
-        "CASE item_id % 5 WHEN 1 THEN array('en') WHEN 2 THEN array('EN', 'zz') ELSE NULL END AS tags", "CASE WHEN item_id % 7 = 3 THEN 'xor' WHEN item_id % 2 = 0 THEN 'or' ELSE 'and' END AS match",
+        "item_id AS query_id", "concat('src', item_id % 20) AS root", "CASE WHEN item_id % 11 = 5 THEN '' WHEN item_id % 11 = 6 THEN 'qqqxyz' WHEN item_id % 11 = 7 THEN concat(get(w, 0), ' \"', coalesce(get(w, 1), ''), '\" \\\\n') ELSE array_join(slice(w, 1, 2), ' ') END AS topic",
+        "CASE item_id % 5 WHEN 1 THEN array('en') WHEN 2 THEN array('EN', 'zz') ELSE NULL END AS tags", "CASE WHEN item_id % 21 = 3 THEN 'x\"or' WHEN item_id % 7 = 3 THEN 'xor' WHEN item_id % 7 = 4 THEN '' WHEN item_id % 2 = 0 THEN 'or' ELSE 'and' END AS match",
     )
 
 
 CORPUS_SQL = r"""
 WITH d0 AS (
   SELECT coalesce(source, 'none') AS root, coalesce(doc_id, 0) AS doc_id, coalesce(lang, 'xx') AS lang, coalesce(text, '') AS text, coalesce(doc_id, 0) // 20 AS q,
-    string_split(trim(regexp_replace(regexp_extract(coalesce(text, ''), '^[^A-Za-z0-9]*(([A-Za-z0-9]+[^A-Za-z0-9]+){0,14}[A-Za-z0-9]*)', 1), '[^A-Za-z0-9]+', ' ', 'g')), ' ') AS w
+    string_split(trim(regexp_replace(regexp_extract(coalesce(text, ''), '^[^\p{L}\p{Nd}]*(([\p{L}\p{Nd}]+[^\p{L}\p{Nd}]+){0,14}[\p{L}\p{Nd}]*)', 1), '[^\p{L}\p{Nd}]+', ' ', 'g')), ' ') AS w
   FROM documents
 ), d AS (
   SELECT *, q % 17 AS k, 'title: "' || array_to_string(w[1:5], ' ') || '"' || chr(10) AS title, 'description: "' || array_to_string(w[6:15], ' ') || '"' || chr(10) AS description,
     CASE q % 3 WHEN 0 THEN 'guide' WHEN 1 THEN 'Architecture' ELSE 'note' END AS kind, lower(coalesce(w[1], '')) AS w1, coalesce(w[2], '') AS w2
   FROM d0
 ), ev AS (
-  SELECT event_id % 20 AS s, strftime(ts, '%Y-%m-%d') AS day, event_id,
+  SELECT event_id % 20 AS s, event_id // LOG_BLOCK AS k, strftime(ts, '%Y-%m-%d') AS day, event_id,
     '**' || coalesce(event_type, 'none') || '**: `user-' || coalesce(user_id, 0) || '` — event ' || event_id || CASE WHEN event_id % 3 = 0 THEN chr(10) || '  more on it' ELSE '' END AS line
   FROM events WHERE event_id IS NOT NULL AND ts IS NOT NULL
-), days AS (SELECT s, day, '## ' || day || chr(10) || string_agg(line, chr(10) ORDER BY event_id) AS section FROM ev GROUP BY s, day),
+), days AS (SELECT s, k, day, '## ' || day || chr(10) || string_agg(line, chr(10) ORDER BY event_id) AS section FROM ev GROUP BY s, k, day),
 logs AS (
-  SELECT s, CASE WHEN s % 4 = 0 THEN string_agg(section, chr(10) || chr(10) ORDER BY day) ELSE string_agg(section, chr(10) || chr(10) ORDER BY day DESC) END AS body FROM days GROUP BY s
+  SELECT s, k, CASE WHEN s % 4 = 0 THEN string_agg(section, chr(10) || chr(10) ORDER BY day) ELSE string_agg(section, chr(10) || chr(10) ORDER BY day DESC) END AS body FROM days GROUP BY s, k
 ), files AS (
   SELECT root,
     CASE q % 20 WHEN 0 THEN '.notes/design/' || doc_id || '.md' WHEN 1 THEN '.git/' || doc_id || '.md' WHEN 2 THEN '_draft/' || doc_id || '.md' WHEN 3 THEN lang || '/' || doc_id || '.txt'
@@ -92,7 +97,7 @@ logs AS (
   SELECT root, lang || '/index.md', CASE WHEN m % 3 = 1 THEN '' ELSE '---' || chr(10) || 'type: "Index"' || chr(10) || '---' || chr(10) END
   FROM (SELECT root, lang, min(doc_id) AS m FROM d GROUP BY root, lang) WHERE m % 3 <> 0
   UNION ALL
-  SELECT 'src' || s, CASE s WHEN 9 THEN 'history.md' ELSE 'log.md' END, CASE WHEN s % 5 = 0 THEN '' ELSE '---' || chr(10) || 'type: Log' || chr(10) || '---' || chr(10) END
+  SELECT 'src' || s, 'log/b' || k || CASE s WHEN 9 THEN '/history.md' ELSE '/log.md' END, CASE WHEN s % 5 = 0 THEN '' ELSE '---' || chr(10) || 'type: Log' || chr(10) || '---' || chr(10) END
     || CASE WHEN s % 5 = 1 THEN 'see [x](/x.md)' || chr(10) ELSE '' END || CASE s WHEN 7 THEN replace(body, '**', '__') ELSE body END || chr(10)
   FROM logs
 ), parts AS (
@@ -123,10 +128,10 @@ bundled AS (
       SELECT arg_max(r.dir, CASE WHEN r.dir = '.' THEN 0 ELSE length(r.dir) END) FROM reserved r
       WHERE r.root = p.root AND r.base = 'index.md' AND (r.dir = '.' OR r.dir = p.dir OR starts_with(p.dir, r.dir || '/'))), p.dir) AS bundle
   FROM (SELECT * FROM docs UNION ALL SELECT * FROM reserved) p
-), b0 AS (SELECT item_id, string_split(trim(regexp_replace(regexp_extract(coalesce(text, ''), '^[^A-Za-z0-9]*(([A-Za-z0-9]+[^A-Za-z0-9]+){0,14}[A-Za-z0-9]*)', 1), '[^A-Za-z0-9]+', ' ', 'g')), ' ') AS w FROM benchmark WHERE item_id IS NOT NULL),
+), b0 AS (SELECT item_id, string_split(trim(regexp_replace(regexp_extract(coalesce(text, ''), '^[^\p{L}\p{Nd}]*(([\p{L}\p{Nd}]+[^\p{L}\p{Nd}]+){0,14}[\p{L}\p{Nd}]*)', 1), '[^\p{L}\p{Nd}]+', ' ', 'g')), ' ') AS w FROM benchmark WHERE item_id IS NOT NULL),
 queries AS (
-  SELECT item_id AS query_id, 'src' || (item_id % 20) AS root, CASE WHEN item_id % 11 = 5 THEN '' WHEN item_id % 11 = 6 THEN 'qqqxyz' ELSE array_to_string(w[1:2], ' ') END AS topic,
-    CASE item_id % 5 WHEN 1 THEN ['en'] WHEN 2 THEN ['EN', 'zz'] ELSE [] END AS asked, CASE WHEN item_id % 7 = 3 THEN 'xor' WHEN item_id % 2 = 0 THEN 'or' ELSE 'and' END AS match
+  SELECT item_id AS query_id, 'src' || (item_id % 20) AS root, CASE WHEN item_id % 11 = 5 THEN '' WHEN item_id % 11 = 6 THEN 'qqqxyz' WHEN item_id % 11 = 7 THEN w[1] || ' "' || coalesce(w[2], '') || '" \n' ELSE array_to_string(w[1:2], ' ') END AS topic,
+    CASE item_id % 5 WHEN 1 THEN ['en'] WHEN 2 THEN ['EN', 'zz'] ELSE [] END AS asked, CASE WHEN item_id % 21 = 3 THEN 'x"or' WHEN item_id % 7 = 3 THEN 'xor' WHEN item_id % 7 = 4 THEN 'and' WHEN item_id % 2 = 0 THEN 'or' ELSE 'and' END AS match
   FROM b0
 ), pairs AS (
   SELECT q.query_id, q.root, d.path, q.match, q.topic, list_transform(q.asked, lambda x: lower(x)) AS asked, list_transform(d.tags, lambda x: lower(x)) AS tags_lc, lower(d.title) AS t, lower(d.description) AS ds,
@@ -194,4 +199,4 @@ queries AS (
 ), log_table AS (
   SELECT e.root, e.source, h.heading AS date, e.action, e.target, e.detail, e.sec, e.ent FROM log_entries e JOIN (SELECT root, source, sec, max(heading) AS heading FROM numbered GROUP BY 1, 2, 3) h USING (root, source, sec)
 )
-"""
+""".replace("LOG_BLOCK", str(LOG_EVENTS * 20))

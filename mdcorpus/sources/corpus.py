@@ -3,11 +3,14 @@
 from __future__ import annotations
 
 import os
+from functools import reduce
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
+from pyspark.sql import functions as F
 
 from ..schemas import FILES
+from .shared import cut
 
 
 def read_corpus(spark: SparkSession, table_or_path: str) -> DataFrame:
@@ -19,58 +22,40 @@ def read_corpus(spark: SparkSession, table_or_path: str) -> DataFrame:
     return df.select("root", "path", "content")
 
 
-class Batch(InputPartition):
-    def __init__(self, files: list[tuple[str, str, str]]):
-        self.files = files
+VERSION_CONTROL = (".git", ".hg", ".svn")
+#: A task reads about so many bytes of files, counting some for each file.
+TASK_BYTES, FILE_BYTES = 32 << 20, 4096
+LISTED = "root string, top string, path string, directory boolean, size long"
 
 
-class TreeReader(DataSourceReader):
-    """Lists the trees once and deals the files to tasks by size; tasks read them."""
+def _list(batches, hidden: bool):
+    """What lies directly in each of the directories."""
+    for pdf in batches:
+        rows = []
+        for root, top, path in pdf[["root", "top", "path"]].itertuples(index=False, name=None):
+            for e in os.scandir(os.path.join(top, path)):
+                below = f"{path}/{e.name}" if path else e.name
+                if e.is_dir(follow_symlinks=False):
+                    if e.name not in VERSION_CONTROL and (hidden or not e.name.startswith(".")):
+                        rows.append((root, top, below, True, 0))
+                elif not e.is_dir():  # links to directories are not followed
+                    rows.append((root, top, below, False, e.stat().st_size if os.path.exists(e.path) else 0))
+        yield pd.DataFrame(rows, columns=[c.split()[0] for c in LISTED.split(", ")])
 
-    TARGET = 32 << 20
 
-    def __init__(self, options: dict):
-        import json
-
-        self.roots = json.loads(options["roots"])
-        self.hidden = options.get("hidden", "false") == "true"
-
-    def partitions(self):
-        out, held, size = [], [], 0
-        for root, top in sorted(self.roots.items()):
-            for here, dirs, names in os.walk(top, followlinks=False):
-                dirs[:] = sorted(d for d in dirs if d not in (".git", ".hg", ".svn") and (self.hidden or not d.startswith(".")))
-                for name in sorted(names):
-                    full = os.path.join(here, name)
-                    held.append((root, os.path.relpath(full, top).replace(os.sep, "/"), full))
-                    size += 4096 + (os.path.getsize(full) if os.path.exists(full) else 0)
-                    if size > self.TARGET:
-                        out.append(Batch(held))
-                        held, size = [], 0
-        return [*out, Batch(held)] if held or not out else out
-
-    def read(self, partition):
-        for root, path, full in partition.files:
+def _read(batches):
+    for pdf in batches:
+        contents = []
+        for top, path in pdf[["top", "path"]].itertuples(index=False, name=None):
             content = None
             if path.endswith(".md"):
                 try:
-                    with open(full, "rb") as f:
+                    with open(os.path.join(top, path), "rb") as f:
                         content = f.read().decode("utf-8", "replace")
                 except OSError:
                     pass
-            yield root, path, content
-
-
-class TreeSource(DataSource):
-    @classmethod
-    def name(cls) -> str:
-        return "markdown_tree"
-
-    def schema(self) -> str:
-        return FILES
-
-    def reader(self, schema):
-        return TreeReader(self.options)
+            contents.append(content)
+        yield pd.DataFrame({"root": pdf["root"], "path": pdf["path"], "content": contents})
 
 
 def read_tree(spark: SparkSession, roots: dict[str, str], include_hidden: bool = False) -> DataFrame:
@@ -80,7 +65,14 @@ def read_tree(spark: SparkSession, roots: dict[str, str], include_hidden: bool =
     other than .md have no content read; one that can't be read has null content. Directories must be visible to all
     executors.
     """
-    import json
-
-    spark.dataSource.register(TreeSource)
-    return spark.read.format("markdown_tree").option("roots", json.dumps(roots)).option("hidden", str(include_hidden).lower()).load()
+    level = spark.createDataFrame([(r, top, "") for r, top in roots.items()], "root string, top string, path string")
+    found = []
+    while True:  # a round lists one level of all trees, in tasks
+        listed = cut(level.repartition(spark.sparkContext.defaultParallelism, "root", "path").mapInPandas(lambda b: _list(b, include_hidden), LISTED))
+        found.append(listed.where("NOT directory"))
+        level = listed.where("directory").select("root", "top", "path")
+        if level.isEmpty():
+            break
+    files = reduce(DataFrame.union, found)
+    total = files.agg(F.sum(F.col("size") + FILE_BYTES)).first()[0] or 0
+    return files.select("root", "top", "path").repartition(max(1, -(-total // TASK_BYTES)), F.xxhash64("root", "path")).mapInPandas(_read, FILES)

@@ -9,12 +9,15 @@ OMIT_EMPTY = ("detail", "note", "doc_type", "title", "bundle", "line")
 
 
 def json_rows(df: DataFrame, omit_empty: tuple[str, ...] = ()) -> DataFrame:
-    """One column `value` of JSON objects; fields named in `omit_empty` are left out where they are '' or 0."""
+    """One column `value` of JSON objects; fields named in `omit_empty` are left out where they are null, '' or 0, other nulls stay."""
 
     def field(c: str) -> Column:
-        return F.when(F.col(c).cast("string").isin("", "0"), F.lit(None)).otherwise(F.col(c)).alias(c) if c in omit_empty else F.col(c)
+        inner = F.to_json(F.array(F.col(c)), {"ignoreNullFields": "false"})
+        piece = F.concat(F.lit(f'"{c}":'), F.substring(inner, F.lit(2), F.length(inner) - 2))
+        return F.when(F.coalesce(F.col(c).cast("string"), F.lit("")).isin("", "0"), F.lit(None)).otherwise(piece) if c in omit_empty else piece
 
-    return df.select(F.to_json(F.struct(*[field(c) for c in df.columns])).alias("value"))
+    pieces = F.filter(F.array(*[field(c) for c in df.columns]), lambda x: x.isNotNull())
+    return df.select(F.concat(F.lit("{"), F.array_join(pieces, ","), F.lit("}")).alias("value"))
 
 
 def write_json(df: DataFrame, path: str, omit_empty: tuple[str, ...] = ()) -> None:

@@ -18,7 +18,7 @@ def con():
     return c
 
 
-@pytest.mark.parametrize("name", ["classify", "split_frontmatter", "documents", "bundles", "find_best_vocab", "get_doc", "validate_bundle", "validate_paths", "tree", "log_entries", "log_notes"])
+@pytest.mark.parametrize("name", ["classify", "split_frontmatter", "documents", "bundles", "find_best_vocab", "get_doc", "validate_bundle", "validate_paths", "tree", "log_entries", "log_notes", "get_doc_status", "read_tree", "json_docs", "json_log", "catalog_tables", "get_log_root_limit"])
 def test_query_equals_sql(spark, con, name):
     got = queries()[name](spark, DATA)
     want = con.execute(oracle_sql()[name])
