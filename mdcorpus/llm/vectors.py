@@ -23,8 +23,10 @@ from .textvec import BASE, U, mix
 
 COSINE = 0.9
 WIDTH = 2.0
-#: Enough tables to find a pair at just the threshold with this probability; nearer pairs are found more surely.
+#: Enough tables to find a pair at just the threshold with this probability,
 RECALL = 0.95
+#: and nearer pairs, by how far the threshold's distance from 1 is gone, with these, whatever the number of projections.
+NEARER = ((0.8, 0.985), (0.5, 0.9995), (0.2, 1 - 1e-9))
 #: So many cosines of a bucket cost about as much as sending a vector to it.
 COSINES_A_SEND = 500
 MOST_PROJECTIONS = 64
@@ -46,8 +48,13 @@ def collision(distance: float, width: float) -> float:
 
 
 def table_count(projections: int, cosine: float = COSINE, recall: float = RECALL) -> int:
-    p = collision(max(1e-9, math.sqrt(2 - 2 * cosine)), WIDTH) ** projections
-    return max(1, math.ceil(math.log1p(-recall) / math.log1p(-p))) if p < 1 else 1
+    """Tables that find pairs at the threshold with the recall, and nearer ones with those of NEARER."""
+
+    def tables(c: float, r: float) -> int:
+        p = collision(max(1e-9, math.sqrt(2 - 2 * c)), WIDTH) ** projections
+        return max(1, math.ceil(math.log1p(-r) / math.log1p(-p))) if p < 1 else 1
+
+    return max(tables(cosine, recall), *(tables(1 - far * (1 - cosine), max(r, recall)) for far, r in NEARER))
 
 
 def hashing(vectors: int, cosine: float = COSINE, recall: float = RECALL) -> tuple[int, int]:
@@ -74,7 +81,10 @@ def bucket_keys(unit: np.ndarray, tables: int, projections: int) -> np.ndarray:
 
 
 def units(x: np.ndarray) -> np.ndarray:
+    """Vectors of length 1; divided by their largest component first, so that no square overflows or vanishes."""
     x = x.astype(np.float64)
+    most = np.abs(x).max(axis=1, keepdims=True)
+    x = np.ldexp(x, -np.frexp(most)[1]) if len(x) else x  # exact
     return x / np.linalg.norm(x, axis=1, keepdims=True)
 
 
@@ -195,7 +205,7 @@ def near_vectors(vectors: DataFrame, cosine: float = COSINE, recall: float = REC
     """(vec_id, n_links, component_id, kept) for every row of `vectors(vec_id, embedding)`.
 
     Vectors that are null, empty or zero, or hold null or non-finite components, link with nothing, nor do vectors of
-    different lengths. Repeated rows are vectors of their own. A row with a null vec_id is counted as a link of others;
+    different lengths. Components may be of any finite size. Repeated rows are vectors of their own. A row with a null vec_id is counted as a link of others;
     its own component is the least id reachable, if any. Other columns are ignored.
     """
     kind = vectors.schema["embedding"].dataType.elementType.simpleString()
