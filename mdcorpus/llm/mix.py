@@ -20,8 +20,8 @@ BLOCK_WORDS = 256
 LEAST_BLOCKS = 128
 #: A shard holds about this many words or documents, so that a task can hold it, however large its source is.
 SHARD_WORDS, SHARD_DOCS = 1 << 20, 1 << 13
-#: Rows of the table of sources, which the driver holds.
-MOST_SOURCES = 1_000_000
+#: So many sources may be broadcast (some dozen bytes each); more are joined.
+BROADCAST_SOURCES = 100_000
 
 
 def capped_shares(sizes: np.ndarray, weights: np.ndarray, total: float, most: float) -> np.ndarray:
@@ -126,25 +126,31 @@ def mix_sources(docs: DataFrame, row: str | None = None) -> DataFrame:
     3, 1, 2, repeating, and share 150 % of all words; none gets above twice its own size. Blocks are dealt to sources
     and to shards within them by highest quotients; a shard's documents in seeded order are cut into blocks and drawn
     by seed, so reruns agree. No document gives more than twice its size. Rows with null or repeated ids count as rows
-    of their own; sources without words take nothing; an empty table gives an empty result.
+    of their own; equal rows are interchangeable; texts without words, and sources of such, take nothing; an empty table
+    gives an empty result. The driver holds a row for each source.
     """
     spark = docs.sparkSession
     sized = docs.select(
         F.col("doc_id").cast("long"), (F.col(row) if row else F.lit(None)).cast("long").alias("row"), F.col("source").cast("string").alias("name"),
-        F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long").alias("size"), F.xxhash64(F.lit(SEED), "doc_id", F.xxhash64("text")).alias("place"),
+        F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long").alias("size"), F.xxhash64(F.lit(SEED), "doc_id", F.xxhash64("text"), *([F.col(row)] if row else [])).alias("place"),
     )
-    sized = cut(sized)
-    sources = sized.groupBy("name").agg(F.sum("size").alias("source_size"), F.count("*").alias("rows")).limit(MOST_SOURCES + 1).toPandas()
-    if len(sources) > MOST_SOURCES:
-        raise ValueError(f"more than {MOST_SOURCES} sources")
+    # equal rows are told apart by a number, so that many of them don't come to one shard
+    sized = sized.groupBy(*sized.columns).agg(F.count("*").alias("n")).withColumn("i", F.explode(F.sequence(F.lit(1), F.col("n").cast("int"))))
+    sized = cut(sized.withColumn("place", F.when(F.col("i") > 1, F.xxhash64("place", "i")).otherwise(F.col("place"))).drop("n", "i"))
+    sources = sized.groupBy("name").agg(F.sum("size").alias("source_size"), F.count_if(F.col("size") > 0).alias("rows")).toPandas()  # a short row for each source
     plan = _plan(sources).reset_index(names="number")
     shards = np.maximum(1, np.maximum(-(-plan["source_size"] // SHARD_WORDS), -(-plan["rows"] // SHARD_DOCS)))
     plan = plan.assign(shards=shards.astype("int64"))
     rows = [tuple(None if x is None or x != x else x for x in r) for r in plan[["number", "name", "source_size", "target", "block", "seats", "shards"]].astype(object).itertuples(index=False, name=None)]
-    plan = F.broadcast(spark.createDataFrame(rows, "number int, name string, source_size long, target double, block long, seats long, shards long"))
+    few = len(rows) <= BROADCAST_SOURCES
+    plan = spark.createDataFrame(rows, "number int, name string, source_size long, target double, block long, seats long, shards long")
+    plan = F.broadcast(plan) if few else plan
     dealt = sized.join(plan.select("number", "name", "shards"), sized["name"].eqNullSafe(plan["name"])).select(
         "doc_id", "row", "number", "size", "place", F.pmod(F.col("place"), F.col("shards")).cast("int").alias("shard")
     )
+    # texts without words give nothing and belong to no shard
+    empty = dealt.where("size = 0").select("doc_id", "row", "number", "size", F.lit(0).cast("long").alias("taken"))
+    dealt = dealt.where("size > 0")
     counted = dealt.groupBy("number", "shard").agg(F.sum("size").alias("words"))
     quotas = counted.join(plan.select("number", "block", "seats"), "number").groupBy("number").applyInPandas(_quotas, "number int, shard int, block long, quota long")
     taken = (
@@ -152,4 +158,4 @@ def mix_sources(docs: DataFrame, row: str | None = None) -> DataFrame:
         .applyInPandas(_select, "doc_id long, row long, number int, size long, taken long")
     )
     own = [F.col("row").alias(row)] if row else []
-    return taken.join(plan.select("number", "source_size", "target"), "number").select("doc_id", "size", "source_size", "target", "taken", *own)
+    return taken.union(empty).join(plan.select("number", "source_size", "target"), "number").select("doc_id", "size", "source_size", "target", "taken", *own)
