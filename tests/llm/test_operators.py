@@ -178,9 +178,10 @@ def test_vectors(spark):
     from mdcorpus.llm import vectors
 
     assert [vectors.hashing(n)[1] for n in (0, 10**4, 10**8)] == sorted({vectors.hashing(n)[1] for n in (0, 10**4, 10**8)})
-    for n in (10, 10**6):
+    for n in (10, 10**6, 10**9):
         tables, projections = vectors.hashing(n)
-        assert 1 - (1 - vectors.collision(np.sqrt(0.2), vectors.WIDTH) ** projections) ** tables >= vectors.RECALL
+        for cosine, recall in ((0.9, 0.95), (0.92, 0.985), (0.95, 0.9995), (0.98, 1 - 1e-8)):
+            assert 1 - (1 - vectors.collision(np.sqrt(2 - 2 * cosine), vectors.WIDTH) ** projections) ** tables >= recall
     # large buckets in slices give the same
     tight = [(i, [float(x) for x in base[0] + 0.1 * rng.standard_normal(16)]) for i in range(1000, 1060)]
     more = spark.createDataFrame(rows + tight, "vec_id long, embedding array<double>")
@@ -240,6 +241,31 @@ def found_leaks(rows, items):
     return sorted(out, key=repr)
 
 
+def test_vectors_of_any_size_and_clashing_columns(spark):
+    from mdcorpus.llm.vectors import near_vectors
+
+    v = [1.0, 2.0, -3.0, 0.5]
+    rows = [(i, [x * f for x in v], 1, "t") for i, f in enumerate((1.0, 1e200, 1e-200, 1e300, 5e-300, -1.0))]
+    got = {r.vec_id: r.n_links for r in near_vectors(spark.createDataFrame(rows, "vec_id long, embedding array<double>, n long, id string")).collect()}
+    assert got == {0: 4, 1: 4, 2: 4, 3: 4, 4: 4, 5: 0}
+
+
+@pytest.mark.parametrize("cosine, least", [(0.905, 0.9), (0.92, 0.95), (0.95, 0.99), (0.99, 1.0)])
+def test_vector_recall(spark, cosine, least):
+    """Pairs planted at a cosine among vectors at about right angles, at the settings for that many."""
+    from mdcorpus.llm.vectors import near_vectors
+
+    rng = np.random.default_rng(8)
+    a, b = (rng.standard_normal((400, 64)) for _ in range(2))
+    a /= np.linalg.norm(a, axis=1, keepdims=True)
+    b -= (a * b).sum(axis=1, keepdims=True) * a
+    b /= np.linalg.norm(b, axis=1, keepdims=True)
+    near = cosine * a + np.sqrt(1 - cosine**2) * b
+    rows = [(i, v.tolist()) for i, v in enumerate(np.concatenate([a, near]))]
+    got = {r.vec_id: r.component_id for r in near_vectors(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).collect()}
+    assert np.mean([got[400 + i] == i for i in range(400)]) >= least
+
+
 def test_decontamination(spark, docs, empty):
     from mdcorpus.llm import decontaminate as D
 
@@ -304,6 +330,68 @@ def test_mixing(spark, docs, empty):
     assert mix_sources(empty).count() == 0
 
 
+def mixed(rows):
+    """(doc_id, size, source_size, target, taken) of rows (doc_id, source, words, place), one shard a source, in plain Python."""
+    from fractions import Fraction
+
+    sizes = {}
+    for _, source, n, _ in rows:
+        sizes[source] = sizes.get(source, 0) + n
+    names = sorted((s for s in sizes if s is not None), key=lambda s: s.encode()) + [None] * (None in sizes)
+    weight, left, target = {s: (3, 1, 2)[i % 3] for i, s in enumerate(names)}, Fraction(3, 2) * sum(sizes.values()), {}
+    open_ = [s for s in names if sizes[s]]
+    while open_:
+        total = sum(weight[s] for s in open_)
+        full = [s for s in open_ if left * weight[s] / total >= 2 * sizes[s]]
+        for s in full or open_:
+            target[s] = Fraction(2 * sizes[s]) if full else left * weight[s] / total
+        if not full:
+            break
+        left -= sum(target[s] for s in full)
+        open_ = [s for s in open_ if s not in full]
+    block = 256
+    while block > 1 and min(target.values()) / block < 128:
+        block //= 2
+    seats = dict.fromkeys(names, 0)
+    for _ in range(round(float(sum(target.values())) / block)):
+        seats[max(target, key=lambda s: (target[s] / (2 * seats[s] + 1), -names.index(s)))] += 1
+    out = []
+    for number, s in enumerate(names):
+        own = sorted((place, d, n) for d, source, n, place in rows if source == s and n)
+        words = [(d, i) for i, (_, d, n) in enumerate(own) for _ in range(n)]
+        blocks = -(-len(words) // block)
+        times = [min(seats[s], 2 * blocks) // blocks] * blocks if blocks else []
+        for b in np.random.default_rng([42, number, 0]).permutation(blocks)[: min(seats[s], 2 * blocks) % blocks if blocks else 0]:
+            times[b] += 1
+        taken = [0] * len(own)
+        for k, (_, i) in enumerate(words):
+            taken[i] += times[k // block]
+        out += [(d, n, sizes[s], round(float(target[s]), 6), t) for (_, d, n), t in zip(own, taken)]
+        out += [(d, 0, sizes[s], round(float(target.get(s, 0)), 6), 0) for d, source, n, _ in rows if source == s and not n]
+    return sorted(out, key=repr)
+
+
+def test_mixing_equals_plain_python(spark):
+    from mdcorpus.llm.mix import mix_sources
+
+    rng = np.random.default_rng(11)
+    rows = [(i, " ".join(["w"] * int(rng.integers(0, 400))), [None, "a", "b", "é", "tiny", "zz"][int(rng.integers(0, 6))]) for i in range(150)]
+    rows = [(i, t if s != "tiny" else "one two", s) for i, t, s in rows] + [(500, None, "none"), (501, "  ", "a")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    places = {r.doc_id: r.place for r in df.select("doc_id", F.xxhash64(F.lit(42), "doc_id", F.xxhash64("text")).alias("place")).collect()}
+    want = mixed([(i, s, len((t or "").split()), places[i]) for i, t, s in rows])
+    assert sorted(((r.doc_id, r.size, r.source_size, round(r.target, 6), r.taken) for r in mix_sources(df.repartition(4)).collect()), key=repr) == want
+
+
+def test_mixing_of_equal_rows(spark):
+    from mdcorpus.llm.mix import mix_sources
+
+    rows = [(None, "same words here", "a")] * 300 + [(None, None, None)] * 50 + [(i, "other words", "b") for i in range(40)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    got = [sorted(map(tuple, mix_sources(df.repartition(n)).collect()), key=repr) for n in (1, 5)]
+    assert got[0] == got[1] and len(got[0]) == len(rows) and all(r[4] <= 2 * r[1] for r in got[0])
+
+
 def test_lm(docs, empty):
     from mdcorpus.llm.lm import lm_scores
 
@@ -448,6 +536,37 @@ def test_quality(spark, docs, empty):
     assert {r.score for r in quality_scores(docs, labels.limit(0)).collect()} == {0.5} and quality_scores(empty, labels).count() == 0
 
 
+def test_quality_scores_are_sums_of_table_entries(spark):
+    """A model's score against its tables, looked up by hand."""
+    from bisect import bisect_right
+    from math import exp
+
+    from mdcorpus.llm import quality as Q
+
+    data = "/root/testdata/sf0.01"
+    docs = spark.read.parquet(f"{data}/documents.parquet")
+    model = Q.fit(docs, spark.read.parquet(f"{data}/labels.parquet"))
+    assert model.pairs and all(np.isfinite(t).all() for t in [*model.tables, *model.pair_tables])
+    texts = [(r.text or "").encode() for r in docs.orderBy("doc_id").limit(50).collect()] + [b"", b"x", "é ü | !!! 123".encode()]
+    for row, score in zip(Q.features(texts), model.scores(Q.features(texts))):
+        total = model.intercept + sum(t[bisect_right(e.tolist(), v)] for e, t, v in zip(model.edges, model.tables, row))
+        for t, (i, j) in zip(model.pair_tables, model.pairs):
+            total += t[bisect_right(model.coarse[i].tolist(), row[i]), bisect_right(model.coarse[j].tolist(), row[j])]
+        assert abs(score - 1 / (1 + exp(-total))) < 1e-12
+    # repeated documents don't change what is learned
+    again = Q.fit(docs.union(docs.limit(300)).repartition(5), spark.read.parquet(f"{data}/labels.parquet"))
+    assert all((a == b).all() for a, b in zip(model.tables, again.tables))
+
+
+def test_first_by_hash(spark):
+    from mdcorpus.llm.common import first_by_hash
+
+    df = spark.range(20_000).select("id", F.xxhash64("id").alias("h"))
+    want = [r.id for r in df.orderBy("h").limit(100).collect()]
+    assert sorted(r.id for r in first_by_hash(df.union(df), 100).collect()) == sorted(want)
+    assert first_by_hash(df.limit(30), 100).count() == 30 and first_by_hash(df.limit(0), 100).count() == 0
+
+
 def test_warc(spark, tmp_path):
     from mdcorpus.llm.warc import MAGIC, RECORD_END, read_archives, round_trip
 
