@@ -6,13 +6,15 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import segments
+from ..sources.shared import cut
 
 
 def build_tree(docs: DataFrame, reserved: DataFrame) -> DataFrame:
     """(root, path, parent_path, name, depth, node_type, doc_type, title, bundle, ord); the root's path is ''.
 
     ord is the place among siblings: documents in the order of a walk, then reserved files; a directory stands where
-    its first leaf was put. Directories are reduced to one row before they are ordered.
+    its first leaf was put. Directories are reduced to one row before they are ordered; the order is worked out over ranges,
+    so that no task holds a whole directory.
     """
     leaf = lambda df, kind, title: df.select("root", "path", F.lit(kind).alias("node_type"), F.col("type").alias("doc_type"), title.alias("title"), "bundle")
     leaves = leaf(docs, "file", F.col("title")).union(leaf(reserved, "reserved", F.lit(None).cast("string")))
@@ -28,8 +30,20 @@ def build_tree(docs: DataFrame, reserved: DataFrame) -> DataFrame:
         "name": F.when(top, ".").otherwise(F.element_at(parts, -1)),
         "depth": F.when(top, 0).otherwise(F.size(parts)),
     })
-    ord_ = F.row_number().over(Window.partitionBy("root", "parent_path").orderBy("first"))
-    return nodes.withColumn("ord", ord_).select("root", "path", "parent_path", "name", "depth", "node_type", "doc_type", "title", "bundle", "ord")
+    return _placed(nodes).select("root", "path", "parent_path", "name", "depth", "node_type", "doc_type", "title", "bundle", "ord")
+
+
+def _placed(nodes: DataFrame) -> DataFrame:
+    """`nodes` with ord, their place by `first` among those of the same root and parent_path."""
+    up = F.coalesce(F.concat(F.lit("/"), "parent_path"), F.lit(""))
+    key = ["root", "up"]
+    sorted_ = nodes.withColumn("up", up).repartitionByRange(*key, "first").sortWithinPartitions(*key, "first")
+    # numbers ascend within a partition, whose own number is in their upper bits
+    sorted_ = cut(sorted_.withColumn("at", F.monotonically_increasing_id()).withColumn("range", F.shiftright("at", 33)))
+    pieces = sorted_.groupBy(*key, "range").agg(F.min("at").alias("start"), F.count("*").alias("n"))
+    before = F.sum("n").over(Window.partitionBy(*key).orderBy("range")) - F.col("n")
+    pieces = pieces.select(*key, "range", (before - F.col("start") + 1).alias("shift"))
+    return sorted_.join(pieces, [*key, "range"]).withColumn("ord", (F.col("at") + F.col("shift")).cast("int"))
 
 
 def subtree(tree: DataFrame, path: str) -> DataFrame:
