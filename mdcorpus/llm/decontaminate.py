@@ -16,6 +16,7 @@ import re
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -197,6 +198,7 @@ def _index(texts: pd.DataFrame, postings: pd.DataFrame) -> pd.DataFrame:
 
 
 PART_BYTES = 16 << 20
+TYPES = [pa.int64(), pa.int64(), pa.int32(), pa.float64(), pa.float64(), pa.float64()]
 
 
 def leaks(docs: DataFrame, benchmark: DataFrame, shard_bytes: int = SHARD_BYTES) -> DataFrame:
@@ -211,7 +213,8 @@ def leaks(docs: DataFrame, benchmark: DataFrame, shard_bytes: int = SHARD_BYTES)
     """
     spark, scratch = docs.sparkSession, Scratch(docs.sparkSession, "decontamination")
     schema = "doc_id long, item_id long, passage int, score double, question double, answer double"
-    docs = docs.select(F.col("doc_id").cast("long"), "text")
+    names = [c.split()[0] for c in schema.split(", ")]
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     items = benchmark.select(F.col("item_id").cast("long"), "text").where("item_id IS NOT NULL AND text IS NOT NULL").dropDuplicates()
     size = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     shards = max(1, -(-size // shard_bytes))
@@ -236,10 +239,10 @@ def leaks(docs: DataFrame, benchmark: DataFrame, shard_bytes: int = SHARD_BYTES)
         held = spark.sparkContext.broadcast([pickle.loads(b"".join(b)) for b in bodies.values()])
 
         def run(batches, held=held):
-            for pdf in batches:
-                ids, texts = pdf["doc_id"].astype(object).where(pdf["doc_id"].notna(), None).tolist(), lowered(pdf["text"])
+            for batch in batches:
+                ids, texts = batch.column("doc_id").to_pylist(), lowered(batch.column("text").to_pylist())
                 rows = [r for index in held.value for r in index.leaks(ids, texts)]
-                yield pd.DataFrame(rows, columns=[c.split()[0] for c in schema.split(", ")]).astype({"doc_id": "Int64"})
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows) if rows else [[]] * len(TYPES), TYPES)], names=names)
 
-        out = out.union(docs.mapInPandas(run, schema))
+        out = out.union(docs.mapInArrow(run, schema))
     return out

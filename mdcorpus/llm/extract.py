@@ -14,7 +14,7 @@ import random
 import re
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -282,7 +282,7 @@ def extracted(pages: DataFrame, rows: int = FIT_PAGES) -> DataFrame:
     limits = 20_000  # nodes scored at once
 
     def run(batches):
-        for pdf in batches:
+        for batch in batches:
             texts, held, size = [], [], 0
 
             def flush():
@@ -297,7 +297,7 @@ def extracted(pages: DataFrame, rows: int = FIT_PAGES) -> DataFrame:
                     at += len(x)
                 held.clear()
 
-            for page in pdf["html"]:
+            for page in batch.column("html").to_pylist():
                 root = parse(page if isinstance(page, str) else "")
                 held.append((root, *features(root, trees.value.odds if trees.value else {})))
                 size += len(held[-1][1])
@@ -305,6 +305,7 @@ def extracted(pages: DataFrame, rows: int = FIT_PAGES) -> DataFrame:
                     flush()
                     size = 0
             flush()
-            yield pd.DataFrame({"page_id": pdf["page_id"], "url": pdf["url"], "text": texts, "n_chars": [len(t) for t in texts]})
+            columns = [batch.column("page_id"), batch.column("url"), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())]
+            yield pa.RecordBatch.from_arrays(columns, names=["page_id", "url", "text", "n_chars"])
 
-    return pages.select(F.col("page_id").cast("long").alias("page_id"), "url", "html").mapInPandas(run, "page_id long, url string, text string, n_chars long")
+    return pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), "html").mapInArrow(run, "page_id long, url string, text string, n_chars long")

@@ -98,10 +98,10 @@ def _quotas(pdf: pd.DataFrame) -> pd.DataFrame:
 
 def _select(pdf: pd.DataFrame, quotas: pd.DataFrame) -> pd.DataFrame:
     """One shard's documents in seeded order, cut into blocks; the quota's blocks, drawn by seed, say what is taken."""
-    columns = ["doc_id", "row", "number", "size", "taken"]
+    columns = ["doc_id", "known", "row", "number", "size", "taken"]
     if not len(pdf):
         return pd.DataFrame([], columns=columns)
-    pdf = pdf.sort_values(["place", "doc_id", "size", "row"], na_position="last")
+    pdf = pdf.sort_values(["place", "known", "doc_id", "size", "row"])
     size = pdf["size"].to_numpy(np.int64)
     ends = np.cumsum(size)
     total = int(ends[-1])
@@ -146,16 +146,16 @@ def mix_sources(docs: DataFrame, row: str | None = None) -> DataFrame:
     plan = spark.createDataFrame(rows, "number int, name string, source_size long, target double, block long, seats long, shards long")
     plan = F.broadcast(plan) if few else plan
     dealt = sized.join(plan.select("number", "name", "shards"), sized["name"].eqNullSafe(plan["name"])).select(
-        "doc_id", "row", "number", "size", "place", F.pmod(F.col("place"), F.col("shards")).cast("int").alias("shard")
+        F.coalesce("doc_id", F.lit(0)).alias("doc_id"), F.col("doc_id").isNotNull().alias("known"), F.coalesce("row", F.lit(0)).alias("row"), "number", "size", "place", F.pmod(F.col("place"), F.col("shards")).cast("int").alias("shard")
     )
     # texts without words give nothing and belong to no shard
-    empty = dealt.where("size = 0").select("doc_id", "row", "number", "size", F.lit(0).cast("long").alias("taken"))
+    empty = dealt.where("size = 0").select("doc_id", "known", "row", "number", "size", F.lit(0).cast("long").alias("taken"))
     dealt = dealt.where("size > 0")
     counted = dealt.groupBy("number", "shard").agg(F.sum("size").alias("words"))
     quotas = counted.join(plan.select("number", "block", "seats"), "number").groupBy("number").applyInPandas(_quotas, "number int, shard int, block long, quota long")
     taken = (
         dealt.groupBy("number", "shard").cogroup(cut(quotas).groupBy("number", "shard"))
-        .applyInPandas(_select, "doc_id long, row long, number int, size long, taken long")
+        .applyInPandas(_select, "doc_id long, known boolean, row long, number int, size long, taken long")
     )
     own = [F.col("row").alias(row)] if row else []
-    return taken.union(empty).join(plan.select("number", "source_size", "target"), "number").select("doc_id", "size", "source_size", "target", "taken", *own)
+    return taken.union(empty).join(plan.select("number", "source_size", "target"), "number").select(F.when(F.col("known"), F.col("doc_id")).alias("doc_id"), "size", "source_size", "target", "taken", *own)

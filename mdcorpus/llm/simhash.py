@@ -10,12 +10,12 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import cut
 from .components import connected_components
-from .textvec import encoded
 
 U = np.uint64
 HALF = U(0xFFFFFFFF)
@@ -64,10 +64,11 @@ def fingerprints(docs: DataFrame) -> DataFrame:
     """(doc_id, fp long) of every document, from its whole text."""
 
     def run(batches):
-        for pdf in batches:
-            yield pd.DataFrame({"doc_id": pdf["doc_id"], "fp": fingerprints_of(encoded(pdf["text"])).view(np.int64)})
+        for batch in batches:
+            texts = [t or b"" for t in batch.column("text").cast(pa.binary()).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(fingerprints_of(texts).view(np.int64))], names=["doc_id", "fp"])
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInPandas(run, "doc_id long, fp long")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, fp long")
 
 
 def _linked(diff: np.ndarray, wiped: U, first: bool, distance: int) -> np.ndarray:
