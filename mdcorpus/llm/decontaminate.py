@@ -162,13 +162,12 @@ class Index:
             # passage i: halves i and i + 1; the half before a document's first is the empty one of the document before
             inner = half > first_half[doc[hit]]
             code = np.unique(np.concatenate([half, half[inner] - 1]) * len(self.terms) + np.concatenate([term, term[inner]]))
-            best: dict[tuple, tuple] = {}
+            found: dict[tuple, set] = {}
             for h, part, score in zip(*(x.tolist() for x in self.retrieve(code // len(self.terms), code % len(self.terms)))):
                 d = int(np.searchsorted(first_half, h, side="right")) - 1
-                key, place = (d, self.items[part]), (-score, (h - int(first_half[d])) * HALF)
-                best[key] = min(best.get(key, place), place)
-            for (d, item), (score, at) in sorted(best.items()):
-                for size, question, answer in self.texts[item]:
+                found.setdefault((d, self.items[part]), set()).add((-score, (h - int(first_half[d])) * HALF))
+            for (d, item), places in sorted(found.items()):
+                for score, at, (size, question, answer) in ((*p, t) for p in sorted(places) for t in self.texts[item]):
                     own = words[offsets[d] + max(0, at - size) : min(offsets[d] + at + 2 * HALF + size, offsets[d + 1])]
                     q, r = overlap(question, own), overlap(answer, own)
                     if q >= OVERLAP and r >= OVERLAP:
@@ -205,8 +204,8 @@ def leaks(docs: DataFrame, benchmark: DataFrame, shard_bytes: int = SHARD_BYTES)
     """One row for each document and test item that it leaks: (doc_id, item_id, passage, score, question, answer).
 
     `docs(doc_id, text)` are queried whole, `benchmark(item_id, text)` is indexed whole. Words are runs of letters and
-    digits (and all beyond ASCII), lower-cased. `passage` is the first word of the passage of the highest score, of equal ones
-    the first. Question and answer are looked for in that passage and as many words on both sides as the item has. Null and
+    digits (and all beyond ASCII), lower-cased. Question and answer are looked for in every passage retrieved and as many words on
+    both sides as the item has. `passage` is the first word of the passage of the highest score where both are, of equal ones the first. Null and
     empty texts, and test items without words or with a null id, take part in nothing; repeated rows give rows of their own; an
     item id that is repeated counts once for each document, and each of its texts is searched for on its own; other columns are
     ignored. Without items or documents the result is empty.

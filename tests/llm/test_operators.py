@@ -229,9 +229,9 @@ def found_leaks(rows, items):
             for item, c in weighed:
                 score = sum(x for term, x in c.items() if term in own) / sum(c.values())
                 if score >= 0.6 - 1e-9:
-                    best[item] = min(best.get(item, (0, 0)), (-round(score, 9), at))
-        for item, (score, at) in best.items():
-            for text in sorted(x for i, x in items if i == item and x is not None):
+                    best.setdefault(item, set()).add((-round(score, 9), at))
+        for item, places in best.items():
+            for score, at, text in ((*p, x) for p in sorted(places) for x in sorted(x for i, x in items if i == item and x is not None)):
                 n = len(split(text))
                 near = w[max(0, at - n) : at + 128 + n]
                 q, r = (overlap(p, near) for p in question_and_answer(text))
