@@ -43,6 +43,18 @@ class Scratch:
             path.getFileSystem(conf).delete(path, True)
 
 
+#: Rows are handed to Python in batches of so many bytes at most, which two processes a task hold.
+BATCH_BYTES = 8 << 20
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Have texts handed to Python in batches of BATCH_BYTES, where the session's are larger."""
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    have = (spark.conf.get(name, None) or "").lower().removesuffix("b")
+    if not have.isdigit() or int(have) > BATCH_BYTES or int(have) <= 0:
+        spark.conf.set(name, f"{BATCH_BYTES}b")
+
+
 def fresh(columns: list[str], name: str) -> str:
     """`name`, or a longer one, such that no column has it."""
     taken = {c.lower() for c in columns}

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch
+from .common import Scratch, small_batches
 from .exchange import ramp
 from .textvec import ALNUM, BASE, U, blocks, hash_words, mix
 
@@ -200,20 +200,9 @@ PART_BYTES = 16 << 20
 TYPES = [pa.int64(), pa.int64(), pa.int32(), pa.float64(), pa.float64(), pa.float64()]
 
 
-def leaks(docs: DataFrame, benchmark: DataFrame, shard_bytes: int = SHARD_BYTES) -> DataFrame:
-    """One row for each document and test item that it leaks: (doc_id, item_id, passage, score, question, answer).
-
-    `docs(doc_id, text)` are queried whole, `benchmark(item_id, text)` is indexed whole. Words are runs of letters and
-    digits (and all beyond ASCII), lower-cased. Question and answer are looked for in every passage retrieved and as many words on
-    both sides as the item has. `passage` is the first word of the passage of the highest score where both are, of equal ones the first. Null and
-    empty texts, and test items without words or with a null id, take part in nothing; repeated rows give rows of their own; an
-    item id that is repeated counts once for each document, and each of its texts is searched for on its own; other columns are
-    ignored. Without items or documents the result is empty.
-    """
-    spark, scratch = docs.sparkSession, Scratch(docs.sparkSession, "decontamination")
-    schema = "doc_id long, item_id long, passage int, score double, question double, answer double"
-    names = [c.split()[0] for c in schema.split(", ")]
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+def indexes_of(benchmark: DataFrame, shard_bytes: int = SHARD_BYTES):
+    """The broadcast indexes of all items of `benchmark(item_id, text)`, a few shards at a time."""
+    spark, scratch = benchmark.sparkSession, Scratch(benchmark.sparkSession, "decontamination")
     items = benchmark.select(F.col("item_id").cast("long"), "text").where("item_id IS NOT NULL AND text IS NOT NULL").dropDuplicates()
     size = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     shards = max(1, -(-size // shard_bytes))
@@ -221,9 +210,8 @@ def leaks(docs: DataFrame, benchmark: DataFrame, shard_bytes: int = SHARD_BYTES)
     terms = items.select("item_id", "text_id", "text").mapInPandas(_terms, "item_id long, text_id long, part int, term long, tf int, n int")
     terms = scratch.save(terms.groupBy("item_id", "text_id", "part", "term").agg(F.sum("tf").alias("tf"), F.sum("n").alias("n")), "terms")
     all_parts = terms.groupBy("item_id", "text_id", "part").agg(F.max("n").alias("n")).agg(F.count("*").alias("parts"), F.avg("n").alias("mean")).first()
-    out = spark.createDataFrame([], schema)
     if not all_parts["parts"]:
-        return out
+        return
     df = terms.groupBy("term").agg(F.count("*").alias("df"))
     idf = F.log(1 + (F.lit(all_parts["parts"]) - F.col("df") + 0.5) / (F.col("df") + 0.5))
     norm = F.lit(K1) * (1 - B + B * F.col("n") / F.lit(all_parts["mean"] or 1.0))
@@ -235,7 +223,41 @@ def leaks(docs: DataFrame, benchmark: DataFrame, shard_bytes: int = SHARD_BYTES)
         bodies: dict[int, list] = {}
         for r in indexes.where(F.col("shard").between(first, first + SHARDS_HELD - 1)).orderBy("shard", "part").collect():  # SHARDS_HELD shards of bounded text
             bodies.setdefault(r["shard"], []).append(bytes(r["body"]))
-        held = spark.sparkContext.broadcast([pickle.loads(b"".join(b)) for b in bodies.values()])
+        yield spark.sparkContext.broadcast([pickle.loads(b"".join(b)) for b in bodies.values()])
+    scratch.drop("terms", "indexes")
+
+
+def leak_free(docs: DataFrame, benchmark: DataFrame, shard_bytes: int = SHARD_BYTES) -> DataFrame:
+    """The rows of `docs` that leak no test item, with all their columns, whatever their ids; see `leaks`."""
+    small_batches(docs.sparkSession)
+    for held in indexes_of(benchmark, shard_bytes):
+
+        def run(batches, held=held):
+            for batch in batches:
+                texts = lowered(batch.column("text").to_pylist())
+                bad = {r[0] for index in held.value for r in index.leaks(list(range(len(texts))), texts)}
+                yield batch.filter(pa.array([i not in bad for i in range(len(texts))], pa.bool_()))
+
+        docs = docs.mapInArrow(run, docs.schema)
+    return docs
+
+
+def leaks(docs: DataFrame, benchmark: DataFrame, shard_bytes: int = SHARD_BYTES) -> DataFrame:
+    """One row for each document and test item that it leaks: (doc_id, item_id, passage, score, question, answer).
+
+    `docs(doc_id, text)` are queried whole, `benchmark(item_id, text)` is indexed whole. Words are runs of letters and
+    digits (and all beyond ASCII), lower-cased. Question and answer are looked for in every passage retrieved and as many words on
+    both sides as the item has. `passage` is the first word of the passage of the highest score where both are, of equal ones the first. Null and
+    empty texts, and test items without words or with a null id, take part in nothing; repeated rows give rows of their own; an
+    item id that is repeated counts once for each document, and each of its texts is searched for on its own; other columns are
+    ignored. Without items or documents the result is empty.
+    """
+    small_batches(docs.sparkSession)
+    schema = "doc_id long, item_id long, passage int, score double, question double, answer double"
+    names = [c.split()[0] for c in schema.split(", ")]
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    out = docs.sparkSession.createDataFrame([], schema)
+    for held in indexes_of(benchmark, shard_bytes):
 
         def run(batches, held=held):
             for batch in batches:

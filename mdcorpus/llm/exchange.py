@@ -17,7 +17,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch
+from .common import Scratch, small_batches
 from .textvec import _SYMBOLS, Spans
 
 #: role: what the row is for; level: which round it belongs to; n: how many keys; body: packed arrays.
@@ -105,6 +105,7 @@ def by_chunk(docs: DataFrame, make: Callable[[int, pa.Table], list[tuple]], chun
         for i, rows in enumerate(chunked(batches, chunk_bytes)):
             yield from messages(make(task + i, rows)).to_batches()
 
+    small_batches(docs.sparkSession)
     return docs.mapInArrow(run, MESSAGE)
 
 

@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import first_by_hash
+from .common import first_by_hash, small_batches
 from .dom import BAD_TAGS, Node, features, parse
 
 #: Learning pages, the first by a hash of page and id.
@@ -278,6 +278,7 @@ def extracted(pages: DataFrame, rows: int = FIT_PAGES) -> DataFrame:
     space. Where no page has an article or main element to learn from, all text outside menus, headers, footers and
     the like is kept. Repeated rows are rows of their own; other columns are ignored.
     """
+    small_batches(pages.sparkSession)
     trees = pages.sparkSession.sparkContext.broadcast(fit(pages, rows))
     limits = 20_000  # nodes scored at once
 

@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, IntegerType, StructField, StructType
 
-from .common import crc_mod, first_by_hash
+from .common import crc_mod, first_by_hash, small_batches
 from .textvec import _SYMBOLS, SPACES, U, Spans, blocks, encoded, mix, word_bounds
 
 #: The model is fitted on this many labelled rows at most, the first by a hash of their ids.
@@ -204,6 +204,7 @@ def fit(docs: DataFrame, labels: DataFrame, rows: int = FIT_ROWS) -> Model:
 
 def scored(docs: DataFrame, model: Model, score: str = "score", predicted: str = "predicted") -> DataFrame:
     """`docs` with a column `score` (0 to 1) and one `predicted` (1 from 0.5 on); the text alone is looked at, whole."""
+    small_batches(docs.sparkSession)
     held = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches):

@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut
+from .common import cut, small_batches
 from .components import connected_components
 
 U = np.uint64
@@ -54,7 +54,7 @@ def fingerprints_of(texts: list[bytes], shingle: int = 3, seed: int = 42) -> np.
             values += [digest(joined[a:b], seed) for a, b in zip(starts[: 1 - shingle].tolist(), ends[shingle - 1 :].tolist())]
             counts.append(len(words) - shingle + 1)
         at.append(i)
-        if len(values) > 500_000:
+        if len(values) > 100_000:
             flush()
     flush()
     return out
@@ -68,6 +68,7 @@ def fingerprints(docs: DataFrame) -> DataFrame:
             texts = [t or b"" for t in batch.column("text").cast(pa.binary()).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(fingerprints_of(texts).view(np.int64))], names=["doc_id", "fp"])
 
+    small_batches(docs.sparkSession)
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, fp long")
 
 
