@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from mdcorpus.llm.common import Scratch, fresh, numbered, table
-from mdcorpus.llm.decontaminate import leaks
+from mdcorpus.llm.decontaminate import leak_free
 from mdcorpus.llm.mix import mix_sources
 from mdcorpus.llm.quality import fit, scored
 from mdcorpus.llm.simhash import near_duplicates
@@ -57,9 +57,7 @@ def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold a test item go, whatever their ids; null and empty texts hold none."""
-    rows, row = numbered(docs)
-    found = leaks(rows.select(F.col(row).alias("doc_id"), "text"), table(spark, sf_dir, "benchmark"))
-    return rows.join(found.select(F.col("doc_id").alias(row)).distinct(), row, "left_anti").select(docs.columns)
+    return leak_free(docs, table(spark, sf_dir, "benchmark"))
 
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
