@@ -48,7 +48,7 @@ def marks_of(attributes: str) -> frozenset:
     found = []
     for m in ATTRIBUTE.finditer(attributes) if "=" in attributes else ():
         found += re.split(r"[^a-z0-9]+", re.sub(r"([a-z])([A-Z])", r"\1-\2", m[2] or m[3] or m[4] or "").lower())
-    return frozenset(found)
+    return frozenset(found) - {""}
 
 
 class Tags:
