@@ -24,6 +24,7 @@ from .textvec import _SYMBOLS, Spans
 MESSAGE = "role string, level int, chunk long, bucket int, n long, body binary"
 ARROW = pa.schema([("role", pa.string()), ("level", pa.int32()), ("chunk", pa.int64()), ("bucket", pa.int32()), ("n", pa.int64()), ("body", pa.binary())])
 CHUNK_BYTES, BUCKET_BYTES, LEAST_BUCKETS = 4 << 20, 16 << 20, 32
+HASHED_BYTES = 1 << 19
 
 
 def freeze(*parts) -> bytes:
@@ -155,8 +156,13 @@ def dealt_words(words: pa.Array, buckets: int) -> tuple[np.ndarray, np.ndarray]:
     """(order of the words by bucket, place in that order where each bucket's words start, and their number)."""
     lengths, data = bytes_of(words)
     ends = np.cumsum(lengths)
-    spread = Spans(_SYMBOLS[np.frombuffer(data, np.uint8)])(ends - lengths, ends)  # only says where a word is sent
-    return dealt((spread % np.uint64(buckets)).astype(np.int64), buckets)
+    data, at, spread = np.frombuffer(data, np.uint8), 0, [np.zeros(0, np.uint64)]  # only says where a word is sent
+    while at < len(ends):  # some words at a time
+        start = int(ends[at] - lengths[at])
+        to = max(at + 1, int(np.searchsorted(ends, start + HASHED_BYTES)))
+        spread.append(Spans(_SYMBOLS[data[start : ends[to - 1]]])(ends[at:to] - lengths[at:to] - start, ends[at:to] - start))
+        at = to
+    return dealt((np.concatenate(spread) % np.uint64(buckets)).astype(np.int64), buckets)
 
 
 def dealt(bucket: np.ndarray, buckets: int) -> tuple[np.ndarray, np.ndarray]:

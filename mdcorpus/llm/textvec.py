@@ -5,11 +5,30 @@ Words are told apart by XXH64. `Spans` is a polynomial modulo 2**64, for uses in
 
 from __future__ import annotations
 
+import ctypes
+
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyspark import TaskContext
 from xxhash import xxh64_intdigest
 
+
+
+def give_memory_back() -> None:
+    """In a Python worker: arrays of a megabyte and more go back to the system when freed, so that a worker holds what it works on."""
+    if TaskContext.get() is None:
+        return
+    pa.set_memory_pool(pa.system_memory_pool())
+    try:
+        libc = ctypes.CDLL(None)
+        libc.mallopt(-3, 1 << 20)  # M_MMAP_THRESHOLD
+        libc.mallopt(-1, 1 << 20)  # M_TRIM_THRESHOLD
+    except (AttributeError, OSError):  # another C library
+        pass
+
+
+give_memory_back()
 U = np.uint64
 BASE = 0x9E3779B97F4A7C15
 INVERSE = pow(BASE, -1, 1 << 64)
@@ -59,7 +78,7 @@ class Spans:
         return mix((self.sums[ends] - self.sums[starts]) * down[starts] + (ends - starts).astype(U) * U(0xD6E8FEB86659FD93))
 
 
-def blocks(texts: list[bytes], most: int = 1 << 21):
+def blocks(texts: list[bytes], most: int = 1 << 19):
     """Consecutive ranges of `texts` of about `most` bytes each (a longer text is a range of its own)."""
     at, size = 0, 0
     for i, t in enumerate(texts):
