@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 
 from .common import Scratch, small_batches
 from .exchange import ramp
-from .textvec import ALNUM, BASE, U, blocks, hash_words, mix
+from .textvec import ALNUM, BASE, U, blocks, give_back, hash_words, mix
 
 K1, B = 1.2, 0.75
 THRESHOLD = 0.6
@@ -237,6 +237,7 @@ def leak_free(docs: DataFrame, benchmark: DataFrame, shard_bytes: int = SHARD_BY
                 texts = lowered(batch.column("text").to_pylist())
                 bad = {r[0] for index in held.value for r in index.leaks(list(range(len(texts))), texts)}
                 yield batch.filter(pa.array([i not in bad for i in range(len(texts))], pa.bool_()))
+                give_back()
 
         docs = docs.mapInArrow(run, docs.schema)
     return docs

@@ -18,12 +18,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import Scratch, small_batches
-from .textvec import _SYMBOLS, Spans
+from .textvec import _SYMBOLS, Spans, give_back
 
 #: role: what the row is for; level: which round it belongs to; n: how many keys; body: packed arrays.
 MESSAGE = "role string, level int, chunk long, bucket int, n long, body binary"
 ARROW = pa.schema([("role", pa.string()), ("level", pa.int32()), ("chunk", pa.int64()), ("bucket", pa.int32()), ("n", pa.int64()), ("body", pa.binary())])
-CHUNK_BYTES, BUCKET_BYTES, LEAST_BUCKETS = 4 << 20, 16 << 20, 32
+CHUNK_BYTES, BUCKET_BYTES, LEAST_BUCKETS = 3 << 20, 16 << 20, 32
 HASHED_BYTES = 1 << 19
 
 
@@ -105,6 +105,7 @@ def by_chunk(docs: DataFrame, make: Callable[[int, pa.Table], list[tuple]], chun
         task = TaskContext.get().partitionId() << 32
         for i, rows in enumerate(chunked(batches, chunk_bytes)):
             yield from messages(make(task + i, rows)).to_batches()
+            give_back()
 
     small_batches(docs.sparkSession)
     return docs.mapInArrow(run, MESSAGE)
@@ -113,7 +114,13 @@ def by_chunk(docs: DataFrame, make: Callable[[int, pa.Table], list[tuple]], chun
 def answered(asked: DataFrame, answer: Callable[[list], list[tuple]], role: str = "ask", level: int = 0) -> DataFrame:
     """The messages that `answer(bucket, received messages)` gives for each bucket."""
     asked = asked.where((F.col("role") == role) & (F.col("level") == level))
-    return asked.groupBy("bucket").applyInArrow(lambda t: messages(answer(t.column("bucket")[0].as_py(), received(t, role, level))), MESSAGE)
+
+    def run(t):
+        out = messages(answer(t.column("bucket")[0].as_py(), received(t, role, level)))
+        give_back()
+        return out
+
+    return asked.groupBy("bucket").applyInArrow(run, MESSAGE)
 
 
 def rejoined(tables: list[DataFrame], make: Callable[[int, pa.Table], pa.Table], schema: str) -> DataFrame:
@@ -121,7 +128,13 @@ def rejoined(tables: list[DataFrame], make: Callable[[int, pa.Table], pa.Table],
     union = tables[0]
     for t in tables[1:]:
         union = union.unionByName(t)
-    return union.where("role <> 'ask'").groupBy("chunk").applyInArrow(lambda t: make(t.column("chunk")[0].as_py(), t), schema)
+
+    def run(t):
+        out = make(t.column("chunk")[0].as_py(), t)
+        give_back()
+        return out
+
+    return union.where("role <> 'ask'").groupBy("chunk").applyInArrow(run, schema)
 
 
 def numbered_words(texts: pa.Array | pa.ChunkedArray) -> tuple[pa.Array, np.ndarray, np.ndarray]:

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, IntegerType, StructField, StructType
 
 from .common import crc_mod, first_by_hash, small_batches
-from .textvec import _SYMBOLS, SPACES, U, Spans, blocks, encoded, mix, word_bounds
+from .textvec import _SYMBOLS, SPACES, U, Spans, blocks, encoded, give_back, mix, word_bounds
 
 #: The model is fitted on this many labelled rows at most, the first by a hash of their ids.
 FIT_ROWS = 20_000
@@ -193,6 +193,7 @@ def fit(docs: DataFrame, labels: DataFrame, rows: int = FIT_ROWS) -> Model:
         for pdf in batches:
             out = pd.DataFrame(features(encoded(pdf["text"])), columns=list(FEATURES))
             yield out.assign(doc_id=pdf["doc_id"], y=pdf["y"])
+            give_back()
 
     # of a repeated document the first text by hash counts
     found = docs.select(F.col("doc_id").cast("long"), "text").join(F.broadcast(chosen), "doc_id")
@@ -211,6 +212,7 @@ def scored(docs: DataFrame, model: Model, score: str = "score", predicted: str =
         for batch in batches:
             p = held.value.scores(features([t or b"" for t in batch.column("text").cast(pa.binary()).to_pylist()]))
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(p), pa.array((p >= 0.5).astype(np.int32))], names=[*batch.schema.names, score, predicted])
+            give_back()
 
     return docs.mapInArrow(run, StructType([*docs.schema.fields, StructField(score, DoubleType()), StructField(predicted, IntegerType())]))
 

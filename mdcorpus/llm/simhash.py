@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 
 from .common import cut, small_batches
 from .components import connected_components
+from .textvec import give_back
 
 U = np.uint64
 HALF = U(0xFFFFFFFF)
@@ -67,6 +68,7 @@ def fingerprints(docs: DataFrame) -> DataFrame:
         for batch in batches:
             texts = [t or b"" for t in batch.column("text").cast(pa.binary()).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(fingerprints_of(texts).view(np.int64))], names=["doc_id", "fp"])
+            give_back()
 
     small_batches(docs.sparkSession)
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, fp long")

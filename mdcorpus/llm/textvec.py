@@ -14,21 +14,18 @@ from pyspark import TaskContext
 from xxhash import xxh64_intdigest
 
 
-
-def give_memory_back() -> None:
-    """In a Python worker: arrays of a megabyte and more go back to the system when freed, so that a worker holds what it works on."""
-    if TaskContext.get() is None:
-        return
+if TaskContext.get() is not None:  # in a Python worker Arrow shares one pool with numpy, which `give_back` empties
     pa.set_memory_pool(pa.system_memory_pool())
+
+
+def give_back() -> None:
+    """Return memory that is free to the system, so that a worker that waits for its next task holds little."""
     try:
-        libc = ctypes.CDLL(None)
-        libc.mallopt(-3, 1 << 20)  # M_MMAP_THRESHOLD
-        libc.mallopt(-1, 1 << 20)  # M_TRIM_THRESHOLD
+        ctypes.CDLL(None).malloc_trim(0)
     except (AttributeError, OSError):  # another C library
         pass
 
 
-give_memory_back()
 U = np.uint64
 BASE = 0x9E3779B97F4A7C15
 INVERSE = pow(BASE, -1, 1 << 64)
