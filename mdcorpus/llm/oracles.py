@@ -85,4 +85,20 @@ WITH RECURSIVE f AS (
 SELECT *, folded_root = root AS verified FROM proven
 """
 
-ORACLES = {"op2_vector_near_dedup": OP2, "op3_warc": OP3, "op7_substring_dedup": OP7, "op12_merkle_manifest": OP12}
+OP11 = r"""
+WITH docs AS (
+  SELECT doc_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM documents
+), tfs AS (SELECT doc_id, term, count(*) AS tf FROM docs GROUP BY ALL),
+lengths AS (SELECT doc_id, count(*) AS n FROM docs GROUP BY doc_id),
+totals AS (SELECT count(*) AS n_docs, sum(n)::BIGINT AS n_terms FROM lengths),
+weights AS (SELECT term, floor(1000 * ln((2 * n_docs + 2) / (2 * df + 1)))::BIGINT AS w FROM (SELECT term, count(*) AS df FROM tfs GROUP BY term), totals),
+asked AS (
+  SELECT DISTINCT item_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM benchmark
+), scores AS (
+  SELECT a.item_id, t.doc_id, sum(w.w * ((1000000000 * t.tf) // (1000 * t.tf + 20 * (50 + (50 * l.n * n_docs) // n_terms))))::BIGINT AS score
+  FROM asked a JOIN weights w ON w.term = a.term JOIN tfs t ON t.term = a.term JOIN lengths l ON l.doc_id = t.doc_id CROSS JOIN totals GROUP BY a.item_id, t.doc_id
+)
+SELECT item_id, rank::INTEGER AS rank, doc_id, score FROM (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS rank FROM scores WHERE score > 0) WHERE rank <= 50
+"""
+
+ORACLES = {"op2_vector_near_dedup": OP2, "op3_warc": OP3, "op7_substring_dedup": OP7, "op11_ranked_search": OP11, "op12_merkle_manifest": OP12}
