@@ -26,7 +26,7 @@ class Corpus:
     """What the queries share; nothing is computed before a query asks."""
 
     def __init__(self, spark: SparkSession, sf_dir: str):
-        self.spark = spark
+        self.spark, self.sf_dir = spark, sf_dir
         self.files = testcorpus.files(spark, sf_dir)
         self.queries = testcorpus.topics(spark, sf_dir)
         self.roots = self.files.select("root").distinct()
@@ -166,6 +166,8 @@ PLANS = {
     "report_lines": lambda c: validate.report_lines(validate.validate_bundle(c.once), c.summary()),
     "tree": lambda c: c.tree(),
     "subtree": lambda c: tree.subtree(c.tree(), "en/d1"),
+    "tree_json": lambda c: tree.nested_json(c.tree(), c.roots),
+    "subtrees": lambda c: tree.subtrees(c.tree(), testcorpus.requests(c.spark, c.sf_dir)),
     "log_entries": lambda c: _entries(c.entries()),
     "get_log_since": lambda c: _entries(changelog.get_log(c.entries(), since=SINCE)),
     "get_log_action": lambda c: _entries(changelog.get_log(c.entries(), action=ACTION)),
@@ -219,6 +221,28 @@ SQL = {
         UNION ALL SELECT root, files || ' files: ' || errors || ' errors, ' || warnings || ' warnings, ' || notifications || ' notifications' FROM summary""",
     "tree": TREE,
     "subtree": f"{TREE} WHERE path = 'en/d1' OR starts_with(path, 'en/d1/')",
+    "tree_json": """, euler AS (
+          SELECT root, path, []::BIGINT[] AS walk FROM tree WHERE path = '' UNION ALL SELECT t.root, t.path, list_append(e.walk, t.ord) FROM euler e JOIN tree t ON t.root = e.root AND t.parent_path = e.path
+        ), events AS (
+          SELECT root, walk AS place_key, (CASE WHEN ord > 1 THEN ',' ELSE '' END) || '{"name":' || to_json(name) || ',"path":' || to_json(path) || ',"type":"' || node_type || '"' || CASE WHEN coalesce(doc_type, '') = '' THEN '' ELSE ',"doc_type":' || to_json(doc_type) END
+            || CASE WHEN coalesce(title, '') = '' THEN '' ELSE ',"title":' || to_json(title) END || CASE WHEN coalesce(bundle, '') = '' THEN '' ELSE ',"bundle":' || to_json(bundle) END || CASE WHEN node_type = 'directory' THEN ',"children":[' ELSE '' END AS piece
+          FROM tree JOIN euler USING (root, path)
+          UNION ALL SELECT root, list_append(walk, 2147483647), CASE WHEN node_type = 'directory' THEN ']}' ELSE '}' END FROM tree JOIN euler USING (root, path)
+          UNION ALL SELECT root, [], '{"name":".","path":"","type":"directory"}' FROM roots WHERE root NOT IN (SELECT root FROM tree)
+        ) SELECT root, row_number() OVER (PARTITION BY root ORDER BY place_key) - 1 AS seq, piece FROM events""",
+    "subtrees": f""", requests AS (
+          SELECT item_id AS request_id, 'src' || (item_id % 20) AS root, {testcorpus.REQUEST} FROM benchmark WHERE item_id IS NOT NULL
+          UNION ALL SELECT item_id + 1000000, 'nosrc' || (item_id % 3), CASE WHEN item_id % 2 = 0 THEN '' ELSE 'x' END FROM benchmark WHERE item_id IS NOT NULL
+        ), asked AS (SELECT request_id, root, CASE WHEN coalesce(path, '') = '.' THEN '' ELSE coalesce(path, '') END AS asked FROM requests
+        ), euler AS (
+          SELECT root, path, []::BIGINT[] AS walk FROM tree WHERE path = '' UNION ALL SELECT t.root, t.path, list_append(e.walk, t.ord) FROM euler e JOIN tree t ON t.root = e.root AND t.parent_path = e.path
+        ), found AS (
+          SELECT a.request_id, a.root, 'ok' AS status, '' AS message, row_number() OVER (PARTITION BY a.request_id ORDER BY walk) - 1 AS place, t.path, t.parent_path, t.name, t.depth, t.node_type, t.doc_type, t.title, t.bundle, t.ord
+          FROM asked a JOIN tree x ON x.root = a.root AND x.path = a.asked JOIN tree t ON t.root = a.root AND (a.asked = '' OR t.path = a.asked OR starts_with(t.path, a.asked || '/')) JOIN euler e ON e.root = t.root AND e.path = t.path
+        ) SELECT * FROM found
+        UNION ALL SELECT request_id, root, 'ok', '', 0, '', NULL, '.', 0, 'directory', NULL, NULL, NULL, 1 FROM asked WHERE asked = '' AND root NOT IN (SELECT root FROM tree)
+        UNION ALL SELECT request_id, a.root, 'not_found', 'path ' || {QUOTED.format('asked')} || ' not found in bundle tree', NULL, NULL, NULL, NULL, NULL, NULL, NULL, NULL, NULL, NULL
+          FROM asked a WHERE asked <> '' AND NOT EXISTS (SELECT 1 FROM tree t WHERE t.root = a.root AND t.path = a.asked)""",
     "log_entries": ENTRY,
     "get_log_since": f"{ENTRY} WHERE date >= '{SINCE}'",
     "get_log_action": f"{ENTRY} WHERE action = '{ACTION}'",
@@ -240,10 +264,13 @@ SQL = {
 # Paths mode looks at every .md file, hidden and version-controlled ones too.
 PATHS_SQL = CORPUS_SQL.replace("FROM kinds WHERE kind <> 'skipped'", "FROM (SELECT * EXCLUDE (kind), CASE WHEN base IN ('index.md', 'log.md') THEN 'reserved' ELSE 'doc' END AS kind FROM kinds) WHERE ends_with(base, '.md')")
 
+RECURSIVE_SQL = CORPUS_SQL.replace("WITH d0", "WITH RECURSIVE d0", 1)
+
 
 def queries() -> dict:
     return {name: (lambda spark, sf_dir, plan=plan: plan(Corpus(spark, sf_dir))) for name, plan in PLANS.items()}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {name: (PATHS_SQL if name == "validate_paths" else CORPUS_SQL) + sql for name, sql in SQL.items()}
+    own = {"validate_paths": PATHS_SQL, "tree_json": RECURSIVE_SQL, "subtrees": RECURSIVE_SQL}
+    return {name: own.get(name, CORPUS_SQL) + sql for name, sql in SQL.items()}

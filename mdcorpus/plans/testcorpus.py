@@ -65,6 +65,17 @@ def topics(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def requests(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Requests for parts of trees: whole ones, directories, leaves, and paths that are none."""
+    b = _views(spark, sf_dir, "benchmark")["benchmark"].where("item_id IS NOT NULL")
+    return b.selectExpr("item_id AS request_id", "concat('src', item_id % 20) AS root", REQUEST).union(b.selectExpr("item_id + 1000000 AS request_id", "concat('nosrc', item_id % 3) AS root", "CASE WHEN item_id % 2 = 0 THEN '' ELSE 'x' END AS path"))
+
+
+#: The same in both languages.
+REQUEST = """CASE item_id % 13 WHEN 0 THEN '' WHEN 1 THEN '.' WHEN 2 THEN 'en' WHEN 3 THEN 'fr/d2' WHEN 4 THEN 'en/' WHEN 5 THEN 'no "such" path' WHEN 6 THEN 'en/index.md' WHEN 7 THEN NULL WHEN 8 THEN 'log/b0' WHEN 9 THEN 'log'
+  WHEN 10 THEN 'a' WHEN 11 THEN './en' ELSE 'a/' || cast(100 + item_id % 20 + 400 * (item_id % 2) AS VARCHAR(20)) || '.md' END AS path"""
+
+
 CORPUS_SQL = r"""
 WITH d0 AS (
   SELECT coalesce(source, 'none') AS root, coalesce(doc_id, 0) AS doc_id, coalesce(lang, 'xx') AS lang, coalesce(text, '') AS text, coalesce(doc_id, 0) // 20 AS q,

@@ -24,6 +24,11 @@ def write_json(df: DataFrame, path: str, omit_empty: tuple[str, ...] = ()) -> No
     json_rows(df, omit_empty).write.mode("overwrite").text(path)
 
 
+def write_pieces(pieces: DataFrame, path: str) -> None:
+    """`pieces(root, seq, piece)` as text: the files' lines, in the order of their names, are the roots' JSON objects one after the other."""
+    pieces.orderBy("root", "seq").select("piece").write.mode("overwrite").text(path)
+
+
 def write_catalog(tables: dict[str, DataFrame], path: str, buckets: int = 64) -> None:
     """Catalog tables as Parquet below `path`, each partitioned by a hash of root (roots may be many, or one be huge)."""
     for name, df in tables.items():
