@@ -22,37 +22,62 @@ def split_frontmatter(files: DataFrame) -> DataFrame:
     })
 
 
+MERGE = "tag:yaml.org,2002:merge"
+
+
+def _fields(node, above: tuple = (), seen: dict | None = None) -> dict:
+    """The values of a mapping by key, those that it merges in included: its own keys come first, then earlier merges.
+
+    Keys may not occur twice in one mapping; a mapping can't be merged into itself.
+    """
+    import yaml
+
+    seen = {} if seen is None else seen
+    if id(node) in seen:
+        return seen[id(node)]
+    if any(node is x for x in above):
+        raise ValueError("a merged mapping contains itself")
+    scalars = [(k, v) for k, v in node.value if isinstance(k, yaml.ScalarNode)]
+    if len(scalars) != len({k.value for k, _ in scalars}):
+        raise ValueError("a key occurs twice")
+    found = {k.value: v for k, v in scalars if k.tag != MERGE}
+    for _, v in (x for x in scalars if x[0].tag == MERGE):
+        merged = v.value if isinstance(v, yaml.SequenceNode) else [v]
+        if not all(isinstance(m, yaml.MappingNode) for m in merged):
+            raise ValueError("what is merged is no mapping or list of mappings")
+        for m in merged:
+            found = _fields(m, (*above, node), seen) | found
+    seen[id(node)] = found
+    return found
+
+
 def _decode(block: str, type_only: bool) -> tuple:
     """(title, description, type, tags, error); scalars give their source text, nulls and absent fields ''."""
     import yaml
 
     empty = ("", "", "", None)
+    text = lambda n: "" if n.tag == "tag:yaml.org,2002:null" else n.value
     try:
         node = next(iter(yaml.compose_all(block, Loader=getattr(yaml, "CSafeLoader", yaml.SafeLoader))), None)
+        if node is None or (isinstance(node, yaml.ScalarNode) and text(node) == ""):
+            return (*empty, None)
+        if not isinstance(node, yaml.MappingNode):
+            return (*empty, "front matter is not a mapping")
+        fields = _fields(node)
     except (yaml.YAMLError, ValueError) as e:
-        return (*empty, " ".join(str(e).split())[:200])
-    text = lambda n: "" if n.tag == "tag:yaml.org,2002:null" else n.value
-    if node is None or (isinstance(node, yaml.ScalarNode) and text(node) == ""):
-        return (*empty, None)
-    if not isinstance(node, yaml.MappingNode):
-        return (*empty, "front matter is not a mapping")
-    keys = [k.value for k, _ in node.value if isinstance(k, yaml.ScalarNode)]
-    if len(keys) != len(set(keys)):
-        return (*empty, "a key occurs twice")
+        return (*empty, " ".join(str(e).split()))
     got: dict = {"tags": None}
-    for k, v in node.value:
-        name = k.value if isinstance(k, yaml.ScalarNode) else ""
-        if name == "tags" and not type_only:
-            if isinstance(v, yaml.ScalarNode) and text(v) == "":
-                continue
-            if not isinstance(v, yaml.SequenceNode) or not all(isinstance(x, yaml.ScalarNode) for x in v.value):
-                return (*empty, "tags must be a list of scalars")
-            got["tags"] = [text(x) for x in v.value if x.tag != "tag:yaml.org,2002:null"]
-        elif name == "type" or (name in ("title", "description") and not type_only):
-            if not isinstance(v, yaml.ScalarNode):
-                return (*empty, f"{name} must be a scalar")
-            got[name] = text(v)
-    return got.get("title", ""), got.get("description", ""), got.get("type", ""), got["tags"], None
+    for name in ("type",) if type_only else ("title", "description", "type"):
+        v = fields.get(name)
+        if v is not None and not isinstance(v, yaml.ScalarNode):
+            return (*empty, f"{name} must be a scalar")
+        got[name] = text(v) if v is not None else ""
+    v = None if type_only else fields.get("tags")
+    if v is not None and not (isinstance(v, yaml.ScalarNode) and text(v) == ""):
+        if not isinstance(v, yaml.SequenceNode) or not all(isinstance(x, yaml.ScalarNode) for x in v.value):
+            return (*empty, "tags must be a list of scalars")
+        got["tags"] = [text(x) for x in v.value if x.tag != "tag:yaml.org,2002:null"]
+    return got.get("title", ""), got.get("description", ""), got["type"], got["tags"], None
 
 
 def _decoded(block: pd.Series, type_only: pd.Series) -> pd.DataFrame:

@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.frontmatter import split_frontmatter
 from ..functions.text import quoted, tokenise
 from ..sources.shared import cut
+from .skew import HEAVY, degree_join
 
+#: Letters of a run in the index of words.
+GRAM = 3
 TITLE, TAG, DESCRIPTION = 3.0, 2.0, 1.0
 
 
@@ -50,11 +53,37 @@ def score(docs: DataFrame, queries: DataFrame) -> DataFrame:
     return pairs.select("query_id", "root", "path", F.when(passes(), total).otherwise(F.lit(-1.0)).alias("score"))
 
 
-def vocabulary_score(docs: DataFrame, queries: DataFrame) -> DataFrame:
+def grams(text: Column, n: int) -> Column:
+    """All runs of n characters in a text; none of a shorter one."""
+    return F.regexp_extract_all(text, F.lit(f"(?s)(?=(.{{{n}}}))"), 1)
+
+
+def words_with(words: DataFrame, tokens: DataFrame, heavy: int = HEAVY) -> DataFrame:
+    """(root, word, token) for the `words(root, word)` that hold one of the `tokens(root, token)`, both distinct.
+
+    An index leads from runs of GRAM letters to words. A token meets the words of its rarest run and is looked for in them; a
+    shorter one is a run by itself. The index has the runs that some token asks for, and shorter ones only if there are such tokens.
+    """
+    own = F.when(F.length("token") < GRAM, F.array("token")).otherwise(grams(F.col("token"), GRAM))
+    asked = cut(tokens.select("root", "token", F.explode(F.array_distinct(own)).alias("gram")))
+    sizes = [r[0] for r in asked.select(F.length("gram")).distinct().collect()]  # GRAM numbers
+    if not sizes:
+        return words.join(tokens, "root").where("false").select("root", "word", "token")
+    of_word = F.array_distinct(F.concat(*[grams(F.col("word"), n) for n in sorted(sizes)]))
+    index = words.select("root", F.explode(of_word).alias("gram"), "word")
+    index = cut(index.join(asked.select("root", "gram").distinct(), ["root", "gram"], "left_semi"))
+    postings = index.groupBy("root", "gram").agg(F.count("*").alias("n"))
+    # a token with a run that no word has is in none
+    least = asked.join(postings, ["root", "gram"], "left").groupBy("root", "token").agg(F.min(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "gram")).alias("g"))
+    rarest = least.where("g.n > 0").select("root", "g.gram", "token")
+    return degree_join(index, rarest, ["root", "gram"], heavy).where(F.contains("word", F.col("token"))).select("root", "word", "token")
+
+
+def vocabulary_score(docs: DataFrame, queries: DataFrame, heavy: int = HEAVY) -> DataFrame:
     """Scores above 0 as score() has them, for many queries: through the distinct words of documents and of topics.
 
-    A token lies within a field just if it lies within one of the field's words. The parts of each distinct word are
-    matched with the distinct tokens on equality, and words lead on to documents, tokens to queries.
+    A token lies within a field just if it lies within one of the field's words. Tokens find their words by an index, words
+    lead on to documents, tokens to queries. Words and tokens with more than `heavy` rows are dealt over tasks.
     """
     fields, asked = _fields(docs), _asked(queries)
     tokens = asked.select("root", F.explode("tokens").alias("token")).distinct()
@@ -62,15 +91,12 @@ def vocabulary_score(docs: DataFrame, queries: DataFrame) -> DataFrame:
         F.struct(F.lit(TITLE).alias("w"), F.array("title_lc").alias("texts")), F.struct(F.lit(TAG).alias("w"), F.col("tags_lc").alias("texts")), F.struct(F.lit(DESCRIPTION).alias("w"), F.array("description_lc").alias("texts"))
     )
     words = fields.select("root", "path", F.explode(weighed).alias("f")).select("root", "path", "f.w", F.explode(F.array_distinct(F.flatten(F.transform("f.texts", tokenise)))).alias("word"))
-    distinct = words.select("root", "word").distinct()
-    longest = tokens.agg(F.coalesce(F.max(F.length("token")), F.lit(0)).alias("longest"))
-    parts = F.flatten(F.transform(F.sequence(F.lit(1), F.length("word")), lambda a: F.transform(F.sequence(F.lit(1), F.least(F.col("longest"), F.length("word") - a + 1)), lambda n: F.substr(F.col("word"), a, n))))
-    with_parts = distinct.join(F.broadcast(longest)).where("longest > 0").select("root", "word", F.explode(F.array_distinct(parts)).alias("token"))
-    found = with_parts.join(tokens, ["root", "token"])
-    hits = words.join(found, ["root", "word"]).select("root", "path", "w", "token").distinct()
-    sums = asked.select("query_id", "root", F.explode("tokens").alias("token")).join(hits, ["root", "token"]).groupBy("query_id", "root", "path").agg(F.sum("w").alias("score"))
-    kept = sums.join(fields.select("root", "path", "tags_lc"), ["root", "path"]).join(asked.select("query_id", "asked", "match"), "query_id")
-    return kept.where(passes()).select("query_id", "root", "path", "score")
+    words = cut(words)
+    found = words_with(words.select("root", "word").distinct(), tokens, heavy)
+    hits = cut(degree_join(words, found, ["root", "word"], heavy).select("root", "path", "w", "token").distinct())
+    asking = asked.select("query_id", "root", "asked", "match", F.explode("tokens").alias("token"))
+    sums = degree_join(hits, asking, ["root", "token"], heavy).groupBy("query_id", "root", "path").agg(F.sum("w").alias("score"), F.first("asked").alias("asked"), F.first("match").alias("match"))
+    return sums.join(fields.select("root", "path", "tags_lc"), ["root", "path"]).where(passes()).select("query_id", "root", "path", "score")
 
 
 def find_best(docs: DataFrame, queries: DataFrame, strategy: str = "direct") -> DataFrame:

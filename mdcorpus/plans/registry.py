@@ -89,6 +89,11 @@ def _paths(c: Corpus) -> DataFrame:
     return found.select("root", "file", "code", "severity", F.regexp_replace("message", r"(?s)^(invalid YAML frontmatter): .*", "$1").alias("message"))
 
 
+def _merged(c: Corpus) -> DataFrame:
+    parsed = classify.parse(testcorpus.merging(c.spark, c.sf_dir))
+    return _tags(parsed.select("root", "path", "title", "description", "type", "tags", F.col("yaml_error").isNotNull().alias("refused")))
+
+
 def _bundles(c: Corpus) -> DataFrame:
     reserved = c.reserved(c.once)
     return catalog.resolve_bundles(classify.documents(c.once).select("root", "path").union(reserved.select("root", "path")), reserved)
@@ -146,6 +151,7 @@ PLANS = {
     "skip_report": _skipped,
     "split_frontmatter": _split,
     "documents": lambda c: _tags(c.plain_docs()),
+    "merged_frontmatter": _merged,
     "ingest_warnings": _warnings,
     "reserved_files": lambda c: c.reserved(c.parsed),
     "bundles": _bundles,
@@ -194,6 +200,9 @@ SQL = {
     "skip_report": "SELECT root, path, CASE WHEN NOT has_frontmatter THEN 'no_frontmatter' WHEN bad THEN 'invalid_yaml' ELSE 'missing_type' END AS reason FROM parsed WHERE kind = 'doc' AND (NOT has_frontmatter OR bad OR type = '')",
     "split_frontmatter": "SELECT root, path, has_frontmatter, yaml_block, body_offset, md5(body) AS body_md5 FROM decoded",
     "documents": f"SELECT root, path, title, description, type, {JOINED.format('tags')} AS tags, body_offset FROM docs",
+    "merged_frontmatter": """, m AS (SELECT coalesce(source, 'none') AS source, coalesce(doc_id, 0) AS doc_id, coalesce(doc_id, 0) % 6 AS k, coalesce(lang, 'xx') AS lang FROM documents)
+        SELECT source AS root, doc_id || '.md' AS path, CASE k WHEN 0 THEN lang WHEN 1 THEN lang WHEN 2 THEN 'more' ELSE '' END AS title, CASE WHEN k IN (1, 2, 4) THEN 'of ' || doc_id ELSE '' END AS description,
+          CASE k WHEN 0 THEN 'guide' WHEN 1 THEN 'guide' WHEN 2 THEN 'own' WHEN 4 THEN 'both' ELSE '' END AS type, CASE WHEN k IN (3, 5) THEN '' ELSE source END AS tags, k IN (3, 5) AS refused FROM m""",
     "ingest_warnings": """SELECT root, path, 'missing title' AS message FROM docs WHERE title = '' UNION ALL SELECT root, path, 'missing description' FROM docs WHERE description = ''
         UNION ALL SELECT root, path, 'skipping ' || path FROM parsed WHERE kind = 'doc' AND bad UNION ALL SELECT root, '', 'no conformant docs' FROM roots WHERE root NOT IN (SELECT root FROM docs)""",
     "reserved_files": "SELECT root, path, has_frontmatter, type FROM reserved",

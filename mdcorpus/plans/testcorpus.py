@@ -65,6 +65,13 @@ def topics(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def merging(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A markdown file for each document whose front matter merges mappings into its own."""
+    base = "concat('base: &base\n  type: \"guide\"\n  title: \"', coalesce(lang, 'xx'), '\"\n  tags: [\"', coalesce(source, 'none'), '\"]\nmore: &more {title: \"more\", description: \"of ', coalesce(doc_id, 0), '\"}\nboth: &both\n  <<: [*more, *base]\n  type: \"both\"\n')"
+    own = """CASE coalesce(doc_id, 0) % 6 WHEN 0 THEN '<<: *base\n' WHEN 1 THEN '<<: [*base, *more]\n' WHEN 2 THEN '<<: [*more, *base]\ntype: "own"\n' WHEN 3 THEN 'type: "a"\n<<: *base\ntype: "b"\n' WHEN 4 THEN '<<: *both\ntitle: null\n' ELSE '<<: "text"\n' END"""
+    return _views(spark, sf_dir, "documents")["documents"].selectExpr("coalesce(source, 'none') AS root", "concat(coalesce(doc_id, 0), '.md') AS path", f"concat('---\n', {base}, {own}, '---\n', coalesce(text, '')) AS content")
+
+
 def requests(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Requests for parts of trees: whole ones, directories, leaves, and paths that are none."""
     b = _views(spark, sf_dir, "benchmark")["benchmark"].where("item_id IS NOT NULL")

@@ -5,7 +5,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from mdcorpus.functions.frontmatter import split_frontmatter
+from mdcorpus.functions.frontmatter import _decode, split_frontmatter
 from mdcorpus.functions.text import quoted
 from mdcorpus.operators import catalog, changelog, classify, search, tree, validate
 from mdcorpus.schemas import FILES, QUERIES
@@ -115,12 +115,35 @@ def test_front_matter_edges(spark, content, block, offset):
     ("tags: solo\ntype: a\n", ("", "", None, True)), ("tags: [x, null, 9]\ntype: a\n", ("", "a", ["x", "9"], False)), ("- item\n", ("", "", None, True)), ('type: "open\n', ("", "", None, True)), ("", ("", "", None, False)),
 ])
 def test_yaml_shapes(yaml, want):
-    from mdcorpus.functions.frontmatter import _decode
-
     title, _, type_, tags, error = _decode(yaml, False)
     assert (title, type_, tags, error is not None) == want
 
 
+@pytest.mark.parametrize(
+    "block, want",
+    [
+        ("b: &b {type: T, title: old}\n<<: *b\n", ("old", "", "T", None)),
+        ("b: &b {type: T, title: old}\ntitle: own\n<<: *b\n", ("own", "", "T", None)),
+        ("a: &a {type: A}\nb: &b {type: B, description: d, tags: [x]}\n<<: [*a, *b]\n", ("", "d", "A", ["x"])),
+        ("a: &a {type: A}\nb: &b {type: B, title: t}\nc: &c {<<: [*b, *a], description: c}\n<<: *c\n", ("t", "c", "B", None)),
+        ("b: &b {type: T}\n<<: {title: inline, type: I}\n", ("inline", "", "I", None)),
+        ("b: &b {type: T}\n'<<': *b\ntype: own\n", ("", "", "own", None)),
+        ("b: &b {type: T}\n<<: *b\ntype: null\n", ("", "", "", None)),
+    ],
+)
+def test_merge_keys(block, want):
+    assert _decode(block, False) == (*want, None)
+
+
+@pytest.mark.parametrize("block", ["a: &a {type: A}\n<<: *a\n<<: *a\n", "b: &b {title: x, title: y}\n<<: *b\ntype: T\n", "b: &b\n  <<: *b\n<<: *b\n", "<<: text\ntype: T\n", "l: &l [1]\n<<: *l\n", "type: a\ntype: b\n"])
+def test_merges_that_are_refused(block):
+    assert _decode(block, False)[:4] == ("", "", "", None) and _decode(block, False)[4]
+
+
+def test_many_nested_merges_take_little_time():
+    levels = "".join(f"n{i}: &n{i} {{<<: [*n{i - 1}, *n{i - 1}], k{i}: 1}}\n" for i in range(1, 60))
+    assert _decode(f"n0: &n0 {{type: T}}\n{levels}<<: *n59\n", False)[2] == "T"
+
 @pytest.mark.parametrize("query, title, desc, tags, want", [
     ("orchid", "Wild Orchids", "shade", ["moss"], 3.0), ("orchid", "Shade", "moss", ["orchid", "orchids"], 2.0), ("ORCHID", "Shade", "two orchids", None, 1.0),
     ("moss, moss; MOSS", "Moss", "moss on stone", ["moss"], 6.0), ("moss stone", "Moss", "moss on stone", ["stone"], 7.0), ("", "Moss", "moss", ["moss"], 0.0), ("fern", "Moss", "", None, 0.0),
