@@ -113,6 +113,14 @@ def _landed(c: Corpus) -> DataFrame:
     return _digests(read_corpus(c.spark, path))
 
 
+#: So small a block that most of the logs' entries are cut.
+LOG_BLOCK = 200
+
+
+def _log_blocks(c: Corpus) -> DataFrame:
+    return cut(changelog.cut_lines(changelog.log_bodies(c.parsed), LOG_BLOCK))
+
+
 def _walked(c: Corpus) -> DataFrame:
     """The files written out as directories, and read back. They must lie where all executors can write."""
     top = _folder(c, "tree").removeprefix("file:")
@@ -175,6 +183,8 @@ PLANS = {
     "tree_json": lambda c: tree.nested_json(c.tree(), c.roots),
     "subtrees": lambda c: tree.subtrees(c.tree(), testcorpus.requests(c.spark, c.sf_dir)),
     "log_entries": lambda c: _entries(c.entries()),
+    "log_entries_by_block": lambda c: _entries(changelog.parse_log_blocks(_log_blocks(c))),
+    "log_checks_by_block": lambda c: changelog.log_block_checks(_log_blocks(c)),
     "get_log_since": lambda c: _entries(changelog.get_log(c.entries(), since=SINCE)),
     "get_log_action": lambda c: _entries(changelog.get_log(c.entries(), action=ACTION)),
     "get_log_limit": lambda c: _entries(changelog.get_log(c.entries(), limit=LIMIT)),
@@ -253,6 +263,8 @@ SQL = {
         UNION ALL SELECT request_id, a.root, 'not_found', 'path ' || {QUOTED.format('asked')} || ' not found in bundle tree', NULL, NULL, NULL, NULL, NULL, NULL, NULL, NULL, NULL, NULL
           FROM asked a WHERE asked <> '' AND NOT EXISTS (SELECT 1 FROM tree t WHERE t.root = a.root AND t.path = a.asked)""",
     "log_entries": ENTRY,
+    "log_entries_by_block": ENTRY,
+    "log_checks_by_block": "SELECT root, path AS source, contains(body, '](/') AS linked, dates = list_reverse_sort(dates) AS ordered FROM log_dates WHERE base = 'log.md' AND body <> ''",
     "get_log_since": f"{ENTRY} WHERE date >= '{SINCE}'",
     "get_log_action": f"{ENTRY} WHERE action = '{ACTION}'",
     "get_log_limit": f"{ENTRY} ORDER BY date DESC, source, root, sec, ent LIMIT {LIMIT}",

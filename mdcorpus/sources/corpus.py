@@ -3,12 +3,14 @@
 from __future__ import annotations
 
 import os
+import re
 from functools import reduce
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.frontmatter import split_frontmatter
 from ..schemas import FILES
 from .shared import cut
 
@@ -76,3 +78,36 @@ def read_tree(spark: SparkSession, roots: dict[str, str], include_hidden: bool =
     files = reduce(DataFrame.union, found)
     total = files.agg(F.sum(F.col("size") + FILE_BYTES)).first()[0] or 0
     return files.select("root", "top", "path").repartition(max(1, -(-total // TASK_BYTES)), F.xxhash64("root", "path")).mapInPandas(_read, FILES)
+
+
+def read_log_blocks(spark: SparkSession, root: str, top: str, block_bytes: int = 1 << 20) -> DataFrame:
+    """(root, source, block, text) of every log.md below the directory `top`, read by splits, so that a log may be larger than a task.
+
+    Blocks are runs of whole lines of about `block_bytes`; their numbers ascend within a log. Front matter that ends within the
+    first block is left out.
+    """
+    lines = spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", "log.md").option("lineSep", "\n").text(top)
+    lines = lines.select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("start"), F.col("value").alias("line"))
+
+    def blocks(batches):
+        held, size, at, n = [], 0, None, 0
+        row = lambda: pd.DataFrame({"file": [at[0]], "block": [at[1] + n], "text": ["\n".join(held)]})
+        for pdf in batches:
+            for file, start, line in pdf.itertuples(index=False, name=None):
+                if at is not None and (at != (file, start) or size >= block_bytes):
+                    yield row()
+                    n = n + 1 if at == (file, start) else 0
+                    held, size = [], 0
+                at = (file, start)
+                held.append(line)
+                size += len(line) + 1
+        if at is not None:
+            yield row()
+
+    # a block has a byte at least, so a split's blocks, numbered from where it starts, end before the next one's
+    found = lines.mapInPandas(blocks, "file string, block long, text string")
+    above = re.sub(r"^[a-z]+:/+|^/+|/+$", "", top)
+    # the path comes as a URI, in which a plus is one
+    source = F.substring_index(F.url_decode(F.replace("file", F.lit("+"), F.lit("%2B"))), f"/{above}/", -1)
+    found = found.select(F.lit(root).alias("root"), source.alias("source"), "block", F.when(F.col("block") == 0, F.concat("text", F.lit("\n"))).otherwise(F.col("text")).alias("content"))
+    return split_frontmatter(found).select("root", "source", "block", F.when(F.col("block") == 0, F.regexp_replace("body", r"\n\z", "")).otherwise(F.col("body")).alias("text"))
