@@ -14,6 +14,7 @@ from ..functions.frontmatter import split_frontmatter
 from ..functions.text import basename, tokenise
 from ..operators import catalog, changelog, classify, search, tree, validate
 from ..sources.corpus import read_corpus, read_tree
+from ..sources.doctree import register
 from ..sources.shared import cut, shared_dir
 from ..sources.sinks import json_rows, write_catalog
 from . import testcorpus
@@ -121,9 +122,12 @@ def _log_blocks(c: Corpus) -> DataFrame:
     return cut(changelog.cut_lines(changelog.log_bodies(c.parsed), LOG_BLOCK))
 
 
-def _walked(c: Corpus) -> DataFrame:
-    """The files written out as directories, and read back. They must lie where all executors can write."""
-    top = _folder(c, "tree").removeprefix("file:")
+def _planted(c: Corpus) -> tuple[str, DataFrame]:
+    """The files written out as directories in the shared folder, and the names of their roots."""
+    top = _folder(c, "tree")
+    if not top.startswith("file:"):
+        raise ValueError("directories are read through the operating system: spark.checkpoint.dir must be a folder that all executors mount")
+    top = top.removeprefix("file:")
 
     def write(batches):
         for pdf in batches:
@@ -133,10 +137,20 @@ def _walked(c: Corpus) -> DataFrame:
                 full.write_bytes((content or "").encode())
             yield pd.DataFrame({"root": pdf["root"]})
 
-    roots = cut(c.files.select("root", "path", "content").mapInPandas(write, "root string").distinct())
+    return top, cut(c.files.select("root", "path", "content").mapInPandas(write, "root string").distinct())
+
+
+def _walked(c: Corpus) -> DataFrame:
+    top, roots = _planted(c)
     return _digests(read_tree(c.spark, {r["root"]: f"{top}/{r['root']}" for r in roots.collect()}))  # one name a tree
 
 
+def _loaded(c: Corpus) -> DataFrame:
+    top, _ = _planted(c)
+    register(c.spark)
+    return _digests(c.spark.read.format("doctree").load(top).where("NOT hidden AND endswith(path, '.md')"))
+
+
 def _json_docs(c: Corpus) -> DataFrame:
     return json_rows(catalog.list_docs(c.docs()))
 
@@ -192,6 +206,7 @@ PLANS = {
     "log_notes": lambda c: changelog.log_notes(changelog.log_bodies(c.once), c.entries(c.once), c.roots),
     "read_corpus": _landed,
     "read_tree": _walked,
+    "doctree_source": _loaded,
     "json_docs": _json_docs,
     "json_log": _json_log,
     "catalog_tables": _stored,
@@ -271,6 +286,7 @@ SQL = {
     "get_log_root_limit": f"{ENTRY} QUALIFY row_number() OVER (PARTITION BY root ORDER BY date DESC, source, sec, ent) <= {LIMIT}",
     "read_corpus": "SELECT root, path, md5(content) AS content_md5 FROM files",
     "read_tree": "SELECT root, path, CASE WHEN ends_with(path, '.md') THEN md5(content) ELSE '' END AS content_md5 FROM classified WHERE coalesce(skip_reason, '') NOT IN ('vcs', 'hidden')",
+    "doctree_source": "SELECT root, path, md5(content) AS content_md5 FROM classified WHERE ends_with(path, '.md') AND coalesce(skip_reason, '') NOT IN ('vcs', 'hidden')",
     "json_docs": """SELECT '{"root":' || to_json(d.root) || ',"title":' || to_json(title) || ',"description":' || to_json(description) || ',"tags":' || CASE WHEN len(tags) = 0 THEN 'null' ELSE to_json(tags)::VARCHAR END
         || ',"file_path":' || to_json(d.path) || ',"bundle":' || to_json(bundle) || '}' AS value FROM docs d JOIN bundled b ON b.root = d.root AND b.path = d.path""",
     "json_log": """SELECT '{"date":' || to_json(date) || ',"action":' || to_json(action) || ',"target":' || to_json(target) || CASE WHEN coalesce(detail, '') = '' THEN '' ELSE ',"detail":' || to_json(detail) END
