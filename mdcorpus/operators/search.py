@@ -127,14 +127,24 @@ def outcomes(docs: DataFrame, queries: DataFrame, best: DataFrame) -> DataFrame:
     return rows.select("query_id", status.alias("status"), message.alias("message"))
 
 
+def _answered(docs: DataFrame, queries: DataFrame, best: DataFrame, bodies: DataFrame) -> DataFrame:
+    """Each query's outcome, with the winners' columns; `bodies(root, path, body)` hold the winners' at least."""
+    won = best.join(docs, ["root", "path"]).join(bodies, ["root", "path"])
+    won = won.select("query_id", F.col("body").alias("content"), F.col("path").alias("file_path"), "tags", "title", "description", "bundle")
+    return outcomes(docs, queries, best).join(won, "query_id", "left")
+
+
 def get_doc(files: DataFrame, docs: DataFrame, queries: DataFrame, strategy: str = "direct") -> DataFrame:
     """For every query its outcome and, if there is one, the best document with its body; `docs` have bundles.
 
     Bodies are cut from `files(root, path, content)` last, of the winners alone.
     """
-    usable = queries.where("coalesce(topic, '') <> ''")
-    best = cut(find_best(docs, usable, strategy))
-    won = split_frontmatter(files.select("root", "path", "content").join(best.select("root", "path").distinct(), ["root", "path"])).select("root", "path", F.col("body").alias("content"))
-    won = best.join(docs, ["root", "path"]).join(won, ["root", "path"])
-    won = won.select("query_id", "content", F.col("path").alias("file_path"), "tags", "title", "description", "bundle")
-    return outcomes(docs, queries, best).join(won, "query_id", "left")
+    best = cut(find_best(docs, queries.where("coalesce(topic, '') <> ''"), strategy))
+    won = split_frontmatter(files.select("root", "path", "content").join(best.select("root", "path").distinct(), ["root", "path"])).select("root", "path", "body")
+    return _answered(docs, queries, best, won)
+
+
+def get_stored_doc(docs: DataFrame, bodies: DataFrame, queries: DataFrame, strategy: str = "direct") -> DataFrame:
+    """get_doc, from bodies that are there already: `bodies(root, path, body)`."""
+    best = cut(find_best(docs, queries.where("coalesce(topic, '') <> ''"), strategy))
+    return _answered(docs, queries, best, bodies)

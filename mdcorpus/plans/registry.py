@@ -7,7 +7,7 @@ from pathlib import Path
 from uuid import uuid4
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.frontmatter import split_frontmatter
@@ -16,7 +16,8 @@ from ..operators import catalog, changelog, classify, search, tree, validate
 from ..sources.corpus import read_corpus, read_tree
 from ..sources.doctree import register
 from ..sources.shared import cut, shared_dir
-from ..sources.sinks import json_rows, write_catalog
+from ..sources.sinks import json_rows
+from ..sources.stored import StoredCatalog, bodies_of, severities_of
 from . import testcorpus
 from .testcorpus import CORPUS_SQL
 
@@ -159,13 +160,39 @@ def _json_log(c: Corpus) -> DataFrame:
     return json_rows(c.entries().select("date", "action", "target", "detail", "source"), ("detail",))
 
 
-def _stored(c: Corpus) -> DataFrame:
-    """Catalog tables written out, and the rows of each read back."""
+def _catalog(c: Corpus) -> StoredCatalog:
+    """All tables written out, and opened again."""
+    parsed = c.parsed
+    reserved, findings = c.reserved(c.once), validate.validate_bundle(c.once)
+    entries = c.entries(c.once).withColumnRenamed("source", "path")
+    order = Window.partitionBy("root", "path").orderBy("sec_pos", "ent_pos")
+    tables = {
+        "docs": c.docs(), "bodies": bodies_of(parsed), "reserved": catalog.resolve_bundles(reserved, reserved), "tree": c.tree(), "findings": findings.withColumnRenamed("file", "path"),
+        "log_entries": entries.withColumn("place", F.row_number().over(order)).drop("sec_pos", "ent_pos"), "checked": validate.bundle_files(c.once, c.once.select("root").union(c.roots)), "severities": severities_of(findings),
+    }
     path = _folder(c, "catalog")
-    tables = {"docs": c.docs(), "reserved": c.reserved(c.once), "tree": c.tree(), "findings": validate.validate_bundle(c.once).withColumnRenamed("file", "path"), "log_entries": c.entries(c.once).withColumnRenamed("source", "path")}
-    write_catalog(tables, path)
-    read = [c.spark.read.parquet(f"{path}/{name}").select(F.lit(name).alias("table_name"), "root", "path") for name in tables]
-    return reduce(DataFrame.union, read).groupBy("table_name", "root", "path").agg(F.count("*").alias("rows_stored"))
+    StoredCatalog.write(tables, path, CATALOG_BUCKETS)
+    return StoredCatalog(c.spark, path)
+
+
+#: Columns of the stored tables, in the order in which they are compared.
+STORED = {
+    "docs": ("root", "path", "title", "description", "type", "tags", "body_offset", "bundle"), "bodies": ("root", "path", "body"), "reserved": ("root", "path", "has_frontmatter", "type", "bundle"),
+    "tree": ("root", "path", "parent_path", "name", "depth", "node_type", "doc_type", "title", "bundle", "ord"), "findings": ("root", "path", "code", "severity", "message"),
+    "log_entries": ("root", "path", "date", "action", "target", "detail", "place"), "checked": ("root", "files"), "severities": ("root", "errors", "warnings", "notifications"),
+}
+CATALOG_BUCKETS = 8
+
+
+def _stored(c: Corpus) -> DataFrame:
+    """Every row of every stored table, with all its columns."""
+    stored = _catalog(c)
+    row = lambda columns: F.to_json(F.struct(*columns), {"ignoreNullFields": "false"}).alias("stored_row")
+    return reduce(DataFrame.union, [stored[name].select(F.lit(name).alias("table_name"), row(columns)) for name, columns in STORED.items()])
+
+
+def _answer(answer: DataFrame) -> DataFrame:
+    return _tags(answer).withColumn("content", F.md5(F.coalesce("content", F.lit("")).cast("binary")))
 
 
 PLANS = {
@@ -185,7 +212,7 @@ PLANS = {
     "score": lambda c: search.score(c.plain_docs(), c.queries),
     "find_best": lambda c: search.find_best(c.plain_docs(), c.queries),
     "find_best_vocab": lambda c: search.find_best(classify.documents(c.once), c.queries, "vocab"),
-    "get_doc": lambda c: _tags(search.get_doc(c.files, c.docs(), c.queries)).withColumn("content", F.md5(F.coalesce("content", F.lit("")).cast("binary"))),
+    "get_doc": lambda c: _answer(search.get_doc(c.files, c.docs(), c.queries)),
     "get_doc_status": lambda c: search.outcomes(classify.documents(c.once), c.queries, search.find_best(classify.documents(c.once), c.queries)),
     "validate_bundle": lambda c: validate.validate_bundle(c.parsed).drop("line"),
     "validate_paths": _paths,
@@ -210,6 +237,9 @@ PLANS = {
     "json_docs": _json_docs,
     "json_log": _json_log,
     "catalog_tables": _stored,
+    "catalog_get_doc": lambda c: _answer(_catalog(c).get_doc(c.queries)),
+    "catalog_summary": lambda c: _catalog(c).summary(),
+    "catalog_tree": lambda c: _tags(_catalog(c).tree()),
 }
 
 JOINED = "array_to_string({}, '|')"
@@ -219,6 +249,15 @@ STATUS = f"""CASE status WHEN 'empty_topic' THEN 'topic is required' WHEN 'inval
 BEST = "SELECT query_id, root, path, score FROM best"
 ENTRY = "SELECT root, source, date, action, target, detail FROM log_table"
 TREE = "SELECT root, path, parent_path, name, depth, node_type, doc_type, title, bundle, ord FROM tree"
+GET_DOC = f"""SELECT s.query_id, s.status, {STATUS} AS message, md5(coalesce(p.body, '')) AS content, p.path AS file_path, coalesce({JOINED.format('p.tags')}, '') AS tags, p.title, p.description, bu.bundle
+        FROM status s LEFT JOIN best b ON b.query_id = s.query_id LEFT JOIN docs p ON p.root = b.root AND p.path = b.path LEFT JOIN bundled bu ON bu.root = b.root AND bu.path = b.path"""
+
+STORED_ROWS = {
+    "docs": "SELECT d.* EXCLUDE (tags), CASE WHEN len(tags) > 0 THEN tags END AS tags, bundle FROM docs d JOIN bundled b ON b.root = d.root AND b.path = d.path", "bodies": "FROM docs",
+    "reserved": "SELECT d.*, bundle FROM reserved d JOIN bundled b ON b.root = d.root AND b.path = d.path", "tree": "FROM tree", "findings": "SELECT *, file AS path FROM findings",
+    "log_entries": "SELECT *, source AS path, row_number() OVER (PARTITION BY root, source ORDER BY sec, ent) AS place FROM log_table", "checked": "FROM summary", "severities": "FROM summary WHERE errors + warnings + notifications > 0",
+}
+STORED_SQL = " UNION ALL ".join(f"SELECT '{name}' AS table_name, to_json({{{', '.join(f'{c}: {c}' for c in STORED[name])}}})::VARCHAR AS stored_row FROM ({rows})" for name, rows in STORED_ROWS.items())
 
 SQL = {
     "classify": "SELECT root, path, kind, coalesce(skip_reason, '') AS skip_reason FROM kinds",
@@ -240,8 +279,7 @@ SQL = {
     "score": "SELECT query_id, root, path, score FROM scores",
     "find_best": BEST,
     "find_best_vocab": BEST,
-    "get_doc": f"""SELECT s.query_id, s.status, {STATUS} AS message, md5(coalesce(p.body, '')) AS content, p.path AS file_path, coalesce({JOINED.format('p.tags')}, '') AS tags, p.title, p.description, bu.bundle
-        FROM status s LEFT JOIN best b ON b.query_id = s.query_id LEFT JOIN docs p ON p.root = b.root AND p.path = b.path LEFT JOIN bundled bu ON bu.root = b.root AND bu.path = b.path""",
+    "get_doc": GET_DOC,
     "get_doc_status": f"SELECT query_id, status, {STATUS} AS message FROM status",
     "validate_bundle": "SELECT root, file, code, severity, message FROM findings",
     "validate_paths": r"""SELECT root, file, code, severity, message FROM findings
@@ -291,9 +329,10 @@ SQL = {
         || ',"file_path":' || to_json(d.path) || ',"bundle":' || to_json(bundle) || '}' AS value FROM docs d JOIN bundled b ON b.root = d.root AND b.path = d.path""",
     "json_log": """SELECT '{"date":' || to_json(date) || ',"action":' || to_json(action) || ',"target":' || to_json(target) || CASE WHEN coalesce(detail, '') = '' THEN '' ELSE ',"detail":' || to_json(detail) END
         || ',"source":' || to_json(source) || '}' AS value FROM log_table""",
-    "catalog_tables": """SELECT table_name, root, path, count(*) AS rows_stored FROM (
-        SELECT 'docs' AS table_name, root, path FROM docs UNION ALL SELECT 'reserved', root, path FROM reserved UNION ALL SELECT 'tree', root, path FROM tree
-        UNION ALL SELECT 'findings', root, file FROM findings UNION ALL SELECT 'log_entries', root, source FROM log_table) GROUP BY ALL""",
+    "catalog_tables": STORED_SQL,
+    "catalog_get_doc": GET_DOC,
+    "catalog_summary": "SELECT * FROM summary",
+    "catalog_tree": f"SELECT t.*, d.description, coalesce({JOINED.format('d.tags')}, '') AS tags FROM ({TREE}) t LEFT JOIN docs d ON d.root = t.root AND d.path = t.path",
     "log_notes": r"""SELECT root, 'no log.md found' AS note FROM roots WHERE root NOT IN (SELECT root FROM reserved WHERE base = 'log.md')
         UNION ALL SELECT DISTINCT root, 'log.md has malformed entries' FROM reserved r WHERE base = 'log.md' AND trim(body) <> '' AND NOT EXISTS (SELECT 1 FROM log_table l WHERE l.root = r.root AND l.source = r.path)""",
 }
