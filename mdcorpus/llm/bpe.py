@@ -31,7 +31,7 @@ CUT = regex.compile(r"\S(?=\s)")
 #: Text is split so many characters at a time.
 PIECE_CHARS = 1 << 19
 #: Words, their tokens, and answers on pairs that a worker keeps; then it begins anew.
-KEPT_WORDS, KEPT_TOKENS, KEPT_PAIRS, KEPT_BYTES = 400_000, 1 << 21, 1 << 18, 1 << 24
+KEPT_WORDS, KEPT_TOKENS, KEPT_PAIRS, KEPT_BYTES = 1_000_000, 6 << 20, 1 << 19, 64 << 20
 NEVER = 1 << 40
 
 
