@@ -199,51 +199,93 @@ def parse(page: str) -> Node:
 FEATURES = (
     "leaf", "paragraph", "heading", "list", "bad_tag", "good_tag", "bad_mark", "good_mark", "bad_above", "good_above", "depth", "log_chars", "link_share", "chars_per_tag", "paragraphs",
     "share_of_page", "share_of_parent", "place", "siblings", "stops", "words_per_stop", "like_siblings", "after_heading", "mean_word",
+    "beside_good", "in_best", "below_best", "before_best", "after_best", "holds_best", "share_of_best", "alike", "alike_above",
 )
 
 
 #: What a telling tag counts beside the log odds of attribute words, and the most that those count.
 TELLING = 4.0
+#: Children that make the shape of a node.
+SHAPE = 6
 
 
-def features(root: Node, odds: dict[str, float]) -> tuple[list[Node], np.ndarray]:
-    """The nodes below the root in page order, and a row of FEATURES for each. odds: learned log odds of attribute words."""
+def in_order(root: Node) -> list[Node]:
+    """The nodes below the root in page order, with their depths."""
     nodes: list[Node] = []
     stack = [(c, 1) for c in reversed(root.children)]
     while stack:
-        node, depth = stack.pop()
-        node.depth = depth
+        node, node.depth = stack.pop()
         nodes.append(node)
-        stack += [(c, depth + 1) for c in reversed(node.children)]
+        stack += [(c, node.depth + 1) for c in reversed(node.children)]
+    return nodes
+
+
+def features(root: Node, odds: dict[str, float]) -> tuple[list[Node], np.ndarray]:
+    """The nodes below the root in page order, and a row of FEATURES for each. odds: learned log odds of attribute words.
+
+    Text is looked at once, in its leaf, and what is counted there is handed up. The `best` node is the one with most text in
+    paragraphs of its own, those of its children counting half; alike are siblings with the same tag and the same children's tags.
+    """
+    nodes = in_order(root)
+    own, shapes = {}, {}
     for node in reversed([root, *nodes]):
-        node.tags = 1 + sum(c.tags for c in node.children)
-        node.chars = len(node.text) + sum(c.chars for c in node.children)
-        node.link_chars = node.linked + sum(c.link_chars for c in node.children)
-        node.ps = (node.tag == "p" and node.chars > 0) + sum(c.ps for c in node.children)
-        node.below = node.text if len(node.text) else (node.children[0].below if node.children else "")
-    rows = np.zeros((len(nodes), len(FEATURES)))
-    signs: dict[int, tuple] = {id(root): (0.0, 0.0)}
-    page = max(1, root.chars)
-    places, tags = {}, {}  # of each child among its siblings; of each parent how many children have each tag
+        if node.text:
+            text = node.text
+            node.tags, node.chars, node.link_chars, node.ps = 1, len(text), node.linked, 0
+            node.below = (sum(map(text.count, ".!?")), text.count(" ") + 1, len(text))  # stops, words, characters
+            own[id(node)] = (0.0, 0.0)
+            continue
+        kids = node.children
+        node.tags = 1 + sum([c.tags for c in kids])
+        node.chars = sum([c.chars for c in kids])
+        node.link_chars = sum([c.link_chars for c in kids])
+        node.ps = (node.tag == "p" and node.chars > 0) + sum([c.ps for c in kids])
+        node.below = kids[0].below if kids else (0, 1, 0)  # of the first leaf
+        # text in paragraphs of its own, and those of its children
+        own[id(node)] = (float(sum([c.chars - c.link_chars for c in kids if c.tag in ("p", "#text")])), sum([own[id(c)][0] for c in kids if c.tag != "p"]))
+    best, most = -1, 0.0
+    for i, node in enumerate(nodes):
+        a, b = own[id(node)]
+        if a + b / 2 > most:
+            best, most = i, a + b / 2
+    end = best + nodes[best].tags if best >= 0 else 0
+    best_depth = nodes[best].depth if best >= 0 else 0
+    #: Of each parent: (how often each shape is among its children, each tag, whether a telling tag is).
+    inside: dict[int, tuple] = {}
+    places: dict[int, int] = {}
     for parent in (root, *nodes):
-        places |= {id(c): i for i, c in enumerate(parent.children)}
-        tags[id(parent)] = Counter(c.tag for c in parent.children)
-    for row, node in zip(rows, nodes):
-        up = node.parent
-        bad_tag, good_tag = node.tag in BAD_TAGS, node.tag in GOOD_TAGS
-        mark = min(TELLING, max(-TELLING, sum(odds.get(m, 0.0) for m in node.marks))) if node.marks else 0.0
+        if parent.children:
+            kids = parent.children
+            for k, c in enumerate(kids):
+                places[id(c)] = k
+                shapes[id(c)] = (c.tag, *[x.tag for x in c.children[:SHAPE]])
+            inside[id(parent)] = (Counter([shapes[id(c)] for c in kids]), Counter([c.tag for c in kids]), any(c.tag in GOOD_TAGS for c in kids))
+    #: What goes down: bad and good signs, beside a telling tag, alike.
+    down: dict[int, tuple] = {id(root): (0.0, 0.0, False, 0.0)}
+    held = []
+    for i, node in enumerate(nodes):
+        up, tag = node.parent, node.tag
+        bad_tag, good_tag = tag in BAD_TAGS, tag in GOOD_TAGS
+        mark = min(TELLING, max(-TELLING, sum([odds.get(m, 0.0) for m in node.marks]))) if node.marks else 0.0
         bad_mark, good_mark = max(0.0, -mark), max(0.0, mark)
-        bad_up, good_up = signs[id(up)]
-        signs[id(node)] = (max(bad_up, TELLING * bad_tag, 0.0 if good_tag else bad_mark), max(good_up, TELLING * good_tag, good_mark))
-        text = node.text or node.below
-        stops = sum(text.count(c) for c in ".!?")
-        words = text.count(" ") + 1
-        around = up.children
-        place = places[id(node)]
-        row[:] = (
-            node.tag == "#text", node.tag == "p" or (node.tag == "#text" and up.tag == "p"), node.tag[0] == "h" and node.tag[1:].isdigit() or up.tag[0] == "h" and up.tag[1:].isdigit(), node.tag in ("ul", "ol", "li", "dl"),
-            bad_tag, good_tag, bad_mark, good_mark, bad_up, good_up, node.depth, np.log1p(node.chars), node.link_chars / max(1, node.chars), np.log1p(node.chars / node.tags), node.ps,
-            node.chars / page, node.chars / max(1, up.chars), place / max(1, len(around) - 1), len(around), stops, words / max(1, stops), tags[id(up)][node.tag] / len(around),
-            place > 0 and around[place - 1].tag in ("h1", "h2", "h3"), len(text) / words,
-        )
-    return nodes, rows
+        bad_up, good_up, beside, alike_up = down[id(up)]
+        shape_counts, tag_counts, some_good = inside[id(up)]
+        n, place = len(up.children), places[id(node)]
+        beside = beside or (some_good and not good_tag)
+        same = shape_counts[shapes[id(node)]]
+        alike = same / n if same > 1 else 0.0
+        elements = any(x != "#text" for x in shapes[id(node)][1:])
+        down[id(node)] = (max(bad_up, TELLING * bad_tag, 0.0 if good_tag else bad_mark), max(good_up, TELLING * good_tag, good_mark), beside, max(alike_up, alike) if elements else alike_up)
+        within = best <= i < end
+        before = up.children[place - 1].tag if place else ""
+        held.append((
+            tag == "#text", tag == "p" or (tag == "#text" and up.tag == "p"), tag[0] == "h" and tag[1:].isdigit() or up.tag[0] == "h" and up.tag[1:].isdigit(), tag in ("ul", "ol", "li", "dl"), bad_tag, good_tag, bad_mark, good_mark, bad_up, good_up,
+            node.depth, node.chars, node.link_chars, node.tags, node.ps, up.chars, place, n, *node.below, tag_counts[tag], before in ("h1", "h2", "h3"),
+            beside, within, node.depth - best_depth + 1 if within else 0, i < best and i + node.tags <= best, i >= end, i <= best < i + node.tags, own[id(node)][0], alike, alike_up,
+        ))
+    if not held:
+        return nodes, np.zeros((0, len(FEATURES)))
+    c = np.array(held, float).T
+    depth, chars, links, tags, ps, up_chars, place, n, stops, words, length, like, after = c[10:23]
+    rest = [depth, np.log1p(chars), links / np.maximum(1, chars), np.log1p(chars / tags), ps, chars / max(1, root.chars), chars / np.maximum(1, up_chars), place / np.maximum(1, n - 1), n, stops, words / np.maximum(1, stops), like / n, after, length / words]
+    return nodes, np.column_stack([*c[:10], *rest, *c[23:29], c[29] / max(1.0, most), *c[30:]])

@@ -2,8 +2,10 @@
 
 There are no labelled pages, so the trees learn from the pages themselves: what stands in an `article` or `main`
 element is text, what stands outside is not. So that they don't lean on those two tags alone, the learning pages come in
-further versions, in which the tags are plain `div`s with telling or no attributes, and other pages' words stand in
-as comments, side columns, notices, forms and headers. Decoding gives each node one of three states - in, out, mixed - and
+further versions, in which telling tags are plain `div`s and other pages' words stand in as comments, side columns, notices,
+forms and headers; labels are kept beside the trees. What words in attributes tell is learned from the pages as they are.
+A header counts as a header within the article too, a headline in it included.
+Decoding gives each node one of three states - in, out, mixed - and
 below a node that is in (or out) all are in (or out), so an ancestor never contradicts a descendant.
 """
 
@@ -11,7 +13,6 @@ from __future__ import annotations
 
 import html
 import random
-import re
 
 import numpy as np
 import pyarrow as pa
@@ -92,18 +93,19 @@ class Trees:
         return self.start + sum(self._apply(t, bins) for t in self.trees)
 
 
-def _teach(root: Node) -> dict[int, int]:
+def _teach(root: Node, told: dict[int, int] | None = None) -> dict[int, int]:
     """id(node) -> 1 within an article or main element (but not within its asides, forms and the like), else 0; -1 for
-    nodes that hold both."""
-    order, todo = [], [(root, 0)]
+    nodes that hold both. `told` says it of nodes put in from elsewhere, by id; a 0 holds for all below."""
+    order, todo = [], [(root, 0, False)]
+    told = told or {}
     while todo:
-        node, inside = todo.pop()
-        if node.tag in ("article", "main"):
-            inside = 1
-        elif node.tag in BAD_TAGS or "not-text" in node.marks or {"not", "text"} <= node.marks:
-            inside = 0
+        node, inside, fixed = todo.pop()
+        if id(node) in told:
+            inside, fixed = told[id(node)], not told[id(node)]
+        elif not fixed:
+            inside = 1 if node.tag in ("article", "main") else 0 if node.tag in BAD_TAGS else inside
         order.append((node, inside))
-        todo += [(c, inside) for c in node.children]
+        todo += [(c, inside, fixed) for c in node.children]
     out: dict[int, int] = {}
     for node, inside in reversed(order):
         found = {out[id(c)] for c in node.children}
@@ -121,95 +123,116 @@ def attribute_odds(examples: list[tuple[Node, dict[int, int]]]) -> dict[str, flo
     return {m: float(np.log((n[1] + 0.5) / (n[0] + 0.5))) for m, n in counts.items() if sum(n) > 1}
 
 
-def versions(page: str, other: str, rng: random.Random):
-    """(page, its labels' form) variants: the page as it is and with sections added; and the same with neutral tags."""
-    words = re.sub(r"<[^>]*>", " ", re.sub(r"(?s)<(script|style).*?</\1>", " ", other)).split() or ["word"]
-    some = lambda a, b: html.escape(html.unescape(" ".join(rng.choices(words, k=rng.randint(a, b)))))
-    added = [
-        f'<div class="{rng.choice(ASIDES)} not-text"><p>{some(3, 40)}</p></div>',
-        f'<div class="{rng.choice(["comments", "comment-list", "discussion", "responses"])} not-text">' + "".join(f'<div class="{rng.choice(["comment", "reply"])}"><p>{some(5, 60)}</p></div>' for _ in range(rng.randint(1, 4))) + "</div>",
-        f'<aside class="{rng.choice(["sidebar", "widget", "related", ""])}"><h3>{some(1, 4)}</h3><ul>' + "".join(f'<li><a href="#">{some(1, 6)}</a></li>' for _ in range(rng.randint(2, 6))) + f"</ul><p>{some(5, 30)}</p></aside>",
-        f'<div class="{rng.choice(["notice", "cookie-consent", "alert", "banner"])} not-text"><p>{some(5, 30)}</p></div>',
-        f'<form><label>{some(1, 3)}</label><input><p>{some(3, 12)}</p></form>',
-        f'<header><div>{some(1, 5)}</div><p>{some(3, 10)}</p></header>',
-        f'<div class="{rng.choice(["ad", "advert", "sponsored", "promo"])} not-text">{some(4, 25)}</div>',
+def _put(parent: Node, at: int, piece: str) -> list[Node]:
+    """Put a piece of html among a node's children; returns its nodes."""
+    new = parse(piece).children
+    parent.children[at:at] = new
+    for node in new:
+        node.parent = parent
+    return new
+
+
+def _place(node: Node) -> int:
+    """Its place among its siblings."""
+    return next(i for i, c in enumerate(node.parent.children) if c is node)
+
+
+def _apart(some, rng: random.Random) -> list[str]:
+    """Sections that are no part of a page's text, without a word of their own in an attribute."""
+    comment = rng.choice(["<li><p>{0}</p></li>", "<li>{0}</li>", "<div><p>{0}</p></div>", "<li><div>{1}</div><p>{0}</p></li>", "<article><p>{0}</p></article>", "<div><b>{1}</b><div><p>{0}</p></div></div>"])
+    around = "ol" if comment.startswith("<li>") else rng.choice(["div", "section"])
+    title = f"<h3>{some(1, 3)}</h3>" * (rng.random() < 0.4)
+    comments = title + f"<{around}>" + "".join(comment.format(some(3, 60), some(1, 2)) for _ in range(rng.randint(1, 5))) + f"</{around}>"
+    links = "".join(f'<li><a href="#">{some(1, 6)}</a></li>' for _ in range(rng.randint(2, 6)))
+    return [
+        f"<div><p>{some(3, 40)}</p></div>", comments if rng.random() < 0.5 else f"<div>{comments}</div>", f"<aside><h3>{some(1, 4)}</h3><ul>{links}</ul><p>{some(5, 30)}</p></aside>", f"<div>{some(4, 30)}</div>",
+        f"<section><p>{some(5, 30)}</p><a>{some(1, 2)}</a></section>", f"<form><label>{some(1, 3)}</label><input><p>{some(3, 12)}</p></form>", f"<header><div>{some(1, 5)}</div><p>{some(3, 10)}</p></header>", f"<div><h4>{some(1, 3)}</h4><ul>{links}</ul></div>",
     ]
+
+
+def version(page: str, other: str, rng: random.Random, plain: bool) -> tuple[Node, dict[int, int]]:
+    """A page's tree with sections put in that another page's words make, and its labels, which no name in the tree gives away.
+
+    plain: telling tags become `div`s without attributes, and the article may lie bare among what is around it.
+    """
+    words = [w for leaf in _all(parse(other)) for w in leaf.text.split()] or ["word"]
+    some = lambda a, b: html.escape(" ".join(rng.choices(words, k=rng.randint(a, b))))
+    root = parse(page)
+    article = next((n for n in _all(root) if n.tag in ("article", "main")), None)
+    if article is None:
+        return root, _teach(root)
+    told: dict[int, int] = {}
     if rng.random() < 0.5:  # a short article
-        body = page.find("<article>") + len("<article>")
-        stops = [m.end() for m in re.finditer("<p>[^<]*", page[body:])]
-        end = page.find("</article>")
-        if stops and end > 0:
-            page = page[: body + stops[min(len(stops) - 1, rng.randint(0, 3))]] + page[end:]
+        del article.children[rng.randint(2, 5) :]
     inside = [
         "<ul>" + "".join(f"<li>{some(2, 12)}</li>" for _ in range(rng.randint(2, 5))) + "</ul>", f"<h2>{some(1, 6)}</h2>", f"<blockquote><p>{some(5, 30)}</p></blockquote>",
         "<table>" + "".join(f"<tr><td>{some(1, 4)}</td><td>{some(1, 4)}</td></tr>" for _ in range(rng.randint(1, 4))) + "</table>", f"<p>{some(1, 8)}.</p>", f"<p>{some(10, 50)}.</p>", f"<div>{some(5, 40)}</div>",
+        f"<section><h2>{some(1, 5)}</h2><p>{some(10, 60)}.</p><p>{some(5, 40)}.</p></section>",
     ]
     for piece in rng.sample(inside, rng.randint(0, 4)):
-        end = page.find("</article>")
-        page = page[:end] + piece + page[end:] if end >= 0 else page
+        _put(article, len(article.children), piece)
     if rng.random() < 0.3:  # little or nothing around the article
-        page = re.sub(r"(?s)<nav>.*?</nav>" if rng.random() < 0.3 else r"(?s)<(nav|footer)>.*?</\1>", "", page)
-    for section in rng.sample(added, rng.randint(0, len(added))):
-        spot = rng.choice(["<article", "</article>", "<footer", "before-end"])
-        at = page.find(spot)
-        at = page.find("</article>") if at < 0 else at
-        at = at + len(spot) if spot == "</article>" and at >= 0 else at
-        page = page[:at] + section + page[at:] if at >= 0 else page + section
-    return page
-
-
-#: Names of sections that are no text, for sections added to the learning pages; the trees see the words only as far as the pages teach them.
-ASIDES = [
-    "ads", "advertisement", "sponsor", "promo", "nav", "breadcrumb", "breadcrumbs", "foot", "head", "widget", "recommended", "share", "social", "respond", "gdpr", "popup", "modal", "overlay",
-    "login", "subscribe", "newsletter", "search", "tags", "meta", "pagination", "pager", "toolbar", "copyright", "legal", "disclaimer",
-]
-#: For the versions without telling tags: attributes that stand for a tag.
-STAND_INS = {
-    "article": ["content", "post", "entry-content", "story", "article-body", "main", "body text", "page-text", "news", "blog", "column", ""], "nav": ["menu", "navbar", "navigation", ""],
-    "footer": ["footer", "site-footer", ""], "header": ["masthead", "site-header", "header", ""], "aside": ["sidebar", "side", "related", ""],
-}
+        gone = {"nav", "footer"} if rng.random() < 0.7 else {"nav"}
+        article.parent.children = [c for c in article.parent.children if c.tag not in gone]
+    apart = _apart(some, rng)
+    if rng.random() < 0.4:  # article and sections in one element
+        around = Node(rng.choice(["main", "div", "div"]), frozenset(), None)
+        around.parent, around.children = article.parent, [article]
+        article.parent.children[_place(article)] = around
+        article.parent = around
+        told[id(article)] = 1
+        told[id(around)] = 0
+    for piece in rng.sample(apart, rng.randint(0, 5)):
+        beside = article if rng.random() < 0.7 or article.parent.parent is None else article.parent
+        spot = _place(beside) + (rng.random() < 0.7)
+        told |= {id(n): 0 for n in _put(beside.parent, spot, piece)}
+    label = _teach(root, told)
+    if plain:
+        for node in [n for n in _all(root) if n.tag in BARE and rng.random() < 0.85]:
+            if node is article and rng.random() < 0.25:  # no element of its own around the article
+                up, at = node.parent, _place(node)
+                up.children[at : at + 1] = node.children
+                for c in node.children:
+                    c.parent = up
+                while up is not None:
+                    found = {label[id(c)] for c in up.children}
+                    label[id(up)] = -1 if len(found) > 1 else found.pop() if found else 0
+                    up = up.parent
+            else:
+                node.tag = "div"
+        if rng.random() < 0.5:
+            for node in _all(root):
+                node.marks = frozenset()
+    return root, label
+
+
+#: Tags that say what is in them.
+BARE = frozenset("article main nav footer header aside".split())
 
 
 def _examples(pages: list[str]) -> tuple[np.ndarray, np.ndarray, dict[str, float]]:
-    """Features and labels of the nodes of all versions, and the attributes' odds.
+    """Features and labels of the nodes of all versions, and the attributes' odds, which come from the pages as they are.
 
     A page's features are made with the odds of the pages of the other half, so that the trees see words as they are on new pages.
     """
     rng = random.Random(SEED)
     halves: tuple[list, list] = ([], [])
+    real: tuple[list, list] = ([], [])
     for i, page in enumerate(pages):
-        for v in range(VERSIONS):
-            own = page if v == 0 else versions(page, pages[rng.randrange(len(pages))], rng)
-            root = parse(own)
-            label = _teach(root)
-            if v >= 2:
-                # same tree and labels, other names
-                todo = [root]
-                while todo:
-                    node = todo.pop()
-                    todo += node.children
-                    if node.tag == "article" and rng.random() < 0.25:  # no element of its own around the article
-                        around = node.parent.children
-                        at = next(i for i, c in enumerate(around) if c is node)
-                        around[at : at + 1] = node.children
-                        for c in node.children:
-                            c.parent = node.parent
-                        label[id(node.parent)] = -1 if len({label[id(c)] for c in around}) > 1 else label[id(around[0])] if around else 0
-                    elif node.tag in STAND_INS:
-                        node.marks = node.marks | {w for w in re.split("[- ]", rng.choice(STAND_INS[node.tag])) if w}
-                        node.tag = "div"
-            for node in _all(root):
-                node.marks = node.marks - {"not", "text"} if "not" in node.marks else node.marks
-            halves[i % 2].append((root, label))
+        root = parse(page)
+        real[i % 2].append((root, _teach(root)))
+        halves[i % 2].append(real[i % 2][-1])
+        for v in range(1, VERSIONS):
+            halves[i % 2].append(version(page, pages[rng.randrange(len(pages))], rng, v >= 2))
     xs, ys = [], []
-    odds = [attribute_odds(half) for half in halves]
+    odds = [attribute_odds(half) for half in real]
     for half, other in zip(halves, reversed(odds)):
         for root, label in half:
             nodes, x = features(root, other)
             y = np.array([label[id(n)] for n in nodes], float)
             xs.append(x[y >= 0])
             ys.append(y[y >= 0])
-    return np.concatenate(xs), np.concatenate(ys), attribute_odds(halves[0] + halves[1])
+    return np.concatenate(xs), np.concatenate(ys), attribute_odds(real[0] + real[1])
 
 
 def _all(root):
@@ -276,7 +299,8 @@ def extracted(pages: DataFrame, rows: int = FIT_PAGES) -> DataFrame:
 
     Null and empty html give an empty text. Blocks are joined by one line feed; white space inside a block is one
     space. Where no page has an article or main element to learn from, all text outside menus, headers, footers and
-    the like is kept. Repeated rows are rows of their own; other columns are ignored.
+    the like is kept. Repeated rows are rows of their own; other columns are ignored; an empty table gives an empty result. Very long
+    and very deep pages take time in proportion to their length: text is counted once, in its leaf.
     """
     small_batches(pages.sparkSession)
     trees = pages.sparkSession.sparkContext.broadcast(fit(pages, rows))
