@@ -2,26 +2,17 @@
 
 from __future__ import annotations
 
-import tempfile
 from uuid import uuid4
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-SPACE = r"[\x20\x09-\x0D]+"
-WORD = r"[^\x20\x09-\x0D]+"
+from ..sources.shared import cut, shared_dir
 
+__all__ = ["BATCH_BYTES", "SPACE", "WORD", "Scratch", "crc_mod", "cut", "first_by_hash", "fresh", "numbered", "release", "shared_dir", "small_batches", "table"]
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: `spark.checkpoint.dir`; in local mode, one of our own where that is unset."""
-    path = spark.conf.get("spark.checkpoint.dir", None)
-    current = spark.sparkContext._jsc.sc().getCheckpointDir()
-    if not current.isDefined():
-        if not path and not spark.sparkContext.master.startswith("local"):
-            raise ValueError("spark.checkpoint.dir names no folder that driver and executors share")
-        spark.sparkContext.setCheckpointDir(path or tempfile.mkdtemp(prefix="spark-checkpoint-"))
-        current = spark.sparkContext._jsc.sc().getCheckpointDir()
-    return current.get()
+SPACE = r"[\x20\x09-\x0D]+"
+WORD = r"[^\x20\x09-\x0D]+"
 
 
 class Scratch:
@@ -69,12 +60,6 @@ def numbered(docs: DataFrame) -> tuple[DataFrame, str]:
     return Scratch(docs.sparkSession, "numbered").save(docs.withColumn(row, F.monotonically_increasing_id()), "rows"), row
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """`df`, computed once and written to the shared folder, so that later steps survive lost executors."""
-    shared_dir(df.sparkSession)
-    return df.checkpoint()
-
-
 def release(spark: SparkSession) -> None:
     """Let Spark drop the shuffle files of steps whose results are checkpointed."""
     import gc

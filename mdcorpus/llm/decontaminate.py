@@ -17,6 +17,7 @@ import re
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -38,8 +39,20 @@ BATCH = 1 << 19
 SLACK = 1e-9
 
 
+#: What separates words beyond ASCII, and characters that are words by themselves.
+BETWEEN = regex.compile(r"[^\x00-\x7F\p{L}\p{N}\p{M}]+")
+ALONE = regex.compile(r"[\p{Han}\p{Hiragana}\p{Katakana}]")
+
+
 def lowered(texts) -> list[bytes]:
-    return [t.lower().encode("utf-8", "surrogatepass") if isinstance(t, str) else b"" for t in texts]
+    """Lower-cased UTF-8 in which only letters, digits and marks lie beyond ASCII, and ideographs stand apart; null: empty."""
+    out = []
+    for t in texts:
+        t = t.lower() if isinstance(t, str) else ""
+        if not t.isascii():
+            t = ALONE.sub(r" \g<0> ", BETWEEN.sub(" ", t))
+        out.append(t.encode("utf-8", "surrogatepass"))
+    return out
 
 
 def question_and_answer(words: np.ndarray, text: str) -> tuple[np.ndarray, np.ndarray]:
@@ -201,7 +214,10 @@ TYPES = [pa.int64(), pa.int64(), pa.int32(), pa.float64(), pa.float64(), pa.floa
 
 
 def indexes_of(benchmark: DataFrame, shard_bytes: int = SHARD_BYTES):
-    """The broadcast indexes of all items of `benchmark(item_id, text)`, a few shards at a time."""
+    """The broadcast indexes of all items of `benchmark(item_id, text)`, SHARDS_HELD shards at a time, and whether there are more than these.
+
+    Of several broadcasts one is held at a time: what is asked of it is to be written before the next is taken.
+    """
     spark, scratch = benchmark.sparkSession, Scratch(benchmark.sparkSession, "decontamination")
     items = benchmark.select(F.col("item_id").cast("long"), "text").where("item_id IS NOT NULL AND text IS NOT NULL").dropDuplicates()
     size = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
@@ -223,14 +239,18 @@ def indexes_of(benchmark: DataFrame, shard_bytes: int = SHARD_BYTES):
         bodies: dict[int, list] = {}
         for r in indexes.where(F.col("shard").between(first, first + SHARDS_HELD - 1)).orderBy("shard", "part").collect():  # SHARDS_HELD shards of bounded text
             bodies.setdefault(r["shard"], []).append(bytes(r["body"]))
-        yield spark.sparkContext.broadcast([pickle.loads(b"".join(b)) for b in bodies.values()])
+        held = spark.sparkContext.broadcast([pickle.loads(b"".join(b)) for b in bodies.values()])
+        yield held, shards > SHARDS_HELD
+        if shards > SHARDS_HELD:
+            held.unpersist()
     scratch.drop("terms", "indexes")
 
 
 def leak_free(docs: DataFrame, benchmark: DataFrame, shard_bytes: int = SHARD_BYTES) -> DataFrame:
     """The rows of `docs` that leak no test item, with all their columns, whatever their ids; see `leaks`."""
     small_batches(docs.sparkSession)
-    for held in indexes_of(benchmark, shard_bytes):
+    scratch = Scratch(docs.sparkSession, "leak-free")
+    for i, (held, several) in enumerate(indexes_of(benchmark, shard_bytes)):
 
         def run(batches, held=held):
             for batch in batches:
@@ -240,14 +260,18 @@ def leak_free(docs: DataFrame, benchmark: DataFrame, shard_bytes: int = SHARD_BY
                 give_back()
 
         docs = docs.mapInArrow(run, docs.schema)
+        if several:
+            docs = scratch.save(docs, str(i))
+            scratch.drop(str(i - 1))
     return docs
 
 
 def leaks(docs: DataFrame, benchmark: DataFrame, shard_bytes: int = SHARD_BYTES) -> DataFrame:
     """One row for each document and test item that it leaks: (doc_id, item_id, passage, score, question, answer).
 
-    `docs(doc_id, text)` are queried whole, `benchmark(item_id, text)` is indexed whole. Words are runs of letters and
-    digits (and all beyond ASCII), lower-cased. Question and answer are looked for in every passage retrieved and as many words on
+    `docs(doc_id, text)` are queried whole, however long, `benchmark(item_id, text)` is indexed whole; documents are read once for each
+    SHARDS_HELD shards of items. Words are runs of letters, digits and marks, lower-cased, so that quotes and dashes of any kind
+    separate them; an ideograph or kana is a word. Question and answer are looked for in every passage retrieved and as many words on
     both sides as the item has. `passage` is the first word of the passage of the highest score where both are, of equal ones the first. Null and
     empty texts, and test items without words or with a null id, take part in nothing; repeated rows give rows of their own; an
     item id that is repeated counts once for each document, and each of its texts is searched for on its own; other columns are
@@ -257,8 +281,8 @@ def leaks(docs: DataFrame, benchmark: DataFrame, shard_bytes: int = SHARD_BYTES)
     schema = "doc_id long, item_id long, passage int, score double, question double, answer double"
     names = [c.split()[0] for c in schema.split(", ")]
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    out = docs.sparkSession.createDataFrame([], schema)
-    for held in indexes_of(benchmark, shard_bytes):
+    out, scratch = docs.sparkSession.createDataFrame([], schema), Scratch(docs.sparkSession, "leaks")
+    for i, (held, several) in enumerate(indexes_of(benchmark, shard_bytes)):
 
         def run(batches, held=held):
             for batch in batches:
@@ -266,5 +290,6 @@ def leaks(docs: DataFrame, benchmark: DataFrame, shard_bytes: int = SHARD_BYTES)
                 rows = [r for index in held.value for r in index.leaks(ids, texts)]
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows) if rows else [[]] * len(TYPES), TYPES)], names=names)
 
-        out = out.union(docs.mapInArrow(run, schema))
+        found = docs.mapInArrow(run, schema)
+        out = out.union(scratch.save(found, str(i)) if several else found)
     return out
