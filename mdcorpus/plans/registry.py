@@ -16,7 +16,7 @@ from ..operators import catalog, changelog, classify, search, tree, validate
 from ..sources.corpus import read_corpus, read_tree
 from ..sources.doctree import register
 from ..sources.shared import cut, shared_dir
-from ..sources.sinks import json_rows
+from ..sources.sinks import json_answers, json_logs, json_rows, json_tags, json_validation
 from ..sources.stored import StoredCatalog, bodies_of, severities_of
 from . import testcorpus
 from .testcorpus import CORPUS_SQL
@@ -236,6 +236,10 @@ PLANS = {
     "doctree_source": _loaded,
     "json_docs": _json_docs,
     "json_log": _json_log,
+    "json_tags": lambda c: json_tags(catalog.list_tags(classify.documents(c.once)), c.roots),
+    "json_validation": lambda c: json_validation(c.summary(), validate.validate_bundle(c.once)),
+    "json_logs": lambda c: json_logs(c.entries(c.once), changelog.log_notes(changelog.log_bodies(c.once), c.entries(c.once), c.roots), c.roots),
+    "json_answers": lambda c: json_answers(search.get_doc(c.files, c.docs(), c.queries)),
     "catalog_tables": _stored,
     "catalog_get_doc": lambda c: _answer(_catalog(c).get_doc(c.queries)),
     "catalog_summary": lambda c: _catalog(c).summary(),
@@ -259,6 +263,30 @@ STORED_ROWS = {
 }
 STORED_SQL = " UNION ALL ".join(f"SELECT '{name}' AS table_name, to_json({{{', '.join(f'{c}: {c}' for c in STORED[name])}}})::VARCHAR AS stored_row FROM ({rows})" for name, rows in STORED_ROWS.items())
 
+def _listed(items: str, ends: str) -> str:
+    """SQL of a list a root: `items` gives root, item and n (from 1), `ends` root, head and tail."""
+    return f""", items AS ({items}), ends AS ({ends})
+        SELECT root, n AS seq, CASE WHEN n > 1 THEN ',' ELSE '' END || item AS piece FROM items UNION ALL SELECT root, 0, head FROM ends
+        UNION ALL SELECT root, (SELECT count(*) FROM items i WHERE i.root = e.root) + 1, tail FROM ends e"""
+
+
+JSON_TAGS = _listed("SELECT root, to_json(tag)::VARCHAR AS item, row_number() OVER (PARTITION BY root ORDER BY tag) AS n FROM (SELECT DISTINCT root, unnest(tags) AS tag FROM docs)", "SELECT root, '[' AS head, ']' AS tail FROM roots")
+JSON_VALIDATION = _listed(
+    """SELECT root, '{"code":"' || code || '","severity":"' || severity || '","file":' || to_json(file) || ',"message":' || to_json(message) || '}' AS item,
+        row_number() OVER (PARTITION BY root ORDER BY string_split(file, '/')[-1] IN ('index.md', 'log.md'), string_split(file, '/'), list_position(['E3', 'W1', 'W2', 'W4', 'N1', 'N2', 'N3'], code)) AS n FROM findings""",
+    """SELECT root, '{"summary":{"Files":' || files || ',"Errors":' || errors || ',"Warnings":' || warnings || ',"Notifications":' || notifications || '},"findings":[' AS head, ']}' AS tail FROM summary""",
+)
+JSON_LOGS = _listed(
+    """SELECT root, '{"date":' || to_json(date) || ',"action":' || to_json(action) || ',"target":' || to_json(target) || CASE WHEN coalesce(detail, '') = '' THEN '' ELSE ',"detail":' || to_json(detail) END || ',"source":' || to_json(source) || '}' AS item,
+        row_number() OVER (PARTITION BY root ORDER BY date DESC, source, sec, ent) AS n FROM log_table""",
+    r"""SELECT root, '{"entries":[' AS head, ']' || CASE WHEN root NOT IN (SELECT root FROM reserved WHERE base = 'log.md') THEN ',"note":"no log.md found"'
+        WHEN EXISTS (SELECT 1 FROM reserved r WHERE r.root = o.root AND base = 'log.md' AND trim(body) <> '' AND NOT EXISTS (SELECT 1 FROM log_table l WHERE l.root = r.root AND l.source = r.path)) THEN ',"note":"log.md has malformed entries"' ELSE '' END || '}' AS tail FROM roots o""",
+)
+JSON_ANSWERS = f"""SELECT query_id, status <> 'ok' AS failed, CASE WHEN status <> 'ok' THEN message ELSE '{{"bundle":' || to_json(bundle) || ',"content":' || to_json(body) || ',"description":' || to_json(description) || ',"file_path":' || to_json(path)
+        || ',"tags":' || CASE WHEN len(tags) = 0 THEN 'null' ELSE to_json(tags)::VARCHAR END || ',"title":' || to_json(title) || '}}' END AS value
+      FROM (SELECT s.query_id, s.status, {STATUS} AS message, p.body, p.path, p.tags, p.title, p.description, bu.bundle FROM status s LEFT JOIN best b ON b.query_id = s.query_id
+        LEFT JOIN docs p ON p.root = b.root AND p.path = b.path LEFT JOIN bundled bu ON bu.root = b.root AND bu.path = b.path)"""
+
 SQL = {
     "classify": "SELECT root, path, kind, coalesce(skip_reason, '') AS skip_reason FROM kinds",
     "skip_report": "SELECT root, path, CASE WHEN NOT has_frontmatter THEN 'no_frontmatter' WHEN bad THEN 'invalid_yaml' ELSE 'missing_type' END AS reason FROM parsed WHERE kind = 'doc' AND (NOT has_frontmatter OR bad OR type = '')",
@@ -329,6 +357,10 @@ SQL = {
         || ',"file_path":' || to_json(d.path) || ',"bundle":' || to_json(bundle) || '}' AS value FROM docs d JOIN bundled b ON b.root = d.root AND b.path = d.path""",
     "json_log": """SELECT '{"date":' || to_json(date) || ',"action":' || to_json(action) || ',"target":' || to_json(target) || CASE WHEN coalesce(detail, '') = '' THEN '' ELSE ',"detail":' || to_json(detail) END
         || ',"source":' || to_json(source) || '}' AS value FROM log_table""",
+    "json_tags": JSON_TAGS,
+    "json_validation": JSON_VALIDATION,
+    "json_logs": JSON_LOGS,
+    "json_answers": JSON_ANSWERS,
     "catalog_tables": STORED_SQL,
     "catalog_get_doc": GET_DOC,
     "catalog_summary": "SELECT * FROM summary",

@@ -18,7 +18,13 @@ def con():
     return c
 
 
-@pytest.mark.parametrize("name", ["classify", "split_frontmatter", "documents", "bundles", "find_best_vocab", "get_doc", "validate_bundle", "validate_paths", "tree", "log_entries", "log_notes", "get_doc_status", "read_tree", "json_docs", "json_log", "catalog_tables", "get_log_root_limit"])
+NAMES = (
+    "classify split_frontmatter documents merged_frontmatter bundles tag_filter score find_best_vocab get_doc get_doc_status validate_bundle validate_paths summary gate report_lines tree subtree tree_json subtrees "
+    "log_entries log_entries_by_block log_checks_by_block log_notes get_log_since get_log_action get_log_limit get_log_root_limit read_tree doctree_source json_docs json_log json_tags json_validation json_logs json_answers catalog_tables catalog_get_doc catalog_summary"
+).split()
+
+
+@pytest.mark.parametrize("name", NAMES)
 def test_query_equals_sql(spark, con, name):
     got = queries()[name](spark, DATA)
     want = con.execute(oracle_sql()[name])

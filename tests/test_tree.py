@@ -106,3 +106,28 @@ def test_requests_for_subtrees(spark, forest):
         else:
             shown = path.replace('"', '\\"').replace("\t", "\\t")
             assert [(r.status, r.message, r.path, r.place) for r in rows] == [("not_found", f'path "{shown}" not found in bundle tree', None, None)]
+
+
+def test_lists_of_a_root_are_json(spark):
+    """Lists in pieces, of roots with many, few and no items; what has no note has none."""
+    from mdcorpus.sources.sinks import json_logs, json_tags, json_validation
+
+    def read(pieces):
+        out = {}
+        for r in sorted(pieces.collect(), key=lambda r: (r.root, r.seq)):
+            out.setdefault(r.root, []).append(r.piece)
+        return {k: json.loads("".join(v)) for k, v in out.items()}
+
+    roots = spark.createDataFrame([("a",), ("b",), ("b",), ("none",)], "root string")
+    tags = [("a", f't{i:03}"') for i in range(500)] + [("b", "é")]
+    assert read(json_tags(spark.createDataFrame(tags, "root string, tag string").repartition(5), roots)) == {"a": [t for r, t in tags if r == "a"], "b": ["é"], "none": []}
+    found = [("a", "z/log.md", "N2", "notification", None, "m"), ("a", "b.md", "N1", "notification", None, "q\"x"), ("a", "b.md", "W1", "warning", 3, "w"), ("a", "a/x.md", "W4", "warning", 0, "v")]
+    summary = spark.createDataFrame([("a", 4, 0, 2, 2), ("none", 0, 0, 0, 0)], "root string, files long, errors long, warnings long, notifications long")
+    got = read(json_validation(summary, spark.createDataFrame(found, "root string, file string, code string, severity string, line int, message string")))
+    assert got["none"] == {"summary": {"Files": 0, "Errors": 0, "Warnings": 0, "Notifications": 0}, "findings": []}
+    assert [(f["file"], f["code"], f.get("line")) for f in got["a"]["findings"]] == [("a/x.md", "W4", None), ("b.md", "W1", 3), ("b.md", "N1", None), ("z/log.md", "N2", None)]
+    entries = spark.createDataFrame([("a", "l", 1, 1, "2024-01-01", "Add", "x", ""), ("a", "l", 0, 1, "2024-02-01", "Fix", "y", "d"), ("a", "k", 5, 1, "2024-01-01", "Add", "z", "e")], "root string, source string, sec_pos long, ent_pos int, date string, action string, target string, detail string")
+    notes = spark.createDataFrame([("b", "log.md has malformed entries"), ("b", "failed to read log.md")], "root string, note string")
+    got = read(json_logs(entries, notes, roots))
+    assert [(e["date"], e["source"], e.get("detail")) for e in got["a"]["entries"]] == [("2024-02-01", "l", "d"), ("2024-01-01", "k", "e"), ("2024-01-01", "l", None)] and "note" not in got["a"]
+    assert got["b"] == {"entries": [], "note": "failed to read log.md"} and got["none"] == {"entries": []}
