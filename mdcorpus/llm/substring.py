@@ -23,7 +23,9 @@ from .exchange import CHUNK_BYTES, MESSAGE, answered, by_chunk, bytes_of, dealt,
 from .textvec import BASE, U, mix
 
 WINDOW = 13
-ROUNDS = 2
+#: Symbols of so many rounds span up to eight words (runs more), and with what their forming depends on most of a window. A fourth
+#: round rules out little more: each round's state is worked out again from the first one's.
+ROUNDS = 3
 #: Names of different rounds differ: a name is a number within its bucket, the bucket and the round.
 LEVELS = 8
 ALONE = -1
