@@ -220,8 +220,8 @@ def scored(docs: DataFrame, model: Model, score: str = "score", predicted: str =
 def quality_scores(docs: DataFrame, labels: DataFrame, rows: int = FIT_ROWS) -> DataFrame:
     """(doc_id, held_out, score, predicted) for every row of `docs(doc_id, text)`; labels are `labels(doc_id, quality)`.
 
-    Null and empty texts are scored as texts without words. Without labels every score is 0.5. Rows with null or
-    repeated ids are scored like any other; other columns are ignored.
+    Null and empty texts are scored as texts without words, very long ones whole. Without labels every score is 0.5. Rows with null or
+    repeated ids are scored like any other; other columns are ignored; an empty table gives an empty result.
     """
     model = fit(docs, labels, rows)
     docs = docs.select(F.col("doc_id").cast("long"), "text")

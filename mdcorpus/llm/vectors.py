@@ -206,7 +206,10 @@ def near_vectors(vectors: DataFrame, cosine: float = COSINE, recall: float = REC
 
     Vectors that are null, empty or zero, or hold null or non-finite components, link with nothing, nor do vectors of
     different lengths. Components may be of any finite size. Repeated rows are vectors of their own. A row with a null vec_id is counted as a link of others;
-    its own component is the least id reachable, if any. Other columns are ignored.
+    its own component is the least id reachable, if any. Other columns are ignored; an empty table gives an empty result.
+    Which pairs at or above `cosine` are found is up to the hashing: one at just the threshold with probability `recall`, nearer ones with those of
+    NEARER, whatever the number of vectors, which only decides how many projections and tables that takes. Tests measure it at the settings for
+    800 to 10**8 vectors of 64 components. No pair below `cosine` is linked.
     """
     kind = vectors.schema["embedding"].dataType.elementType.simpleString()
     dtype, kind = ("<f4", "float") if kind == "float" else ("<f8", "double")
