@@ -12,6 +12,7 @@ below a node that is in (or out) all are in (or out), so an ancestor never contr
 from __future__ import annotations
 
 import html
+import math
 import random
 
 import numpy as np
@@ -52,29 +53,32 @@ class Trees:
             logit += self._apply(tree, bins)
 
     def _grow(self, bins, g, h):
+        columns = np.ascontiguousarray(bins.T)
         size = 2 ** (DEPTH + 1) - 1
         feature, cut, value = np.full(size, -1), np.zeros(size, np.int64), np.zeros(size)
         at = np.zeros(len(g), np.int64)
         for node in range(size):
-            rows = at == node
-            if not rows.any():
+            rows = np.flatnonzero(at == node)
+            if not len(rows):
                 continue
-            G, H = g[rows].sum(), h[rows].sum()
+            own_g, own_h = g[rows], h[rows]
+            G, H = own_g.sum(), own_h.sum()
             value[node] = RATE * G / (H + 1)
-            if node >= size // 2 or rows.sum() < 20:
+            if node >= size // 2 or len(rows) < 20:
                 continue
             best = (1e-6, -1, 0)
             for f, e in enumerate(self.edges):
                 if len(e):
-                    a = np.cumsum(np.bincount(bins[rows, f], g[rows], len(e) + 1))[:-1]
-                    b = np.cumsum(np.bincount(bins[rows, f], h[rows], len(e) + 1))[:-1]
+                    own = columns[f][rows]
+                    a = np.cumsum(np.bincount(own, own_g, len(e) + 1))[:-1]
+                    b = np.cumsum(np.bincount(own, own_h, len(e) + 1))[:-1]
                     gain = a**2 / (b + 1) + (G - a) ** 2 / (H - b + 1) - G**2 / (H + 1)
                     k = int(gain.argmax())
                     if gain[k] > best[0] and min(b[k], H - b[k]) > 0.5:
                         best = (float(gain[k]), f, k)
             if best[1] >= 0:
                 feature[node], cut[node] = best[1:]
-                at[rows] = np.where(bins[rows, best[1]] <= best[2], 2 * node + 1, 2 * node + 2)
+                at[rows] = np.where(columns[best[1]][rows] <= best[2], 2 * node + 1, 2 * node + 2)
         return feature, cut, value
 
     @staticmethod
@@ -260,16 +264,18 @@ def fit(pages: DataFrame, rows: int = FIT_PAGES) -> Trees | None:
 
 def decode(nodes: list[Node], logit: np.ndarray, root: Node) -> list[str]:
     """The texts of the leaves that are in, in page order."""
-    log_in, log_out = -np.logaddexp(0, -logit), -np.logaddexp(0, logit)
+    ins, outs = (-np.logaddexp(0, -logit)).tolist(), (-np.logaddexp(0, logit)).tolist()
     number = {id(n): i for i, n in enumerate(nodes)}
-    ins, outs, best, state = log_in.copy(), log_out.copy(), np.zeros(len(nodes)), [0] * len(nodes)
+    best, state = [0.0] * len(nodes), [0] * len(nodes)
     for i in range(len(nodes) - 1, -1, -1):
         kids = [number[id(c)] for c in nodes[i].children]
-        ins[i] += sum(ins[k] for k in kids)
-        outs[i] += sum(outs[k] for k in kids)
-        mixed = sum(best[k] for k in kids) - MIXED if kids else -np.inf
-        state[i] = int(np.argmax([outs[i], ins[i], mixed]))
+        mixed = -math.inf
+        if kids:
+            ins[i] += sum([ins[k] for k in kids])
+            outs[i] += sum([outs[k] for k in kids])
+            mixed = sum([best[k] for k in kids]) - MIXED
         best[i] = max(outs[i], ins[i], mixed)
+        state[i] = 0 if outs[i] == best[i] else 1 if ins[i] == best[i] else 2
     texts = []
     todo = [(c, 2) for c in reversed(root.children)]
     while todo:
