@@ -17,7 +17,7 @@ WORD = r"[^\x20\x09-\x0D]+"
 
 class Scratch:
     """Intermediate tables in the shared folder: written whole, so that later steps survive lost executors, and deleted once
-    nothing reads them."""
+    nothing reads them; what lazy results still read goes with the application."""
 
     def __init__(self, spark: SparkSession, name: str):
         self.spark, self.top = spark, f"{shared_dir(spark)}/{name}-{uuid4().hex}"
@@ -25,13 +25,19 @@ class Scratch:
     def save(self, df: DataFrame, name: str, by: str | None = None) -> DataFrame:
         writer = df.write.partitionBy(by) if by else df.write
         writer.parquet(f"{self.top}/{name}")
+        system, path = self._system(self.top)
+        system.deleteOnExit(path)
         return self.spark.read.schema(df.schema).parquet(f"{self.top}/{name}")
 
     def drop(self, *names: str) -> None:
-        jvm, conf = self.spark._jvm, self.spark.sparkContext._jsc.hadoopConfiguration()
         for name in names:
-            path = jvm.org.apache.hadoop.fs.Path(f"{self.top}/{name}")
-            path.getFileSystem(conf).delete(path, True)
+            system, path = self._system(f"{self.top}/{name}")
+            system.delete(path, True)
+
+    def _system(self, name: str):
+        """The file system of a folder, and its path."""
+        path = self.spark._jvm.org.apache.hadoop.fs.Path(name)
+        return path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()), path
 
 
 #: Rows are handed to Python in batches of so many bytes at most, which two processes a task hold.

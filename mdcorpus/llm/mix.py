@@ -20,6 +20,8 @@ BLOCK_WORDS = 256
 LEAST_BLOCKS = 128
 #: A shard holds about this many words or documents, so that a task can hold it, however large its source is.
 SHARD_WORDS, SHARD_DOCS = 1 << 20, 1 << 13
+#: So many shards, or groups of shards, are dealt seats in one task; a source with more deals them to groups first.
+DEALT_AT_ONCE = 4096
 #: So many sources may be broadcast (some dozen bytes each); more are joined.
 BROADCAST_SOURCES = 100_000
 
@@ -87,13 +89,29 @@ def _plan(sources: pd.DataFrame) -> pd.DataFrame:
     return sources.assign(target=target, block=block, seats=sainte_lague(target, round(target.sum() / block)))
 
 
-def _quotas(pdf: pd.DataFrame) -> pd.DataFrame:
-    """One source's shards -> the blocks that each gives."""
-    pdf = pdf.sort_values("shard")
-    block = int(pdf["block"].iloc[0])
-    words = pdf["words"].to_numpy(np.int64)
-    most = MOST_REPEATS * -(-words // block)
-    return pdf.assign(quota=sainte_lague(words, int(pdf["seats"].iloc[0]), most))[["number", "shard", "block", "quota"]]
+def _deal(pdf: pd.DataFrame) -> pd.DataFrame:
+    """The units of one group, each with its words and the most blocks it can give -> the blocks that each gives."""
+    pdf = pdf.sort_values("unit")
+    return pdf.assign(seats=sainte_lague(pdf["words"].to_numpy(np.int64), int(pdf["seats"].iloc[0]), pdf["most"].to_numpy(np.int64)))[["number", "unit", "seats"]]
+
+
+def _quotas(counted: DataFrame, plan: DataFrame, shards: int) -> DataFrame:
+    """`counted(number, shard, words)`, `plan(number, block, seats)` -> (number, shard, block, quota), if no source has more than `shards` shards.
+
+    Neighbouring shards make groups of DEALT_AT_ONCE, those make groups again until a source has no more than that, and
+    each group shares out what it was dealt, so no task holds all shards of a large source.
+    """
+    counted = counted.join(plan.select("number", "block"), "number").withColumn("most", MOST_REPEATS * F.expr("(words + block - 1) div block"))
+    deep = 1
+    while shards > DEALT_AT_ONCE**deep:
+        deep += 1
+    counted = cut(counted) if deep > 1 else counted
+    seats = plan.select("number", F.lit(0).cast("long").alias("group"), "seats")
+    for level in reversed(range(deep)):
+        units = counted.groupBy("number", F.expr(f"shard div {DEALT_AT_ONCE**level}").alias("unit")).agg(F.sum("words").alias("words"), F.sum("most").alias("most"))
+        dealt = units.withColumn("group", F.expr(f"unit div {DEALT_AT_ONCE}")).join(seats, ["number", "group"]).groupBy("number", "group").applyInPandas(_deal, "number int, unit long, seats long")
+        seats = dealt.withColumnRenamed("unit", "group")
+    return dealt.join(plan.select("number", "block"), "number").select("number", F.col("unit").cast("int").alias("shard"), "block", F.col("seats").alias("quota"))
 
 
 def _select(pdf: pd.DataFrame, quotas: pd.DataFrame) -> pd.DataFrame:
@@ -125,7 +143,7 @@ def mix_sources(docs: DataFrame, row: str | None = None) -> DataFrame:
     Sizes are numbers of words `[^\\x20\\x09-\\x0D]+` (null texts: 0). Sources, by code point and the null one last, weigh
     3, 1, 2, repeating, and share 150 % of all words; none gets above twice its own size. Blocks are dealt to sources
     and to shards within them by highest quotients; a shard's documents in seeded order are cut into blocks and drawn
-    by seed, so reruns agree. No document gives more than twice its size. Rows with null or repeated ids count as rows
+    by seed, so reruns agree; the shards of a source of more than DEALT_AT_ONCE are dealt to in groups of so many. No document gives more than twice its size. Rows with null or repeated ids count as rows
     of their own; equal rows are interchangeable; texts without words, and sources of such, take nothing; an empty table
     gives an empty result. The driver holds a row for each source.
     """
@@ -140,7 +158,7 @@ def mix_sources(docs: DataFrame, row: str | None = None) -> DataFrame:
     sources = sized.groupBy("name").agg(F.sum("size").alias("source_size"), F.count_if(F.col("size") > 0).alias("rows")).toPandas()  # a short row for each source
     plan = _plan(sources).reset_index(names="number")
     shards = np.maximum(1, np.maximum(-(-plan["source_size"] // SHARD_WORDS), -(-plan["rows"] // SHARD_DOCS)))
-    plan = plan.assign(shards=shards.astype("int64"))
+    plan, most_shards = plan.assign(shards=shards.astype("int64")), int(shards.max()) if len(shards) else 1
     rows = [tuple(None if x is None or x != x else x for x in r) for r in plan[["number", "name", "source_size", "target", "block", "seats", "shards"]].astype(object).itertuples(index=False, name=None)]
     few = len(rows) <= BROADCAST_SOURCES
     plan = spark.createDataFrame(rows, "number int, name string, source_size long, target double, block long, seats long, shards long")
@@ -152,7 +170,7 @@ def mix_sources(docs: DataFrame, row: str | None = None) -> DataFrame:
     empty = dealt.where("size = 0").select("doc_id", "known", "row", "number", "size", F.lit(0).cast("long").alias("taken"))
     dealt = dealt.where("size > 0")
     counted = dealt.groupBy("number", "shard").agg(F.sum("size").alias("words"))
-    quotas = counted.join(plan.select("number", "block", "seats"), "number").groupBy("number").applyInPandas(_quotas, "number int, shard int, block long, quota long")
+    quotas = _quotas(counted, plan.select("number", "block", "seats"), most_shards)
     taken = (
         dealt.groupBy("number", "shard").cogroup(cut(quotas).groupBy("number", "shard"))
         .applyInPandas(_select, "doc_id long, known boolean, row long, number int, size long, taken long")

@@ -678,3 +678,68 @@ def test_extraction(spark):
         assert r.n_chars == len(r.text) and "©" not in r.text and "track(" not in r.text
     none = spark.createDataFrame([(1, "u", "<nav>a</nav><p>b</p>")], "page_id long, url string, html string")
     assert extract.extracted(none).first().text == "b" and extract.extracted(none.limit(0)).count() == 0
+
+
+def test_mixing_deals_many_shards_in_groups(spark, monkeypatch):
+    """A source of more shards than one task deals to: groups first, then the groups within them, then shards."""
+    from mdcorpus.llm import mix as M
+
+    monkeypatch.setattr(M, "DEALT_AT_ONCE", 4)
+    rng = np.random.default_rng(3)
+    counted = [(0, s, int(rng.integers(1, 500))) for s in range(23)] + [(1, s, int(rng.integers(1, 9))) for s in range(3)] + [(2, 5, 7)]
+    plan = [(0, 8, 900), (1, 2, 5), (2, 1, 100)]
+    got = M._quotas(spark.createDataFrame(counted, "number int, shard int, words long").repartition(3), spark.createDataFrame(plan, "number int, block long, seats long"), 23)
+
+    def quotients(votes, seats, most):
+        k = [0] * len(votes)
+        for _ in range(min(seats, sum(most))):
+            k[max((i for i in range(len(votes)) if k[i] < most[i]), key=lambda i: (votes[i] / (2 * k[i] + 1), -i))] += 1
+        return k
+
+    def dealt(shards, seats, block, level):
+        groups = {}
+        for s, w in shards:
+            groups.setdefault(s // 4**level, []).append((s, w))
+        keys = sorted(groups)
+        most = [sum(2 * -(-w // block) for _, w in groups[k]) for k in keys]
+        k = quotients([sum(w for _, w in groups[g]) for g in keys], seats, most)
+        if not level:
+            return dict(zip(keys, k))
+        return {s: q for g, n in zip(keys, k) for s, q in dealt(groups[g], n, block, level - 1).items()}
+
+    want = {(n, s): (b, q) for n, b, seats in plan for s, q in dealt([(s, w) for m, s, w in counted if m == n], seats, b, 2).items()}
+    assert {(r.number, r.shard): (r.block, r.quota) for r in got.collect()} == want
+    # the whole mix, in many small shards
+    monkeypatch.setattr(M, "SHARD_WORDS", 300)
+    docs = spark.createDataFrame([(i, " ".join(["w"] * int(rng.integers(0, 90))), "ab"[i % 5 == 0]) for i in range(300)], "doc_id long, text string, source string")
+    first, again = ([tuple(r) for r in sorted(M.mix_sources(docs.repartition(n)).collect(), key=repr)] for n in (2, 5))
+    assert first == again and len(first) == 300 and all(r.taken <= 2 * r.size for r in M.mix_sources(docs).collect())
+    for size in {r[2] for r in first}:
+        own = [r for r in first if r[2] == size]
+        assert abs(sum(r[4] for r in own) - own[0][3]) <= 0.05 * own[0][3]
+
+
+def test_scratch_goes_with_the_application(spark, tmp_path):
+    """What lazy results may still read is marked to be deleted when the application ends."""
+    import subprocess
+    import sys
+
+    program = f"""
+from pyspark.sql import SparkSession
+from mdcorpus.llm.common import Scratch
+spark = SparkSession.builder.master("local[1]").config("spark.checkpoint.dir", "{tmp_path}").config("spark.ui.enabled", "false").getOrCreate()
+scratch = Scratch(spark, "kept")
+assert scratch.save(spark.range(3), "rows").count() == 3
+print("TOP", scratch.top)
+spark.stop()
+"""
+    out = subprocess.run([sys.executable, "-c", program], capture_output=True, text=True, timeout=120)
+    top = next(line.split()[1] for line in out.stdout.splitlines() if line.startswith("TOP"))
+    import os
+    import time
+
+    for _ in range(50):  # the JVM may end a little after Python does
+        if not os.path.exists(top.removeprefix("file:")):
+            break
+        time.sleep(0.2)
+    assert top.startswith(f"file:{tmp_path}") and not os.path.exists(top.removeprefix("file:"))
