@@ -5,7 +5,7 @@ left, so that equal stretches of words come to hold equal symbols whichever docu
 or a right class by their name, and a left one followed by a right one is a pair. A symbol carries the span of words that its
 forming depends on: wherever those words occur, the symbol forms. A symbol found in one document only rules out all windows
 that hold its span. Of those left, each window names the highest symbol with its span inside; stretches around a
-shared symbol meet in one bucket, where their windows are compared word by word.
+shared symbol meet, by the words at one side of it, in a bucket where their windows are compared word by word.
 """
 
 from __future__ import annotations
@@ -152,7 +152,11 @@ class Open:
         self.shared.append((self.a[named], self.b[named], of[of > 0]))
 
     def stretches(self):
-        """(name, first word, first word of the last window) of stretches around symbols, which hold all windows that may repeat."""
+        """(key, first word, first word of the last window) of stretches around symbols, which hold all windows that may repeat.
+
+        A window's key is of its symbol's name and the words at one side of it: the left side if the symbol stands in the window's
+        right half, else the right. Equal windows have equal keys, and a symbol in very many contexts has as many keys.
+        """
         starts = np.flatnonzero(self.open_windows())
         out = []
         for a, b, name in reversed(self.shared):
@@ -173,11 +177,21 @@ class Open:
             k = np.frexp((high - low).astype(float))[1] - 1
             least = np.array(least)
             chosen = np.minimum(least[k, low], least[k, high - 2**k]) % len(a)
-            order = np.argsort(chosen, kind="stable")
-            edge = np.flatnonzero(np.diff(chosen[order], prepend=-1))
-            out.append((name[chosen[order][edge]], own[order][edge], own[order][np.append(edge[1:], len(order)) - 1]))
+            # words beside the symbol's span in a window, and how many of them all windows have that have most at the left
+            beside = self.window - (b - a)[chosen]
+            left = a[chosen] - own > beside // 2
+            piece = 2 * chosen + ~left
+            order = np.argsort(piece, kind="stable")
+            edge = np.flatnonzero(np.diff(piece[order], prepend=-1))
+            first, chosen, beside, left = own[order][edge], chosen[order][edge], beside[order][edge], left[order][edge]
+            start = np.where(left, a[chosen] - beside // 2 - 1, a[chosen])
+            end = np.where(left, b[chosen], a[chosen] + self.window - beside // 2)
+            key = mix(name[chosen].astype(U) * U(BASE) + left.astype(U))
+            for i in range(int((end - start).max())):
+                key = np.where(start + i < end, mix(key * U(BASE) + self.word[np.minimum(start + i, len(self.word) - 1)].astype(U)), key)
+            out.append((key, first, own[order][np.append(edge[1:], len(order)) - 1]))
         if not out:
-            return (np.zeros(0, np.int64),) * 3
+            return np.zeros(0, U), *(np.zeros(0, np.int64),) * 2
         return tuple(map(np.concatenate, zip(*out)))
 
 
@@ -242,16 +256,16 @@ def _answer_pairs(bucket: int, asked: list, buckets: int, level: int) -> list[tu
 def _ask_stretches(number: int, table: pa.Table, window: int, rounds: int, buckets: int) -> pa.Table:
     """The distinct stretches around shared symbols, with the least document that has each, and where they are."""
     c = Open(table, window, rounds + 1)
-    name, first, last = c.stretches()
+    key, first, last = c.stretches()
     size, owner, word = last - first + window, c.ids[c.stretch[first]], c.word
     # equal stretches are sent once; a hash proposes them, their words decide
-    h = mix(name.astype(U) * U(BASE) + size.astype(U))
+    h = mix(key * U(BASE) + size.astype(U))
     for i in range(int(size.max(initial=0))):
         h = np.where(i < size, mix(h * U(BASE) + word[np.minimum(first + i, len(word) - 1)].astype(U)), h)
     order = np.lexsort((owner, h))
     equal = np.zeros(len(order), bool)
     p, q = order[1:], order[:-1]
-    equal[1:] = (name[p] == name[q]) & (h[p] == h[q]) & (size[p] == size[q])
+    equal[1:] = (key[p] == key[q]) & (h[p] == h[q]) & (size[p] == size[q])
     check = np.flatnonzero(equal)
     p, q = order[check], order[check - 1]
     owners = np.repeat(np.arange(len(check)), size[p])
@@ -260,7 +274,7 @@ def _ask_stretches(number: int, table: pa.Table, window: int, rounds: int, bucke
     kind = np.empty(len(order), np.int64)
     kind[order] = np.cumsum(~equal) - 1
     one = order[~equal]
-    bucket = (mix(name[one].astype(U)) % U(buckets)).astype(np.int64)
+    bucket = (key[one] % U(buckets)).astype(np.int64)
     to, edges = dealt(bucket, buckets)
     place = np.empty(len(one), np.int64)
     place[to] = np.arange(len(one))
